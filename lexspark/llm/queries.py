@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .jpeg import op6_media
+from .langid import op4_langid
 from .pii import op2_pii
+from .quality import op7_quality
 
 
 def queries() -> dict:
     return {
         "op2_pii": op2_pii,
+        "op4_langid": op4_langid,
+        "op6_media": op6_media,
+        "op7_quality": op7_quality,
     }
 
 
