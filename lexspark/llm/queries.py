@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from . import decontam, mixing
+from .decontam import op3_decontam
 from .jpeg import op6_media
 from .langid import op4_langid
+from .mixing import op8_mixing
 from .pii import op2_pii
 from .quality import op7_quality
+from .sharding import op9_sharding
 
 
 def queries() -> dict:
     return {
         "op2_pii": op2_pii,
+        "op3_decontam": op3_decontam,
         "op4_langid": op4_langid,
         "op6_media": op6_media,
         "op7_quality": op7_quality,
+        "op8_mixing": op8_mixing,
+        "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontam": decontam.SQL,
+        "op8_mixing": mixing.SQL,
+    }
