@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontam, mixing
 from .decontam import op3_decontam
+from .extract import op1_extract
 from .jpeg import op6_media
 from .langid import op4_langid
 from .mixing import op8_mixing
@@ -14,6 +15,7 @@ from .sharding import op9_sharding
 
 def queries() -> dict:
     return {
+        "op1_extract": op1_extract,
         "op2_pii": op2_pii,
         "op3_decontam": op3_decontam,
         "op4_langid": op4_langid,
