@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed but lies in the same place as on the driver."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
@@ -51,8 +60,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 4_000_
             total += size
         if start < len(sizes):
             yield batch.slice(start)
-
-
-def worker_path() -> str:
-    """Root of the package, for tests that start a session elsewhere."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
