@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontam, mixing
 from .decontam import op3_decontam
 from .extract import op1_extract
+from .jaccard import op10_jaccard
 from .jpeg import op6_media
 from .langid import op4_langid
 from .mixing import op8_mixing
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
+        "op10_jaccard": op10_jaccard,
     }
 
 
