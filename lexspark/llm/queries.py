@@ -12,6 +12,7 @@ from .mixing import op8_mixing
 from .pii import op2_pii
 from .quality import op7_quality
 from .sharding import op9_sharding
+from .suffixes import op5_repeats
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_decontam": op3_decontam,
         "op4_langid": op4_langid,
+        "op5_repeats": op5_repeats,
         "op6_media": op6_media,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
