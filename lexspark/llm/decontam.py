@@ -87,7 +87,7 @@ def decontaminate(
     hits = [_matches(spread, split, prefix, k, small, first=i == 0) for i, (k, prefix) in enumerate(found)]
     if not hits:
         hits = [split.select("id", "tid", F.size("doc").alias("n_words"), *(F.lit(None).cast(t).alias(c) for c, t in (("wid", "string"), ("start", "int"), ("len", "int"))))]
-    rows = reduce(DataFrame.unionByName, hits)
+    rows = checkpointed(reduce(DataFrame.unionByName, hits))  # two aggregates read it; the texts are split once for both
 
     by = Window.partitionBy("id", "tid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
