@@ -90,7 +90,7 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 40_000, penalty: float = 1e-3, rounds: int = 400) -> Model:
+def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 10_000, penalty: float = 1e-3, rounds: int = 300) -> Model:
     """share_bad: part of all labelled documents that has label 0, which fixes the quantile of the threshold."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.clip((x - mean) / scale, -8, 8)
