@@ -1,11 +1,430 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""Queries over the driver's tables and the SQL that checks them.
+
+The dictionary is derived from the documents: words are runs of three or more letters a-z in the lower-case text, a
+stem is the word less one suffix, the tag is the language, and the frequency class comes from the number of bits of the
+word's count. Every query reads its tables whole.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import words as W
+from ..functions.encoders import BY_NAME
+from ..operators import automaton, lexicon, speller
+from ..operators.lexicon import Lexicon
+from ..sources import formats
+from ..sources.metadata import Metadata
+
+OPTIONS = Metadata("+", "suffix", "utf-8", ignore_diacritics=False)
+FREQUENT = OPTIONS.with_(frequency_included=True)
+FOLDING = OPTIONS.with_(ignore_diacritics=True, convert_case=True)
+#: Rewrite pairs for the queries that use them.
+PAIRS = OPTIONS.with_(replacement_pairs=(("ll", "l"), ("sm", "th"), ("ot", "ought"), ("g", "tion"), ("ed$", "anded")))
+CONVERSIONS = (("th", "d"), ("ing", "in"), ("er", ""))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:  # lets Python workers import the package where it isn't installed
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- inputs -------------------------------------------------------------------------------------------------------
+
+
+def _stem(w: Column) -> Column:
+    return F.regexp_replace(w, "(tion|ing|ed|er|en|es|ly|s)$", "")
+
+
+def _tokens(df: DataFrame, *keep: str) -> DataFrame:
+    found = df.select(*keep, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    return found.where(F.col("word").rlike("^[a-z]{3,}$"))
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(table(spark, d, "documents"), "lang").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(table(spark, d, "documents")).select("word").distinct()
+
+
+def derived(spark: SparkSession, d: str) -> Lexicon:
+    rows = counted(spark, d).select(_stem(F.col("word")).alias("base"), F.col("word").alias("inflected"), F.col("lang").alias("tag"))
+    return Lexicon.compile(rows, OPTIONS)
+
+
+def frequent(spark: SparkSession, d: str, options: Metadata = FREQUENT) -> Lexicon:
+    """A word list with a letter for the frequency class in place of a tag."""
+    total = counted(spark, d).groupBy("word").agg(F.sum("n").alias("n"))
+    level = F.least(F.length(F.bin("n")) - 1, F.lit(25))
+    return Lexicon.compile(total.select(F.col("word").alias("base"), F.col("word").alias("inflected"), F.char(level + 65).alias("tag")), options)
+
+
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct words of the conversations."""
+    return _tokens(table(spark, d, "conversations")).select("word").distinct()
+
+
+def raw_words(df: DataFrame) -> DataFrame:
+    """Distinct runs of letters and digits, as they are written."""
+    return df.select(F.explode(F.split("text", r"[^\p{L}\p{Nd}]+")).alias("word")).where("word <> ''").distinct()
+
+
+def seqs(spark: SparkSession, d: str) -> DataFrame:
+    return automaton.sequences(vocabulary(spark, d), "word")
+
+
+def edited(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelled words: part names, and long words less their fifth letter."""
+    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    long = vocabulary(spark, d).where(F.length("word") >= 17)
+    return names.union(long.select(F.concat(F.substring("word", 1, 4), F.substring(F.col("word"), F.lit(6), F.length("word"))))).distinct()
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Source and target forms that share a start, an end, a middle or little."""
+    w, n = F.col("word"), F.length("word")
+    target = (
+        F.when(n % 4 == 0, _stem(w)).when(n % 4 == 1, F.concat(F.substring(w, F.lit(3), n), F.lit("e")))
+        .when(n % 4 == 2, F.concat(F.substring(w, 1, 1), F.substring(w, F.lit(4), n))).otherwise(F.concat(F.lit("ge"), F.substring(w, F.lit(1), n - 2)))
+    )
+    return vocabulary(spark, d).select(w.alias("source"), target.alias("target"))
+
+
+def text(c: str) -> Column:
+    return F.decode(c, "UTF-8").alias(c)
+
+
+# --- queries ------------------------------------------------------------------------------------------------------
+
+
+def lex_scan(spark, d):
+    return derived(spark, d).scan()
+
+
+def _encode(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        code = BY_NAME[name].encode(F.col("source").cast("binary"), F.col("target").cast("binary"))
+        return pairs(spark, d).select("source", "target", F.hex(code).alias("coded"))
+
+    return query
+
+
+def lex_roundtrip(spark, d):
+    p = pairs(spark, d).select(F.col("source").cast("binary").alias("s"), F.col("target").cast("binary").alias("t"))
+    wrong = [F.count_if(~e.decode(F.col("s"), e.encode(F.col("s"), F.col("t"))).eqNullSafe(F.col("t"))).alias(n) for n, e in BY_NAME.items()]
+    return p.agg(F.count(F.lit(1)).alias("pairs"), *wrong)
+
+
+def lookup_inner(spark, d):
+    return lexicon.lookup(probes(spark, d), derived(spark, d))
+
+
+def lookup_left(spark, d):
+    return lexicon.lookup(probes(spark, d), derived(spark, d), how="left")
+
+
+def lookup_not_found(spark, d):
+    return lexicon.lookup(probes(spark, d), derived(spark, d), how="anti")
+
+
+def synth_lookup(spark, d):
+    asked = probes(spark, d).select(_stem(F.col("word")).alias("stem")).where("stem <> ''").distinct().select("stem", F.explode(F.array(F.lit("en"), F.lit("de"))).alias("tag"))
+    return lexicon.synthesize(asked, derived(spark, d)).select("stem", "tag", "word")
+
+
+def apply_lines(spark, d):
+    return lexicon.applied(edited(spark, d).union(probes(spark, d)).distinct(), derived(spark, d))
+
+
+def dict_decompile(spark, d):
+    return derived(spark, d).decompile()
+
+
+def dict_compile_validate(spark, d):
+    lines = table(spark, d, "part").select(F.concat_ws("+", F.replace("p_name", F.lit(" "), F.lit("+")), "p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_type"))).alias("line"))
+    return lexicon.source_violations(lexicon.source_rows(lines, OPTIONS))
+
+
+def dict_tag_inventory(spark, d):
+    return derived(spark, d).entries.groupBy("tag").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("word").alias("words"))
+
+
+def dict_unsafe(spark, d):
+    words = table(spark, d, "part").select(F.concat_ws("+", F.split("p_name", " ")).alias("base"), F.col("p_brand").alias("inflected"), F.col("p_type").alias("tag"))
+    return Lexicon.compile(words, OPTIONS.with_(encoder="none")).scan()
+
+
+def apply_conversions(spark, d):
+    return probes(spark, d).select("word", W.converted(F.col("word"), CONVERSIONS).alias("converted"))
+
+
+def fsa_arcs(spark, d):
+    return automaton.tree_arcs(seqs(spark, d)).select(text("prefix"), text("label"), "is_final", "is_terminal")
+
+
+def fsa_right_language(spark, d):
+    return automaton.right_languages(seqs(spark, d)).select(text("prefix"), "count")
+
+
+def fsa_states(spark, d):
+    return automaton.states(seqs(spark, d)).select(text("name"), "count")
+
+
+def fsa_stats(spark, d):
+    return automaton.totals(seqs(spark, d))
+
+
+def fsa_fanout(spark, d):
+    return automaton.fan_outs(seqs(spark, d))
+
+
+def fsa_label_hist(spark, d):
+    return automaton.label_counts(seqs(spark, d)).select(text("label"), "arcs")
+
+
+def fsa_top_labels(spark, d):
+    return automaton.top_labels(seqs(spark, d), 10).select(text("label"), "arcs")
+
+
+def fsa_inlinks(spark, d):
+    return automaton.in_links(seqs(spark, d)).select(text("state"), "in_links")
+
+
+def fsa_perfect_hash(spark, d):
+    return automaton.ranked(seqs(spark, d)).select(text("seq"), "rank")
+
+
+def match_probes(spark, d):
+    """Words of the conversations, less their last letter, and with one more; and words that start like none."""
+    w = F.col("word")
+    forms = F.array(w, F.substring(w, F.lit(1), F.length(w) - 1), F.concat(w, F.lit("x")), F.concat(F.lit("Q"), w))
+    return probes(spark, d).select(F.explode(forms).alias("probe")).distinct()
+
+
+def fsa_match_kind(spark, d):
+    return automaton.matched(match_probes(spark, d), seqs(spark, d)).select(text("probe"), "kind", "index")
+
+
+def fsa_perfect_hash_probe(spark, d):
+    return automaton.perfect_hash(match_probes(spark, d), seqs(spark, d)).select(text("probe"), "hash")
+
+
+def fsa_prefix_expand(spark, d):
+    starts = probes(spark, d).select(F.substring("word", 1, 5).alias("prefix")).distinct()
+    return automaton.expanded(starts, seqs(spark, d)).select(text("prefix"), text("suffix"))
+
+
+def _roundtrip(version: str):
+    """The vocabulary written as a binary automaton by one task, and read again."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data = formats.WRITERS[version]((s for b in batches for s in b.column("seq").to_pylist()), numbers=True)
+            a = formats.read(data)
+            words = [s.decode() for s in a.sequences()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+        return seqs(spark, d).coalesce(1).sortWithinPartitions("seq").mapInArrow(run, "word string")
+
+    return query
+
+
+def spell_predicates(spark, d):
+    w = F.col("word")
+    return raw_words(table(spark, d, "documents")).select(
+        "word", W.is_alphabetic(w).alias("alphabetic"), W.contains_no_digit(w).alias("no_digit"), W.is_all_uppercase(w).alias("all_upper"), W.is_not_all_lowercase(w).alias("not_all_lower"),
+        W.is_not_capitalized(w).alias("not_capitalized"), W.is_mixed_case(w).alias("mixed"), W.is_camel_case(w).alias("camel"), W.initial_uppercase(w).alias("initial_upper"),
+    )
+
+
+def spell_in_dict(spark, d):
+    return speller.with_membership(probes(spark, d), derived(spark, d))
+
+
+def spell_misspelled(spark, d):
+    return speller.with_misspelled(raw_words(table(spark, d, "conversations")), derived(spark, d))
+
+
+def spell_runon(spark, d):
+    names = table(spark, d, "part").select("p_name")
+    joined = F.replace("p_name", F.lit(" "), F.lit(""))
+    asked = names.select(F.explode(F.array(joined, F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined))))).alias("word"))
+    known = names.select(F.explode(F.split("p_name", " ")).alias("base")).union(vocabulary(spark, d)).select("base", F.col("base").alias("inflected"), F.lit(None).cast("string").alias("tag"))
+    return speller.run_ons(asked, Lexicon.compile(known, OPTIONS))
+
+
+def spell_frequency(spark, d):
+    return lexicon.frequencies(probes(spark, d), frequent(spark, d))
+
+
+def spell_suggest_d1(spark, d):
+    return speller.suggestions(edited(spark, d), frequent(spark, d))
+
+
+def spell_similar_d1(spark, d):
+    return speller.suggestions(vocabulary(spark, d).where(F.length("word") >= 16), frequent(spark, d), even_if_known=True)
+
+
+def spell_suggest_diacritics(spark, d):
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("base")).where(F.length("base") >= 3).distinct()
+    known = Lexicon.compile(words.select("base", F.col("base").alias("inflected"), F.lit(None).cast("string").alias("tag")), FOLDING)
+    return speller.suggestions(probes(spark, d), known, most=0).select("probe", "suggestion", "distance")
+
+
+def spell_suggest_d2(spark, d):
+    return speller.suggestions(edited(spark, d), frequent(spark, d), most=2)
+
+
+def spell_suggest_pairs(spark, d):
+    return speller.suggestions(edited(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True)))
+
+
+def spell_rewrites(spark, d):
+    return speller.rewrites(edited(spark, d), speller.Rules.of(PAIRS))
+
 
 def queries() -> dict:
-    return {}
+    out = {f"lex_encode_{n}": _encode(n) for n in BY_NAME} | {"fsa5_roundtrip": _roundtrip("fsa5"), "cfsa2_roundtrip": _roundtrip("cfsa2")}
+    named = (
+        lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
+        fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
+        spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_d2, spell_suggest_pairs, spell_rewrites,
+    )
+    return {f.__name__: f for f in named} | out
+
+
+# --- the same in SQL ----------------------------------------------------------------------------------------------
+
+_BASE = r"""
+WITH tok AS (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents),
+cnt AS (SELECT word, lang, count(*) AS n FROM tok WHERE regexp_full_match(word, '[a-z]{3,}') GROUP BY word, lang),
+vocab AS (SELECT DISTINCT word FROM cnt),
+lex AS (SELECT word, nullif(regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', ''), '') AS stem, lang AS tag FROM cnt),
+freq AS (SELECT word, least(length(bin(sum(n)::BIGINT)) - 1, 25)::INTEGER AS f FROM cnt GROUP BY word),
+said AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM conversations) WHERE regexp_full_match(word, '[a-z]{3,}')),
+edited AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT substr(word, 1, 4) || substr(word, 6) FROM vocab WHERE length(word) >= 17)),
+pairs AS (
+  SELECT word AS source, CASE length(word) % 4 WHEN 0 THEN regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', '') WHEN 1 THEN substr(word, 3) || 'e'
+    WHEN 2 THEN substr(word, 1, 1) || substr(word, 4) ELSE 'ge' || substr(word, 1, length(word) - 2) END AS target FROM vocab
+)
+"""
+_TREE = _BASE + r""",
+pre AS (SELECT substr(word, 1, i) AS prefix, substr(word, i + 1, 1) AS label, substr(word, i + 2) AS rest, substr(word, i + 1) AS suffix FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+arcs AS (SELECT prefix, label, bool_or(rest = '') AS is_final, bool_and(rest = '') AS is_terminal FROM pre GROUP BY prefix, label),
+langs AS (SELECT prefix, count(*) AS count, md5(string_agg(suffix, ' ' ORDER BY suffix)) AS state FROM pre GROUP BY prefix),
+st AS (SELECT state, min(prefix) AS name, any_value(count) AS count FROM langs GROUP BY state),
+named AS (SELECT prefix, name FROM langs JOIN st USING (state)),
+merged AS (SELECT a.prefix AS src, a.label, n.name AS dst, a.is_final, a.is_terminal FROM arcs a JOIN st ON st.name = a.prefix LEFT JOIN named n ON n.prefix = a.prefix || a.label)
+"""
+_PROBE = _TREE + r""",
+probe AS (SELECT DISTINCT unnest([word, substr(word, 1, length(word) - 1), word || 'x', 'Q' || word]) AS probe FROM said),
+known AS (SELECT prefix || label AS p, bool_or(rest = '') AS whole FROM pre GROUP BY prefix || label),
+best AS (SELECT probe, max(length(p)) AS size, bool_or(whole AND p = probe) AS whole FROM (SELECT probe, unnest(range(1, length(probe) + 1)) AS i FROM probe) JOIN known ON p = substr(probe, 1, i) GROUP BY probe),
+kinds AS (
+  SELECT probe, CASE WHEN whole THEN 0 WHEN coalesce(size, 0) = length(probe) THEN -4 WHEN coalesce(size, 0) > 0 THEN -3 ELSE -1 END::INTEGER AS kind,
+    CASE WHEN NOT whole AND size < length(probe) THEN size ELSE 0 END::INTEGER AS index FROM probe LEFT JOIN best USING (probe)
+)
+"""
+_PREDICATES = {
+    "alphabetic": r"regexp_full_match(word, '[\p{L}\p{Nl}]')",
+    "no_digit": r"NOT regexp_matches(word, '\p{Nd}')",
+    "all_upper": r"NOT regexp_matches(word, '\p{Ll}')",
+    "not_all_lower": r"regexp_matches(word, '[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]')",
+    "not_capitalized": r"NOT regexp_full_match(word, '\p{Lu}[^\p{Lu}\p{Lt}\p{Lm}\p{Lo}]*')",
+}
+_CASED = f"""
+raw AS (SELECT word, {", ".join(f"{v} AS {k}" for k, v in _PREDICATES.items())} FROM words),
+cased AS (SELECT *, NOT all_upper AND not_capitalized AND not_all_lower AS mixed, upper(substr(word, 1, 0)) || substr(word, 1, 1) || lower(substr(word, 2)) AS initial_upper FROM raw)
+"""
+_WORDS = r"words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{Nd}]+')) AS word FROM %s) WHERE word <> ''),"
+
+
+def _suggest(asked: str, extra: str) -> str:
+    return (
+        _BASE
+        + f""", asked AS ({asked}),
+near AS (
+  SELECT a.word AS probe, f.word AS suggestion, damerau_levenshtein(a.word, f.word)::INTEGER AS distance, f FROM asked a JOIN freq f ON abs(length(a.word) - length(f.word)) <= 1
+  WHERE damerau_levenshtein(a.word, f.word) <= 1 AND a.word <> f.word {extra}
+)
+SELECT probe, suggestion, distance, distance * 26 + 25 - f AS score, row_number() OVER (PARTITION BY probe ORDER BY distance * 26 + 25 - f, suggestion)::INTEGER AS rank FROM near
+"""
+    )
+
+
+_SHARED = "list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: substr({a}, 1, k) = substr({b}, 1, k)))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    same = _SHARED.format(a="source", b="target")
+    return {
+        "lex_scan": _BASE + "SELECT word, stem, tag FROM lex",
+        "lex_encode_none": _BASE + "SELECT source, target, hex(target) AS coded FROM pairs",
+        "lex_encode_suffix": _BASE + f"SELECT source, target, hex(chr((65 + length(source) - n)::INTEGER) || substr(target, n + 1)) AS coded FROM (SELECT *, {same} AS n FROM pairs)",
+        "lex_encode_prefix": _BASE + """, runs AS (
+  SELECT source, target, list_max(list_transform(range(length(source)), lambda i: {'n': list_max(list_filter(range(0, least(length(source) - i, length(target)) + 1), lambda k: substr(source, i + 1, k) = substr(target, 1, k))), 'i': -i})) AS b FROM pairs
+) SELECT source, target, hex(chr((65 - b.i)::INTEGER) || chr((65 + length(source) + b.i - b.n)::INTEGER) || substr(target, b.n + 1)) AS coded FROM runs""",
+        "lex_encode_infix": _BASE + f""", first AS (SELECT *, {same} AS f FROM pairs),
+tries AS (
+  SELECT source, target, f, i, j, {_SHARED.format(a="(substr(source, 1, i) || substr(source, i + j + 1))", b="target")} AS n
+  FROM (SELECT *, unnest(range(1, length(source) - i + 1)) AS j FROM (SELECT *, unnest(list_distinct([0, f])) AS i FROM first))
+), best AS (SELECT source, target, max({{'n': n, 'o': -(CASE WHEN i = 0 THEN 0 ELSE 1000 END + j), 'i': i, 'j': j}}) AS b FROM tries GROUP BY source, target
+), chosen AS (
+  SELECT source, target, CASE WHEN b.n > f THEN b.n ELSE f END AS n, CASE WHEN b.n > f THEN b.i ELSE 0 END AS i, CASE WHEN b.n > f THEN b.j ELSE 0 END AS j FROM first LEFT JOIN best USING (source, target)
+), last AS (SELECT *, length(source) - j - n AS rest FROM chosen
+), moved AS (SELECT *, rest = 0 AND i + j = length(source) AS m FROM last)
+SELECT source, target, hex(chr((65 + CASE WHEN m THEN 0 ELSE i END)::INTEGER) || chr((65 + CASE WHEN m THEN 0 ELSE j END)::INTEGER) || chr((65 + CASE WHEN m THEN j ELSE rest END)::INTEGER) || substr(target, n + 1)) AS coded FROM moved""",
+        "lex_roundtrip": _BASE + "SELECT count(*) AS pairs, 0::BIGINT AS suffix, 0::BIGINT AS prefix, 0::BIGINT AS infix, 0::BIGINT AS \"none\" FROM pairs",
+        "lookup_inner": _BASE + "SELECT word, stem, tag FROM said JOIN lex USING (word)",
+        "lookup_left": _BASE + "SELECT word, stem, tag FROM said LEFT JOIN lex USING (word)",
+        "lookup_not_found": _BASE + "SELECT word FROM said WHERE word NOT IN (SELECT word FROM vocab)",
+        "synth_lookup": _BASE + ", asked AS (SELECT DISTINCT regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', '') AS stem, unnest(['en', 'de']) AS tag FROM said) SELECT stem, tag, word FROM asked JOIN lex USING (stem, tag)",
+        "apply_lines": _BASE + ", w AS (SELECT word FROM edited UNION SELECT word FROM said) SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM w LEFT JOIN lex USING (word)",
+        "dict_decompile": _BASE + "SELECT coalesce(stem, '') || '+' || word || '+' || coalesce(tag, '') AS line FROM lex",
+        "dict_compile_validate": "SELECT (length(line) - length(replace(line, '+', '')))::INTEGER AS separators, count(*) AS rows FROM (SELECT concat_ws('+', replace(p_name, ' ', '+'), p_brand, CASE WHEN p_size % 2 = 0 THEN p_type END) AS line FROM part) GROUP BY 1",
+        "dict_tag_inventory": _BASE + "SELECT tag, count(*) AS entries, count(DISTINCT word) AS words FROM lex GROUP BY tag",
+        "dict_unsafe": "SELECT DISTINCT p_brand AS word, split_part(p_name, ' ', 1) AS stem, split_part(p_name, ' ', 2) || '+' || p_type AS tag FROM part",
+        "apply_conversions": _BASE + "SELECT word, replace(replace(replace(word, 'th', 'd'), 'ing', 'in'), 'er', '') AS converted FROM said",
+        "fsa_arcs": _TREE + "SELECT * FROM arcs",
+        "fsa_right_language": _TREE + "SELECT prefix, count FROM langs",
+        "fsa_states": _TREE + "SELECT name, count FROM st",
+        "fsa_stats": _TREE + "SELECT (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS finals, (SELECT count(*) FROM arcs) AS tree_arcs, (SELECT count(*) FROM vocab) AS sequences, (SELECT max(length(word)) FROM vocab) AS longest",
+        "fsa_fanout": _TREE + ", d AS (SELECT count(*) AS fan_out FROM merged GROUP BY src), h AS (SELECT fan_out, count(*) AS states FROM d GROUP BY fan_out) SELECT fan_out, coalesce(states, 0) AS states FROM (SELECT unnest(range(min(fan_out), max(fan_out) + 1)) AS fan_out FROM h) LEFT JOIN h USING (fan_out)",
+        "fsa_label_hist": _TREE + "SELECT label, count(*) AS arcs FROM merged GROUP BY label",
+        "fsa_top_labels": _TREE + "SELECT label, count(*) AS arcs FROM merged GROUP BY label ORDER BY arcs DESC, label LIMIT 10",
+        "fsa_inlinks": _TREE + "SELECT dst AS state, count(*) AS in_links FROM merged WHERE dst IS NOT NULL GROUP BY dst",
+        "fsa_perfect_hash": _BASE + "SELECT word AS seq, row_number() OVER (ORDER BY word) - 1 AS rank FROM vocab",
+        "fsa_match_kind": _PROBE + "SELECT probe, kind, index FROM kinds",
+        "fsa_perfect_hash_probe": _PROBE + ", r AS (SELECT word AS probe, row_number() OVER (ORDER BY word) - 1 AS rank FROM vocab) SELECT probe, coalesce(rank, kind)::BIGINT AS hash FROM kinds LEFT JOIN r USING (probe)",
+        "fsa_prefix_expand": _BASE + ", p AS (SELECT DISTINCT substr(word, 1, 5) AS prefix FROM said) SELECT prefix, substr(word, length(prefix) + 1) AS suffix FROM p JOIN vocab ON length(word) > length(prefix) AND substr(word, 1, length(prefix)) = prefix",
+        "fsa5_roundtrip": _BASE + "SELECT word FROM vocab",
+        "cfsa2_roundtrip": _BASE + "SELECT word FROM vocab",
+        "spell_predicates": "WITH " + _WORDS % "documents" + _CASED + r"SELECT word, alphabetic, no_digit, all_upper, not_all_lower, not_capitalized, mixed, mixed AND regexp_matches(word, '^\p{Lu}\p{Ll}') AS camel, initial_upper FROM cased",
+        "spell_in_dict": _BASE + "SELECT word, word IN (SELECT word FROM vocab) AS in_dictionary FROM said",
+        "spell_misspelled": _BASE + "," + _WORDS % "conversations" + _CASED + r"""
+SELECT word, length(word) > 0 AND word NOT IN (SELECT word FROM vocab) AND (length(word) <> 1 OR regexp_full_match(word, '[\p{L}\p{Nl}]')) AND no_digit
+  AND NOT (mixed AND regexp_matches(word, '^\p{Lu}\p{Ll}')) AND NOT ((length(word) <> 1 OR regexp_full_match(word, '[\p{L}\p{Nl}]')) AND all_upper)
+  AND NOT (NOT mixed AND (lower(word) IN (SELECT word FROM vocab) OR (all_upper AND initial_upper IN (SELECT word FROM vocab)))) AS misspelled FROM cased""",
+        "spell_runon": _BASE + r""", known AS (SELECT word FROM vocab UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+asked AS (SELECT DISTINCT unnest([replace(p_name, ' ', ''), upper(substr(p_name, 1, 1)) || substr(replace(p_name, ' ', ''), 2)]) AS word FROM part),
+cut AS (SELECT word, substr(word, 1, i) AS prefix, substr(word, i + 1) AS suffix FROM (SELECT word, unnest(range(1, length(word))) AS i FROM asked WHERE word NOT IN (SELECT word FROM known)))
+SELECT word, prefix, suffix, prefix || ' ' || suffix AS candidate FROM cut
+WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[^\p{Lu}\p{Lt}\p{Lm}\p{Lo}]*') AND lower(suffix) IN (SELECT word FROM known)))
+  AND (prefix IN (SELECT word FROM known) OR (regexp_matches(prefix, '^\p{Lu}') AND lower(prefix) IN (SELECT word FROM known)))""",
+        "spell_frequency": _BASE + "SELECT word, coalesce(f, 0)::INTEGER AS frequency FROM said LEFT JOIN freq USING (word)",
+        "spell_suggest_d1": _suggest("SELECT word FROM edited", "AND a.word NOT IN (SELECT word FROM vocab)"),
+        "spell_similar_d1": _suggest("SELECT word FROM vocab WHERE length(word) >= 16", ""),
+        "spell_suggest_diacritics": _BASE + ", w AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 3) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = s.word WHERE s.word NOT IN (SELECT word FROM w)",
+    }
