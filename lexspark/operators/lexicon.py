@@ -130,6 +130,8 @@ class Lexicon:
     @cached_property
     def forms(self) -> DataFrame:
         """``(word, stem, tag, seq, coded)`` as look-up sees them: words with an entry that ends at the word see none."""
+        if self.metadata.encoder != "none":  # any other code has a byte, so no entry ends at its word
+            return self.entries.select("word", "stem", "tag", "seq", "coded")
         hidden = self.entries.where("NOT visible").select("word").distinct()
         return self.entries.join(hidden, "word", "left_anti").select("word", "stem", "tag", "seq", "coded")
 
