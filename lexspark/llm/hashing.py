@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes handled at once; longer texts go in pieces cut at blanks.
-PIECE = 1 << 21
+PIECE = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

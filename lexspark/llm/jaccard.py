@@ -1,16 +1,17 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 Sets are grouped in bands of size. Within a band, sets that are similar enough differ in at most k elements. The domain
-of the elements (64-bit hashes) is cut into k + 1 + SPARE ranges, so at least 1 + SPARE ranges hold the same elements in
-both sets: the hash of what a range holds is a signature, and similar sets share one. Ranges that hold nothing would
-make one signature common to many sets. A set with at most SPARE empty ranges leaves those out, since some non-empty
-range agrees anyway; only a set with more of them, a rare one, signs them too.
+of the elements (64-bit hashes) is cut into k + 1 + spare ranges, so at least 1 + spare ranges hold the same elements in
+both sets: the hash of what a range holds is a signature, and similar sets share several. Ranges that hold nothing would
+make one signature common to many sets. A set with few empty ranges leaves those out, and as many fewer signatures must
+be shared then; only a set with more of them, a rare one, signs them too. Two sets that share too few are no candidates.
 
 Signatures propose, exact intersections decide:
 
 1. each set is compared with one other set of its buckets, the one that shares most buckets with others;
 2. links make components; a bucket whose sets are all in one component has nothing left to tell;
-3. in the other buckets, every pair from different components is compared: small buckets pair by pair, large ones
+3. of the other buckets, each set leaves the most frequent ones out, as many as it may lose and still share one with
+   any similar set; in what remains, candidates from different components are compared: small buckets pair by pair, large ones
    as blocks of sets against blocks of those outside the bucket's largest component.
 
 So no link between different texts is lost, and the copies of a large group are never expanded into pairs. Equal sets
@@ -28,14 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed, slices, table
 from .hashing import mix, shingle_set, word_hashes
 
-SPARE = 6
+SPARE, UNSIGNED = 6, 2
+BANDS = 64  # the lowest bits of a signature name its band
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class JoinOptions:
     shingle: int = 4
     percent: int = 85  # links need 100 * intersection >= percent * union
     band: float = 1.5  # largest by smallest size of a band
-    small_bucket: int = 24
+    small_bucket: int = 32
     block: int = 4096
     broadcast_ids: int = 1_000_000  # at 16 bytes each
 
@@ -57,8 +59,24 @@ def band_limits(o: JoinOptions, size: int) -> list[int]:
     return out
 
 
-def spare(k: int) -> int:
-    return min(SPARE, k)
+def differences(o: JoinOptions, high: int) -> int:
+    """Most elements in which similar sets of at most ``high`` elements differ."""
+    return 2 * high * (100 - o.percent) // (100 + o.percent)
+
+
+def spare(k: int) -> tuple[int, int]:
+    """Ranges beyond k + 1, and how many empty ones go unsigned."""
+    return min(SPARE, k), min(UNSIGNED, min(SPARE, k) // 2)
+
+
+def ranges_by_band(o: JoinOptions) -> list[int]:
+    """Ranges less those that may go unsigned, by band: of these, two sets share all but one for each difference."""
+    limits, out = band_limits(o, 10**12), []
+    for i in range(BANDS):
+        k = differences(o, limits[i + 1] - 1)
+        more, unsigned = spare(k)
+        out.append(k + 1 + more - unsigned)
+    return out
 
 
 def signatures(values: np.ndarray, o: JoinOptions, limits: list[int]) -> np.ndarray:
@@ -69,17 +87,17 @@ def signatures(values: np.ndarray, o: JoinOptions, limits: list[int]) -> np.ndar
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values))))
     i = int(np.searchsorted(limits, n, side="right")) - 1
     while o.percent * limits[i] <= 100 * n:
-        high = limits[i + 1] - 1
-        # of sets with at most ``high`` elements, similar ones differ in k at most
-        k = 2 * high * (100 - o.percent) // (100 + o.percent)
-        parts = k + 1 + spare(k)
+        k = differences(o, limits[i + 1] - 1)
+        more, unsigned = spare(k)
+        parts = k + 1 + more
         # equal ranges of the domain of 64-bit hashes
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         cut = np.concatenate(([0], np.searchsorted(values, edges), [n]))
         held = sums[cut[1:]] - sums[cut[:-1]]
         sig = mix(held + mix(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)))
+        sig = (sig & np.uint64(2**64 - BANDS)) | np.uint64(min(i, BANDS - 1))
         empty = cut[1:] == cut[:-1]
-        out.append(sig if empty.sum() > spare(k) else sig[~empty])
+        out.append(sig if empty.sum() > unsigned else sig[~empty])
         i += 1
     return np.concatenate(out)
 
@@ -100,7 +118,7 @@ def _base(docs: DataFrame, o: JoinOptions) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         limits = band_limits(o, 16)
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", 500_000):
             ids, n, sigs = [], [], []
             for s in _sets(b.column("text").to_pylist(), o):
                 if len(s) >= limits[-2]:
@@ -124,7 +142,7 @@ def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions) -> DataFrame:
     rows = docs.join(F.broadcast(wanted) if few else wanted, "id").select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", 500_000):
             sets = _sets(b.column("text").to_pylist(), o)
             keep = [_set_id(s) == k for s, k in zip(sets, b.column("set_id").to_pylist(), strict=True)]
             sets = [s for s, k in zip(sets, keep, strict=True) if k]
@@ -211,31 +229,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = checkpointed(_base(slim, o))
     by_sig = Window.partitionBy("sig")
-    signed = base.select("set_id", F.explode("sigs").alias("sig"))
-    shared = signed.withColumn("lo", F.min("set_id").over(by_sig)).withColumn("hi", F.max("set_id").over(by_sig)).where("lo <> hi")
-    buckets = checkpointed(shared.select("sig", "set_id").distinct())
-
+    ranges = F.element_at(F.array(*map(F.lit, ranges_by_band(o))), (F.col("band") + 1).cast("int"))
+
+    def need(both: Column) -> Column:
+        """Signatures that similar sets share at least, whose sizes add up to ``both``: they differ in no more elements."""
+        return F.greatest(ranges - F.floor(both * (100 - o.percent) / (100 + o.percent)), F.lit(1))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows of the signatures that more than one set has."""
+        shared = rows.withColumn("lo", F.min("set_id").over(by_sig)).withColumn("hi", F.max("set_id").over(by_sig)).where("lo <> hi")
+        return shared.select("sig", "set_id", "n").distinct()
+
+    # of the sizes that a partner may have, the largest leaves most room for differences
+    largest = F.col("n") * (100 + o.percent) / o.percent
+    signed = several(base.select("set_id", "n", F.explode("sigs").alias("sig"))).withColumn("band", F.pmod("sig", F.lit(BANDS)))
+    rich = signed.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("set_id", "band"))).where(F.col("mine") >= need(largest))
+    buckets = checkpointed(several(rich).withColumn("band", F.pmod("sig", F.lit(BANDS))))
     reps = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("id"))
-    wanted = reps.join(buckets.select("set_id").distinct(), "set_id", "left_semi")
-    sets = checkpointed(_loaded(slim, checkpointed(wanted), o))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the candidates (a, b), checkpointed, those that are similar; with the sets of all of them loaded once."""
+        members = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o))
+        return checkpointed(_linked(pairs, sets, o))
 
     # the set that shares most buckets leads: near an original, its copies differ less from it than from each other
     weight = buckets.withColumn("c", F.count(F.lit(1)).over(by_sig)).groupBy("set_id").agg(F.sum("c").alias("w"))
-    led = buckets.join(weight, "set_id").withColumn("lead", F.max(F.struct("w", "set_id")).over(by_sig))
-    first = led.groupBy("set_id").agg(F.max("lead").alias("lead")).select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b")
-    links = checkpointed(_linked(first, sets, o))
+    led = buckets.join(weight, "set_id").withColumn("lead", F.max(F.struct("w", "set_id", "n")).over(by_sig)).select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), "band", "lead.w", (F.col("lead.n") + F.col("n")).alias("both"))
+    led = led.where("a <> b").groupBy("a", "b", "band", "w", "both").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need(F.col("both")))
+    first = checkpointed(led.groupBy("b").agg(F.max(F.struct("c", "w", "a")).alias("x")).select("x.a", "b"))
+    links = linked(first)
     labels = components(links)
 
-    placed = buckets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    # similar sets share ``need`` signatures, so one of them is left when each set drops its most frequent need - 1
+    own = Window.partitionBy("set_id", "band")
+    rare = buckets.withColumn("c", F.count(F.lit(1)).over(by_sig)).withColumn("mine", F.count(F.lit(1)).over(own))
+    rare = rare.withColumn("rank", F.row_number().over(own.orderBy("c", "sig"))).where(F.col("rank") <= F.col("mine") - need(largest) + 1).drop("c", "mine", "rank")
+    placed = rare.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     open_ = placed.withColumn("lo", F.min("label").over(by_sig)).withColumn("hi", F.max("label").over(by_sig)).where("lo <> hi")
-    mixed = checkpointed(open_.withColumn("c", F.count(F.lit(1)).over(by_sig)).select("sig", "set_id", "label", "c"))
+    mixed = checkpointed(open_.withColumn("c", F.count(F.lit(1)).over(by_sig)).select("sig", "band", "set_id", "n", "label", "c"))
     few, many = mixed.where(F.col("c") <= o.small_bucket), mixed.where(F.col("c") > o.small_bucket)
-    x, y = few.select("sig", F.col("set_id").alias("a"), F.col("label").alias("la")), few.select("sig", F.col("set_id").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, "sig").where("a < b AND la <> lb").select("a", "b").distinct()
-    more = _linked(pairs, sets, o)
+    x, y = few.select("sig", "band", F.col("set_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")), few.select("sig", F.col("set_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * o.percent
+    pairs = x.join(y, "sig").where("a < b AND la <> lb").where(close).select("a", "b", "band", (F.col("na") + F.col("nb")).alias("both")).distinct()
+    lists = buckets.groupBy("set_id", "band").agg(F.collect_list("sig").alias("sigs"))  # as many as the set has ranges
+    for side in ("a", "b"):
+        pairs = pairs.join(lists.select(F.col("set_id").alias(side), "band", F.col("sigs").alias(f"sigs_{side}")), [side, "band"])
+    pairs = pairs.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= need(F.col("both")))
+    more = linked(checkpointed(pairs.select("a", "b").distinct()))
     if not many.isEmpty():
-        more = more.unionByName(_block_links(many, sets, o))
-    more = checkpointed(more)
+        members = many.select("set_id").distinct()
+        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o))
+        more = checkpointed(more.unionByName(_block_links(many, sets, o)))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
