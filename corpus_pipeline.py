@@ -40,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: the documents with their shard and slot."""
-    return sharding.shard(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    """Sharding: the documents with their shard and slot; columns of the result's names give way."""
+    own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    return sharding.shard(docs, carry=tuple(c for c in docs.columns if c.lower() not in own))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
