@@ -58,7 +58,7 @@ def decontaminate(
 ) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each document.
 
-    Null texts and items have no words. Rows that repeat both id and text are one document and come out once; a null
+    Null texts and items have no words; an item without id hits words but is not named among the items. Rows that repeat both id and text are one document and come out once; a null
     id is an id like any other. Empty tables give empty or untouched results. Texts are taken whole.
     """
     wins = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
