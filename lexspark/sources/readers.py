@@ -129,11 +129,16 @@ def write_fsa(seqs: DataFrame, path: str, version: str = "fsa5", numbers: bool =
     write_bytes(seqs.sparkSession, path, automaton_bytes(seqs, version, numbers, **options), overwrite)
 
 
-def write_lines(seqs: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Sequences in byte order, one for each LF line, in any charset: Parquet's and text's writers cannot."""
+def write_lines(seqs: DataFrame, path: str, encoding: str = "utf-8", overwrite: bool = False) -> None:
+    """Sequences in byte order, one for each LF line: a folder of text files, or for other charsets a single file.
+
+    Spark's text writer knows UTF-8 only, so that bytes in another charset go through the driver, row by row.
+    """
     rows = seqs.select("seq").orderBy("seq")
-    lines = rows.select(F.decode("seq", "ISO-8859-1").alias("value"))
-    lines.write.mode("overwrite" if overwrite else "errorifexists").option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
+    if encoding.lower().replace("-", "") == "utf8":
+        rows.select(F.decode("seq", "UTF-8").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\n").text(path)
+    else:
+        write_bytes(seqs.sparkSession, path, b"".join(bytes(r[0]) + b"\n" for r in rows.toLocalIterator()), overwrite)
 
 
 def read_dictionary_files(spark: SparkSession, path: str) -> tuple[DataFrame, Metadata]:

@@ -42,8 +42,10 @@ def test_automaton_files(spark, tmp_path, version):
 
 
 def test_sequences_as_lines(spark, tmp_path):
-    readers.write_lines(spark.createDataFrame([(b"b",), (b"\xe4",)], "seq binary"), str(tmp_path / "out"))
-    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))) == b"b\n\xe4\n"
+    readers.write_lines(spark.createDataFrame([(b"b",), (b"\xe4",)], "seq binary"), str(tmp_path / "latin"), "iso-8859-1")
+    assert (tmp_path / "latin").read_bytes() == b"b\n\xe4\n"
+    readers.write_lines(spark.createDataFrame([("ä".encode(),), (b"b",)], "seq binary"), str(tmp_path / "utf"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "utf").glob("part-*"))) == "b\nä\n".encode()
 
 
 def test_dictionary_files(spark, source):
