@@ -11,7 +11,8 @@ share an occurrence vector over the host's pages form a class:
 4. template text and template tags are what the slots remain between; a slot holds main text or furniture, by the
    meaning of the tags around it and, where no tag says it, by how its text compares with that of the other slots.
 
-Style: Arrow maps parse pages one by one; classes are found by DataFrame aggregation.
+Style: Arrow maps parse pages one by one; classes are found by DataFrame aggregation. Pages are not shuffled while the
+templates of all hosts are small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -44,11 +45,13 @@ FURNITURE_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content main post entry story body text maincontent articlebody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^<>]*>?|[^<]++|<", re.S)
+#: Template tokens that may be broadcast, at 8 bytes each; parts that the pages of a host are dealt into beyond that.
+BROADCAST_TOKENS, SALTS = 1_000_000, 64
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^<>]*>?|</?\Z|[^<]++|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
-_SPACE = re.compile(r"\s+")
 _HEADING = re.compile(r"h[1-6]\Z")
 #: What an opening tag closes when it is still open, and where that search stops.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -81,8 +84,8 @@ def _names(tag: str) -> tuple[str, frozenset[str], bool]:
     return label, frozenset(words), hidden
 
 
-def blocks_of(page: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page in order, and how often each tag role occurs."""
+def blocks_of(page: str, with_roles: bool = True) -> tuple[list[Block], Counter]:
+    """The text blocks of a page in order, and, if asked for, how often each tag role occurs."""
     stack: list[tuple[str, str, bool, bool]] = []  # element, label, furniture, main
     parts: list[str] = []
     blocks: list[Block] = []
@@ -93,7 +96,7 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
     def flush() -> None:
         nonlocal links
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = tuple(x[1] for x in owner if x[0] in BLOCKS or x[0] in RAW)
                 blocks.append(Block(text, path, any(x[2] for x in owner), any(x[3] for x in owner), links))
@@ -107,6 +110,8 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
 
     while m := _TOKEN.match(page, at):
         at, token = m.end(), m[0]
+        if token in ("<", "</") and at == len(page):  # a tag that the page's end cuts off
+            continue
         if token[0] != "<" or token == "<":
             if not parts:
                 owner = tuple(stack)
@@ -122,7 +127,8 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
             continue
         element = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            roles["/" + element + "<" + "/".join(x[1] for x in stack[-2:])] += 1
+            if with_roles:
+                roles["/" + element + "<" + "/".join(x[1] for x in stack[-2:])] += 1
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == element:
                     close(n)
@@ -145,8 +151,9 @@ def blocks_of(page: str) -> tuple[list[Block], Counter]:
         elif element == "br":
             parts.append("\n")
         # elements that only wrap text leave the role of what they hold as it is
-        above = "/".join(x[1] for x in stack if x[0] in BLOCKS or x[0] in RAW)
-        roles[f"{above}/{element}{label}"] += 1
+        if with_roles:
+            above = "/".join(x[1] for x in stack if x[0] in BLOCKS or x[0] in RAW)
+            roles[f"{above}/{element}{label}"] += 1
         if element in VOID or token.endswith("/>") and element not in BLOCKS and element not in RAW:
             continue
         wrapped = any(x[3] for x in stack)
@@ -217,12 +224,13 @@ def main_text(page: str | None, known: frozenset[int] = frozenset()) -> str:
     """Text of the slots that hold the article. ``known``: the template's tokens."""
     if not page:
         return ""
-    blocks, _ = blocks_of(page)
+    blocks, _ = blocks_of(page, with_roles=False)
     slots = [b for b in blocks if not b.furniture]
     inside = [b for b in slots if b.main]
     if inside:
         # the tags name the article; text that the template repeats inside it is still furniture, unless all is
-        kept = [b for b in inside if _hashes("text " + "/".join(b.path) + " " + b.text) not in known] or inside
+        kept = [b for b in inside if _hashes("text " + "/".join(b.path) + " " + b.text) not in known] if known else inside
+        kept = kept or inside
         return "\n".join(b.text for b in kept)
     free = [b for b in slots if _hashes("text " + "/".join(b.path) + " " + b.text) not in known]
     # no tag says it: among the slots, those under the path that holds most text outside links, less lists of links
@@ -240,7 +248,7 @@ def main_text(page: str | None, known: frozenset[int] = frozenset()) -> str:
     return "\n".join(b.text for b in free if b.path[: len(best)] == best and 2 * b.link_chars <= len(b.text))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row.
 
     Null or empty html gives an empty text. A null url, or one without a host, belongs to the host of no name. Repeated
@@ -265,7 +273,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(t, sets[key]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = slim.join(known, "host", "left").select("id", "url", "html", "tokens")
+    if (known.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= broadcast_tokens:
+        joined = slim.join(F.broadcast(known), "host", "left")
+    else:  # a host may have any part of the pages, so its pages are dealt out and its template is copied
+        spread = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = slim.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
+    joined = joined.select("id", "url", "html", "tokens")
     return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
 
 
