@@ -165,8 +165,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of a link ``(a, b)``: all nodes of a component get its smallest node.
 
-    Each round hangs every node on its smallest neighbour, twice over, and contracts; edges inside a node vanish. The
-    number of rounds grows with the logarithm of a component's size. Labels and edges are checkpointed every round.
+    Each round hangs every node on its smallest neighbour, twice over, and contracts; edges inside a node vanish. For
+    nodes that are hashes, the number of rounds grows with the logarithm of a component's size. Labels and edges are checkpointed every round.
     """
     edges = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = checkpointed(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))

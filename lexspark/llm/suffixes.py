@@ -66,13 +66,11 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, bounds: list[tuple[int, int]], o: RepeatOptions, first: int = 0, last: int | None = None) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, bounds: list[tuple[int, int]], o: RepeatOptions) -> tuple[np.ndarray, ...]:
     """Anchors of the texts at ``bounds`` in ``data``.
 
     Text number, offset in data, gram hash, hash of surroundings, how far before the anchor the first and the last of
     its strings start, and 32 bits each of the hashes of the halves: the gram with what is before it, and after it.
-
-    Only strings that start from ``first`` to ``last`` own anchors.
     """
     n, L, k, reach = len(data), o.length, o.gram, o.reach
     empty = np.zeros(0, np.int64)
@@ -85,7 +83,7 @@ def anchors(data: np.ndarray, bounds: list[tuple[int, int]], o: RepeatOptions, f
     valid = np.zeros(n - L + 1, bool)
     for a, b in bounds:
         if b - a >= L:
-            valid[max(a, first) : b - L + 1 if last is None else min(b - L + 1, last)] = True
+            valid[a : b - L + 1] = True
     low = np.where(valid, low, np.uint64(0))
     # a gram is an anchor if it is the smallest of some string that has it
     padded = np.concatenate((np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)))
@@ -187,13 +185,12 @@ def _unpack(docs: DataFrame, o: RepeatOptions) -> DataFrame:
             if len(datas) == 1 and len(datas[0]) > 2 * o.piece:
                 got, n = [], len(datas[0])
                 whole = np.frombuffer(datas[0], np.uint8)
-                for a in range(0, n - o.length + 1, o.piece):
-                    lo, hi = max(0, a - o.reach), min(n, a + o.piece + 2 * o.length)
-                    found_here = anchors(whole[lo:hi], [(0, hi - lo)], o, a - lo, a - lo + o.piece)
-                    got.append((found_here[0], found_here[1] + lo, *found_here[2:]))
-                columns = [np.concatenate(x) for x in zip(*got, strict=True)]
-                _, one = np.unique(columns[1], return_index=True)
-                text, q, h, c, far, near, halves = (x[one] for x in columns)
+                for a in range(0, n, o.piece):  # each piece with all strings that its anchors can own
+                    lo, hi = max(0, a - 2 * o.reach), min(n, a + o.piece + o.length + o.reach)
+                    found_here = anchors(whole[lo:hi], [(0, hi - lo)], o)
+                    own = (found_here[1] + lo >= a) & (found_here[1] + lo < a + o.piece)
+                    got.append(tuple(x[own] + lo if i == 1 else x[own] for i, x in enumerate(found_here)))
+                text, q, h, c, far, near, halves = (np.concatenate(x) for x in zip(*got, strict=True))
             else:
                 ends = np.cumsum([len(d) for d in datas]).tolist()
                 bounds = [(e - len(d), e) for d, e in zip(datas, ends, strict=True)]
@@ -383,9 +380,11 @@ def _hot_spans(near: DataFrame, o: RepeatOptions) -> DataFrame:
     if strings is None or strings.count() > o.broadcast_strings:
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k, s, d in zip(*(b.column(c).to_pylist() for c in ("tid", "start", "bytes")), strict=True):
-                    w, at = whole(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), k)), pa.array(at + s)], ["w", "tid", "start"])
+                parts = [(*whole(d), k, s) for k, s, d in zip(*(b.column(c).to_pylist() for c in ("tid", "start", "bytes")), strict=True)]
+                if parts:
+                    w, at = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + x[3] for x in parts])
+                    tid = np.repeat(np.array([x[2] for x in parts], np.int64), [len(x[0]) for x in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(tid), pa.array(at)], ["w", "tid", "start"])
 
         rows = near.mapInArrow(spread, "w long, tid long, start long")
         return rows.join(_twice(near, whole).select("w"), "w", "left_semi").select("tid", "start", (F.col("start") + length).alias("end"))
