@@ -121,8 +121,8 @@ def _base(docs: DataFrame, o: JoinOptions) -> DataFrame:
         for b in slices(batches, "text", 500_000):
             ids, n, sigs = [], [], []
             for s in _sets(b.column("text").to_pylist(), o):
-                if len(s) >= limits[-2]:
-                    limits = band_limits(o, 2 * len(s))
+                if 100 * len(s) >= o.percent * limits[-2]:  # the bands of all partners, too
+                    limits = band_limits(o, 200 * len(s) // o.percent)
                 k = _set_id(s) if len(s) else None
                 ids.append(k)
                 n.append(len(s))
