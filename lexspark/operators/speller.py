@@ -91,6 +91,13 @@ def _within_one(p: Column, w: Column) -> Column:
     return F.when(lev.between(0, 1), lev).when((n > 1) & (n == F.length(w)) & swap, 1)
 
 
+def _perhaps_two(p: Column, w: Column) -> Column:
+    """True for all words at most two edits apart, and few others: without a swap, or from some swap of neighbours on."""
+    n = F.length(p)
+    swapped = lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(1)), F.substring(p, i, F.lit(1)), F.substring(p, i + 2, n))
+    return F.levenshtein(p, w, 2).between(0, 2) | (n > 1) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.levenshtein(swapped(i), w, 2).between(0, 2))
+
+
 def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules = Rules()) -> DataFrame:
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
@@ -105,6 +112,8 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
     left = _neighbours(probes.select("probe"), "probe", most, rules, True)
     right = _neighbours(known.select("word"), "word", most, rules, False)
     pairs = left.join(right, "key").select("probe", "word").distinct()
+    if most == 2 and not (rules.short or rules.equivalent or rules.ignore_diacritics):
+        pairs = pairs.where(_perhaps_two(F.col("probe"), F.col("word")))  # spares Python most of the pairs of short words
 
     def far(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y, rules, max(0, len(x) - 1) if len(x) <= most else most) for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -2,7 +2,8 @@
 
 The dictionary is derived from the documents: words are runs of three or more letters a-z in the lower-case text, a
 stem is the word less one suffix, the tag is the language, and the frequency class comes from the number of bits of the
-word's count. Every query reads its tables whole.
+word's count. Every query reads its tables whole. Of the probes, those of spell_suggest_d1, spell_similar_d1 and
+apply_lines are only the longest words of the vocabulary, as their SQL says; the other spelling queries edit all words.
 """
 
 from __future__ import annotations
@@ -91,6 +92,14 @@ def edited(spark: SparkSession, d: str) -> DataFrame:
     return names.union(long.select(F.concat(F.substring("word", 1, 4), F.substring(F.col("word"), F.lit(6), F.length("word"))))).distinct()
 
 
+def misspelled(spark: SparkSession, d: str) -> DataFrame:
+    """Part names, and every word of the vocabulary less its fifth letter, or with its last one doubled if it has none."""
+    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    w, n = F.col("word"), F.length("word")
+    less = F.when(n >= 5, F.concat(F.substring(w, 1, 4), F.substring(w, F.lit(6), n))).otherwise(F.concat(w, F.substring(w, n, F.lit(1))))
+    return names.union(vocabulary(spark, d).select(less)).distinct()
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Source and target forms that share a start, an end, a middle or little."""
     w, n = F.col("word"), F.length("word")
@@ -284,15 +293,15 @@ def spell_suggest_diacritics(spark, d):
 
 
 def spell_suggest_d2(spark, d):
-    return speller.suggestions(edited(spark, d), frequent(spark, d), most=2)
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d), most=2)
 
 
 def spell_suggest_pairs(spark, d):
-    return speller.suggestions(edited(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True)))
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True)))
 
 
 def spell_rewrites(spark, d):
-    return speller.rewrites(edited(spark, d), speller.Rules.of(PAIRS))
+    return speller.rewrites(misspelled(spark, d), speller.Rules.of(PAIRS))
 
 
 def queries() -> dict:

@@ -168,6 +168,25 @@ def test_suggestions_with_pairs(spark):
     assert "taught" in order(S.suggestions(words(spark, "teached"), lex), "teached")
 
 
+def test_spelling_queries_edit_the_whole_vocabulary(spark, tmp_path):
+    """Against brute force over words of all lengths, none of them long."""
+    from lexspark.functions.distance import Rules, distance, rewritten
+    from lexspark.plans import catalogue as C
+
+    vocabulary = "the then than thin ball small thought brought nation station lamped longer singer stone notes cab abc bca wellness ".split()
+    spark.createDataFrame([(" ".join(vocabulary), "en")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("misty tono",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    probes = {"misty", "tono"} | {w[:4] + w[5:] if len(w) > 4 else w + w[-1] for w in vocabulary}
+    unknown, d = sorted(probes - set(vocabulary)), str(tmp_path)
+    got = {(r.probe, r.suggestion, r.distance) for r in C.spell_suggest_d2(spark, d).collect()}
+    assert got == {(p, w, distance(p, w)) for p in unknown for w in vocabulary if distance(p, w) <= 2} and len({p for p, *_ in got}) > 15
+    rules = Rules.of(C.PAIRS)
+    assert {(r.probe, r.place, r.form) for r in C.spell_rewrites(spark, d).collect()} == {(p, i, f) for p in probes for i, f in enumerate(rewritten(p, rules.long))}
+    forms = {(p, f) for p in unknown for f in rewritten(p, rules.long)}
+    want = {(p, w) for p, f in forms for w in vocabulary if w != p and distance(f, w, rules) <= 1}
+    assert {(r.probe, r.suggestion) for r in C.spell_suggest_pairs(spark, d).collect()} == want and len({p for p, _ in want}) > 15
+
+
 def test_equivalents_are_directional(spark):
     lex = plain(spark, ["łza", "xza"], ignore_diacritics=False, equivalent_chars=(("x", "ł"),))
     got = {r.suggestion: r.distance for r in S.suggestions(words(spark, "xza"), lex, even_if_known=True).collect()}
