@@ -59,8 +59,15 @@ def decontaminate(
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each document.
 
     Null texts and items have no words; an item without id hits words but is not named among the items. Rows that repeat both id and text are one document and come out once; a null
-    id is an id like any other. Empty tables give empty or untouched results. Texts are taken whole.
+    id is an id like any other. Empty tables give empty or untouched
+    results. Texts are taken whole.
     """
+    found = _figures(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle, broadcast_windows)
+    return found.withColumnRenamed("id", id_col).drop("tid")
+
+
+def _figures(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int, broadcast_windows: int) -> DataFrame:
+    """``(id, tid, ...)`` for each id and text, of which ``tid`` is the hash; rows that repeat both come out once."""
     wins = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
     distinct = wins.dropDuplicates(["wid"]).select("wid", "words", "len")
     n = distinct.count()
@@ -99,7 +106,7 @@ def decontaminate(
     both = covered.alias("c").join(named.alias("n"), F.col("c.id").eqNullSafe(F.col("n.id")) & (F.col("c.tid") == F.col("n.tid")), "left")
     items = F.coalesce(F.col("n.items"), F.array().cast("array<string>"))
     return both.select(
-        F.col("c.id").alias(id_col), "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        "c.id", "c.tid", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((F.col("c.n_hit") > 0) & (20 * F.col("c.n_hit") >= F.col("c.n_words"))).alias("contaminated"),
     )
 
@@ -130,9 +137,10 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that aren't contaminated, with all their columns; each row by its own id and text."""
+    found = _figures(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW, SHINGLE, BROADCAST_WINDOWS)
+    bad = found.where("contaminated").select(F.col("id").alias("_bad"), F.col("tid").alias("_bad_tid"))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(docs[text_col]) == F.col("_bad_tid")), "left_anti")
 
 
 SQL = r"""

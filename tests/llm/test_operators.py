@@ -171,6 +171,14 @@ def test_decontamination(spark, docs, rows, empty, broadcast):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {w[0] for w in want if not w[-1] and w[0] is not None}
 
 
+def test_decontamination_tells_rows_apart(spark):
+    """Null ids, ids of two texts, and repeated rows."""
+    passage, clean = " ".join(f"w{i}" for i in range(15)), "nothing of that is here"
+    rows = [(None, passage), (None, clean), (None, None), (1, passage), (1, clean), (2, clean), (2, clean), (3, passage), (3, passage)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert as_rows(decontam.drop_contaminated(docs, benchmark)) == sorted([r for r in rows if r[1] != passage], key=repr)
+
+
 # --- language and quality -----------------------------------------------------------------------------------------
 
 
