@@ -113,7 +113,7 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _base(docs: DataFrame, o: JoinOptions) -> DataFrame:
-    """``(id, set_id, n, sigs)``; a set that its task has seen before brings no signatures again."""
+    """``(id, tid, set_id, n, sigs)``; a set that its task has seen before brings no signatures again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -130,19 +130,31 @@ def _base(docs: DataFrame, o: JoinOptions) -> DataFrame:
                 seen.add(k)
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.array(np.concatenate(sigs).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "set_id", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "tid", "set_id", "n", "sigs"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, set_id long, n long, sigs array<long>")
+    return docs.mapInArrow(run, f"id {kind}, tid long, set_id long, n long, sigs array<long>")
 
 
 def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions) -> DataFrame:
-    """``(set_id, n, items)`` of the sets in ``wanted`` (id, set_id), from the texts of one document each."""
+    """``(set_id, n, items)`` of the sets in ``wanted`` (id, tid, set_id), from the texts of one document each.
+
+    Its id and the hash of its text find the document; a null id does, too. Of rows that repeat both, a task reads one.
+    """
     few = wanted.count() <= o.broadcast_ids
-    rows = docs.join(F.broadcast(wanted) if few else wanted, "id").select("set_id", "text")
+    w = (F.broadcast(wanted) if few else wanted).select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), "set_id")
+    rows = docs.join(w, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tid") == F.col("_tid"))).select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches, "text", 500_000):
+            new = []
+            for k in b.column("set_id").to_pylist():
+                new.append(k not in seen)
+                seen.add(k)
+            b = b.filter(pa.array(new, pa.bool_()))
+            if not b.num_rows:
+                continue
             sets = _sets(b.column("text").to_pylist(), o)
             keep = [_set_id(s) == k for s, k in zip(sets, b.column("set_id").to_pylist(), strict=True)]
             sets = [s for s, k in zip(sets, keep, strict=True) if k]
@@ -218,6 +230,11 @@ def _block_links(mixed: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame
     return held.groupBy("g", "m", "u").applyInPandas(run, "a long, b long")
 
 
+def _order() -> Column:
+    """Rows in order: those without id last, and of equal ids by text."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "tid")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row.
 
@@ -225,8 +242,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component, repeated rows too. Null ids have no say in the smallest id of a component; a component of null ids only
     has a null one. An empty table gives an empty result; other columns are not read. Texts are taken whole.
     """
-    o = options
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _placed(docs, id_col, text_col, options)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> DataFrame:
+    """``(set_id, id, tid, n, label, component)`` for each row: the hash of its text, its component, and that one's smallest id."""
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     base = checkpointed(_base(slim, o))
     by_sig = Window.partitionBy("sig")
     ranges = F.element_at(F.array(*map(F.lit, ranges_by_band(o))), (F.col("band") + 1).cast("int"))
@@ -245,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = several(base.select("set_id", "n", F.explode("sigs").alias("sig"))).withColumn("band", F.pmod("sig", F.lit(BANDS)))
     rich = signed.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("set_id", "band"))).where(F.col("mine") >= need(largest))
     buckets = checkpointed(several(rich).withColumn("band", F.pmod("sig", F.lit(BANDS))))
-    reps = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("id"))
+    reps = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(_order()).alias("r")).select("set_id", "r.id", "r.tid")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the candidates (a, b), checkpointed, those that are similar; with the sets of all of them loaded once."""
@@ -286,9 +308,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
-    final = named.join(least, "label").select("set_id", "component")
-    out = base.select("id", "set_id", "n").join(final, "set_id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    final = named.join(least, "label").select("set_id", "label", "component")
+    return base.select("id", "tid", "set_id", "n").join(final, "set_id", "left")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -425,6 +425,16 @@ def test_jaccard(spark, docs, rows, empty, options):
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    """Near copies, of which those in the middle have no id and no exact copy."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(7, " ".join(w)), (None, " ".join([*w, *(f"x{i}" for i in range(20))])), (8, " ".join([*w, *(f"x{i}" for i in range(44))])), (None, "a b c d e f"), (None, "a b c d e f g h"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for o in (jaccard.JoinOptions(), jaccard.JoinOptions(small_bucket=1, block=3, broadcast_ids=0)):
+        got = as_rows(jaccard.jaccard_components(docs, options=o))
+        assert got == plain_components(rows, 4, 85) and {r[2] for r in got if r[0] in (7, 8)} == {7}
+
+
 def test_similar_sets_share_enough_signatures():
     """For random sets of all sizes at the limit of similarity, as many as the candidates are asked for."""
     draw = np.random.default_rng(5)
