@@ -317,8 +317,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id. Rows that repeat the kept id stay, and so do rows without id."""
-    found = jaccard_components(docs, id_col, text_col, options)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept
+    """One row of each component, with all its columns: the one with the smallest id, of these the one with the smallest
+    hash of its text, and any one of the rows that repeat both. Rows without id come last; those without words all stay.
+    """
+    found = checkpointed(_placed(docs, id_col, text_col, options).where("set_id IS NOT NULL").select("id", "tid", "label"))
+    chosen = found.groupBy("label").agg(F.min(_order()).alias("r")).select(F.col("r.id").alias("x"), F.col("r.tid").alias("y"))
+    rows = found.groupBy("id", "tid").agg(F.count(F.lit(1)).alias("rows"))
+    marked = rows.join(chosen, F.col("id").eqNullSafe(F.col("x")) & (F.col("tid") == F.col("y")), "left")
+    marked = marked.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("y").isNull().alias("gone"), "rows")
+    marked = checkpointed(marked.where("gone OR rows > 1"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tid"))
+    kept = docs.join(marked.select("_id", "_tid"), same, "left_anti")
+    again = marked.where("NOT gone").select("_id", "_tid")
+    if again.isEmpty():
+        return kept
+    again = docs.join(again, same).dropDuplicates(["_id", "_tid"])  # within a task first, so a large group is no large task
+    return kept.unionByName(again.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -435,6 +435,14 @@ def test_jaccard_links_through_rows_without_id(spark):
         assert got == plain_components(rows, 4, 85) and {r[2] for r in got if r[0] in (7, 8)} == {7}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("a b c d e f g h", "p q r s t u v w", "k l m n o p q r")
+    rows = [(5, a, 1), (5, a, 1), (None, a, 1), (5, b, 1), (2, b, 1), (None, c, 1), (None, c, 1), (2, "alone here it is", 1), (None, None, 1), (None, " ", 1), (3, None, 1), (3, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    want = [(5, a, 1), (2, b, 1), (None, c, 1), *rows[7:]]
+    assert as_rows(jaccard.deduplicated(docs)) == sorted(want, key=repr)
+
+
 def test_similar_sets_share_enough_signatures():
     """For random sets of all sizes at the limit of similarity, as many as the candidates are asked for."""
     draw = np.random.default_rng(5)
