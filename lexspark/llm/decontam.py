@@ -56,14 +56,16 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each document.
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each row.
 
-    Null texts and items have no words; an item without id hits words but is not named among the items. Rows that repeat both id and text are one document and come out once; a null
-    id is an id like any other. Empty tables give empty or untouched
+    Null texts and items have no words; an item without id hits words but is not named among the items. A null id is an
+    id like any other, and rows that share an id are told apart by their texts. Empty tables give empty or untouched
     results. Texts are taken whole.
     """
-    found = _figures(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle, broadcast_windows)
-    return found.withColumnRenamed("id", id_col).drop("tid")
+    found = _figures(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle, broadcast_windows).alias("f")
+    each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid")).alias("d")
+    out = each.join(found, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.tid") == F.col("f.tid")))
+    return out.select(F.col("d.id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _figures(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int, broadcast_windows: int) -> DataFrame:

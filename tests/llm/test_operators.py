@@ -179,6 +179,12 @@ def test_decontamination_tells_rows_apart(spark):
     assert as_rows(decontam.drop_contaminated(docs, benchmark)) == sorted([r for r in rows if r[1] != passage], key=repr)
 
 
+def test_decontamination_returns_every_row(spark, docs, rows):
+    items = [(1, rows[3][1]), (2, rows[5][1])]
+    got = decontam.decontaminate(docs.union(docs.where("doc_id IS NULL")), spark.createDataFrame(items, "item_id long, text string"))
+    assert as_rows(got) == sorted(((r[0], *plain_hits(r[1], items)) for r in [*rows, *(r for r in rows if r[0] is None)]), key=repr)
+
+
 # --- language and quality -----------------------------------------------------------------------------------------
 
 
