@@ -6,10 +6,14 @@ share an occurrence vector over the host's pages form a class:
 1. cut each page into tokens (tags, and text blocks as a whole) and give each token its role: the path of tags above it;
 2. over all pages of a host, group the tokens with the same occurrence vector. A vector is compared by its support,
    its total and two order-free sums of hashes, which aggregate before the shuffle, so that no task holds a host;
-3. a class is valid if its support is a fixed share of the host's pages, it is large enough, and its tokens occur
-   equally often; classes whose tokens occur once make the outer template, the others nest between its tokens;
-4. template text and template tags are what the slots remain between; a slot holds main text or furniture, by the
-   meaning of the tags around it and, where no tag says it, by how its text compares with that of the other slots.
+3. a class is valid if its support is a fixed share of the host's pages and it is large enough, or its tokens occur
+   equally often on its pages;
+4. of the valid classes, the text blocks are left out where no tag names the main text; what remains from the first to
+   the last block that is more than links, or a heading, is the text. Where tags name the main text, all of it that
+   they don't name furniture is the text.
+
+Less than the method: classes are neither ordered nor nested, pages aren't cut into slots between template tokens, and
+the tag roles of the template play no part in the extraction.
 
 Style: Arrow maps parse pages one by one; classes are found by DataFrame aggregation. Pages are not shuffled while the
 templates of all hosts are small enough to be broadcast.
@@ -215,37 +219,24 @@ def template(tokens: DataFrame, share: float = 0.9, least_pages: int = 10, least
     pages = vectors.groupBy("host").agg(F.max("support").alias("pages"))
     frequent = vectors.join(pages, "host").where((F.col("support") >= share * F.col("pages")) & (F.col("support") >= least_pages))
     classes = frequent.groupBy("host", "support", "total", "v1", "v2").agg(F.collect_list("token").alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # tokens that occur once on each page make the outer template; others, nested in it, must come in equal numbers
     valid = classes.where((F.size("tokens") >= least_tokens) | (F.col("low") == F.col("high")))
     return valid.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens"))
 
 
 def main_text(page: str | None, known: frozenset[int] = frozenset()) -> str:
-    """Text of the slots that hold the article. ``known``: the template's tokens."""
+    """Text of the blocks that hold the article. ``known``: the template's tokens."""
     if not page:
         return ""
     blocks, _ = blocks_of(page, with_roles=False)
     slots = [b for b in blocks if not b.furniture]
     inside = [b for b in slots if b.main]
     if inside:
-        # the tags name the article; text that the template repeats inside it is still furniture, unless all is
-        kept = [b for b in inside if _hashes("text " + "/".join(b.path) + " " + b.text) not in known] if known else inside
-        kept = kept or inside
-        return "\n".join(b.text for b in kept)
+        # the tags name the article, and those in it name the furniture there; a paragraph that pages share is still text
+        return "\n".join(b.text for b in inside)
     free = [b for b in slots if _hashes("text " + "/".join(b.path) + " " + b.text) not in known]
-    # no tag says it: among the slots, those under the path that holds most text outside links, less lists of links
-    weight: Counter = Counter()
-    for b in free:
-        if 2 * b.link_chars <= len(b.text):
-            for k in range(len(b.path) + 1):
-                weight[b.path[:k]] += len(b.text)
-    if not weight:
-        return ""
-    total, best = weight[()], ()
-    for path in sorted(weight, key=len):
-        if path[: len(best)] == best and len(path) == len(best) + 1 and 10 * weight[path] >= 7 * total and not re.match(r"(p|h[1-6]|li|td|pre|blockquote)\b", path[-1]):
-            best = path
-    return "\n".join(b.text for b in free if b.path[: len(best)] == best and 2 * b.link_chars <= len(b.text))
+    # no tag says it: all slots from the first to the last one that is more than links, or a heading
+    body = [i for i, b in enumerate(free) if 2 * b.link_chars <= len(b.text) or b.path and _HEADING.match(b.path[-1].split(".")[0])]
+    return "\n".join(b.text for b in free[body[0] : body[-1] + 1]) if body else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

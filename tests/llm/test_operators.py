@@ -136,6 +136,16 @@ def test_template_without_tags(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_no_text_of_an_article_goes(spark):
+    """Near copies of one article on a host, and articles without names that have parts outside their largest one."""
+    shared = "".join(f"<p>Paragraph {k} that every copy has.</p>" for k in range(5))
+    pages = [(i, f"http://h.example/{i}", f"<body><nav>x</nav><article><h1>One</h1>{shared}<p>Changed {i}</p><div class=share>Send</div></article></body>") for i in range(12)]
+    got = [r.text for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == ["\n".join(["One", *(f"Paragraph {k} that every copy has." for k in range(5)), f"Changed {i}"]) for i in range(12)]
+    page = "<body><p><a>All</a></p><h1><a>Headline</a></h1><p>Lead.</p><div><p>" + "Long text. " * 20 + "</p><h2><a>Linked</a></h2></div><div><p>Last part.</p></div><p><a>More</a></p></body>"
+    assert extract.main_text(page) == "\n".join(["Headline", "Lead.", ("Long text. " * 20).strip(), "Linked", "Last part."])
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
