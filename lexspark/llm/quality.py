@@ -2,10 +2,12 @@
 
 A document's worth is a linear function of its features. It is learned from preference pairs, a document labelled 1
 over one labelled 0, by logistic loss on the difference of their features. The threshold is the quantile of the
-scores that leaves as many documents below as the labels call bad.
+scores of all documents that leaves as large a part of them below as the labels call bad, moved to the widest gap
+within two standard errors of that part on either side.
 
 Style: Arrow maps around numpy; character-class statistics of whole texts are array work. The model is a vector of
-fixed size, so scoring has no shuffle. Training draws a bounded sample of labelled rows.
+fixed size, so scoring has no shuffle. Training draws a bounded sample of labelled rows; the quantile is an aggregate
+over all rows, whose features are computed for it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import held_out, is_training, slices, table
 
 CUT = 0.3
+#: Quantiles among which the threshold is placed.
+GRID = 201
 #: Character classes: lower case, upper case, other letters, digits, blanks, line ends, and groups of signs.
 _SIGNS = (".", ",;:", "!", "?", "'\"", "-_", "()[]{}<>", "|", "#$%&*@^~", "+=/\\")
 CLASSES = 6 + len(_SIGNS) + 1
@@ -83,42 +87,70 @@ class Model:
     weights: np.ndarray
     threshold: float
 
+    def worth(self, text: str | None) -> float:
+        return float(np.clip((features(text) - self.mean) / self.scale, -8, 8) @ self.weights)
+
     def score(self, text: str | None) -> float:
         """Between 0 and 1; the threshold is at CUT."""
-        worth = float(np.clip((features(text) - self.mean) / self.scale, -8, 8) @ self.weights)
-        z = np.clip(worth - self.threshold + np.log(CUT / (1 - CUT)), -500, 500)
+        z = np.clip(self.worth(text) - self.threshold + np.log(CUT / (1 - CUT)), -500, 500)
         return float(1 / (1 + np.exp(-z)))
 
 
-def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 10_000, penalty: float = 1e-3, rounds: int = 300) -> Model:
-    """share_bad: part of all labelled documents that has label 0, which fixes the quantile of the threshold."""
+def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 40_000, penalty: float = 1e-3, rounds: int = 400) -> Model:
+    """share_bad: part of all labelled documents that has label 0. The threshold is the quantile of these scores, each
+    label weighted by its share; ``fit`` replaces it by that of all rows."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.clip((x - mean) / scale, -8, 8)
     good, bad = z[y == 1], z[y == 0]
     w = np.zeros(z.shape[1])
     if len(good) and len(bad):
         draw = np.random.default_rng(7)
-        d = good[draw.integers(0, len(good), pairs)] - bad[draw.integers(0, len(bad), pairs)]
-        step = 4 / (np.linalg.norm(d, 2) ** 2 / pairs + 4 * penalty)
+        i, j = draw.integers(0, len(good), pairs), draw.integers(0, len(bad), pairs)
+        # differences of pairs are never held: sums over them come from how often each document is in one
+        both = np.zeros((len(good), len(bad)))
+        np.add.at(both, (i, j), 1.0)
+        mixed = good.T @ both @ bad
+        gram = (good.T * both.sum(1)) @ good + (bad.T * both.sum(0)) @ bad - mixed - mixed.T
+        step = 4 / (max(0.0, float(np.linalg.eigvalsh(gram)[-1])) / pairs + 4 * penalty)
         v = w
         for k in range(rounds):
-            grad = -d.T @ (1 / (1 + np.exp(np.clip(d @ v, -500, 500)))) / pairs + penalty * v
-            new = v - step * grad
+            pull = 1 / (1 + np.exp(np.clip((good @ v)[i] - (bad @ v)[j], -500, 500)))
+            up, down = np.bincount(i, pull, len(good)), np.bincount(j, pull, len(bad))
+            new = v - step * ((bad.T @ down - good.T @ up) / pairs + penalty * v)
             v = new + (k / (k + 3)) * (new - w)
             w = new
     worth = z @ w
     weight = np.where(y == 1, (1 - share_bad) / max(1, (y == 1).sum()), share_bad / max(1, (y == 0).sum()))
     order = np.argsort(worth, kind="stable")
-    below = np.cumsum(weight[order])
-    s = worth[order]
+    s, below = worth[order], np.cumsum(weight[order])
     threshold = float(s[0] - 1) if len(s) else 0.0
-    if share_bad > 0 and len(s) > 1:  # the quantile, moved to the middle of the widest gap between scores close to it
-        near = np.flatnonzero((below[:-1] >= 0.8 * share_bad) & (below[:-1] <= 1.05 * share_bad))
-        k = int(near[np.argmax(s[near + 1] - s[near])]) if len(near) else min(len(s) - 2, int(np.searchsorted(below, share_bad)))
+    if share_bad > 0 and len(s) > 1:
+        k = min(len(s) - 2, int(np.searchsorted(below, share_bad)))
         threshold = float((s[k] + s[k + 1]) / 2)
     return Model(mean, scale, w, threshold)
 
 
+def quantile(docs: DataFrame, model: Model, share: float, error: float = 0.0, text_col: str = "text") -> float:
+    """The worth that leaves ``share`` of all rows of ``docs`` below it; each row counts.
+
+    The share is known to ``error`` only. Of the quantiles up to that much smaller or larger, the middle of the widest
+    gap between neighbours is taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([model.worth(t) for t in b.column("text").to_pylist()], pa.float64())], ["worth"])
+
+    grid = [float(p) for p in np.linspace(max(0.0, share - error), min(1.0, share + error), GRID)]
+    worths = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "worth double")
+    # the sketch is of bounded size, and off by one row in 100,000 at most
+    at, low = worths.agg(F.percentile_approx("worth", F.array(*map(F.lit, grid)), 100_000), F.min("worth")).first()
+    if not at or share <= 0:
+        return model.threshold if low is None else float(low - 1)
+    k = int(np.argmax(np.diff(at)))
+    return (at[k] + at[k + 1]) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> Model:
     """Trains on the labels of the training fold, at most about ``per_label`` documents with each label; whole texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(is_training(F.col("id")) & F.col("y").isin(0, 1))
@@ -141,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not got:
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0)
     x = np.stack([np.frombuffer(r[2], np.float32) for r in got]).astype(float)
-    return train(x, np.array([r[1] for r in got]), counts.get(0, 0) / total)
+    share = counts.get(0, 0) / total
+    model = train(x, np.array([r[1] for r in got]), share)
+    return replace(model, threshold=quantile(docs, model, share, 2 * (share * (1 - share) / total) ** 0.5, text_col))
 
 
 def rated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

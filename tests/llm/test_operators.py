@@ -240,6 +240,19 @@ def test_quality(spark, empty):
     assert m.weights.sum() > 0
 
 
+def test_quality_threshold_is_the_quantile_of_all_rows(spark):
+    """Most rows have no label, and lower scores than those that have one."""
+    draw = random.Random(5)
+    text = lambda bad: " ".join(draw.choice(["###", "BUY!!"]) if draw.random() < bad else draw.choice("rivers hills towns people".split()) for _ in range(40))
+    share = [draw.random() for _ in range(300)] + [0.7 + 0.3 * draw.random() for _ in range(1200)]
+    docs = spark.createDataFrame([(i, text(b)) for i, b in enumerate(share)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(b < 0.7)) for i, b in enumerate(share[:300])], "doc_id long, quality int")
+    known = labels.where(quality.is_training(F.col("doc_id"))).collect()
+    bad = sum(r.quality == 0 for r in known) / len(known)
+    out = quality.rated(docs, quality.fit(docs, labels)).where("predicted = 0").count() / len(share)
+    assert abs(out - bad) <= 2 * (bad * (1 - bad) / len(known)) ** 0.5 + 0.01
+
+
 # --- repeats ------------------------------------------------------------------------------------------------------
 
 
