@@ -19,13 +19,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpointed, table
+from .common import checkpointed, named, table, unused
 
 WINDOW = 13
 SHINGLE = 3
-#: Benchmark windows that may be broadcast; at some 300 bytes each, about 60 MB.
+#: Benchmark windows, counted once for each item that has them, that may be broadcast; at some 300 bytes each, about 60 MB.
 BROADCAST_WINDOWS = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +71,7 @@ def _figures(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     """``(id, tid, ...)`` for each id and text, of which ``tid`` is the hash; rows that repeat both come out once."""
     wins = checkpointed(benchmark_windows(benchmark, item_col, item_text_col, window))
     distinct = wins.dropDuplicates(["wid"]).select("wid", "words", "len")
-    n = distinct.count()
+    n = wins.count()
     small = n <= broadcast_windows
     hint = F.broadcast if small else (lambda x: x)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -98,14 +97,13 @@ def _figures(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         hits = [split.select("id", "tid", F.size("doc").alias("n_words"), *(F.lit(None).cast(t).alias(c) for c, t in (("wid", "string"), ("start", "int"), ("len", "int"))))]
     rows = checkpointed(reduce(DataFrame.unionByName, hits))  # two aggregates read it; the texts are split once for both
 
-    by = Window.partitionBy("id", "tid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("len")
-    gain = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(by), F.lit(0))))
-    covered = rows.withColumn("gain", F.coalesce(gain, F.lit(0))).groupBy("id", "tid").agg(F.max("n_words").cast("long").alias("n_words"), F.sum("gain").alias("n_hit"))
+    # equal rows fall together before the shuffle, and what is left of a text is bounded by its own length
+    spans = F.sort_array(F.collect_set(F.when(F.col("wid").isNotNull(), F.struct("start", "len"))))
+    covered = rows.groupBy("id", "tid").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans")).select("id", "tid", "n_words", _covered(F.col("spans")).alias("n_hit"))
     # an item counts once for a document; the list is no longer than the benchmark
-    named = rows.where(F.col("wid").isNotNull()).select("id", "tid", "wid").distinct().join(hint(wins.select("wid", "item")), "wid")
-    named = named.groupBy("id", "tid").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    both = covered.alias("c").join(named.alias("n"), F.col("c.id").eqNullSafe(F.col("n.id")) & (F.col("c.tid") == F.col("n.tid")), "left")
+    items = rows.where(F.col("wid").isNotNull()).select("id", "tid", "wid").distinct().join(hint(wins.select("wid", "item")), "wid")
+    items = items.groupBy("id", "tid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    both = covered.alias("c").join(items.alias("n"), F.col("c.id").eqNullSafe(F.col("n.id")) & (F.col("c.tid") == F.col("n.tid")), "left")
     items = F.coalesce(F.col("n.items"), F.array().cast("array<string>"))
     return both.select(
         "c.id", "c.tid", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
@@ -113,6 +111,16 @@ def _figures(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     )
 
 
+def _covered(spans: Column) -> Column:
+    """Words under at least one of the sorted spans ``(start, len)``."""
+
+    def step(a: Column, x: Column) -> Column:
+        end = x["start"] + x["len"]
+        return F.struct((a["n"] + F.greatest(F.lit(0), end - F.greatest(x["start"], a["end"]))).alias("n"), F.greatest(a["end"], end).alias("end"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"].cast("long"))
+
+
 def _matches(spread: DataFrame, split: DataFrame, prefix: DataFrame, k: int, small: bool, first: bool) -> DataFrame:
     """Verified occurrences; the first call also returns a row for each document, with or without one."""
     key = _key(F.col("doc"), F.col("pos"), k, F.col("word")) if k > 1 else F.xxhash64("word")
@@ -138,11 +146,18 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; each row by its own id and text."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_hit: int = 1) -> DataFrame:
+    """The documents with fewer than ``min_hit`` words in benchmark windows, with all their columns.
+
+    A corpus is cleaned by whole documents, so by default one verified window is enough: a passage of 13 words in a long
+    text is as much a leak as in a short one. The share of the text that ``contaminated`` asks for isn't asked here.
+    Each row goes or stays by its own id and text; null ids and repeated rows are rows like others. Empty tables leave
+    the documents as they are, and columns may have any name.
+    """
     found = _figures(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW, SHINGLE, BROADCAST_WINDOWS)
-    bad = found.where("contaminated").select(F.col("id").alias("_bad"), F.col("tid").alias("_bad_tid"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(docs[text_col]) == F.col("_bad_tid")), "left_anti")
+    i, t = unused(docs, "bad_id", "bad_tid")
+    bad = found.where(F.col("n_hit") >= min_hit).select(F.col("id").alias(i), F.col("tid").alias(t))
+    return docs.join(bad, named(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(named(text_col)) == F.col(t)), "left_anti")
 
 
 SQL = r"""
