@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out, is_training, slices, table
+from .common import draw, drawn_below, held_out, is_training, named, slices, table
 
 # Families of languages by their usual codes. A code that isn't here makes up a family of its own.
 FAMILIES = {
@@ -134,20 +135,30 @@ class Model:
         return language, float(p * q)
 
 
-def _sampled(docs: DataFrame, lang: str, per_language: int):
-    """Rows to learn from: of each language about ``per_language``, those with the smallest hashes of the id."""
-    known = docs.where(is_training(F.col("id")) & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+def sampled(docs: DataFrame, per_language: int, languages: int) -> DataFrame | None:
+    """Rows ``(id, text, lang)`` to learn from: ``per_language`` at most of each of the commonest ``languages``.
+
+    Those with the smallest hashes are taken; rows that repeat id, text and language count once.
+    """
+    known = docs.where(is_training(F.col("id")) & F.col("lang").isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return None
-    rates = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))))
-    return known.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) < rates[F.col(lang)] * (1 << 20))
+    h = draw("id", F.lit("langid"))
+    limit = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, drawn_below(2 * per_language + 100, n))))
+    near = known.where(h < limit[F.col("lang")]).distinct()
+    order = Window.partitionBy("lang").orderBy(h, "id", F.xxhash64("text"))
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Model:
-    """Trains on a sample bounded by ``per_language`` documents of each language; whole texts, training fold only."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = _sampled(slim, "lang", per_language)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, languages: int = 64) -> Model:
+    """Trains on a bounded sample of the training fold: ``per_language`` documents of each of ``languages``; whole texts.
+
+    Values of ``lang`` beyond the commonest ``languages`` (junk, usually) are not learned, so the machines, one between
+    any two languages of a family, are bounded as well.
+    """
+    slim = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
+    rows = sampled(slim, per_language, languages)
     if rows is None:
         return Model([], {}, [], {})
 

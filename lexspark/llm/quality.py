@@ -15,15 +15,17 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, is_training, slices, table
+from .common import draw, drawn_below, held_out, is_training, named, slices, table
 
 CUT = 0.3
 #: Quantiles among which the threshold is placed.
@@ -152,17 +154,24 @@ def quantile(docs: DataFrame, model: Model, share: float, error: float = 0.0, te
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> Model:
-    """Trains on the labels of the training fold, at most about ``per_label`` documents with each label; whole texts."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(is_training(F.col("id")) & F.col("y").isin(0, 1))
+    """Trains on the labels of the training fold, on ``per_label`` ids with each label at most; whole texts.
+
+    Repeated labels count once; an id with both labels stands for both. Of several documents with one id, the one whose
+    text has the smallest hash is learned.
+    """
+    known = labels.select(named(id_col).alias("id"), named(label_col).alias("y")).where(is_training(F.col("id")) & F.col("y").isin(0, 1))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
     if not total:
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0)
-    rate = F.when(F.col("y") == 1, min(1.0, per_label / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_label / max(1, counts.get(0, 0))))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 20)) < rate * (1 << 20))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # the sample is bounded by per_label, so it may be broadcast
+    h = draw("id", F.lit("quality"))
+    # about twice as many as wanted of each label by their hashes, then exactly those with the smallest
+    near = lambda y: known.where((F.col("y") == y) & (h < drawn_below(2 * per_label + 100, counts.get(y, 0)))).distinct()
+    chosen = reduce(DataFrame.union, [near(y).orderBy(h, "id").limit(per_label) for y in (0, 1)])
+    slim = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    # at most per_label ids of each label, so they may be broadcast; rows with one id bring one text
     rows = slim.where(is_training(F.col("id"))).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "y", "r.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -185,30 +194,42 @@ def rated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     there are no labels to learn from, every score is the cut itself, so that nothing is rejected.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in kept)).schema)
+    return _mapped(docs.select(*map(named, kept)), model, text_col, lambda columns, p: [*columns, pa.array(p), pa.array((p >= CUT).astype(np.int32))], (StructField("score", DoubleType()), StructField("predicted", IntegerType())))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with their own columns, whatever they are named."""
+    return _mapped(docs, model, text_col, lambda columns, p: [c.filter(pa.array(p >= CUT)) for c in columns])
+
+
+def _mapped(docs: DataFrame, model: Model, text_col: str, result: Callable[[list[pa.Array], np.ndarray], list[pa.Array]], more: tuple[StructField, ...] = ()) -> DataFrame:
+    """The columns that ``result`` makes of those of a batch and its scores; inside, columns are known by their places."""
+    own = [StructField(f"x{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    inside, names, place = StructType([*own, *more]), [*docs.columns, *(f.name for f in more)], f"x{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            p = np.array([model.score(t) for t in b.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= CUT - 1e-12).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+        for b in slices(batches, place):
+            p = np.array([model.score(t) for t in b.column(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays(result(b.columns, p), inside.names)
 
-    return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(run, f"{schema}, score double, predicted int")
+    numbered = docs.select(*(named(c).alias(f"x{i}") for i, c in enumerate(docs.columns)))
+    return numbered.mapInArrow(run, inside).toDF(*names)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    said = _scores(docs, model)
+    said = scored(docs, model)
     return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def _scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Without the texts, which the query doesn't return."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, score, predicted)`` for each row: what ``rated`` says, without sending the texts back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             p = np.array([model.score(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= CUT - 1e-12).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["id", "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
