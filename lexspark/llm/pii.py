@@ -7,6 +7,7 @@ Every document is handled on its own, so there is no shuffle and no state.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,13 @@ CONTEXT = {
 #: Score of a span before context is seen, when its checksum (if the kind has one) holds.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "local_phone": 0.3}
 
+# Lengths of international account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 # All repeats are possessive where giving back cannot lead to another match, so that time stays linear.
@@ -42,7 +50,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2})")
+#: By country: its whole number, with or without single blanks, not followed by more of a word.
+_IBAN_OF = {c: re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for n, names in IBAN_LENGTHS.items() for c in names.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9])")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
@@ -109,7 +119,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return []
-    found = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    found = []
+    for start in _IBAN.finditer(text):
+        if (of := _IBAN_OF.get(start[0])) and (m := of.match(text, start.start())) and mod97(m[0]):
+            found.append(("iban", *m.span()))
     found += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     found += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text) if 7 <= len(_digits(text, *m.span())) <= 12]
     return found
@@ -128,17 +141,26 @@ def score(text: str, kind: str, start: int, end: int, o: PiiOptions) -> float:
     return min(1.0, PRIOR[kind] + o.bonus * bool(words & set(CONTEXT[kind])))
 
 
+def _meets(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a span overlaps one of ``taken``, which are sorted and don't overlap each other."""
+    k = bisect_left(taken, (end,))
+    return k > 0 and taken[k - 1][1] > start
+
+
 def spans_of(text: str | None, o: PiiOptions = PiiOptions()) -> list[tuple[str, int, int, float]]:
     """All spans of a text, by kind and start. Added kinds need the threshold and may not overlap a base span."""
     if not text:
         return []
     base = base_spans(text)
     out = [(*s, score(text, *s, o)) for s in base]
-    taken = sorted((s, e) for _, s, e in base)
+    # each kind's spans are sorted and apart, so the only ones that can meet a span are its neighbours by start
+    taken: dict[str, list[tuple[int, int]]] = {}
+    for kind, s, e in base:
+        taken.setdefault(kind, []).append((s, e))
     for kind, s, e in added_spans(text):
-        if (p := score(text, kind, s, e, o)) >= o.threshold and all(e <= a or s >= b for a, b in taken):
+        if (p := score(text, kind, s, e, o)) >= o.threshold and not any(_meets(t, s, e) for t in taken.values()):
             out.append((kind, s, e, p))
-            taken.append((s, e))
+            taken.setdefault(kind, []).append((s, e))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (rank[x[0]], x[1]))
 
@@ -166,4 +188,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
