@@ -6,21 +6,19 @@ stages but the last return documents with their own columns; the last one adds t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import decontam, jaccard, mixing, quality, sharding
-from lexspark.llm.common import importable, table
+from lexspark.llm.common import importable, remove, shared_folder, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     importable(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.rated(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: contaminated documents go."""
+    """Benchmark decontamination: documents that hold a benchmark passage go, however long they are."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -58,14 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, with a table in the shared checkpoint folder between any two."""
-    conf = spark.sparkContext.getConf()
-    shared = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexspark-")
+    """All stages over the documents, with a table in the shared checkpoint folder between any two.
+
+    A table goes when the next one is written; the last one stays, as the result is computed from it.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, spent = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if spent:
+                remove(spark, spent)
+            spent = f"{folder}/{k}"
     return docs

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, slices, table
+from .common import checkpointed, named, slices, table, unused
 from .hashing import mix, shingle_set, word_hashes
 
 SPARE, UNSIGNED = 6, 2
@@ -248,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> DataFrame:
     """``(set_id, id, tid, n, label, component)`` for each row: the hash of its text, its component, and that one's smallest id."""
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
+    slim = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tid"), named(text_col).alias("text"))
     base = checkpointed(_base(slim, o))
     by_sig = Window.partitionBy("sig")
     ranges = F.element_at(F.array(*map(F.lit, ranges_by_band(o))), (F.col("band") + 1).cast("int"))
@@ -306,9 +306,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> Data
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    final = named.join(least, "label").select("set_id", "label", "component")
+    all_reps = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    least = all_reps.groupBy("label").agg(F.min("id").alias("component"))
+    final = all_reps.join(least, "label").select("set_id", "label", "component")
     return base.select("id", "tid", "set_id", "n").join(final, "set_id", "left")
 
 
@@ -319,17 +319,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id, of these the one with the smallest
     hash of its text, and any one of the rows that repeat both. Rows without id come last; those without words all stay.
+    Columns may have any name.
     """
     found = checkpointed(_placed(docs, id_col, text_col, options).where("set_id IS NOT NULL").select("id", "tid", "label"))
     chosen = found.groupBy("label").agg(F.min(_order()).alias("r")).select(F.col("r.id").alias("x"), F.col("r.tid").alias("y"))
     rows = found.groupBy("id", "tid").agg(F.count(F.lit(1)).alias("rows"))
     marked = rows.join(chosen, F.col("id").eqNullSafe(F.col("x")) & (F.col("tid") == F.col("y")), "left")
-    marked = marked.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("y").isNull().alias("gone"), "rows")
+    i, t = unused(docs, "own_id", "own_tid")
+    marked = marked.select(F.col("id").alias(i), F.col("tid").alias(t), F.col("y").isNull().alias("gone"), "rows")
     marked = checkpointed(marked.where("gone OR rows > 1"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tid"))
-    kept = docs.join(marked.select("_id", "_tid"), same, "left_anti")
-    again = marked.where("NOT gone").select("_id", "_tid")
+    same = named(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(named(text_col)) == F.col(t))
+    kept = docs.join(marked.select(i, t), same, "left_anti")
+    again = marked.where("NOT gone").select(i, t)
     if again.isEmpty():
         return kept
-    again = docs.join(again, same).dropDuplicates(["_id", "_tid"])  # within a task first, so a large group is no large task
-    return kept.unionByName(again.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = docs.join(again, same).dropDuplicates([i, t])  # within a task first, so a large group is no large task
+    return kept.unionByName(again.select(*map(named, docs.columns)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import named, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = words_in(F.col(text_col))
     binary = F.bin("size")
-    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    kept = [named(c).alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *kept)
     rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("level", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 2, 3)))
@@ -94,7 +94,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns."""
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("source").alias("_source"))
+    inner = docs.select(*(named(c).alias(f"x{i}") for i, c in enumerate(names)), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("source").alias("_source"))
     out = mix(inner, "_id", "_text", "_source", carry=tuple(f"x{i}" for i in range(len(names))))
     many = out.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return many.select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(names)))

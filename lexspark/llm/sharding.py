@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import named, table
 
 OVERHEAD = 16
 
@@ -85,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 40, tree: Tree = Tree(), id_col: str =
     slots of their own. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    kept = [named(c).alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("crc"), *kept)
     rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("null")))
     h = F.md5(F.concat("key", F.lit("|slot")).cast("binary"))
