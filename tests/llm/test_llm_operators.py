@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -88,10 +89,31 @@ def test_long_runs_stay_linear():
         pii.spans_of(t)
 
 
+def test_many_spans_stay_linear():
+    """Far more than the square of their number would allow."""
+    t = "call 030 123 4567, SSN 123-45-6789, phone +49 30 1234567, 10.0.0.1 " * 20_000
+    began = time.process_time()
+    assert Counter(s[0] for s in pii.spans_of(t)) == {"local_phone": 20_000, "ssn": 20_000, "phone": 20_000, "ip": 20_000}
+    assert time.process_time() - began < 60
+
+
+def test_added_spans_keep_clear_of_others():
+    draw = random.Random(14)
+    for _ in range(2000):
+        t = "phone SSN " + "".join(draw.choice(["12", "345", "-", " ", ".", "+1", "123-45-6789", "030 123 4567"]) for _ in range(draw.randint(0, 12)))
+        spans = pii.spans_of(t)
+        added = [s for s in spans if s[0] not in pii.BASE]
+        assert [s[:3] for s in spans if s[0] in pii.BASE] == [s for k in pii.BASE for s in pii.base_spans(t) if s[0] == k]
+        assert all(a is b or a[2] <= b[1] or a[1] >= b[2] for a in added for b in spans)
+
+
 def test_checks_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE88370400440532013000")
     kinds = lambda t: [s[0] for s in pii.spans_of(t)]
+    found = lambda t: [t[s[1] : s[2]] for s in pii.spans_of(t) if s[0] == "iban"]
+    assert found("DE89 3704 0044 0532 0130 00 EUR please") == ["DE89 3704 0044 0532 0130 00"] and found("an DE89370400440532013000 BIC X") == ["DE89370400440532013000"]
+    assert found("NO9386011117947") == ["NO9386011117947"] and found("NO93860111179470") == found("ZZ9386011117947") == found("xNO9386011117947") == []
     assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("DE88 3704 0044 0532 0130 00") == []
     assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     assert kinds("phone (030) 123 4567") == ["local_phone"] and kinds("order 030 123 4567") == []
@@ -178,7 +200,7 @@ def test_decontamination(spark, docs, rows, empty, broadcast):
     assert decontam.decontaminate(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(empty, benchmark).count() == 0
     left = decontam.drop_contaminated(docs.where("doc_id IS NOT NULL"), benchmark)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {w[0] for w in want if not w[-1] and w[0] is not None}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {w[0] for w in want if not w[2] and w[0] is not None}
 
 
 def test_decontamination_tells_rows_apart(spark):
@@ -189,6 +211,27 @@ def test_decontamination_tells_rows_apart(spark):
     assert as_rows(decontam.drop_contaminated(docs, benchmark)) == sorted([r for r in rows if r[1] != passage], key=repr)
 
 
+def test_a_passage_in_a_long_text_is_dropped(spark):
+    """18 of 414 words are less than a twentieth: not contaminated by the query's rule, but a leak for the corpus."""
+    passage = " ".join(f"item{i}" for i in range(18))
+    long = " ".join([*(f"a{i}" for i in range(200)), passage, *(f"b{i}" for i in range(196))])
+    docs = spark.createDataFrame([(1, long), (2, long.replace("item9", "other")), (3, passage)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontam.decontaminate(docs, benchmark).collect()}
+    assert got == {1: (414, 18, False), 2: (414, 0, False), 3: (18, 18, True)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, benchmark).collect()] == [2]
+
+
+@pytest.mark.parametrize("limit", [100, 3])
+def test_windows_that_many_items_share(spark, limit):
+    """The bound of the broadcast counts a window once for each item that has it."""
+    text = " ".join(f"w{i}" for i in range(13))
+    benchmark = spark.createDataFrame([(i, text) for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (None, text), (None, text)], "doc_id long, text string")
+    got = decontam.decontaminate(docs, benchmark, broadcast_windows=limit)
+    assert as_rows(got) == sorted(((i, *plain_hits(text, [(k, text) for k in range(9)])) for i in (1, None, None)), key=repr)
+
+
 def test_decontamination_returns_every_row(spark, docs, rows):
     items = [(1, rows[3][1]), (2, rows[5][1])]
     got = decontam.decontaminate(docs.union(docs.where("doc_id IS NULL")), spark.createDataFrame(items, "item_id long, text string"))
@@ -214,6 +257,22 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(docs.where("doc_id < 50"), one).collect()} == {"en"}
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """At any size and with any hashes: a draw that takes everything leaves the documented number of rows."""
+    rows = [(i % 500, f"text {i % 700} of some words", "en" if i % 3 else "de") for i in range(3000)] + [(i, "junk", f"x{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    for below in (None, lambda expected, of: 1 << 62):
+        if below:
+            monkeypatch.setattr(langid, "drawn_below", below)
+            monkeypatch.setattr(quality, "drawn_below", below)
+        n = {r[0]: r[1] for r in langid.sampled(docs, 20, 2).groupBy("lang").count().collect()}
+        assert n == {"en": 20, "de": 20}
+        seen = []
+        monkeypatch.setattr(quality, "train", lambda x, y, share, seen=seen: seen.append(Counter(y.tolist())) or quality.Model(np.zeros(quality.SIZE), np.ones(quality.SIZE), np.zeros(quality.SIZE), 0.0))
+        quality.fit(docs.withColumnRenamed("id", "doc_id"), spark.createDataFrame([(i % 500, i % 2) for i in range(3000)], "doc_id long, quality int"), per_label=15)
+        assert seen == [{0: 15, 1: 15}]
+
+
 def test_family_machines_agree_with_a_plain_fit():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(60, 5)) + np.repeat([[3.0], [-3.0]], 30, axis=0)
