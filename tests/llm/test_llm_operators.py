@@ -154,7 +154,7 @@ def test_template_without_tags(spark):
     got = {r.page_id: r for r in extract.extract(pages).collect()}
     assert len(got) == 32 and got[3].text == "Own text 3 of page 21\nMore 3" and got[3].n_chars == len(got[3].text)
     assert got[99].text == "" and got[None].text == "alone"
-    assert as_rows(extract.extract(pages, broadcast_tokens=0)) == sorted(map(tuple, got.values()), key=repr)
+    assert as_rows(extract.extract(pages, options=extract.Options(broadcast_tokens=0))) == sorted(map(tuple, got.values()), key=repr)
     assert extract.extract(pages.limit(0)).count() == 0
 
 
@@ -168,6 +168,83 @@ def test_no_text_of_an_article_goes(spark):
     assert extract.main_text(page) == "\n".join(["Headline", "Lead.", ("Long text. " * 20).strip(), "Linked", "Last part."])
 
 
+LAYOUT = """<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title></head><body><{nav}><ul>{menu}</ul></{nav_}><{ad}>{notice}</{ad_}>
+<{main}><h1>{title}</h1>{body}</{main_}><{foot}>&copy; {host} {notice}</{foot_}></body></html>"""
+
+
+def site(host, n, names, seed):
+    """Pages of one host, the names of whose elements are given, and their texts."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefg") for _ in range(draw.randint(2, 8)))
+    tags = {k: v for k, v in names.items()} | {k + "_": v.split()[0] for k, v in names.items()}
+    for i in range(n):
+        title, paragraphs = " ".join(word() for _ in range(6)), [" ".join(word() for _ in range(draw.randint(1, 60))) for _ in range(draw.randint(1, 6))]
+        menu, notice = "".join(f"<li><a href=/{k}>{word()}</a></li>" for k in range(draw.randint(4, 7))), " ".join(word() for _ in range(draw.randint(3, 9)))
+        page = LAYOUT.format(title=title, menu=menu, notice=notice, host=host, body="".join(f"<p>{x}</p>" for x in paragraphs), **tags)
+        yield f"https://{host}/{i}", page if i % 9 else page[: page.rindex("</body>")], "\n".join([title, *paragraphs])
+
+
+SCRAMBLED = [{k: f'{e} class="{v}"' for k, e, v in zip(("nav", "ad", "main", "foot"), es, vs, strict=True)} for es, vs in ((("div",) * 4, ("qa", "qb", "qc", "qd")), (("section", "div", "section", "div"), ("zz", "zy", "zx", "zw")), (("div", "section", "aside", "nav"), ("u", "article", "v", "w")))]
+
+
+def test_the_template_finds_the_text_whatever_tags_are_named(spark):
+    """Scrambled names choose nothing; the third names mislead, and only their veto costs text."""
+    plain = {"nav": "nav", "ad": "div class=ad", "main": "article", "foot": "footer"}
+    rows = [(h, *x) for h, n, names in (("a.example", 40, plain), ("b.example", 40, SCRAMBLED[0]), ("c.example", 40, SCRAMBLED[1]), *((f"small{k}.example", 1 + k % 3, plain) for k in range(20))) for x in site(h, n, names, len(h) + n)]
+    pages = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in extract.extract(pages).collect()}
+    assert [got[i].text for i in range(len(rows))] == [r[3] for r in rows] and all(r.by_template for r in got.values())
+    misled = [x for x in site("d.example", 20, SCRAMBLED[2], 3)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(misled)], "page_id long, url string, html string")
+    assert {r.text for r in extract.extract(pages).collect()} == {""}  # the whole region stands in an aside
+
+
+def plain_classes(pages, o):
+    """Tokens by their vector of counts over all pages, in order of mean first place."""
+    read = [extract.read(t).tokens for t in pages]
+    by = {}
+    for token in {t for p in read for t in p}:
+        vector = tuple(p.count(token) for p in read)
+        have = [p.index(token) for p in read if token in p]
+        by.setdefault(vector, []).append((sum(have) / len(have), token))
+    frequent = [sorted(v) for k, v in by.items() if sum(map(bool, k)) >= max(o.least_pages, o.share * len(pages)) and len(v) >= o.least_tokens]
+    return sorted([t for _, t in c] for c in frequent)
+
+
+def test_classes_are_those_of_the_whole_vectors(spark):
+    o, draw = extract.Options(), random.Random(21)
+    hosts = {f"h{k}": [x[1] for x in site(f"h{k}", draw.randint(4, 15), SCRAMBLED[k % 2], k)] for k in range(6)}
+    hosts["h0"] += hosts["h0"][:1] * 2  # a page that comes three times
+    hosts["h9"] = ["".join(draw.choice(["<p>", "</p>", "<div>", "</div>", "x ", "y"]) for _ in range(30)) for _ in range(8)]
+    rows = [(h, p) for h, ps in hosts.items() for p in ps]
+    found = extract.classes(extract.vectors(extract.page_tokens(spark.createDataFrame(rows, "host string, html string").repartition(5))))
+    got = {}
+    for r in found.collect():
+        own = {}
+        for t in r.tokens:
+            own.setdefault(t["class"], []).append((t.place, t.token))
+            assert t["size"] == sum(x["class"] == t["class"] for x in r.tokens)
+        got[r.host] = sorted([t for _, t in sorted(c)] for c in own.values())
+    assert got == {h: c for h, ps in hosts.items() if (c := plain_classes(ps, o))}
+
+
+def test_hosts_with_few_pages_share_a_template(spark):
+    """The pool's vectors are the sums of its hosts', so they are those of all its pages as one host."""
+    rows = [(f"h{k}", x[1]) for k in range(9) for x in site(f"h{k}", 1 + k % 3, SCRAMBLED[0], k)]
+    df = spark.createDataFrame(rows, "host string, html string").repartition(3)
+    pool = extract.classes(extract.vectors(extract.page_tokens(df))).collect()
+    whole = extract.classes(extract.vectors(extract.page_tokens(df.withColumn("host", F.lit(extract.POOL))))).collect()
+    assert pool == whole and [r.host for r in pool] == [extract.POOL]
+
+
+def test_classes_out_of_order_are_not_valid():
+    """Tokens that change places, or rounds that lie in several gaps, make no part of a template."""
+    tokens = [{"token": t, "class": c, "place": i, "size": 3, "once": c == 0, "hint": False} for c, ts in ((0, (1, 2, 3)), (1, (4, 5, 6))) for i, t in enumerate(ts)]
+    walk = lambda *ts: extract.Template(tokens).walk(extract.Page(tokens=list(ts)))[1]
+    assert walk(1, 4, 5, 6, 4, 5, 6, 2, 3) == {0: (0, [""]), 1: (0, ["0.0", "0.0"])}
+    assert walk(1, 3, 2)[0][0] > 0 and walk(1, 4, 2, 5, 6, 3)[1][0] > 0 and walk(1, 4, 6, 2, 3)[1][0] > 0 and walk(1, 2, 3, 4)[1] == (1, ["0.2"])
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
