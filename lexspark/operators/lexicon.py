@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from ..functions.encoders import BY_NAME
 from ..functions.words import converted, in_charset
 from ..sources import readers
-from ..sources.metadata import Metadata
+from ..sources.metadata import Metadata, metadata_path, read_metadata, write_metadata
+from ..sources.store import checkpointed
 
 #: Charsets that Spark decodes itself; others go through ISO-8859-1 and a table of their upper half.
 _NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -72,12 +73,21 @@ def checked_rows(rows: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame, metadata: Metadata) -> DataFrame:
-    """Packed entries ``(seq)`` of ``(base, inflected, tag)``. Without a tag there is no separator before it."""
-    source, target = to_bytes(F.col("inflected"), metadata.encoding), to_bytes(F.col("base"), metadata.encoding)
-    sep = F.unhex(F.lit(metadata.separator_byte.hex()))
-    code = BY_NAME[metadata.encoder].encode(source, target)
-    tag = F.when(F.length("tag") > 0, F.concat(sep, to_bytes(F.col("tag"), metadata.encoding))).otherwise(F.unhex(F.lit("")))
-    return rows.where("inflected IS NOT NULL AND base IS NOT NULL").select(F.concat(source, sep, code, tag).alias("seq")).distinct()
+    """Packed entries ``(seq, word, base, tag, coded, plain)`` of ``(base, inflected, tag)``.
+
+    Without a tag there is no separator before it. An entry is plain if its bytes read back as its own columns: its word
+    and base are in the charset and without the separator, and so need not be parsed again.
+    """
+    m = metadata
+    source, target = to_bytes(F.col("word"), m.encoding), to_bytes(F.col("base"), m.encoding)
+    sep = F.unhex(F.lit(m.separator_byte.hex()))
+    fit = lambda c: in_charset(F.col(c), m.encoding)
+    free = lambda c: ~F.contains(F.col(c), F.lit(m.separator))
+    # entries are told apart before they are encoded, so that equal ones are encoded once
+    slim = rows.where("inflected IS NOT NULL AND base IS NOT NULL").select(F.col("inflected").alias("word"), "base", F.coalesce("tag", F.lit("")).alias("tag")).distinct()
+    coded = slim.withColumn("coded", BY_NAME[m.encoder].encode(source, target)).withColumn("plain", fit("word") & fit("base") & fit("tag") & free("word") & free("base"))
+    tag = F.when(F.length("tag") > 0, F.concat(sep, to_bytes(F.col("tag"), m.encoding))).otherwise(F.unhex(F.lit("")))
+    return coded.select(F.concat(source, sep, "coded", tag).alias("seq"), "word", "base", "tag", "coded", "plain")
 
 
 def unpacked(seqs: DataFrame, metadata: Metadata) -> DataFrame:
@@ -99,12 +109,21 @@ def unpacked(seqs: DataFrame, metadata: Metadata) -> DataFrame:
     return rows.select("seq", to_text(F.col("wb"), metadata.encoding).alias("word"), text(stem).alias("stem"), text(F.col("tb")).alias("tag"), "coded", (size("tail") > 0).alias("visible"))
 
 
+#: The columns of a lexicon's table.
+ENTRIES = ("seq", "word", "stem", "tag", "coded", "visible")
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Packed entries and metadata. ``entries`` has a row for each (word, stem, tag)."""
+    """Packed entries and metadata. ``entries`` has a row ``(seq, word, stem, tag, coded, visible)`` for each (word, stem, tag).
+
+    The entries are a written table: look-up reads the columns of it that it needs, and nothing is encoded or parsed
+    again. ``table`` has them where they are known already.
+    """
 
     seqs: DataFrame
     metadata: Metadata
+    table: DataFrame | None = None
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Lexicon:
@@ -114,14 +133,39 @@ class Lexicon:
     @staticmethod
     def compile(rows: DataFrame, metadata: Metadata) -> Lexicon:
         """From source rows ``(base, inflected, tag)``."""
-        return Lexicon(packed(rows, metadata), metadata)
+        all_ = checkpointed(packed(rows, metadata))
+        seen = (F.octet_length("coded") > 0) | (F.length("tag") > 0)
+        entries = all_.where("plain").select("seq", "word", F.nullif("base", F.lit("")).alias("stem"), F.nullif("tag", F.lit("")).alias("tag"), "coded", seen.alias("visible"))
+        odd = all_.where(~F.col("plain"))
+        if not odd.isEmpty():
+            entries = entries.unionByName(unpacked(odd.select("seq").distinct(), metadata).select(*ENTRIES))
+        return Lexicon(entries.select("seq"), metadata, entries)
+
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """As Parquet at ``path``, in any number of files, with the metadata beside it: for lexicons of any size."""
+        if self.table is None and not self.bare().isEmpty():
+            raise SourceError("sequences without a separator are no entries")
+        self.entries.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+        readers.write_bytes(self.entries.sparkSession, metadata_path(path), write_metadata(self.metadata), overwrite)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Lexicon:
+        """What ``save`` has written. Look-up reads the columns that it needs."""
+        entries = spark.read.parquet(path)
+        return Lexicon(entries.select("seq"), read_metadata(readers.read_bytes(spark, metadata_path(path))), entries)
 
     def write(self, path: str, version: str = "fsa5", overwrite: bool = False) -> None:
+        """As one binary automaton, built by one task, and its metadata file."""
         readers.write_dictionary_files(self.seqs, self.metadata, path, version, overwrite)
 
     @cached_property
     def entries(self) -> DataFrame:
-        return unpacked(self.seqs, self.metadata)
+        return self.table if self.table is not None else checkpointed(unpacked(self.seqs, self.metadata))
+
+    def bare(self) -> DataFrame:
+        """Sequences without a separator, which are words but no entries."""
+        has = F.contains(F.decode("seq", "ISO-8859-1"), F.lit(self.metadata.separator_byte.decode("latin-1")))
+        return self.seqs.where(~has)
 
     def scan(self, decode_stems: bool = True) -> DataFrame:
         """``(word, stem, tag)``, or the codes in place of the stems."""
@@ -137,9 +181,10 @@ class Lexicon:
 
     def words(self) -> DataFrame:
         """The known words: the part before the separator, or whole entries if none has a separator."""
-        packed_ = F.contains(F.decode("seq", "ISO-8859-1"), F.lit(self.metadata.separator_byte.decode("latin-1")))
-        whole = self.seqs.where(~packed_).select(to_text(F.col("seq"), self.metadata.encoding).alias("word"))
-        return self.entries.select("word").union(whole).distinct()
+        known = self.entries.select("word")
+        if self.table is None:
+            known = known.union(self.bare().select(to_text(F.col("seq"), self.metadata.encoding)))
+        return known.distinct()
 
     def decompile(self) -> DataFrame:
         """``(line)``: ``stem SEP word [SEP tag]``, with a tag column in all rows if any row has a tag."""
