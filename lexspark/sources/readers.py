@@ -1,18 +1,19 @@
 """Sources and sinks of sequences and dictionaries, over any store that Spark reads.
 
-Lines are read as bytes, since the text source drops a byte order mark and cannot read other charsets. An automaton is
-one file, decoded or built by a single task; dictionaries meant for scale are kept as Parquet instead.
+Lines are bytes: the text source splits them, and nothing decodes them before their charset is known. An automaton is one
+file, decoded or built by a single task; dictionaries meant for scale are kept as Parquet instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formats
+from . import formats, store
 from .metadata import Metadata, metadata_path, read_metadata, write_metadata
 
 
@@ -36,27 +37,37 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = F
         out.close()
 
 
+BOM = b"\xef\xbb\xbf"
+
+
+def _starts_with_bom(spark: SparkSession, path: str) -> bool:
+    """From the first three bytes of a file."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(b & 255 for b in (stream.read() for _ in range(3)) if b >= 0) == BOM
+    finally:
+        stream.close()
+
+
 def read_lines(spark: SparkSession, path: str, accept_bom: bool = False, accept_cr: bool = False, ignore_empty: bool = False) -> DataFrame:
-    """``(line BINARY)``: LF-separated byte lines; the last one may lack its LF. What isn't accepted raises an error."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    """``(line BINARY)``: LF-separated byte lines; the last one may lack its LF. What isn't accepted raises an error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                if content.startswith(b"\xef\xbb\xbf"):
-                    if not accept_bom:
-                        raise InputError(f"{name}: a byte order mark; use accept_bom to keep it out of the first line")
-                    content = content[3:]
-                lines = content.split(b"\n")
-                if lines[-1] == b"":
-                    lines.pop()
-                if not accept_cr and any(b"\r" in x for x in lines):
-                    raise InputError(f"{name}: carriage returns; use accept_cr to keep them")
-                if not ignore_empty and b"" in lines:
-                    raise InputError(f"{name}: an empty line; use ignore_empty to skip them")
-                yield pa.RecordBatch.from_arrays([pa.array([x for x in lines if x], pa.binary())], ["line"])
-
-    return raw.mapInArrow(run, "line binary")
+    The text source hands on the bytes of a line as they are, whatever their charset, and reads large files in parts.
+    It drops a byte order mark, so that is looked for in the first bytes of each file.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    if not accept_bom:
+        for name in text.inputFiles():
+            if _starts_with_bom(spark, name):
+                raise InputError(f"{name}: a byte order mark; use accept_bom to keep it out of the first line")
+    line = F.col("value").cast("binary")
+    if not accept_cr:
+        line = F.when(F.contains(F.decode(line, "ISO-8859-1"), F.lit("\r")), F.raise_error(F.lit("carriage returns; use accept_cr to keep them")).cast("binary")).otherwise(line)
+    if not ignore_empty:
+        line = F.when(F.octet_length(line) == 0, F.raise_error(F.lit("an empty line; use ignore_empty to skip them")).cast("binary")).otherwise(line)
+    return text.select(line.alias("line")).where(F.octet_length("line") > 0)
 
 
 def line_violations(spark: SparkSession, path: str) -> DataFrame:
@@ -130,15 +141,27 @@ def write_fsa(seqs: DataFrame, path: str, version: str = "fsa5", numbers: bool =
 
 
 def write_lines(seqs: DataFrame, path: str, encoding: str = "utf-8", overwrite: bool = False) -> None:
-    """Sequences in byte order, one for each LF line: a folder of text files, or for other charsets a single file.
-
-    Spark's text writer knows UTF-8 only, so that bytes in another charset go through the driver, row by row.
-    """
+    """Sequences in byte order, one for each LF line: a folder of text files, or for other charsets a single file."""
     rows = seqs.select("seq").orderBy("seq")
     if encoding.lower().replace("-", "") == "utf8":
-        rows.select(F.decode("seq", "UTF-8").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\n").text(path)
+        rows.select(F.col("seq").cast("string").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\n").text(path)
     else:
-        write_bytes(seqs.sparkSession, path, b"".join(bytes(r[0]) + b"\n" for r in rows.toLocalIterator()), overwrite)
+        write_one(rows, path, overwrite)
+
+
+def write_one(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The rows of a one-column table of bytes, in their order, as the LF lines of a single file.
+
+    Tasks write the parts, whose bytes are then streamed into one file; no row goes through Python on the driver.
+    """
+    spark = lines.sparkSession
+    parts = f"{store.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    try:
+        # a string column hands its bytes to the writer as they are
+        lines.select(F.col(f"`{lines.columns[0]}`").cast("string").alias("value")).write.option("lineSep", "\n").text(parts)
+        store.concatenated(spark, parts, path, overwrite)
+    finally:
+        store.remove(spark, parts)
 
 
 def read_dictionary_files(spark: SparkSession, path: str) -> tuple[DataFrame, Metadata]:
