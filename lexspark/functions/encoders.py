@@ -160,3 +160,14 @@ BY_NAME = {
     "infix": Encoder("infix", encode_infix, decode_infix, 3),
     "none": Encoder("none", encode_none, decode_none, 0),
 }
+
+
+def register(name: str, encode_bytes, decode_bytes, header: int) -> Encoder:
+    """Makes an encoder known by name, to metadata files, too: ``encode(source, target)`` gives a code, ``decode(source,
+    code)`` the target. The first ``header`` bytes of a code may be any, later ones never the separator by themselves."""
+    if not name or name != name.strip().lower():
+        raise ValueError(f"an encoder's name is in lower case, without blanks around it: {name!r}")
+    if name in BY_NAME and (BY_NAME[name].encode_bytes, BY_NAME[name].decode_bytes) != (encode_bytes, decode_bytes):
+        raise ValueError(f"another encoder is named {name!r}")
+    BY_NAME[name] = Encoder(name, encode_bytes, decode_bytes, header)
+    return BY_NAME[name]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..functions.encoders import BY_NAME
 from ..functions.words import converted, in_charset
 from ..sources import readers
 from ..sources.metadata import Metadata, metadata_path, read_metadata, write_metadata
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, is_folder
 
 #: Charsets that Spark decodes itself; others go through ISO-8859-1 and a table of their upper half.
 _NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -52,6 +53,25 @@ def to_text(data: Column, encoding: str) -> Column:
     return F.translate(F.decode(data, "ISO-8859-1"), latin, own)
 
 
+def strict_bytes(text: Column, encoding: str) -> Column:
+    """Like ``to_bytes``, but a character that the charset lacks is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"not in {encoding}: "), text)).cast("binary")
+    return F.when(text.isNull() | in_charset(text, encoding), to_bytes(text, encoding)).otherwise(wrong)
+
+
+def strict_text(data: Column, encoding: str) -> Column:
+    """Like ``to_text``, but bytes that the charset doesn't know are an error."""
+    import codecs
+
+    name, latin = codecs.lookup(encoding).name, F.decode(data, "ISO-8859-1")
+    if name == "utf-8":
+        known = F.is_valid_utf8(data.cast("string"))
+    else:
+        free = "".join(chr(b) for b in range(256) if not bytes([b]).decode(encoding, "ignore"))
+        known = F.length(F.translate(latin, free, "")) == F.length(latin)
+    return F.when(data.isNull() | known, to_text(data, encoding)).otherwise(F.raise_error(F.concat(F.lit(f"not in {encoding}: "), F.hex(data))))
+
+
 def source_rows(lines: DataFrame, metadata: Metadata, line: str = "line") -> DataFrame:
     """``(base, inflected, tag)`` from ``base SEP inflected [SEP tag]``; further separators stay in the tag."""
     text = F.col(line) if lines.schema[line].dataType.simpleString() == "string" else to_text(F.col(line), metadata.encoding)
@@ -200,6 +220,45 @@ class Lexicon:
         return self.entries.where(has("stem") | has("word")).select("word", "stem", "tag")
 
 
+def with_bytes(found: DataFrame, metadata: Metadata) -> DataFrame:
+    """Results with the bytes of word, stem and tag in the dictionary's charset: ``word_bytes``, ``stem_bytes``, ``tag_bytes``."""
+    return found.select("*", *(to_bytes(F.col(c), metadata.encoding).alias(f"{c}_bytes") for c in ("word", "stem", "tag")))
+
+
+class Stemmer:
+    """A dictionary as something that transforms tables, and as a lazily opened one that a session knows by name."""
+
+    _known: dict[tuple[int, str], Lexicon] = {}
+    _paths: dict[str, str] = {}
+    _lock = Lock()
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+
+    def transform(self, words: DataFrame, column: str = "word", how: str = "inner") -> DataFrame:
+        return lookup(words, self.lexicon, column, how)
+
+    @classmethod
+    def register(cls, name: str, path: str) -> None:
+        """Names a dictionary: a saved lexicon or a binary one with its metadata; it is opened when first asked for."""
+        with cls._lock:
+            cls._paths[name] = path
+            for key in [k for k in cls._known if k[1] == name]:
+                del cls._known[key]
+
+    @classmethod
+    def named(cls, spark: SparkSession, name: str) -> Stemmer:
+        """The dictionary of this name, opened once in a session, by whichever thread comes first."""
+        with cls._lock:
+            if name not in cls._paths:
+                raise KeyError(f"no dictionary is registered as {name!r}; known: {', '.join(sorted(cls._paths)) or 'none'}")
+            key = id(spark), name
+            if key not in cls._known:
+                path = cls._paths[name]
+                cls._known[key] = Lexicon.load(spark, path) if is_folder(spark, path) else Lexicon.read(spark, path)
+            return cls(cls._known[key])
+
+
 def _probes(words: DataFrame, column: str, metadata: Metadata) -> DataFrame:
     """Probes with their converted form as ``_word``, null where the dictionary cannot have it."""
     w = converted(F.col(column), metadata.input_conversion)

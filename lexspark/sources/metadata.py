@@ -7,8 +7,9 @@ import re
 from dataclasses import dataclass, field, fields, replace
 from pathlib import PurePosixPath
 
+from ..functions.encoders import BY_NAME
+
 PREFIX = "fsa.dict."
-ENCODERS = ("suffix", "prefix", "infix", "none")
 
 # The property of each option, without the common prefix.
 PROPERTIES = {
@@ -68,8 +69,8 @@ class Metadata:
     given: frozenset[str] = field(default=frozenset(), compare=False)
 
     def __post_init__(self) -> None:
-        if self.encoder not in ENCODERS:
-            raise MetadataError(f"{PREFIX}encoder: {self.encoder!r} is none of {', '.join(ENCODERS)}")
+        if self.encoder not in BY_NAME:
+            raise MetadataError(f"{PREFIX}encoder: {self.encoder!r} is none of {', '.join(BY_NAME)}")
         try:
             codecs.lookup(self.encoding)
         except LookupError:
