@@ -1,14 +1,18 @@
-"""``spark.read.format("fsa")``: the sequences of binary automata as a data source.
+"""``spark.read.format("fsa")`` and ``df.write.format("fsa")``: sequences of binary automata as a data source.
 
-Options: ``path`` (a file, or a folder whose files are all read) and ``expectVersion``. Each file is one partition.
+Read options: ``path`` (a file, or a folder whose files are all read) and ``expectVersion``; each file is one partition.
+Write options: ``path`` (a folder), ``version`` and ``numbers``; each task writes an automaton of its own sequences, so
+``repartitionByRange`` keeps them apart and ``coalesce(1)`` makes a single one. A task that fails leaves no file.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import formats
 
@@ -43,6 +47,49 @@ class FsaReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["seq"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    temporary: str
+    final: str
+
+
+class FsaWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, version: str, numbers: bool, overwrite: bool) -> None:
+        self.path, self.version, self.numbers, self.overwrite = path.rstrip("/"), version, numbers, overwrite
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        seqs = sorted({s.encode() if isinstance(s, str) else bytes(s) for b in batches for s in b.column(0).to_pylist() if s})
+        name = uuid.uuid4().hex
+        out = Written(f"{self.path}/_{name}", f"{self.path}/part-{name}.{self.version}")
+        if seqs:
+            system, folder = _open(self.path)
+            system.create_dir(folder, recursive=True)
+            with system.open_output_stream(_open(out.temporary)[1]) as f:
+                f.write(formats.WRITERS[self.version](seqs, numbers=self.numbers))
+        else:
+            out.temporary = ""
+        return out
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, folder = _open(self.path)
+        system.create_dir(folder, recursive=True)
+        done = [m for m in messages if m is not None and m.temporary]
+        if self.overwrite:
+            for f in system.get_file_info(fs.FileSelector(folder)):
+                if f.is_file and f.base_name.startswith("part-"):
+                    system.delete_file(f.path)
+        for m in done:
+            system.move(_open(m.temporary)[1], _open(m.final)[1])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m is not None and m.temporary:
+                system, path = _open(m.temporary)
+                system.delete_file(path)
+
+
 class FsaDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -54,3 +101,11 @@ class FsaDataSource(DataSource):
     def reader(self, schema) -> FsaReader:
         expect = self.options.get("expectVersion")
         return FsaReader(self.options["path"], int(expect, 0) if expect else None)
+
+    def writer(self, schema, overwrite: bool) -> FsaWriter:
+        version = self.options.get("version", "fsa5").lower()
+        if version not in formats.WRITERS:
+            raise ValueError(f"version: {version!r} is none of {', '.join(formats.WRITERS)}")
+        if [f.dataType.simpleString() for f in schema] not in (["binary"], ["string"]):
+            raise ValueError("an automaton is written from one column of bytes")
+        return FsaWriter(self.options["path"], version, self.options.get("numbers", "false").lower() == "true", overwrite)

@@ -1,7 +1,8 @@
 """SQL names for a session: the data source, functions, and a dictionary as views.
 
 After ``register(spark, lexicon, "pl")``: ``lex_encode('suffix', source, target)``, ``lex_decode``, ``lex_distance(a, b)``
-and the views ``pl_entries`` (word, stem, tag) and ``pl_words``, which SQL joins like any other table.
+the views ``pl_entries`` (word, stem, tag) and ``pl_words``, which SQL joins like any other table, and the table function
+``pl_lookup(word)``, as in ``SELECT * FROM t, LATERAL pl_lookup(t.w)``, which Spark turns into such a join.
 """
 
 from __future__ import annotations
@@ -35,3 +36,4 @@ def register(spark: SparkSession, lexicon: Lexicon | None = None, name: str = "l
     if lexicon is not None:
         lexicon.forms.select("word", "stem", "tag").createOrReplaceTempView(f"{name}_entries")
         lexicon.words().createOrReplaceTempView(f"{name}_words")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_lookup(w STRING) RETURNS TABLE (stem STRING, tag STRING) RETURN SELECT stem, tag FROM {name}_entries WHERE word = w")
