@@ -7,10 +7,14 @@ and no task holds the language of the root. Nothing here is a Python function.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import checkpointed
+
 #: Kinds of a match.
 EXACT, NO_MATCH, HAS_PREFIX, IS_A_PREFIX = 0, -1, -3, -4
 
@@ -100,15 +104,31 @@ def hot_states(seqs: DataFrame, most: int = 150) -> DataFrame:
     return in_links(seqs).where("in_links > 2").orderBy(F.desc("in_links"), F.desc("state")).limit(most)
 
 
-def ranked(seqs: DataFrame) -> DataFrame:
+#: Most sequences that are numbered together; a cell with more is split by the next two bytes.
+CELL, DEEPEST = 100_000, 16
+
+
+def ranked(seqs: DataFrame, cell: int = CELL) -> DataFrame:
     """``(seq, rank)``: the 0-based rank in byte order.
 
-    Sequences are numbered within cells that share two bytes, after the counts of the cells before; a whole set is never
-    sorted in one task. There are at most 65,536 cells and a few.
+    Sequences are numbered within cells that share a prefix, after the counts of the cells before; a whole set is never
+    sorted in one task. Cells share two bytes, and where more than ``cell`` sequences do, four, six and so on up to
+    ``DEEPEST``, so that many sequences with one beginning are no large task.
     """
-    cell = F.substring("seq", 1, 2)
-    rows = seqs.select("seq", cell.alias("cell"))
-    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    levels, parts, open_ = [], [], seqs.select("seq")
+    for size in range(2, DEEPEST + 1, 2):
+        counts = open_.groupBy(F.substring("seq", 1, size).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        full = checkpointed(counts.where((F.col("n") > cell) & (F.octet_length("cell") == size))) if size < DEEPEST else None
+        more = full is not None and not full.isEmpty()
+        mine = open_.withColumn("cell", F.substring("seq", 1, size))
+        here = mine.join(full.select("cell"), "cell", "left_anti") if more else mine
+        parts.append(here.select("seq", "cell"))
+        levels.append(here.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        if not more:
+            break
+        open_ = mine.join(full.select("cell"), "cell", "left_semi").select("seq")
+    rows, counts = reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, levels)
+    # a sequence that ends within a cell's prefix is a cell of its own, before those that go on
     before = counts.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy("seq")) - 1
     return rows.join(before, "cell").select("seq", (F.col("before") + place).alias("rank"))
@@ -136,18 +156,56 @@ def perfect_hash(probes: DataFrame, seqs: DataFrame, probe: str = "probe") -> Da
 def expanded(starts: DataFrame, seqs: DataFrame, prefix: str = "prefix") -> DataFrame:
     """``(prefix, suffix)``: all continuations of each given prefix, by an equi-join on prefixes of the given lengths."""
     given = starts.select(F.col(prefix).cast("binary").alias("prefix")).where(F.col(prefix).isNotNull()).distinct()
-    sizes = given.select(F.octet_length("prefix").alias("size")).distinct()
-    cut = seqs.join(sizes, F.col("size") < F.octet_length("seq")).select("seq", "size", _part(F.col("seq"), 1, F.col("size")).alias("prefix"))
+    # one row with the few lengths that prefixes have, so that the cut is a projection and no join of inequalities
+    sizes = given.agg(F.collect_set(F.octet_length("prefix")).alias("sizes"))
+    fit = F.filter("sizes", lambda n: n < F.octet_length("seq"))
+    cut = seqs.crossJoin(F.broadcast(sizes)).select("seq", F.explode(fit).alias("size")).select("seq", "size", _part(F.col("seq"), 1, F.col("size")).alias("prefix"))
     return given.join(cut, "prefix").select("prefix", _part(F.col("seq"), F.col("size") + 1, F.octet_length("seq")).alias("suffix"))
 
 
-def dot(seqs: DataFrame) -> str:
-    """The merged automaton as a graph description, for small automata only: it is collected."""
-    def shown(b) -> str:
-        return bytes(b).decode("latin-1").replace("\\", "\\\\").replace('"', '\\"')
+def below(seqs: DataFrame, start: bytes) -> DataFrame:
+    """The sequences behind a prefix, less that prefix: the sub-automaton of its state."""
+    rest = _part(F.col("seq"), len(start) + 1, F.octet_length("seq"))
+    return seqs.where(F.startswith("seq", F.lit(bytes(start))) & (F.octet_length("seq") > len(start))).select(rest.alias("seq")) if start else seqs
 
-    lines = []
-    for r in merged_arcs(seqs).orderBy("src", "label").collect():
-        end = f'"{shown(r.dst)}/"' if r.dst is not None else '"."'
-        lines.append(f'  "{shown(r.src)}/" -> {end} [label="{shown(r.label)}"{", style=bold" if r.is_final else ""}];')
-    return "digraph automaton {\n  rankdir = LR;\n" + "\n".join(lines) + "\n}\n"
+
+def visits(seqs: DataFrame, order: str = "post", stop: DataFrame | None = None) -> DataFrame:
+    """``(place, name, count, height)``: each state once, with targets before (``post``) or after (``pre``) their sources.
+
+    Height is the length of the longest suffix, which falls along every arc. ``stop`` has a column name: states whose
+    targets aren't visited through them, as when a visitor of the ``pre`` order says no. A visitor of the ``post``
+    order stops by a filter on place. Places are counted within heights, so that no task holds all states.
+    """
+    if order not in ("post", "pre"):
+        raise ValueError(f"order: {order!r} is neither post nor pre")
+    high = prefixes(seqs).groupBy("prefix").agg(F.max(F.octet_length("rest") + 1).alias("height"))
+    found = right_languages(seqs).join(high, "prefix")
+    if stop is not None:
+        closed = found.join(found.groupBy("state").agg(F.min("prefix").alias("name")).join(stop.select("name"), "name", "left_semi"), "state", "left_semi").select(F.col("prefix").alias("above"))
+        own = found.where(F.octet_length("prefix") > 0).select("prefix", F.explode(F.sequence(F.lit(0), F.octet_length("prefix") - 1)).alias("n"))
+        under = own.select("prefix", _part(F.col("prefix"), 1, F.col("n")).alias("above")).join(closed, "above", "left_semi")
+        found = found.join(under.select("prefix").distinct(), "prefix", "left_anti")
+    each = found.groupBy("state").agg(F.min("prefix").alias("name"), F.first("count").alias("count"), F.max("height").alias("height"))
+    rank = F.col("height") if order == "post" else -F.col("height")
+    sizes = each.groupBy("height").agg(F.count(F.lit(1)).alias("n"))  # as many rows as the longest sequence has bytes
+    before = sizes.select("height", F.coalesce(F.sum("n").over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("height").orderBy("name")) - 1
+    return each.join(before, "height").select((F.col("before") + place).alias("place"), "name", "count", "height")
+
+
+def dot_lines(seqs: DataFrame, start: bytes = b"") -> DataFrame:
+    """``(line)``: the arcs of the merged automaton, or of the part behind a prefix, as statements of a graph description."""
+
+    def shown(c: str) -> Column:
+        text = F.decode(c, "ISO-8859-1")
+        return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    end = F.when(F.col("dst").isNotNull(), F.concat(F.lit('"'), shown("dst"), F.lit('/"'))).otherwise(F.lit('"."'))
+    style = F.when(F.col("is_final"), F.lit(", style=bold")).otherwise(F.lit(""))
+    line = F.concat(F.lit('  "'), shown("src"), F.lit('/" -> '), end, F.lit(' [label="'), shown("label"), F.lit('"'), style, F.lit("];"))
+    return merged_arcs(below(seqs, start)).orderBy("src", "label").select(line.alias("line"))
+
+
+def dot(seqs: DataFrame, start: bytes = b"") -> str:
+    """The graph description of a small automaton as one text; ``dot_lines`` is for larger ones."""
+    return "digraph automaton {\n  rankdir = LR;\n" + "".join(r[0] + "\n" for r in dot_lines(seqs, start).collect()) + "}\n"

@@ -98,14 +98,24 @@ def _perhaps_two(p: Column, w: Column) -> Column:
     return F.levenshtein(p, w, 2).between(0, 2) | (n > 1) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.levenshtein(swapped(i), w, 2).between(0, 2))
 
 
+def effective_distance(probe: Column, most: int) -> Column:
+    """The distance that a search allows: ``most``, and of a probe no longer than that one less than its length."""
+    n = F.length(probe)
+    return F.when(n <= most, n - 1).otherwise(most)
+
+
+def with_sizes(found: DataFrame, most: int) -> DataFrame:
+    """Suggestions with what the search saw: ``word_length``, ``candidate_length`` and ``effective_distance``."""
+    return found.select("*", F.length("probe").alias("word_length"), F.length("suggestion").alias("candidate_length"), effective_distance(F.col("probe"), most).alias("effective_distance"))
+
+
 def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules = Rules()) -> DataFrame:
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
     ``probes`` has a column probe, ``known`` a column word, both distinct. For one edit without folding and rewrites
     the whole join stays in built-in expressions; else keys and distances come from Python functions on batches.
     """
-    n = F.length("probe")
-    allowed = F.when(n <= most, n - 1).otherwise(most)
+    allowed = effective_distance(F.col("probe"), most)
     if most == 1 and not (rules.short or rules.equivalent or rules.ignore_diacritics):
         pairs = _native_neighbours(probes.select("probe"), "probe").join(_native_neighbours(known.select("word"), "word"), "key").select("probe", "word").distinct()
         return pairs.withColumn("distance", _within_one(F.col("probe"), F.col("word"))).where(F.col("distance") <= allowed)
