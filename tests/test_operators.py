@@ -212,3 +212,63 @@ def test_misspelled(spark):
 def test_membership_of_plain_lists(spark):
     lex = L.Lexicon(seqs(spark, ["one", "two"]), PLAIN)
     assert {r.word: r.in_dictionary for r in S.with_membership(words(spark, "one", "on", None), lex).collect()} == {"one": True, "on": False, None: False}
+
+
+def test_states_are_visited_in_order(spark):
+    s = seqs(spark, ["a", "aba", "ac", "b", "ba", "c"])
+    post = A.visits(s).orderBy("place").collect()
+    assert [r.place for r in post] == list(range(len(post))) and {bytes(r.name) for r in post} == {bytes(r.name) for r in A.states(s).collect()}
+    place = {bytes(r.name): r.place for r in post}
+    arcs = [(bytes(r.src), bytes(r.dst)) for r in A.merged_arcs(s).collect() if r.dst is not None]
+    assert arcs and all(place[a] > place[b] for a, b in arcs)
+    pre = {bytes(r.name): r.place for r in A.visits(s, "pre").collect()}
+    assert all(pre[a] < pre[b] for a, b in arcs)
+    stopped = A.visits(s, "pre", spark.createDataFrame([(b"a",)], "name binary")).collect()
+    assert {bytes(r.name) for r in stopped} == {b"", b"a", b"b"}  # the state behind ab is behind b, too, unless it is another
+    with pytest.raises(ValueError, match="order"):
+        A.visits(s, "up")
+
+
+def test_ranks_in_cells_of_any_depth(spark):
+    words = sorted({w.encode() for w in ("a", "ab", "abc", "abcd", "abce", "b")} | {b"http://x/%d" % i for i in range(60)} | {b"http", b"ht", bytes([255, 0]), b"abcdefgh"})
+    s = seqs(spark, words)
+    for cell in (1, 5, 1000):
+        assert [(bytes(r.seq), r["rank"]) for r in A.ranked(s, cell).orderBy("rank").collect()] == [(w, i) for i, w in enumerate(words)]
+
+
+def test_sub_graphs(spark):
+    s = seqs(spark, ["ax", "ay", 'b"', "c"])
+    assert sorted(bytes(r.seq) for r in A.below(s, b"a").collect()) == [b"x", b"y"]
+    assert A.dot(s, b"a").splitlines()[2:-1] == ['  "/" -> "." [label="x", style=bold];', '  "/" -> "." [label="y", style=bold];']
+    assert '[label="\\""' in A.dot(s) and A.dot(s).count("->") == 6
+
+
+def test_registered_encoders(spark):
+    from lexspark.functions import encoders
+
+    encoders.register("mirror", lambda s, t: b"M" + t[::-1], lambda s, c: c[1:][::-1], 1)
+    try:
+        lex = L.Lexicon.compile(spark.createDataFrame([("base", "word", "t")], "base string, inflected string, tag string"), PLAIN.with_(encoder="mirror"))
+        assert bytes(lex.seqs.first().seq) == b"word+Mesab+t" and tuple(L.Lexicon(lex.seqs, lex.metadata).scan().first()) == ("word", "base", "t")
+        with pytest.raises(ValueError, match="mirror"):
+            encoders.register("mirror", lambda s, t: t, lambda s, c: c, 0)
+    finally:
+        del encoders.BY_NAME["mirror"]
+    with pytest.raises(ValueError, match="encoder"):
+        PLAIN.with_(encoder="mirror")
+
+
+def test_strict_charsets_and_bytes(spark):
+    df = spark.createDataFrame([("ż", b"\xbf"), ("a", b"a"), (None, None)], "t string, b binary")
+    got = df.select(L.strict_bytes(F.col("t"), "iso8859-2").alias("x"), L.strict_text(F.col("b"), "iso8859-2").alias("y")).collect()
+    assert [(r.x and bytes(r.x), r.y) for r in got] == [(b"\xbf", "ż"), (b"a", "a"), (None, None)]
+    for c in (L.strict_bytes(F.lit("ж"), "iso8859-2"), L.strict_text(F.lit(b"\xff"), "utf-8"), L.strict_text(F.lit(b"\x81"), "cp1252"), L.strict_bytes(F.lit("é"), "ascii")):
+        with pytest.raises(Exception, match="not in"):
+            spark.range(1).select(c).collect()
+    r = L.with_bytes(spark.createDataFrame([("ż", None, "t")], "word string, stem string, tag string"), PLAIN.with_(encoding="iso8859-2")).first()
+    assert (bytes(r.word_bytes), r.stem_bytes, bytes(r.tag_bytes)) == (b"\xbf", None, b"t")
+
+
+def test_sizes_that_the_search_saw(spark):
+    found = spark.createDataFrame([("ab", "abc"), ("abcd", "abd")], "probe string, suggestion string")
+    assert [tuple(r)[2:] for r in S.with_sizes(found, 2).collect()] == [(2, 3, 1), (4, 3, 2)]

@@ -1,8 +1,12 @@
+import io
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from lexspark import tools
-from lexspark.operators.lexicon import Lexicon
+from lexspark.operators.lexicon import Lexicon, Stemmer
 from lexspark.sources import formats, readers
+from lexspark.sources.datasource import FsaDataSource
 from lexspark.sources.metadata import Metadata
 from lexspark.streaming import apply as streaming
 
@@ -74,6 +78,90 @@ def test_tools(spark, source, capsys):
     assert run("dict_compile", "-i", source / "d.input", "--overwrite") == 2
 
 
+def test_tools_check_their_arguments(spark, source, tmp_path, capsys, monkeypatch):
+    run = lambda *a: tools.main([str(x) for x in a], spark)
+    assert run("dict_compile", "-i", source / "d.input") == 0
+    assert run("fsa_info", "-i", source / "none.dict") == 2 and run("dict_apply", "-d", source / "none.dict", "-i", source / "d.input") == 2
+    assert run("fsa_dump", "-i", source / "d.dict", "-o", source / "no folder" / "x") == 2 and not (source / "no folder").exists()
+    assert run("dict_apply", "-d", source / "d.dict", "-i", source / "d.input", "--input-charset", "no-such") == 2
+    (source / "latin.txt").write_bytes("jaźnie\r\n\r\n\nß\n".encode("iso8859-2"))
+    capsys.readouterr()
+    assert run("dict_apply", "-d", source / "d.dict", "-i", source / "latin.txt", "--input-charset", "ISO-8859-2") == 0
+    assert sorted(capsys.readouterr().out.splitlines()) == ["jaźnie => jaźń x", "ß => [not found]"]
+    (source / "bad.txt").write_bytes(b"a\xff\n")
+    assert run("dict_apply", "-d", source / "d.dict", "-i", source / "bad.txt") == 1
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("jawie\n\njaźnie\n".encode())))
+    capsys.readouterr()
+    assert run("dict_apply", "-d", source / "d.dict", "--skip-tags", "--exit", "false") == 0
+    assert sorted(capsys.readouterr().out.splitlines()) == ["jawie => jawa", "jaźnie => jaźń"]
+    assert list(tools.apply_stream(spark, str(source / "d.dict"), io.BytesIO(b"jawie\n" * 5), batch=2)) == ["jawie => jawa subst:sg:dat:f"] * 5
+
+
+def test_decompiled_in_the_charset(spark, source):
+    (source / "p.info").write_text(INFO.replace("UTF-8", "iso-8859-2"))
+    (source / "p.input").write_bytes(ROWS.encode("iso8859-2"))
+    run = lambda *a: tools.main([str(x) for x in a], spark)
+    assert run("dict_compile", "-i", source / "p.input") == 0 and run("dict_decompile", "-i", source / "p.dict", "-o", source / "p.back") == 0
+    assert sorted((source / "p.back").read_bytes().decode("iso8859-2").splitlines()) == sorted(ROWS.splitlines())
+
+
+def test_saved_lexicons(spark, source):
+    """Parquet keeps what a compiled lexicon has, entries with a separator in them included."""
+    rows = [("b", "bs", "t"), ("b", "bs", None), ("", "x", "t"), ("żó", "żółw", "t+u"), ("a+b", "a", "t"), ("a", "a+", ""), (None, "n", "t"), ("n", None, "t")]
+    for encoder in ("suffix", "none"):
+        lex = Lexicon.compile(spark.createDataFrame(rows * 2, "base string, inflected string, tag string"), Metadata("+", encoder, "utf-8"))
+        parsed = Lexicon(lex.seqs, lex.metadata)  # from the bytes alone
+        lex.save(str(source / f"{encoder}.parquet"))
+        back = Lexicon.load(spark, str(source / f"{encoder}.parquet"))
+        whole = lambda x: sorted((tuple(r) for r in x.entries.select("seq", "word", "stem", "tag", "coded", "visible").collect()), key=repr)
+        assert whole(lex) == whole(parsed) == whole(back) and back.metadata == lex.metadata
+        assert sorted(r.word for r in lex.words().collect()) == sorted(r.word for r in parsed.words().collect())
+        with pytest.raises(Exception, match="exists"):
+            lex.save(str(source / f"{encoder}.parquet"))
+
+
+def test_named_dictionaries(spark, source):
+    lex = Lexicon.compile(spark.createDataFrame([("b", "bs", "t")], "base string, inflected string, tag string"), Metadata("+", "suffix", "utf-8"))
+    lex.save(str(source / "n.parquet"))
+    lex.write(str(source / "m.dict"))
+    words = spark.createDataFrame([("bs",), ("c",)], "word string")
+    for name in ("n.parquet", "m.dict"):
+        Stemmer.register("mine", str(source / name))
+        with ThreadPoolExecutor(4) as pool:
+            found = list(pool.map(lambda _: Stemmer.named(spark, "mine").lexicon, range(8)))
+        assert all(x is found[0] for x in found)
+        assert [tuple(r) for r in Stemmer.named(spark, "mine").transform(words).collect()] == [("bs", "b", "t")]
+    with pytest.raises(KeyError, match="mine"):
+        Stemmer.named(spark, "other")
+
+
+def test_written_by_the_data_source(spark, tmp_path):
+    spark.dataSource.register(FsaDataSource)
+    seqs = spark.createDataFrame([(w.encode(),) for w in ("b", "a", "ab", "a", "zz", "é")], "seq binary")
+    for version in ("fsa5", "cfsa2"):
+        path = str(tmp_path / version)
+        seqs.repartition(3, "seq").write.format("fsa").option("version", version).option("numbers", "true").mode("append").save(path)
+        back = spark.read.format("fsa").load(path)
+        assert sorted(bytes(r.seq).decode() for r in back.collect()) == ["a", "ab", "b", "zz", "é"]
+        seqs.coalesce(1).write.format("fsa").option("version", version).mode("overwrite").save(path)
+        assert spark.read.format("fsa").load(path).count() == 5 and readers.fsa_info(spark, path + "/part-*").count() == 1
+    with pytest.raises(Exception, match="none of"):
+        seqs.write.format("fsa").option("version", "x").mode("append").save(str(tmp_path / "x"))
+
+
+def test_lines_of_large_files_are_read_in_parts(spark, tmp_path):
+    path = tmp_path / "big.txt"
+    path.write_bytes(b"".join(b"%d\xff\n" % i for i in range(200_000)) + b"last")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        lines = readers.read_lines(spark, str(path))
+        assert lines.rdd.getNumPartitions() > 3
+        got = [bytes(r.line) for r in lines.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [b"%d\xff" % i for i in range(200_000)] + [b"last"]
+
+
 def test_stream_gives_what_a_batch_gives(spark, source, tmp_path):
     lex = Lexicon.compile(spark.createDataFrame([("jawa", "jawie", "t")], "base string, inflected string, tag string"), Metadata("+", "suffix", "utf-8"))
     (source / "in").mkdir()
