@@ -73,29 +73,32 @@ def _neighbours(words: DataFrame, column: str, most: int, rules: Rules, rewrite:
     return words.mapInPandas(run, f"{schema}, key string").select(*names, "key")
 
 
-def _native_neighbours(words: DataFrame, column: str) -> DataFrame:
-    w = F.col(column)
+def _shorter(w: Column) -> Column:
+    """The strings that are left after one deletion."""
     n = F.length(w)
-    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
-    return words.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(w), shorter))))
+    less = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+    return F.when(n > 0, less).otherwise(F.array().cast("array<string>"))
 
 
-def _within_one(p: Column, w: Column) -> Column:
-    """The distance if it is at most 1, else null: one edit, or one swap of neighbours."""
-    n = F.length(p)
-    swap = F.exists(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(1)), F.substring(p, i, F.lit(1)), F.substring(p, i + 2, n)) == w,
-    )
-    lev = F.levenshtein(p, w, 1)
-    return F.when(lev.between(0, 1), lev).when((n > 1) & (n == F.length(w)) & swap, 1)
+def _native_neighbours(words: DataFrame, column: str, most: int) -> DataFrame:
+    """Each row with ``key``: strings left after at most one deletion, or two."""
+    keys = F.concat(F.array(F.col(column)), _shorter(F.col(column)))
+    if most == 2:
+        keys = F.flatten(F.transform(F.array_distinct(keys), lambda x: F.concat(F.array(x), _shorter(x))))
+    return words.withColumn("key", F.explode(F.array_distinct(keys)))
 
 
-def _perhaps_two(p: Column, w: Column) -> Column:
-    """True for all words at most two edits apart, and few others: without a swap, or from some swap of neighbours on."""
+def _swapped(p: Column, w: Column) -> Column:
+    """Whether one swap of neighbours makes both equal."""
     n = F.length(p)
-    swapped = lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(1)), F.substring(p, i, F.lit(1)), F.substring(p, i + 2, n))
-    return F.levenshtein(p, w, 2).between(0, 2) | (n > 1) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.levenshtein(swapped(i), w, 2).between(0, 2))
+    turned = lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(1)), F.substring(p, i, F.lit(1)), F.substring(p, i + 2, n))
+    return (n > 1) & (n == F.length(w)) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: turned(i) == w)
+
+
+def _within_one(p: Column, w: Column) -> Column:
+    """The distance if it is at most 1, else null: one edit, or one swap of neighbours."""
+    lev = F.levenshtein(p, w, 2)  # a swap is two edits
+    return F.when(lev.between(0, 1), lev).when((lev == 2) & _swapped(p, w), 1)
 
 
 def effective_distance(probe: Column, most: int) -> Column:
@@ -112,24 +115,33 @@ def with_sizes(found: DataFrame, most: int) -> DataFrame:
 def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules = Rules()) -> DataFrame:
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
-    ``probes`` has a column probe, ``known`` a column word, both distinct. For one edit without folding and rewrites
-    the whole join stays in built-in expressions; else keys and distances come from Python functions on batches.
+    ``probes`` has a column probe, ``known`` a column word, both distinct. For one or two edits without folding and
+    rewrites the join, and the distance but for swaps beside another edit, stay in built-in expressions; else keys and
+    distances come from Python functions on batches.
     """
     allowed = effective_distance(F.col("probe"), most)
-    if most == 1 and not (rules.short or rules.equivalent or rules.ignore_diacritics):
-        pairs = _native_neighbours(probes.select("probe"), "probe").join(_native_neighbours(known.select("word"), "word"), "key").select("probe", "word").distinct()
-        return pairs.withColumn("distance", _within_one(F.col("probe"), F.col("word"))).where(F.col("distance") <= allowed)
-    left = _neighbours(probes.select("probe"), "probe", most, rules, True)
-    right = _neighbours(known.select("word"), "word", most, rules, False)
-    pairs = left.join(right, "key").select("probe", "word").distinct()
-    if most == 2 and not (rules.short or rules.equivalent or rules.ignore_diacritics):
-        pairs = pairs.where(_perhaps_two(F.col("probe"), F.col("word")))  # spares Python most of the pairs of short words
-
-    def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([distance(x, y, rules, max(0, len(x) - 1) if len(x) <= most else most) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    far.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return pairs.withColumn("distance", F.pandas_udf(far, "int")("probe", "word")).where(F.col("distance") <= allowed)
+    plain = not (rules.short or rules.equivalent or rules.ignore_diacritics)
+    if plain and most in (1, 2):
+        pairs = _native_neighbours(probes.select("probe"), "probe", most).join(_native_neighbours(known.select("word"), "word", most), "key").select("probe", "word").distinct()
+        if most == 1:
+            return pairs.withColumn("distance", _within_one(F.col("probe"), F.col("word"))).where(F.col("distance") <= allowed)
+        # a swap counts as two edits here, so one beside an edit as three and two as four; as it moves no letter in or
+        # out, few such pairs are left to Python
+        bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
+        letters = F.levenshtein(bag("probe"), bag("word"), 2)
+        pairs = pairs.withColumn("known", F.levenshtein("probe", "word", 4)).where(F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
+        swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"))
+        pairs = pairs.withColumn("known", F.when(swap, 1).when(F.col("known") <= 2, F.col("known")))
+    else:
+        left = _neighbours(probes.select("probe"), "probe", most, rules, True)
+        right = _neighbours(known.select("word"), "word", most, rules, False)
+        pairs = left.join(right, "key").select("probe", "word").distinct().withColumn("known", F.lit(None).cast("int"))
+
+    def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([distance(x, y, rules, max(0, len(x) - 1) if len(x) <= most else most) if pd.isna(k) else k for x, y, k in zip(a, b, known, strict=True)], dtype="int32")
+
+    far.__annotations__ = {"a": pd.Series, "b": pd.Series, "known": pd.Series, "return": pd.Series}
+    return pairs.select("probe", "word", F.pandas_udf(far, "int")("probe", "word", "known").alias("distance")).where(F.col("distance") <= allowed)
 
 
 def rewrites(words: DataFrame, rules: Rules, column: str = "word") -> DataFrame:

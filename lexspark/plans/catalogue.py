@@ -1,13 +1,14 @@
 """Queries over the driver's tables and the SQL that checks them.
 
-The dictionary is derived from the documents: words are runs of three or more letters a-z in the lower-case text, a
+The dictionary is derived from the documents: words are the runs of letters, of any alphabet, in the lower-case text, a
 stem is the word less one suffix, the tag is the language, and the frequency class comes from the number of bits of the
-word's count. Every query reads its tables whole. Of the probes, those of spell_suggest_d1, spell_similar_d1 and
-apply_lines are only the longest words of the vocabulary, as their SQL says; the other spelling queries edit all words.
+word's count. Every query reads its tables whole and takes all words of them. Automata are made of the words' bytes,
+which are shown in hexadecimal.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,9 @@ from ..functions import words as W
 from ..functions.encoders import BY_NAME
 from ..operators import automaton, lexicon, speller
 from ..operators.lexicon import Lexicon
-from ..sources import formats
+from ..sources import formats, readers
 from ..sources.metadata import Metadata
+from ..sources.store import checkpointed, shared_folder
 
 OPTIONS = Metadata("+", "suffix", "utf-8", ignore_diacritics=False)
 FREQUENT = OPTIONS.with_(frequency_included=True)
@@ -47,8 +49,7 @@ def _stem(w: Column) -> Column:
 
 
 def _tokens(df: DataFrame, *keep: str) -> DataFrame:
-    found = df.select(*keep, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    return found.where(F.col("word").rlike("^[a-z]{3,}$"))
+    return df.select(*keep, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
 
 
 def counted(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +83,8 @@ def raw_words(df: DataFrame) -> DataFrame:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return automaton.sequences(vocabulary(spark, d), "word")
-
-
-def edited(spark: SparkSession, d: str) -> DataFrame:
-    """Misspelled words: part names, and long words less their fifth letter."""
-    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
-    long = vocabulary(spark, d).where(F.length("word") >= 17)
-    return names.union(long.select(F.concat(F.substring("word", 1, 4), F.substring(F.col("word"), F.lit(6), F.length("word"))))).distinct()
+    """The vocabulary as bytes, written once, as most queries read it several times."""
+    return checkpointed(automaton.sequences(vocabulary(spark, d), "word"))
 
 
 def misspelled(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +105,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary(spark, d).select(w.alias("source"), target.alias("target"))
 
 
-def text(c: str) -> Column:
-    return F.decode(c, "UTF-8").alias(c)
+def shown(c: str) -> Column:
+    return F.hex(c).alias(c)
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
@@ -153,7 +148,7 @@ def synth_lookup(spark, d):
 
 
 def apply_lines(spark, d):
-    return lexicon.applied(edited(spark, d).union(probes(spark, d)).distinct(), derived(spark, d))
+    return lexicon.applied(misspelled(spark, d).union(probes(spark, d)).distinct(), derived(spark, d))
 
 
 def dict_decompile(spark, d):
@@ -179,15 +174,15 @@ def apply_conversions(spark, d):
 
 
 def fsa_arcs(spark, d):
-    return automaton.tree_arcs(seqs(spark, d)).select(text("prefix"), text("label"), "is_final", "is_terminal")
+    return automaton.tree_arcs(seqs(spark, d)).select(shown("prefix"), shown("label"), "is_final", "is_terminal")
 
 
 def fsa_right_language(spark, d):
-    return automaton.right_languages(seqs(spark, d)).select(text("prefix"), "count")
+    return automaton.right_languages(seqs(spark, d)).select(shown("prefix"), "count")
 
 
 def fsa_states(spark, d):
-    return automaton.states(seqs(spark, d)).select(text("name"), "count")
+    return automaton.states(seqs(spark, d)).select(shown("name"), "count")
 
 
 def fsa_stats(spark, d):
@@ -199,39 +194,39 @@ def fsa_fanout(spark, d):
 
 
 def fsa_label_hist(spark, d):
-    return automaton.label_counts(seqs(spark, d)).select(text("label"), "arcs")
+    return automaton.label_counts(seqs(spark, d)).select(shown("label"), "arcs")
 
 
 def fsa_top_labels(spark, d):
-    return automaton.top_labels(seqs(spark, d), 10).select(text("label"), "arcs")
+    return automaton.top_labels(seqs(spark, d), 10).select(shown("label"), "arcs")
 
 
 def fsa_inlinks(spark, d):
-    return automaton.in_links(seqs(spark, d)).select(text("state"), "in_links")
+    return automaton.in_links(seqs(spark, d)).select(shown("state"), "in_links")
 
 
 def fsa_perfect_hash(spark, d):
-    return automaton.ranked(seqs(spark, d)).select(text("seq"), "rank")
+    return automaton.ranked(seqs(spark, d)).select(shown("seq"), "rank")
 
 
 def match_probes(spark, d):
-    """Words of the conversations, less their last letter, and with one more; and words that start like none."""
-    w = F.col("word")
-    forms = F.array(w, F.substring(w, F.lit(1), F.length(w) - 1), F.concat(w, F.lit("x")), F.concat(F.lit("Q"), w))
+    """Words of the conversations, less their last byte, and with one more; and words that start like none."""
+    w = F.col("word").cast("binary")
+    forms = F.array(w, F.substring(w, F.lit(1), F.octet_length(w) - 1), F.concat(w, F.lit(b"x")), F.concat(F.lit(b"Q"), w))
     return probes(spark, d).select(F.explode(forms).alias("probe")).distinct()
 
 
 def fsa_match_kind(spark, d):
-    return automaton.matched(match_probes(spark, d), seqs(spark, d)).select(text("probe"), "kind", "index")
+    return automaton.matched(match_probes(spark, d), seqs(spark, d)).select(shown("probe"), "kind", "index")
 
 
 def fsa_perfect_hash_probe(spark, d):
-    return automaton.perfect_hash(match_probes(spark, d), seqs(spark, d)).select(text("probe"), "hash")
+    return automaton.perfect_hash(match_probes(spark, d), seqs(spark, d)).select(shown("probe"), "hash")
 
 
 def fsa_prefix_expand(spark, d):
-    starts = probes(spark, d).select(F.substring("word", 1, 5).alias("prefix")).distinct()
-    return automaton.expanded(starts, seqs(spark, d)).select(text("prefix"), text("suffix"))
+    starts = probes(spark, d).select(F.substring(F.col("word").cast("binary"), 1, 5).alias("prefix")).distinct()
+    return automaton.expanded(starts, seqs(spark, d)).select(shown("prefix"), shown("suffix"))
 
 
 def _roundtrip(version: str):
@@ -277,39 +272,90 @@ def spell_frequency(spark, d):
     return lexicon.frequencies(probes(spark, d), frequent(spark, d))
 
 
+#: A speller shows this many suggestions for a word.
+SHOWN = 10
+
+
 def spell_suggest_d1(spark, d):
-    return speller.suggestions(edited(spark, d), frequent(spark, d))
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d)).where(F.col("rank") <= SHOWN)
 
 
 def spell_similar_d1(spark, d):
-    return speller.suggestions(vocabulary(spark, d).where(F.length("word") >= 16), frequent(spark, d), even_if_known=True)
+    return speller.suggestions(vocabulary(spark, d), frequent(spark, d), even_if_known=True).where(F.col("rank") <= SHOWN)
 
 
 def spell_suggest_diacritics(spark, d):
     docs = table(spark, d, "documents")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("base")).where(F.length("base") >= 3).distinct()
+    words = _tokens(docs).select(F.col("word").alias("base")).distinct()
     known = Lexicon.compile(words.select("base", F.col("base").alias("inflected"), F.lit(None).cast("string").alias("tag")), FOLDING)
     return speller.suggestions(probes(spark, d), known, most=0).select("probe", "suggestion", "distance")
 
 
 def spell_suggest_d2(spark, d):
-    return speller.suggestions(misspelled(spark, d), frequent(spark, d), most=2)
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d), most=2).where(F.col("rank") <= SHOWN)
 
 
 def spell_suggest_pairs(spark, d):
-    return speller.suggestions(misspelled(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True)))
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True))).where(F.col("rank") <= SHOWN)
 
 
 def spell_rewrites(spark, d):
     return speller.rewrites(misspelled(spark, d), speller.Rules.of(PAIRS))
 
 
+def lex_parquet_roundtrip(spark, d):
+    """The dictionary saved as Parquet and loaded again."""
+    path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}.parquet"
+    derived(spark, d).save(path)
+    return Lexicon.load(spark, path).scan()
+
+
+def lookup_guards(spark, d):
+    """Raw words of the documents, some with the separator, in a dictionary whose charset lacks many of their letters."""
+    rows = counted(spark, d).select(_stem(F.col("word")).alias("base"), F.col("word").alias("inflected"), F.col("lang").alias("tag")).where(~F.col("inflected").rlike("[^\\x00-\\xFF]"))
+    latin = Lexicon.compile(rows, OPTIONS.with_(encoding="iso8859-1", encoder="prefix"))
+    w = raw_words(table(spark, d, "conversations"))
+    asked = w.union(w.select(F.concat("word", F.lit("+"), "word"))).union(w.select(F.concat("word", F.lit("\u017c"))))
+    return lexicon.lookup(asked, latin, how="left")
+
+
+def fsa_hot_states(spark, d):
+    return automaton.hot_states(seqs(spark, d)).select(shown("state"), "in_links")
+
+
+def fsa_visits(spark, d):
+    return automaton.visits(seqs(spark, d)).select("place", shown("name"), "count", "height")
+
+
+def byte_names(spark, d):
+    """How each byte of the vocabulary is shown."""
+    b = automaton.label_counts(seqs(spark, d)).select(F.conv(F.hex("label"), 16, 10).cast("int").alias("byte"))
+    return b.select("byte", W.byte_as_char(F.col("byte")).alias("shown"))
+
+
+def line_checks(spark, d):
+    """The documents' texts as one folder of line files: what their bytes would be refused for."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines = table(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("\ufeff")).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
+    lines.write.text(path)
+    v = readers.line_violations(spark, path)
+    return v.agg(F.sum("cr_lines").cast("long").alias("cr_lines"), F.sum("empty_lines").cast("long").alias("empty_lines"))
+
+
+def spell_misspelled_strict(spark, d):
+    """All options that let words pass are off."""
+    plain = OPTIONS.with_(ignore_numbers=False, ignore_punctuation=False, ignore_camel_case=False, ignore_all_uppercase=False, convert_case=False)
+    known = vocabulary(spark, d).select(F.col("word").alias("base"), F.col("word").alias("inflected"), F.lit(None).cast("string").alias("tag"))
+    return speller.with_misspelled(raw_words(table(spark, d, "conversations")), Lexicon.compile(known, plain))
+
+
 def queries() -> dict:
     out = {f"lex_encode_{n}": _encode(n) for n in BY_NAME} | {"fsa5_roundtrip": _roundtrip("fsa5"), "cfsa2_roundtrip": _roundtrip("cfsa2")}
     named = (
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
         spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_d2, spell_suggest_pairs, spell_rewrites,
+        lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
 
@@ -318,32 +364,38 @@ def queries() -> dict:
 
 _BASE = r"""
 WITH tok AS (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents),
-cnt AS (SELECT word, lang, count(*) AS n FROM tok WHERE regexp_full_match(word, '[a-z]{3,}') GROUP BY word, lang),
+cnt AS (SELECT word, lang, count(*) AS n FROM tok WHERE word <> '' GROUP BY word, lang),
 vocab AS (SELECT DISTINCT word FROM cnt),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM vocab),
 lex AS (SELECT word, nullif(regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', ''), '') AS stem, lang AS tag FROM cnt),
 freq AS (SELECT word, least(length(bin(sum(n)::BIGINT)) - 1, 25)::INTEGER AS f FROM cnt GROUP BY word),
-said AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM conversations) WHERE regexp_full_match(word, '[a-z]{3,}')),
-edited AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT substr(word, 1, 4) || substr(word, 6) FROM vocab WHERE length(word) >= 17)),
+said AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM conversations) WHERE word <> ''),
+wrong AS (
+  SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL
+    SELECT CASE WHEN length(word) >= 5 THEN substr(word, 1, 4) || substr(word, 6) ELSE word || substr(word, length(word), 1) END FROM vocab)
+),
 pairs AS (
-  SELECT word AS source, CASE length(word) % 4 WHEN 0 THEN regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', '') WHEN 1 THEN substr(word, 3) || 'e'
-    WHEN 2 THEN substr(word, 1, 1) || substr(word, 4) ELSE 'ge' || substr(word, 1, length(word) - 2) END AS target FROM vocab
+  SELECT source, target, hex(encode(source)) AS s, hex(encode(target)) AS t, strlen(source) AS ls, strlen(target) AS lt FROM (
+    SELECT word AS source, CASE length(word) % 4 WHEN 0 THEN regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', '') WHEN 1 THEN substr(word, 3) || 'e'
+      WHEN 2 THEN substr(word, 1, 1) || substr(word, 4) ELSE 'ge' || substr(word, 1, length(word) - 2) END AS target FROM vocab)
 )
 """
+#: All over bytes, two hexadecimal digits each.
 _TREE = _BASE + r""",
-pre AS (SELECT substr(word, 1, i) AS prefix, substr(word, i + 1, 1) AS label, substr(word, i + 2) AS rest, substr(word, i + 1) AS suffix FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+pre AS (SELECT substr(h, 1, 2 * i) AS prefix, substr(h, 2 * i + 1, 2) AS label, substr(h, 2 * i + 3) AS rest, substr(h, 2 * i + 1) AS suffix FROM (SELECT h, unnest(range(length(h) // 2)) AS i FROM bytes)),
 arcs AS (SELECT prefix, label, bool_or(rest = '') AS is_final, bool_and(rest = '') AS is_terminal FROM pre GROUP BY prefix, label),
-langs AS (SELECT prefix, count(*) AS count, md5(string_agg(suffix, ' ' ORDER BY suffix)) AS state FROM pre GROUP BY prefix),
-st AS (SELECT state, min(prefix) AS name, any_value(count) AS count FROM langs GROUP BY state),
+langs AS (SELECT prefix, count(*) AS count, max(length(suffix)) // 2 AS height, md5(string_agg(suffix, ' ' ORDER BY suffix)) AS state FROM pre GROUP BY prefix),
+st AS (SELECT state, min(prefix) AS name, any_value(count) AS count, any_value(height) AS height FROM langs GROUP BY state),
 named AS (SELECT prefix, name FROM langs JOIN st USING (state)),
 merged AS (SELECT a.prefix AS src, a.label, n.name AS dst, a.is_final, a.is_terminal FROM arcs a JOIN st ON st.name = a.prefix LEFT JOIN named n ON n.prefix = a.prefix || a.label)
 """
 _PROBE = _TREE + r""",
-probe AS (SELECT DISTINCT unnest([word, substr(word, 1, length(word) - 1), word || 'x', 'Q' || word]) AS probe FROM said),
+probe AS (SELECT DISTINCT unnest([h, substr(h, 1, length(h) - 2), h || '78', '51' || h]) AS probe FROM (SELECT hex(encode(word)) AS h FROM said)),
 known AS (SELECT prefix || label AS p, bool_or(rest = '') AS whole FROM pre GROUP BY prefix || label),
-best AS (SELECT probe, max(length(p)) AS size, bool_or(whole AND p = probe) AS whole FROM (SELECT probe, unnest(range(1, length(probe) + 1)) AS i FROM probe) JOIN known ON p = substr(probe, 1, i) GROUP BY probe),
+best AS (SELECT probe, max(length(p) // 2) AS size, bool_or(whole AND p = probe) AS whole FROM (SELECT probe, unnest(range(1, length(probe) // 2 + 1)) AS i FROM probe) JOIN known ON p = substr(probe, 1, 2 * i) GROUP BY probe),
 kinds AS (
-  SELECT probe, CASE WHEN whole THEN 0 WHEN coalesce(size, 0) = length(probe) THEN -4 WHEN coalesce(size, 0) > 0 THEN -3 ELSE -1 END::INTEGER AS kind,
-    CASE WHEN NOT whole AND size < length(probe) THEN size ELSE 0 END::INTEGER AS index FROM probe LEFT JOIN best USING (probe)
+  SELECT probe, CASE WHEN whole THEN 0 WHEN coalesce(size, 0) = length(probe) // 2 THEN -4 WHEN coalesce(size, 0) > 0 THEN -3 ELSE -1 END::INTEGER AS kind,
+    CASE WHEN NOT whole AND size < length(probe) // 2 THEN size ELSE 0 END::INTEGER AS index FROM probe LEFT JOIN best USING (probe)
 )
 """
 _PREDICATES = {
@@ -360,47 +412,67 @@ cased AS (SELECT *, NOT all_upper AND not_capitalized AND not_all_lower AS mixed
 _WORDS = r"words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{Nd}]+')) AS word FROM %s) WHERE word <> ''),"
 
 
-def _suggest(asked: str, extra: str) -> str:
+# Letters beyond a-z in the tables, each by a sign of one byte, as the distances of the SQL count bytes.
+_ONE = "translate({}, 'éèßêçíóöüäñ', 'ABCDEFGHIJK')"
+_SHORTER = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1))"
+# Of words that no two edits without a swap make equal: a swap of neighbours, and at most one edit on either side of it.
+_SWAP = """len(list_filter(range(1, length(x)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND j < length(y) AND substr(y, j, 2) = substr(x, i + 1, 1) || substr(x, i, 1)
+  AND damerau_levenshtein(substr(x, 1, i - 1), substr(y, 1, j - 1)) + damerau_levenshtein(substr(x, i + 2), substr(y, j + 2)) <= 1)) > 0)) > 0"""
+
+
+def _suggest(asked: str, extra: str, most: int = 1) -> str:
+    """Suggestions by an equi-join of what is left after deletions, and the distance of each pair."""
+    keys = f"SELECT word, w, unnest(list_distinct(list_append({_SHORTER.format('w')}, w))) AS k FROM {{}}"
+    if most == 2:
+        keys = f"SELECT DISTINCT word, w, unnest(list_distinct(list_append({_SHORTER.format('k')}, k))) AS k FROM ({keys})"
+    lev = "levenshtein(x, y)"
+    distance = f"damerau_levenshtein(x, y)" if most == 1 else f"CASE WHEN damerau_levenshtein(x, y) <= 1 THEN damerau_levenshtein(x, y) WHEN {lev} <= 2 OR {_SWAP} THEN 2 ELSE 3 END"
     return (
         _BASE
         + f""", asked AS ({asked}),
-near AS (
-  SELECT a.word AS probe, f.word AS suggestion, damerau_levenshtein(a.word, f.word)::INTEGER AS distance, f FROM asked a JOIN freq f ON abs(length(a.word) - length(f.word)) <= 1
-  WHERE damerau_levenshtein(a.word, f.word) <= 1 AND a.word <> f.word {extra}
+a AS (SELECT word, {_ONE.format('word')} AS w FROM asked WHERE length(word) < 120), b AS (SELECT word, {_ONE.format('word')} AS w FROM vocab),
+ka AS ({keys.format('a')}), kb AS ({keys.format('b')}),
+met AS (SELECT DISTINCT ka.word AS probe, kb.word AS suggestion, ka.w AS x, kb.w AS y FROM ka JOIN kb USING (k) WHERE ka.word <> kb.word {extra}),
+near AS (SELECT probe, suggestion, ({distance})::INTEGER AS distance, f FROM met JOIN freq ON freq.word = suggestion),
+all_ AS (
+  SELECT probe, suggestion, distance, distance * 26 + 25 - f AS score, row_number() OVER (PARTITION BY probe ORDER BY distance * 26 + 25 - f, suggestion)::INTEGER AS rank FROM near
+  WHERE distance <= CASE WHEN length(probe) <= {most} THEN length(probe) - 1 ELSE {most} END
 )
-SELECT probe, suggestion, distance, distance * 26 + 25 - f AS score, row_number() OVER (PARTITION BY probe ORDER BY distance * 26 + 25 - f, suggestion)::INTEGER AS rank FROM near
+SELECT * FROM all_ WHERE rank <= 10
 """
     )
 
 
-_SHARED = "list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: substr({a}, 1, k) = substr({b}, 1, k)))"
+#: Bytes that the starts of two texts of hexadecimal digits share, of so many bytes each.
+_SHARED = "list_max(list_filter(range(0, least({n}, {m}) + 1), lambda k: substr({a}, 1, 2 * k) = substr({b}, 1, 2 * k)))"
 
 
 def oracle_sql() -> dict[str, str]:
-    same = _SHARED.format(a="source", b="target")
+    same = _SHARED.format(a="s", b="t", n="ls", m="lt")
+    code = lambda n: f"printf('%02X', ((65 + {n}) % 256)::INTEGER)"
     return {
         "lex_scan": _BASE + "SELECT word, stem, tag FROM lex",
-        "lex_encode_none": _BASE + "SELECT source, target, hex(target) AS coded FROM pairs",
-        "lex_encode_suffix": _BASE + f"SELECT source, target, hex(chr((65 + length(source) - n)::INTEGER) || substr(target, n + 1)) AS coded FROM (SELECT *, {same} AS n FROM pairs)",
-        "lex_encode_prefix": _BASE + """, runs AS (
-  SELECT source, target, list_max(list_transform(range(length(source)), lambda i: {'n': list_max(list_filter(range(0, least(length(source) - i, length(target)) + 1), lambda k: substr(source, i + 1, k) = substr(target, 1, k))), 'i': -i})) AS b FROM pairs
-) SELECT source, target, hex(chr((65 - b.i)::INTEGER) || chr((65 + length(source) + b.i - b.n)::INTEGER) || substr(target, b.n + 1)) AS coded FROM runs""",
+        "lex_encode_none": _BASE + "SELECT source, target, t AS coded FROM pairs",
+        "lex_encode_suffix": _BASE + f"SELECT source, target, {code('ls - n')} || substr(t, 2 * n + 1) AS coded FROM (SELECT *, {same} AS n FROM pairs)",
+        "lex_encode_prefix": _BASE + f""", runs AS (
+  SELECT source, target, s, t, ls, list_max(list_transform(range(ls), lambda i: {{'n': list_max(list_filter(range(0, least(ls - i, lt) + 1), lambda k: substr(s, 2 * i + 1, 2 * k) = substr(t, 1, 2 * k))), 'i': -i}})) AS b FROM pairs
+) SELECT source, target, {code('(-b.i)')} || {code('(ls + b.i - b.n)')} || substr(t, 2 * b.n + 1) AS coded FROM runs""",
         "lex_encode_infix": _BASE + f""", first AS (SELECT *, {same} AS f FROM pairs),
 tries AS (
-  SELECT source, target, f, i, j, {_SHARED.format(a="(substr(source, 1, i) || substr(source, i + j + 1))", b="target")} AS n
-  FROM (SELECT *, unnest(range(1, length(source) - i + 1)) AS j FROM (SELECT *, unnest(list_distinct([0, f])) AS i FROM first))
+  SELECT source, target, f, i, j, {_SHARED.format(a="(substr(s, 1, 2 * i) || substr(s, 2 * (i + j) + 1))", b="t", n="(ls - j)", m="lt")} AS n
+  FROM (SELECT *, unnest(range(1, ls - i + 1)) AS j FROM (SELECT *, unnest(list_distinct([0, f])) AS i FROM first))
 ), best AS (SELECT source, target, max({{'n': n, 'o': -(CASE WHEN i = 0 THEN 0 ELSE 1000 END + j), 'i': i, 'j': j}}) AS b FROM tries GROUP BY source, target
 ), chosen AS (
-  SELECT source, target, CASE WHEN b.n > f THEN b.n ELSE f END AS n, CASE WHEN b.n > f THEN b.i ELSE 0 END AS i, CASE WHEN b.n > f THEN b.j ELSE 0 END AS j FROM first LEFT JOIN best USING (source, target)
-), last AS (SELECT *, length(source) - j - n AS rest FROM chosen
-), moved AS (SELECT *, rest = 0 AND i + j = length(source) AS m FROM last)
-SELECT source, target, hex(chr((65 + CASE WHEN m THEN 0 ELSE i END)::INTEGER) || chr((65 + CASE WHEN m THEN 0 ELSE j END)::INTEGER) || chr((65 + CASE WHEN m THEN j ELSE rest END)::INTEGER) || substr(target, n + 1)) AS coded FROM moved""",
+  SELECT source, target, t, ls, CASE WHEN b.n > f THEN b.n ELSE f END AS n, CASE WHEN b.n > f THEN b.i ELSE 0 END AS i, CASE WHEN b.n > f THEN b.j ELSE 0 END AS j FROM first LEFT JOIN best USING (source, target)
+), last AS (SELECT *, ls - j - n AS rest FROM chosen
+), moved AS (SELECT *, rest = 0 AND i + j = ls AS m FROM last)
+SELECT source, target, {code('CASE WHEN m THEN 0 ELSE i END')} || {code('CASE WHEN m THEN 0 ELSE j END')} || {code('CASE WHEN m THEN j ELSE rest END')} || substr(t, 2 * n + 1) AS coded FROM moved""",
         "lex_roundtrip": _BASE + "SELECT count(*) AS pairs, 0::BIGINT AS suffix, 0::BIGINT AS prefix, 0::BIGINT AS infix, 0::BIGINT AS \"none\" FROM pairs",
         "lookup_inner": _BASE + "SELECT word, stem, tag FROM said JOIN lex USING (word)",
         "lookup_left": _BASE + "SELECT word, stem, tag FROM said LEFT JOIN lex USING (word)",
         "lookup_not_found": _BASE + "SELECT word FROM said WHERE word NOT IN (SELECT word FROM vocab)",
         "synth_lookup": _BASE + ", asked AS (SELECT DISTINCT regexp_replace(word, '(tion|ing|ed|er|en|es|ly|s)$', '') AS stem, unnest(['en', 'de']) AS tag FROM said) SELECT stem, tag, word FROM asked JOIN lex USING (stem, tag)",
-        "apply_lines": _BASE + ", w AS (SELECT word FROM edited UNION SELECT word FROM said) SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM w LEFT JOIN lex USING (word)",
+        "apply_lines": _BASE + ", w AS (SELECT word FROM wrong UNION SELECT word FROM said) SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM w LEFT JOIN lex USING (word)",
         "dict_decompile": _BASE + "SELECT coalesce(stem, '') || '+' || word || '+' || coalesce(tag, '') AS line FROM lex",
         "dict_compile_validate": "SELECT (length(line) - length(replace(line, '+', '')))::INTEGER AS separators, count(*) AS rows FROM (SELECT concat_ws('+', replace(p_name, ' ', '+'), p_brand, CASE WHEN p_size % 2 = 0 THEN p_type END) AS line FROM part) GROUP BY 1",
         "dict_tag_inventory": _BASE + "SELECT tag, count(*) AS entries, count(DISTINCT word) AS words FROM lex GROUP BY tag",
@@ -409,15 +481,15 @@ SELECT source, target, hex(chr((65 + CASE WHEN m THEN 0 ELSE i END)::INTEGER) ||
         "fsa_arcs": _TREE + "SELECT * FROM arcs",
         "fsa_right_language": _TREE + "SELECT prefix, count FROM langs",
         "fsa_states": _TREE + "SELECT name, count FROM st",
-        "fsa_stats": _TREE + "SELECT (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS finals, (SELECT count(*) FROM arcs) AS tree_arcs, (SELECT count(*) FROM vocab) AS sequences, (SELECT max(length(word)) FROM vocab) AS longest",
+        "fsa_stats": _TREE + "SELECT (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS finals, (SELECT count(*) FROM arcs) AS tree_arcs, (SELECT count(*) FROM vocab) AS sequences, (SELECT max(length(h)) // 2 FROM bytes) AS longest",
         "fsa_fanout": _TREE + ", d AS (SELECT count(*) AS fan_out FROM merged GROUP BY src), h AS (SELECT fan_out, count(*) AS states FROM d GROUP BY fan_out) SELECT fan_out, coalesce(states, 0) AS states FROM (SELECT unnest(range(min(fan_out), max(fan_out) + 1)) AS fan_out FROM h) LEFT JOIN h USING (fan_out)",
         "fsa_label_hist": _TREE + "SELECT label, count(*) AS arcs FROM merged GROUP BY label",
         "fsa_top_labels": _TREE + "SELECT label, count(*) AS arcs FROM merged GROUP BY label ORDER BY arcs DESC, label LIMIT 10",
         "fsa_inlinks": _TREE + "SELECT dst AS state, count(*) AS in_links FROM merged WHERE dst IS NOT NULL GROUP BY dst",
-        "fsa_perfect_hash": _BASE + "SELECT word AS seq, row_number() OVER (ORDER BY word) - 1 AS rank FROM vocab",
+        "fsa_perfect_hash": _BASE + "SELECT h AS seq, row_number() OVER (ORDER BY h) - 1 AS rank FROM bytes",
         "fsa_match_kind": _PROBE + "SELECT probe, kind, index FROM kinds",
-        "fsa_perfect_hash_probe": _PROBE + ", r AS (SELECT word AS probe, row_number() OVER (ORDER BY word) - 1 AS rank FROM vocab) SELECT probe, coalesce(rank, kind)::BIGINT AS hash FROM kinds LEFT JOIN r USING (probe)",
-        "fsa_prefix_expand": _BASE + ", p AS (SELECT DISTINCT substr(word, 1, 5) AS prefix FROM said) SELECT prefix, substr(word, length(prefix) + 1) AS suffix FROM p JOIN vocab ON length(word) > length(prefix) AND substr(word, 1, length(prefix)) = prefix",
+        "fsa_perfect_hash_probe": _PROBE + ", r AS (SELECT h AS probe, row_number() OVER (ORDER BY h) - 1 AS rank FROM bytes) SELECT probe, coalesce(rank, kind)::BIGINT AS hash FROM kinds LEFT JOIN r USING (probe)",
+        "fsa_prefix_expand": _BASE + ", p AS (SELECT DISTINCT substr(hex(encode(word)), 1, 10) AS prefix FROM said), c AS (SELECT h, unnest(range(1, least(5, length(h) // 2 - 1) + 1)) AS n FROM bytes) SELECT prefix, substr(h, 2 * n + 1) AS suffix FROM p JOIN c ON prefix = substr(h, 1, 2 * n)",
         "fsa5_roundtrip": _BASE + "SELECT word FROM vocab",
         "cfsa2_roundtrip": _BASE + "SELECT word FROM vocab",
         "spell_predicates": "WITH " + _WORDS % "documents" + _CASED + r"SELECT word, alphabetic, no_digit, all_upper, not_all_lower, not_capitalized, mixed, mixed AND regexp_matches(word, '^\p{Lu}\p{Ll}') AS camel, initial_upper FROM cased",
@@ -433,7 +505,17 @@ SELECT word, prefix, suffix, prefix || ' ' || suffix AS candidate FROM cut
 WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[^\p{Lu}\p{Lt}\p{Lm}\p{Lo}]*') AND lower(suffix) IN (SELECT word FROM known)))
   AND (prefix IN (SELECT word FROM known) OR (regexp_matches(prefix, '^\p{Lu}') AND lower(prefix) IN (SELECT word FROM known)))""",
         "spell_frequency": _BASE + "SELECT word, coalesce(f, 0)::INTEGER AS frequency FROM said LEFT JOIN freq USING (word)",
-        "spell_suggest_d1": _suggest("SELECT word FROM edited", "AND a.word NOT IN (SELECT word FROM vocab)"),
-        "spell_similar_d1": _suggest("SELECT word FROM vocab WHERE length(word) >= 16", ""),
-        "spell_suggest_diacritics": _BASE + ", w AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 3) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = s.word WHERE s.word NOT IN (SELECT word FROM w)",
+        "spell_suggest_d1": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)"),
+        "spell_suggest_d2": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)", 2),
+        "spell_similar_d1": _suggest("SELECT word FROM vocab", ""),
+        "spell_suggest_diacritics": _BASE + ", w AS (SELECT word FROM vocab) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = lower(strip_accents(s.word)) WHERE s.word NOT IN (SELECT word FROM w)",
+        "lex_parquet_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
+        "lookup_guards": _BASE + "," + _WORDS.rstrip(",") % "conversations" + """,
+asked AS (SELECT unnest([word, word || '+' || word, word || chr(380)]) AS word FROM words)
+SELECT word, stem, tag FROM asked LEFT JOIN lex USING (word)""",
+        "fsa_hot_states": _TREE + "SELECT dst AS state, count(*) AS in_links FROM merged WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) > 2 ORDER BY in_links DESC, state DESC LIMIT 150",
+        "fsa_visits": _TREE + "SELECT row_number() OVER (ORDER BY height, name) - 1 AS place, name, count, height::INTEGER AS height FROM st",
+        "byte_names": _TREE + "SELECT byte, CASE WHEN byte > 32 AND byte < 127 THEN chr(byte) || printf(' (0x%02x)', byte) ELSE printf('0x%02x', byte) END AS shown FROM (SELECT DISTINCT ('0x' || label)::INTEGER AS byte FROM merged)",
+        "line_checks": "SELECT sum(length(t) - length(replace(t, chr(13), '')) > 0)::BIGINT AS cr_lines, sum(t = '')::BIGINT AS empty_lines FROM (SELECT unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN chr(65279) ELSE '' END || coalesce(text, ''), chr(10))) AS t FROM documents)",
+        "spell_misspelled_strict": _BASE + "," + _WORDS.rstrip(",") % "conversations" + " SELECT word, word NOT IN (SELECT word FROM vocab) AS misspelled FROM words",
     }

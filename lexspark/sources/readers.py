@@ -75,7 +75,7 @@ def line_violations(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     content = F.col("content")
     text = F.decode(content, "ISO-8859-1")
-    parts = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
+    parts = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
     return raw.select(
         "path", F.startswith(F.hex(content), F.lit("EFBBBF")).alias("has_bom"),
         F.size(F.filter(parts, lambda x: F.contains(x, F.lit("\r")))).alias("cr_lines"), F.size(F.filter(parts, lambda x: x == "")).alias("empty_lines"),
