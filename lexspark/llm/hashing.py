@@ -1,34 +1,36 @@
 """Hashes of words and shingles in whole batches of texts, with numpy.
 
-Words are cut and hashed in the bytes of a batch at once: a polynomial over random 64-bit letters modulo 2^64, whose
-prefix sums give the hash of any range, then a mixing step. Two different words or shingles that fall together are not
-told apart; with 64 bits that is one chance in 10^19 for each comparison.
+Words are cut and hashed in the bytes of a batch at once: two polynomials over random letters modulo two primes of 31
+bits, whose prefix sums give the hash of any range, then a mixing step. Modulo primes no regular words fall together, as
+they would modulo 2^64. Two different words or shingles that fall together by chance are not told apart: among n of them
+some n^2 / 2^63 pairs do.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Prime moduli and bases; products of two residues fit into 64 bits.
+_PRIMES = ((2**31 - 1, 1_102_650_611), (2**31 - 19, 987_654_347))
+_LETTERS = np.random.default_rng(20).integers(1, 2**31 - 19, (len(_PRIMES), 256), dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes handled at once; longer texts go in pieces cut at blanks.
 PIECE = 1 << 18
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _PRIMES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of them."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+def powers(n: int) -> list[list[np.ndarray]]:
+    """For each prime the powers of the base and of its inverse, at least n of them."""
+    for k, (prime, base) in enumerate(_PRIMES):
+        for i, b in enumerate((base, pow(base, -1, prime))):
+            p = _powers[k][i]
+            while len(p) < n:  # the next as many are these times the first that lacks
+                p = np.concatenate((p, p * np.uint64(pow(b, len(p), prime)) % np.uint64(prime)))
+            _powers[k][i] = p
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,16 +43,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of letter times power before each byte."""
-    p, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * p[: len(data)], out=out[1:])
+def prefix_sums(data: np.ndarray) -> list[np.ndarray]:
+    """For each prime, the sums of letter times power before each byte; at most PIECE terms and a word below 2^31."""
+    out = []
+    for (prime, _), letters, (p, _) in zip(_PRIMES, _LETTERS, powers(len(data) + 1), strict=True):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(letters[data] * p[: len(data)] % np.uint64(prime), out=sums[1:])
+        out.append(sums)
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+def range_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = None
+    for (prime, _), own, (_, inverse) in zip(_PRIMES, sums, powers(len(sums[0])), strict=True):
+        h = (own[end] - own[start]) % np.uint64(prime) * inverse[start] % np.uint64(prime)
+        out = h if out is None else out << np.uint64(31) | h
+    return mix(out)
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
