@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed, remove, shared_folder  # noqa: F401  operators take all helpers from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
@@ -24,35 +25,6 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary one is made on a single machine; on a cluster, whose executors couldn't read each
-    other's files there, that is an error.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="lexspark-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table, in any store that Spark reads."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def named(name: str) -> Column:
     """The column of exactly this name, whatever signs are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

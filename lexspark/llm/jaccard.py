@@ -46,7 +46,8 @@ class JoinOptions:
     percent: int = 85  # links need 100 * intersection >= percent * union
     band: float = 1.5  # largest by smallest size of a band
     small_bucket: int = 32
-    block: int = 4096
+    block: int = 4096  # sets on each side of a block
+    block_items: int = 2_000_000  # shingles on each side of a block, or one set
     broadcast_ids: int = 1_000_000  # at 16 bytes each
 
 
@@ -197,12 +198,14 @@ def _block_links(mixed: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame
     """Links across components in large buckets, of which several with the same largest component are seen together.
 
     Members in blocks meet the sets outside the largest component in blocks, so that every pair meets once in a task
-    that holds a bounded number of sets. One link to each component is enough for a set.
+    that holds a bounded number of sets and of shingles. One link to each component is enough for a set.
     """
     sized = mixed.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sized.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("g"))
-    rows = mixed.join(largest, "sig").select("g", "set_id", "label").distinct()
-    counts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / o.block).alias("mb"), F.ceil(F.count_if(F.col("label") != F.col("g")) / o.block).alias("ub"))
+    rows = mixed.join(largest, "sig").select("g", "set_id", "label", "n").distinct()
+    # twice the blocks that an even deal would need, as sets are dealt by their hashes
+    blocks = lambda c: F.greatest(F.ceil(F.count_if(c) / o.block), F.ceil(2 * F.sum(F.when(c, F.col("n"))) / o.block_items))
+    counts = rows.groupBy("g").agg(blocks(F.lit(True)).alias("mb"), blocks(F.col("label") != F.col("g")).alias("ub"))
     rows = checkpointed(rows.join(counts, "g").withColumn("h", F.xxhash64("set_id")))
     member = rows.select("g", "set_id", "label", F.pmod("h", "mb").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ub") - 1)).alias("u"), F.lit(False).alias("outside"))
     outside = rows.where("label <> g").select("g", "set_id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("m"), F.pmod("h", "ub").alias("u"), F.lit(True).alias("outside"))
