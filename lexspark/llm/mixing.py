@@ -9,7 +9,8 @@ The running sum needs no sort of a whole source: documents are counted in small
 cells get their offsets, and only the documents of one cell are numbered together. A hot source or a frequent size is
 spread over 256 cells of each size class.
 
-Style: DataFrame functions only. Nothing but numbers is shuffled, unless the caller carries columns along.
+Style: DataFrame functions only. Nothing but numbers is shuffled, unless the caller carries columns along. Sizes are
+written once to the shared folder, at some 60 bytes a document.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import named, table
+from .common import checkpointed, named, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -54,6 +55,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     return s.select("source", "source_size", F.when(free, share).otherwise((2 * F.col("source_size")).cast("double")).alias("target"))
 
 
+def _placeable(rows: DataFrame) -> DataFrame:
+    """Adds to ``(id, source, size)`` what tells a document's cell: size class ``level``, ``part`` by hash, and ``key`` of the source."""
+    binary = F.bin("size")
+    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("level", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 2, 3)))
+    return rows.withColumn("part", F.substring("h", 1, 2)).withColumn("key", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` for each row, and the columns in ``carry``.
 
@@ -61,15 +70,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one; a null id sorts as an empty one. Repeated rows are rows of their own. An empty table, or one without words,
     gives zeros. The offset comes from a hash of the source, so reruns agree.
     """
-    size = words_in(F.col(text_col))
-    binary = F.bin("size")
+    slim = [named(id_col).alias("id"), named(source_col).alias("source"), words_in(named(text_col)).alias("size")]
+    numbers = checkpointed(_placeable(docs.select(*slim)))  # the sizes of all texts, so that they are counted once
     kept = [named(c).alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *kept)
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("level", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 2, 3)))
-    rows = rows.withColumn("part", F.substring("h", 1, 2)).withColumn("key", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")))
+    rows = _placeable(docs.select(*slim, *kept)) if carry else numbers
 
-    cells = rows.groupBy("key", "source", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cell_size"))
+    cells = numbers.groupBy("key", "source", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cell_size"))
     by_source = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights)
     by_source = by_source.select(F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")).alias("key"), "source_size", "target")
     ahead = Window.partitionBy("key").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
