@@ -5,8 +5,9 @@ takes the child with the smallest ``-ln(u) / weight``: each child wins in propor
 moves documents only into or out of that child. A further shard becomes a region of its own, so that no weight inside
 the old subtrees changes and documents move into the new shard only: the law is ``key``.
 
-Slots count the documents of a shard without gaps. They are numbered in small cells (shard, hash) whose offsets come
-from counts, so that no task holds a whole shard.
+Slots count the documents of a shard without gaps, in the order of a hash. They are numbered in cells of the shard that
+share the first digits of that hash, whose offsets come from counts. More documents take more digits, so that cells stay
+small and no task holds a whole shard.
 
 Style: DataFrame functions only. One shuffle of the slim rows (and of what the caller carries).
 """
@@ -22,6 +23,8 @@ from pyspark.sql.window import Window
 from .common import named, table
 
 OVERHEAD = 16
+#: Documents for each cell, about; the slots are the same for any number.
+CELL = 20_000
 
 
 @dataclass(frozen=True)
@@ -89,10 +92,13 @@ def shard(docs: DataFrame, shards: int = 40, tree: Tree = Tree(), id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("crc"), *kept)
     rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("null")))
     h = F.md5(F.concat("key", F.lit("|slot")).cast("binary"))
-    rows = located(rows, shards, tree, "shard").withColumn("h", h).withColumn("part", F.substring("h", 1, 2))
+    n, digits = docs.count(), 2  # the count is in the files' footers
+    while shards * CELL * 16**digits < n:
+        digits += 1
+    rows = located(rows, shards, tree, "shard").withColumn("h", h).withColumn("part", F.substring("h", 1, digits))
 
     keys = located(docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key")), shards, tree, "shard")
-    cells = keys.groupBy("shard", F.substring(h, 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    cells = keys.groupBy("shard", F.substring(h, 1, digits).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
 
