@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -543,6 +544,38 @@ def test_sharding(spark, docs, rows, empty):
     assert as_rows(sharding.shard(docs)) == as_rows(sharding.shard(docs.repartition(5))) and sharding.shard(empty).count() == 0
 
 
+def plain_shard(key, shards, weights={}):
+    """The descent once more: regions of four racks of five shards, and each shard from 40 on a region of its own."""
+    racks = [[s for s in range(i, i + 5) if s < shards] for i in range(0, 40, 5)]
+    node = [[r for r in racks[i : i + 4] if r] for i in range(0, 8, 4)] + [[[s]] for s in range(40, shards)]
+    weight = lambda x: sum(map(weight, x)) if isinstance(x, list) else weights.get(x, 1.0)
+    for level in range(3):
+        drawn = []
+        for k, child in enumerate(node):
+            name = child
+            while isinstance(name, list):
+                name = name[0]
+            u = (int(hashlib.md5(f"{key}|{level}.{name}".encode()).hexdigest()[:12], 16) + 1) / 2**48
+            drawn.append((-math.log(u) / weight(child), k))
+        node = node[min(drawn)[1]]
+    return node
+
+
+def test_shards_are_those_of_a_plain_descent(spark, docs, rows, monkeypatch):
+    want = Counter()
+    for i, t, *_ in rows:
+        key = "null" if i is None else str(i)
+        want[i, zlib.crc32((t or "").encode()), plain_shard(key, 40), plain_shard(key, 41)] += 1
+    got = sharding.shard(docs)
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.grown_shard) for r in got.collect()) == want
+    key = lambda r: "null" if r.doc_id is None else str(r.doc_id)
+    for s in {r.shard for r in got.collect()}:
+        order = [hashlib.md5(f"{key(r)}|slot".encode()).hexdigest() for r in sorted((r for r in got.collect() if r.shard == s), key=lambda r: r.slot)]
+        assert order == sorted(order)
+    monkeypatch.setattr(sharding, "CELL", 0.001)  # more digits, the same slots
+    assert as_rows(sharding.shard(docs)) == as_rows(got)
+
+
 def test_weights_of_shards(spark):
     ids = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     heavy = sharding.Tree(weights=((7, 3.0),))
@@ -579,7 +612,7 @@ def plain_components(rows, k, percent):
     return sorted(((r[0], len(s), (ids.get(find(i)) if s else r[0])) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"shingle": 1, "percent": 60}, {"shingle": 2, "percent": 70, "small_bucket": 1, "block": 3, "broadcast_ids": 0}, {"shingle": 5, "percent": 80}])
+@pytest.mark.parametrize("options", [{}, {"shingle": 1, "percent": 60}, {"shingle": 2, "percent": 70, "small_bucket": 1, "block": 3, "broadcast_ids": 0}, {"shingle": 2, "percent": 70, "small_bucket": 1, "block_items": 100}, {"shingle": 5, "percent": 80}])
 def test_jaccard(spark, docs, rows, empty, options):
     o = jaccard.JoinOptions(**options)
     assert as_rows(jaccard.jaccard_components(docs, options=o)) == plain_components(rows, o.shingle, o.percent)
@@ -649,6 +682,17 @@ def test_components(spark):
         assert got == {i: find(i) for pair in links if pair[0] != pair[1] for i in pair}
 
 
+def test_regular_words_do_not_fall_together():
+    """Words that every polynomial modulo a power of two takes for equal."""
+    one, two = "a", "b"
+    while len(one) < 1024:
+        one, two = one + two, two + one
+    a, b = hashing.word_hashes([one.encode(), two.encode()])
+    assert a[0] != b[0]
+    many = [bytes([97 + (i >> k) % 2 for k in range(14)]) for i in range(1 << 14)]
+    assert len({int(x[0]) for x in hashing.word_hashes(many)}) == len(many)
+
+
 def test_words_of_long_texts():
     draw = random.Random(4)
     texts = ["".join(draw.choice("ab \n\x0b") for _ in range(n)).encode() for n in (0, 1, 40, hashing.PIECE * 2 + 7)] + [b"x" * (hashing.PIECE * 2), b"A a", b" "]
