@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing
+from . import decontam, jaccard, mixing, sharding, suffixes
 from .decontam import op3_decontam
 from .extract import op1_extract
 from .jaccard import op10_jaccard
@@ -33,5 +33,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontam": decontam.SQL,
+        "op5_repeats": suffixes.SQL,
         "op8_mixing": mixing.SQL,
+        "op9_sharding": sharding.SQL,
+        "op10_jaccard": jaccard.SQL,
     }

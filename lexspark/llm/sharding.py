@@ -113,3 +113,25 @@ def shard(docs: DataFrame, shards: int = 40, tree: Tree = Tree(), id_col: str =
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 from its rule, and the descent with the default tree's regions, racks and shards; nodes of one level weigh alike but for shard 40.
+SQL = r"""
+WITH rule AS (
+  SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS key, strlen(coalesce(text, ''))::BIGINT + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, key, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 16), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8))) AS text_crc32 FROM d, rule
+), r AS (
+  SELECT *, list_min(list_transform([0, 20], lambda n: {'d': -ln((('0x' || substr(md5(key || '|0.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0) / 20, 'n': n})).n AS a,
+    list_min(list_transform([0, 20, 40], lambda n: {'d': -ln((('0x' || substr(md5(key || '|0.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0) / CASE n WHEN 40 THEN 1 ELSE 20 END, 'n': n})).n AS g FROM c
+), k AS (
+  SELECT * REPLACE (list_min(list_transform([a, a + 5, a + 10, a + 15], lambda n: {'d': -ln((('0x' || substr(md5(key || '|1.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0), 'n': n})).n AS a,
+    CASE g WHEN 40 THEN 40 ELSE list_min(list_transform([g, g + 5, g + 10, g + 15], lambda n: {'d': -ln((('0x' || substr(md5(key || '|1.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0), 'n': n})).n END AS g) FROM r
+), s AS (
+  SELECT * REPLACE (list_min(list_transform(range(a, a + 5), lambda n: {'d': -ln((('0x' || substr(md5(key || '|2.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0), 'n': n})).n AS a,
+    CASE g WHEN 40 THEN 40 ELSE list_min(list_transform(range(g, g + 5), lambda n: {'d': -ln((('0x' || substr(md5(key || '|2.' || n), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656.0), 'n': n})).n END AS g) FROM k
+)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, a::INTEGER AS shard, (row_number() OVER (PARTITION BY a ORDER BY md5(key || '|slot'), key, text_crc32, size) - 1)::BIGINT AS slot, g::INTEGER AS grown_shard FROM s
+"""

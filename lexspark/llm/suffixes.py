@@ -479,3 +479,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: A hash of the string at every byte: for small tables.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d
+), p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM n WHERE n >= 200)
+), q AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
+), o AS (SELECT doc_id, i, coalesce(i > 200 + lag(i) OVER (PARTITION BY doc_id ORDER BY i), true) AS first FROM q
+), g AS (SELECT doc_id, i, sum(first::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o
+), s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run
+), u AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda k: substr(h, 2 * CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END + 1, 2 * (CASE WHEN k > n_spans THEN n ELSE a[k] END - CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END))), '') END)) AS kept_sha256
+FROM n LEFT JOIN u USING (doc_id)
+"""
