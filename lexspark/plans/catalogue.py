@@ -509,6 +509,20 @@ WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[
         "spell_suggest_d2": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)", 2),
         "spell_similar_d1": _suggest("SELECT word FROM vocab", ""),
         "spell_suggest_diacritics": _BASE + ", w AS (SELECT word FROM vocab) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = lower(strip_accents(s.word)) WHERE s.word NOT IN (SELECT word FROM w)",
+        # from left to right, each place where a key starts is kept or rewritten; what is kept comes first
+        "spell_rewrites": _BASE.replace("WITH tok", "WITH RECURSIVE tok") + r""", walk(probe, done, rest, n, path) AS (
+  SELECT word, '', word, 6, '' FROM wrong
+  UNION ALL
+  SELECT probe, done || substr(rest, 1, i - 1) || CASE b WHEN 0 THEN k ELSE t END, substr(rest, i + length(k)), n - 1, path || b FROM (
+    SELECT *, CASE k WHEN 'ot' THEN 'ought' WHEN 'g' THEN 'tion' ELSE 'anded' END AS t, length(done) + i AS pos FROM (
+      SELECT *, CASE WHEN substr(rest, i, 1) = 'g' THEN 'g' ELSE substr(rest, i, 2) END AS k FROM (
+        SELECT *, list_min(list_filter([instr(rest, 'ot'), instr(rest, 'g'), CASE WHEN ends_with(rest, 'ed') THEN length(rest) - 1 ELSE 0 END], lambda x: x > 0)) AS i FROM walk WHERE length(probe) > 1 AND n > 0))
+    WHERE i IS NOT NULL), (VALUES (0), (1)) AS v(b)
+  WHERE b = 0 OR NOT (substr(done || rest, pos, length(t)) = t OR (pos - length(t) + 1 >= 1 AND substr(done || rest, pos - length(t) + 1, length(t)) = t))
+), ends AS (
+  SELECT probe, done || rest AS form, min(path) AS path FROM walk WHERE n = 0 OR length(probe) <= 1 OR NOT (contains(rest, 'ot') OR contains(rest, 'g') OR ends_with(rest, 'ed')) GROUP BY ALL
+)
+SELECT probe, (row_number() OVER (PARTITION BY probe ORDER BY path) - 1)::INTEGER AS place, form FROM ends""",
         "lex_parquet_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
         "lookup_guards": _BASE + "," + _WORDS.rstrip(",") % "conversations" + """,
 asked AS (SELECT unnest([word, word || '+' || word, word || chr(380)]) AS word FROM words)
