@@ -83,6 +83,7 @@ class Options:
     least_tokens: int = 3
     prose: float = 0.2
     broadcast_tokens: int = BROADCAST_TOKENS
+    broadcast_hosts: int = 1_000_000  # at some 50 bytes each
 
 
 @dataclass
@@ -300,12 +301,15 @@ def vectors(tokens: DataFrame, o: Options = Options()) -> DataFrame:
     )
     each = checkpointed(each)
     # the token with most pages stands for their number: every page starts with one that nearly all have
-    size = each.groupBy("host").agg(F.max("support").alias("pages"))
-    each = each.join(size, "host")
-    large = each.where(F.col("pages") >= o.least_pages)
-    pool = each.where(F.col("pages") < o.least_pages).groupBy("token").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("most").alias("most"), F.bool_or("hint").alias("hint"))
-    pages = size.where(F.col("pages") < o.least_pages).agg(F.sum("pages").alias("pages"))
-    pool = pool.join(F.broadcast(pages)).withColumn("host", F.lit(POOL))  # one row
+    size = checkpointed(each.groupBy("host").agg(F.max("support").alias("pages")))
+    # of a large host, what stands on fewer pages is in no class, and so its texts meet in no task
+    large = each.where(F.col("support") >= o.least_pages).join(size.where(F.col("pages") >= o.least_pages), "host")
+    small = size.where(F.col("pages") < o.least_pages)
+    total, hosts = small.agg(F.sum("pages"), F.count(F.lit(1))).first()
+    few = small.select("host")
+    pool = each.join(F.broadcast(few) if hosts <= o.broadcast_hosts else few, "host", "left_semi")
+    pool = pool.groupBy("token").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("most").alias("most"), F.bool_or("hint").alias("hint"))
+    pool = pool.select(F.lit(POOL).alias("host"), "*", F.lit(total or 0).cast("long").alias("pages"))
     return large.unionByName(pool.select(large.columns))
 
 

@@ -155,7 +155,7 @@ def test_template_without_tags(spark):
     got = {r.page_id: r for r in extract.extract(pages).collect()}
     assert len(got) == 32 and got[3].text == "Own text 3 of page 21\nMore 3" and got[3].n_chars == len(got[3].text)
     assert got[99].text == "" and got[None].text == "alone"
-    assert as_rows(extract.extract(pages, options=extract.Options(broadcast_tokens=0))) == sorted(map(tuple, got.values()), key=repr)
+    assert as_rows(extract.extract(pages, options=extract.Options(broadcast_tokens=0, broadcast_hosts=0))) == sorted(map(tuple, got.values()), key=repr)
     assert extract.extract(pages.limit(0)).count() == 0
 
 
