@@ -194,6 +194,18 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _owners(owner: np.ndarray, low: np.ndarray, n: np.ndarray, sets: int, limit: int = 1 << 20) -> np.ndarray:
+    """How often each set owns one of the places ``low`` to ``low + n``; about ``limit`` places are held at once."""
+    out, upto, i = np.zeros(sets, np.int64), np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, "right")))
+        k = n[i:j]
+        at = np.repeat(low[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        out += np.bincount(owner[at], minlength=sets)
+        i = j
+    return out
+
+
 def _block_links(mixed: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     """Links across components in large buckets, of which several with the same largest component are seen together.
 
@@ -220,10 +232,8 @@ def _block_links(mixed: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame
             flat, owner = flat[order], np.repeat(np.arange(len(inner)), size)[order]
             ids, labels = inner.set_id.to_numpy(), inner.label.to_numpy()
             for a, label, items in zip(outer.set_id, outer.label, outer["items"], strict=True):
-                low, high = np.searchsorted(flat, items, "left"), np.searchsorted(flat, items, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(inner))
+                low = np.searchsorted(flat, items, "left")
+                common = _owners(owner, low, np.searchsorted(flat, items, "right") - low, len(inner))
                 like = np.flatnonzero((100 * common >= percent * (size + len(items) - common)) & (labels != label))
                 _, first = np.unique(labels[like], return_index=True)
                 found += [(a, b) for b in ids[like[first]]]

@@ -662,6 +662,17 @@ def test_similar_sets_share_enough_signatures():
             assert sum(int(x) % jaccard.BANDS == band for x in common) >= need
 
 
+def test_owners_in_parts():
+    draw = np.random.default_rng(3)
+    for limit in (1, 7, 1000):
+        owner = draw.integers(0, 9, 200)
+        low = draw.integers(0, 150, 40)
+        n = draw.integers(0, 50, 40)
+        want = Counter(int(owner[x]) for a, k in zip(low, n, strict=True) for x in range(a, a + k))
+        assert jaccard._owners(owner, low, n, 9, limit).tolist() == [want[i] for i in range(9)]
+    assert jaccard._owners(owner, low[:0], n[:0], 9).tolist() == [0] * 9
+
+
 def test_components(spark):
     draw = random.Random(3)
     for n, m in ((1, 0), (40, 25), (60, 59)):
