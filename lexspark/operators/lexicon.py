@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 from threading import Lock
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,9 +147,17 @@ class Lexicon:
     table: DataFrame | None = None
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Lexicon:
-        """From a binary dictionary and its metadata file."""
-        return Lexicon(*readers.read_dictionary_files(spark, path))
+    def read(spark: SparkSession, path: str, metadata: str | None = None) -> Lexicon:
+        """From a binary dictionary and its metadata file: the one beside it, or the one named."""
+        if metadata is None:
+            return Lexicon(*readers.read_dictionary_files(spark, path))
+        return Lexicon(readers.read_fsa(spark, path), read_metadata(readers.read_bytes(spark, metadata)))
+
+    @staticmethod
+    def from_streams(spark: SparkSession, automaton: BinaryIO, metadata: BinaryIO) -> Lexicon:
+        """From the bytes of both files, wherever they come from; they pass the driver."""
+        content = spark.createDataFrame([(bytearray(automaton.read()),)], "content binary")
+        return Lexicon(readers.fsa_sequences(content), read_metadata(metadata.read()))
 
     @staticmethod
     def compile(rows: DataFrame, metadata: Metadata) -> Lexicon:

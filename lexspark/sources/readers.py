@@ -84,7 +84,11 @@ def line_violations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fsa(spark: SparkSession, path: str, expect: int | None = None) -> DataFrame:
     """``(seq BINARY)``: all sequences of the automata at ``path``, of any of the three formats."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    return fsa_sequences(spark.read.format("binaryFile").load(path).select("content"), expect)
+
+
+def fsa_sequences(files: DataFrame, expect: int | None = None) -> DataFrame:
+    """``(seq BINARY)``: all sequences of the automata in the column ``content``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +101,7 @@ def read_fsa(spark: SparkSession, path: str, expect: int | None = None) -> DataF
                         part = []
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["seq"])
 
-    return raw.mapInArrow(run, "seq binary")
+    return files.select("content").mapInArrow(run, "seq binary")
 
 
 def fsa_info(spark: SparkSession, path: str) -> DataFrame:

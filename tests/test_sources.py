@@ -120,6 +120,15 @@ def test_saved_lexicons(spark, source):
             lex.save(str(source / f"{encoder}.parquet"))
 
 
+def test_dictionaries_from_streams(spark, source):
+    lex = Lexicon.compile(spark.createDataFrame([("b", "bs", "t")], "base string, inflected string, tag string"), Metadata("+", "infix", "utf-8"))
+    lex.write(str(source / "s.dict"))
+    (source / "s.info").rename(source / "other.properties")
+    streams = Lexicon.from_streams(spark, io.BytesIO((source / "s.dict").read_bytes()), io.BytesIO((source / "other.properties").read_bytes()))
+    for back in (streams, Lexicon.read(spark, str(source / "s.dict"), str(source / "other.properties"))):
+        assert [tuple(r) for r in back.scan().collect()] == [("bs", "b", "t")] and back.metadata == lex.metadata
+
+
 def test_named_dictionaries(spark, source):
     lex = Lexicon.compile(spark.createDataFrame([("b", "bs", "t")], "base string, inflected string, tag string"), Metadata("+", "suffix", "utf-8"))
     lex.save(str(source / "n.parquet"))
