@@ -46,7 +46,7 @@ class JoinOptions:
     percent: int = 85  # links need 100 * intersection >= percent * union
     band: float = 1.5  # largest by smallest size of a band
     small_bucket: int = 32
-    block: int = 4096  # sets on each side of a block
+    block: int = 1024  # sets on each side of a block
     block_items: int = 2_000_000  # shingles on each side of a block, or one set
     broadcast_ids: int = 1_000_000  # at 16 bytes each
 
