@@ -443,6 +443,52 @@ SELECT * FROM all_ WHERE rank <= 10
     )
 
 
+#: Rewrites with long targets: from left to right, each place where a key starts is kept or rewritten; kept comes first.
+_WALK = _BASE.replace("WITH tok", "WITH RECURSIVE tok") + r""", walk(probe, done, rest, n, path) AS (
+  SELECT word, '', word, 6, '' FROM wrong
+  UNION ALL
+  SELECT probe, done || substr(rest, 1, i - 1) || CASE b WHEN 0 THEN k ELSE t END, substr(rest, i + length(k)), n - 1, path || b FROM (
+    SELECT *, CASE k WHEN 'ot' THEN 'ought' WHEN 'g' THEN 'tion' ELSE 'anded' END AS t, length(done) + i AS pos FROM (
+      SELECT *, CASE WHEN substr(rest, i, 1) = 'g' THEN 'g' ELSE substr(rest, i, 2) END AS k FROM (
+        SELECT *, list_min(list_filter([instr(rest, 'ot'), instr(rest, 'g'), CASE WHEN ends_with(rest, 'ed') THEN length(rest) - 1 ELSE 0 END], lambda x: x > 0)) AS i FROM walk WHERE length(probe) > 1 AND n > 0))
+    WHERE i IS NOT NULL), (VALUES (0), (1)) AS v(b)
+  WHERE b = 0 OR NOT (substr(done || rest, pos, length(t)) = t OR (pos - length(t) + 1 >= 1 AND substr(done || rest, pos - length(t) + 1, length(t)) = t))
+), ends AS (
+  SELECT probe, done || rest AS form, min(path) AS path FROM walk WHERE n = 0 OR length(probe) <= 1 OR NOT (contains(rest, 'ot') OR contains(rest, 'g') OR ends_with(rest, 'ed')) GROUP BY ALL
+)
+"""
+#: Suggestions with all rewrite pairs: rewritten probes, their words by what is left after the short pairs and a
+#: deletion, and the least cost over the points where a short pair applies and both sides are in step.
+_PAIRED = _WALK + rf""", forms AS (
+  SELECT probe, form, {_ONE.format('form')} AS w, row_number() OVER (PARTITION BY probe ORDER BY path) - 1 AS place FROM ends WHERE length(probe) < 120 AND probe NOT IN (SELECT word FROM vocab)
+), searched AS (
+  SELECT probe, form, w, place FROM (SELECT *, min(CASE WHEN place > 0 AND length(form) < 4 THEN place END) OVER (PARTITION BY probe) AS stop FROM forms) WHERE place < 14 AND (stop IS NULL OR place < stop)
+), var(w, done, rest, n) AS (
+  SELECT DISTINCT w, '', w, 6 FROM searched
+  UNION ALL
+  SELECT w, done || CASE b WHEN 0 THEN substr(rest, 1, i) ELSE substr(rest, 1, i - 1) || CASE substr(rest, i, 2) WHEN 'll' THEN 'l' ELSE 'th' END END, substr(rest, i + 1 + b), n - b
+  FROM (SELECT *, list_min(list_filter([instr(rest, 'll'), instr(rest, 'sm')], lambda x: x > 0)) AS i FROM var WHERE n > 0), (VALUES (0), (1)) AS v(b) WHERE i IS NOT NULL
+), x AS (SELECT DISTINCT w, done || rest AS v FROM var WHERE n = 0 OR NOT (contains(rest, 'll') OR contains(rest, 'sm'))
+), y AS (SELECT word, {_ONE.format('word')} AS v FROM vocab
+), kx AS (SELECT DISTINCT w, unnest(list_append({_SHORTER.format('v')}, v)) AS k FROM x), ky AS (SELECT DISTINCT word, v, unnest(list_append({_SHORTER.format('v')}, v)) AS k FROM y
+), met AS (SELECT DISTINCT w, word, v FROM kx JOIN ky USING (k)
+), points(w, word, v, i, j, cost) AS (
+  SELECT w, word, v, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM met
+  UNION
+  SELECT w, word, v, i + k + 2, j + k + length(t), cost + damerau_levenshtein(substr(w, i + 1, k), substr(v, j + 1, k))
+  FROM (SELECT *, unnest(range(0, least(length(w) - i, length(v) - j) + 1)) AS k FROM points WHERE contains(substr(w, i + 1), 'll') OR contains(substr(w, i + 1), 'sm')), (VALUES ('ll', 'l'), ('sm', 'th')) AS r(s, t)
+  WHERE substr(w, i + k + 1, 2) = s AND substr(v, j + k + 1, length(t)) = t AND cost + damerau_levenshtein(substr(w, i + 1, k), substr(v, j + 1, k)) <= 1
+), far AS (
+  SELECT w, word, min(cost + damerau_levenshtein(substr(w, i + 1), substr(v, j + 1))) AS distance FROM points GROUP BY w, word HAVING distance <= CASE WHEN length(w) <= 1 THEN length(w) - 1 ELSE 1 END
+), found AS (
+  SELECT probe, place, word, distance FROM searched JOIN far USING (w) UNION ALL SELECT probe, place, form, 0 FROM forms WHERE form IN (SELECT word FROM vocab)
+), scored AS (SELECT probe, word AS suggestion, place, distance::INTEGER AS distance, (distance * 26 + 25 - f)::INTEGER AS score FROM found JOIN freq USING (word) WHERE word <> probe
+), once AS (SELECT *, row_number() OVER (PARTITION BY probe, suggestion ORDER BY score, place) AS n FROM scored
+), all_ AS (SELECT probe, suggestion, distance, score, row_number() OVER (PARTITION BY probe ORDER BY score, place, suggestion)::INTEGER AS rank FROM once WHERE n = 1)
+SELECT * FROM all_ WHERE rank <= 10
+"""
+
+
 #: Bytes that the starts of two texts of hexadecimal digits share, of so many bytes each.
 _SHARED = "list_max(list_filter(range(0, least({n}, {m}) + 1), lambda k: substr({a}, 1, 2 * k) = substr({b}, 1, 2 * k)))"
 
@@ -509,20 +555,8 @@ WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[
         "spell_suggest_d2": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)", 2),
         "spell_similar_d1": _suggest("SELECT word FROM vocab", ""),
         "spell_suggest_diacritics": _BASE + ", w AS (SELECT word FROM vocab) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = lower(strip_accents(s.word)) WHERE s.word NOT IN (SELECT word FROM w)",
-        # from left to right, each place where a key starts is kept or rewritten; what is kept comes first
-        "spell_rewrites": _BASE.replace("WITH tok", "WITH RECURSIVE tok") + r""", walk(probe, done, rest, n, path) AS (
-  SELECT word, '', word, 6, '' FROM wrong
-  UNION ALL
-  SELECT probe, done || substr(rest, 1, i - 1) || CASE b WHEN 0 THEN k ELSE t END, substr(rest, i + length(k)), n - 1, path || b FROM (
-    SELECT *, CASE k WHEN 'ot' THEN 'ought' WHEN 'g' THEN 'tion' ELSE 'anded' END AS t, length(done) + i AS pos FROM (
-      SELECT *, CASE WHEN substr(rest, i, 1) = 'g' THEN 'g' ELSE substr(rest, i, 2) END AS k FROM (
-        SELECT *, list_min(list_filter([instr(rest, 'ot'), instr(rest, 'g'), CASE WHEN ends_with(rest, 'ed') THEN length(rest) - 1 ELSE 0 END], lambda x: x > 0)) AS i FROM walk WHERE length(probe) > 1 AND n > 0))
-    WHERE i IS NOT NULL), (VALUES (0), (1)) AS v(b)
-  WHERE b = 0 OR NOT (substr(done || rest, pos, length(t)) = t OR (pos - length(t) + 1 >= 1 AND substr(done || rest, pos - length(t) + 1, length(t)) = t))
-), ends AS (
-  SELECT probe, done || rest AS form, min(path) AS path FROM walk WHERE n = 0 OR length(probe) <= 1 OR NOT (contains(rest, 'ot') OR contains(rest, 'g') OR ends_with(rest, 'ed')) GROUP BY ALL
-)
-SELECT probe, (row_number() OVER (PARTITION BY probe ORDER BY path) - 1)::INTEGER AS place, form FROM ends""",
+        "spell_rewrites": _WALK + "SELECT probe, (row_number() OVER (PARTITION BY probe ORDER BY path) - 1)::INTEGER AS place, form FROM ends",
+        "spell_suggest_pairs": _PAIRED,
         "lex_parquet_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
         "lookup_guards": _BASE + "," + _WORDS.rstrip(",") % "conversations" + """,
 asked AS (SELECT unnest([word, word || '+' || word, word || chr(380)]) AS word FROM words)
