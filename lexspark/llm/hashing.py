@@ -61,6 +61,18 @@ def range_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np
     return mix(out)
 
 
+def window_hash(sums: list[np.ndarray], size: int) -> np.ndarray:
+    """``range_hash`` of every range of ``size`` bytes, in order."""
+    out = None
+    for (prime, _), own, (_, inverse) in zip(_PRIMES, sums, powers(len(sums[0])), strict=True):
+        h = own[size:] - own[:-size]
+        h %= np.uint64(prime)
+        h *= inverse[: len(h)]
+        h %= np.uint64(prime)
+        out = h if out is None else out << np.uint64(31) | h
+    return mix(out)
+
+
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each word, and its hash with A-Z in lower case."""
     blank = _BLANK[data]

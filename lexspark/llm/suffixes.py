@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed, slices, table
-from .hashing import mix, prefix_sums, range_hash
+from .hashing import mix, prefix_sums, range_hash, window_hash
 
 
 @dataclass(frozen=True)
@@ -77,8 +77,7 @@ def anchors(data: np.ndarray, bounds: list[tuple[int, int]], o: RepeatOptions) -
     if n < L:
         return empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty.view(np.uint64)
     sums = prefix_sums(data)
-    at = np.arange(n - k + 1)
-    h = range_hash(sums, at, at + k)
+    h = window_hash(sums, k)
     low = _sliding(h, reach + 1, np.minimum)  # of the string that starts at each byte
     valid = np.zeros(n - L + 1, bool)
     for a, b in bounds:
@@ -365,8 +364,8 @@ def _hot_spans(near: DataFrame, o: RepeatOptions) -> DataFrame:
     length, near = o.length, near.select("tid", "start", "far", "bytes")
 
     def whole(d: bytes, *_) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(len(d) - length + 1)
-        return range_hash(prefix_sums(np.frombuffer(d, np.uint8)), at, at + length).view(np.int64), at
+        hashes = window_hash(prefix_sums(np.frombuffer(d, np.uint8)), length).view(np.int64)
+        return hashes, np.arange(len(hashes))
 
     def shared(twice: DataFrame):
         rows = np.array(sorted(map(tuple, twice.toLocalIterator())), np.int64).reshape(-1, 3)
