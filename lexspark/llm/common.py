@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def told_apart(make: Callable[[int], DataFrame], key: str, other: str, tries: int = 8) -> tuple[DataFrame, int]:
+    """``make(salt)``, written, and the first salt for which no two values of ``other`` share a ``key``.
+
+    ``key`` and ``other`` are independent 64-bit hashes of one thing, the first of which depends on the salt. So things
+    are told apart as by 128 bits, and work goes on with 64.
+    """
+    for salt in range(tries):
+        rows = checkpointed(make(salt))
+        if rows.groupBy(key).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").isEmpty():
+            return rows, salt
+    raise ValueError(f"{key} is no hash: different things share it whatever the salt")
+
+
 def draw(*key: Column | str) -> Column:
     """A number from 0 to 2^62 - 1 that depends on the key only, to draw samples by."""
     return F.shiftrightunsigned(F.xxhash64(*key), 2)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, named, slices, table, unused
+from .common import checkpointed, named, slices, table, told_apart, unused
 from .hashing import mix, shingle_set, word_hashes
 
 SPARE, UNSIGNED = 6, 2
@@ -107,37 +107,42 @@ def _sets(texts: list, o: JoinOptions) -> list[np.ndarray]:
     return [shingle_set(w, o.shingle) for w in word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
 
 
-def _set_id(s: np.ndarray) -> int:
+def _set_id(s: np.ndarray, salt: int) -> int:
     """A hash of the whole set: its own mixing, apart from that of the signatures."""
-    total = np.add.reduce(mix(s ^ np.uint64(0xD6E8FEB86659FD93))) + np.uint64(len(s))
+    total = np.add.reduce(mix(s ^ mix(np.array([0xD6E8FEB86659FD93 + salt], np.uint64)))) + np.uint64(len(s))
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def _base(docs: DataFrame, o: JoinOptions) -> DataFrame:
-    """``(id, tid, set_id, n, sigs)``; a set that its task has seen before brings no signatures again."""
+#: The salt of the second hash of a set.
+_OTHER = 1 << 32
+
+
+def _base(docs: DataFrame, o: JoinOptions, salt: int) -> DataFrame:
+    """``(id, tid, set_id, other, n, sigs)``, two hashes of the set; a set that its task has seen before brings no signatures again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         limits = band_limits(o, 16)
         for b in slices(batches, "text", 500_000):
-            ids, n, sigs = [], [], []
+            ids, others, n, sigs = [], [], [], []
             for s in _sets(b.column("text").to_pylist(), o):
                 if 100 * len(s) >= o.percent * limits[-2]:  # the bands of all partners, too
                     limits = band_limits(o, 200 * len(s) // o.percent)
-                k = _set_id(s) if len(s) else None
+                k = _set_id(s, salt) if len(s) else None
                 ids.append(k)
+                others.append(_set_id(s, _OTHER) if len(s) else None)
                 n.append(len(s))
                 sigs.append(np.zeros(0, np.uint64) if k is None or k in seen else signatures(s, o, limits))
                 seen.add(k)
             offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.array(np.concatenate(sigs).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "tid", "set_id", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "tid", "set_id", "other", "n", "sigs"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, tid long, set_id long, n long, sigs array<long>")
+    return docs.mapInArrow(run, f"id {kind}, tid long, set_id long, other long, n long, sigs array<long>")
 
 
-def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions) -> DataFrame:
+def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions, salt: int) -> DataFrame:
     """``(set_id, n, items)`` of the sets in ``wanted`` (id, tid, set_id), from the texts of one document each.
 
     Its id and the hash of its text find the document; a null id does, too. Of rows that repeat both, a task reads one.
@@ -157,7 +162,7 @@ def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions) -> DataFrame:
             if not b.num_rows:
                 continue
             sets = _sets(b.column("text").to_pylist(), o)
-            keep = [_set_id(s) == k for s, k in zip(sets, b.column("set_id").to_pylist(), strict=True)]
+            keep = [_set_id(s, salt) == k for s, k in zip(sets, b.column("set_id").to_pylist(), strict=True)]
             sets = [s for s, k in zip(sets, keep, strict=True) if k]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64), pa.int64())
@@ -262,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> DataFrame:
     """``(set_id, id, tid, n, label, component)`` for each row: the hash of its text, its component, and that one's smallest id."""
     slim = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tid"), named(text_col).alias("text"))
-    base = checkpointed(_base(slim, o))
+    base, salt = told_apart(lambda k: _base(slim, o, k), "set_id", "other")
     by_sig = Window.partitionBy("sig")
     ranges = F.element_at(F.array(*map(F.lit, ranges_by_band(o))), (F.col("band") + 1).cast("int"))
 
@@ -285,7 +290,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> Data
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the candidates (a, b), checkpointed, those that are similar; with the sets of all of them loaded once."""
         members = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o))
+        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o, salt))
         return checkpointed(_linked(pairs, sets, o))
 
     # the set that shares most buckets leads: near an original, its copies differ less from it than from each other
@@ -314,7 +319,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> Data
     more = linked(checkpointed(pairs.select("a", "b").distinct()))
     if not many.isEmpty():
         members = many.select("set_id").distinct()
-        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o))
+        sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o, salt))
         more = checkpointed(more.unionByName(_block_links(many, sets, o)))
     if not more.isEmpty():
         labels = components(links.unionByName(more))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, slices, table
+from .common import checkpointed, slices, table, told_apart
 from .hashing import mix, prefix_sums, range_hash, window_hash
 
 
@@ -451,12 +451,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty. Texts shorter than ``length`` bytes keep everything; equal texts that aren't shorter
     lose everything, repeated rows included. Null ids stay null; an empty table gives an empty result; other columns are
-    not read. Texts are told apart by a 64-bit hash, and matches never cross their ends.
+    not read. Texts are told apart as by a hash of 128 bits, and matches never cross their ends.
     """
     o = options
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = slim.withColumn("tid", F.xxhash64("text"))
-    copied = slim.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tid", F.lit(True).alias("copied"))
+    other = F.xxhash64(F.lit("other"), "text")
+    texts = lambda salt: slim.groupBy(F.xxhash64(F.lit(salt), "text").alias("tid"), other.alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    counts, salt = told_apart(texts, "tid", "other")
+    slim = slim.withColumn("tid", F.xxhash64(F.lit(salt), "text"))
+    copied = counts.where("n > 1").select("tid", F.lit(True).alias("copied"))
     known = checkpointed(repeats(slim.select("tid", "text"), o).join(copied, "tid", "full"))
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -662,6 +662,19 @@ def test_similar_sets_share_enough_signatures():
             assert sum(int(x) % jaccard.BANDS == band for x in common) >= need
 
 
+def test_things_that_share_a_hash_are_told_apart(spark):
+    """Hashes of three bits: some salt may do for a few things, none does for many."""
+    from lexspark.llm.common import told_apart
+
+    make = lambda n: lambda salt: spark.range(n).select("id", F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(8)).alias("h"))
+    rows, salt = told_apart(make(3), "h", "id", tries=50)
+    assert rows.select("h").distinct().count() == 3
+    with pytest.raises(ValueError, match="h is no hash"):
+        told_apart(make(9), "h", "id", tries=3)
+    s = np.arange(5, dtype=np.uint64)
+    assert len({jaccard._set_id(s, k) for k in (0, 1, jaccard._OTHER)}) == 3
+
+
 def test_owners_in_parts():
     draw = np.random.default_rng(3)
     for limit in (1, 7, 1000):
