@@ -507,6 +507,52 @@ def test_media_rows(spark, docs, rows, empty):
     assert jpeg.media_columns(docs).count() == len(rows) and jpeg.media_columns(empty).count() == 0
 
 
+def plain_picture(data):
+    """Width, height and samples of each picture of a file of ours, bit by bit."""
+    codes = {f"{c:0{n}b}": k for k, (c, n) in jpeg.code_table(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS).items()}
+    for part in re.findall(rb"\xff\xd8.*?\xff\xd9", data, re.S):
+        frame = part[part.index(b"\xff\xc0") + 4 :]
+        high, wide = int.from_bytes(frame[1:3], "big"), int.from_bytes(frame[3:5], "big")
+        scan = part[part.index(b"\xff\xda") :]
+        grid = []
+        for row in re.split(rb"\xff[\xd0-\xd7]", scan[2 + int.from_bytes(scan[2:4], "big") : -2]):
+            bits, level, line = iter("".join(f"{b:08b}" for b in row.replace(b"\xff\0", b"\xff"))), 0, []
+            while len(line) < wide // 8:
+                code = next(bits)
+                while code not in codes:
+                    code += next(bits)
+                n = codes[code]
+                raw = "".join(next(bits) for _ in range(n))
+                if n:
+                    level += int(raw, 2) if raw[0] == "1" else int(raw, 2) - 2**n + 1
+                assert next(bits) == "0"  # the end of the block
+                line.append(level + 128)
+            grid.append(line)
+        assert len(grid) == high // 8
+        yield wide, high, grid
+
+
+def plain_hash(grid):
+    h, w, cells = len(grid), len(grid[0]), []
+    for y in range(8):
+        for x in range(8):
+            ys = range(min(y * h // 8, h - 1), max((y + 1) * h // 8, y * h // 8 + 1))
+            xs = range(min(x * w // 8, w - 1), max((x + 1) * w // 8, x * w // 8 + 1))
+            cells.append(sum(grid[b][a] for b in ys for a in xs) / (len(ys) * len(xs)))
+    mean = sum(cells) / 64
+    return f"{int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
+def test_features_are_those_of_a_plain_decoder(spark, docs, rows):
+    for r in jpeg.media_columns(docs.where(F.length("text") < 2000), with_media=True).collect():
+        raw = b""
+        for mark, (wide, high, grid) in zip(r.feature.split(";"), plain_picture(r.media), strict=True):
+            size, own = mark.split(":")
+            assert size == f"{wide}x{high}" and own == plain_hash(grid)
+            raw += bytes(v for line in grid for v in line)
+        assert hashlib.sha256(raw[: r.payload_bytes]).hexdigest() == r.payload_sha256
+
+
 # --- mixing and sharding ------------------------------------------------------------------------------------------
 
 
