@@ -11,7 +11,7 @@ Pages of one host come from a template, and the tokens of one part of it occur e
    ten at least. Others are dropped. Classes so nest into the host's template.
 4. **Slots** are the gaps: the text between two neighbouring tokens of a class, inside a gap of the class around it.
    Over all pages each slot has its statistics: letters, letters in links, and how often it repeats the page's title.
-5. **Main text.** The slot with most letters outside links is the centre. The innermost element of the template around
+5. **Main text.** The slot with most letters outside links and outside vetoed elements is the centre. The innermost element of the template around
    it is the main region, widened to the element above as long as that adds nothing but headlines, further prose, or
    what the tag ``article`` or ``main`` holds. If the region has no menus in it, all of its slots are taken; if it is a
    container of menus, too, the centre, headlines and slots of much prose are. Text that the pages share is template,
@@ -19,7 +19,7 @@ Pages of one host come from a template, and the tokens of one part of it occur e
    have no other.
 
 Tag names and classes never choose: but for that widening they only veto blocks in elements such as ``nav`` or ``form``
-or of classes such as ``ad``. Hosts with fewer than ``least_pages`` pages are one group, the pool, whose vectors are
+or of classes such as ``ad``, which are left out and make no centre. Hosts with fewer than ``least_pages`` pages are one group, the pool, whose vectors are
 the sums of theirs. Only pages that neither their host's nor the pool's template fits are read by tag names alone.
 
 Style: Arrow maps parse pages one by one; classes and slots are found by DataFrame aggregation, and one small group of
@@ -386,10 +386,11 @@ class Template:
 
 
 def slot_rows(pages: DataFrame) -> DataFrame:
-    """``(host, kind, key, around, pages, free, chars, links, titles)`` from ``(host, html, tokens)``, summed over each batch.
+    """``(host, kind, key, around, pages, free, chars, links, titles, kept)`` from ``(host, html, tokens)``, summed over each batch.
 
     kind ``class``: the pages of a class and, as free, those with faults; ``nest``: the rounds of a class by the chain
-    around them; ``slot``: letters outside the template and of all blocks, letters in links, and blocks that the title repeats.
+    around them; ``slot``: letters outside the template and of all blocks, letters in links, pages whose title repeats a
+    block, and letters outside template, links and vetoed elements.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,28 +403,29 @@ def slot_rows(pages: DataFrame) -> DataFrame:
                 template, page = known.get(host, tokens), read(t)
                 chains, seen = template.walk(page)
                 for c, (faults, rounds) in seen.items():
-                    _add(sums, (host, "class", str(c), ""), 1, faults > 0, 0, 0, 0)
+                    _add(sums, (host, "class", str(c), ""), 1, faults > 0, 0, 0, 0, 0)
                     for chain in rounds:
-                        _add(sums, (host, "nest", str(c), chain), 1, 0, 0, 0, 0)
+                        _add(sums, (host, "nest", str(c), chain), 1, 0, 0, 0, 0, 0)
                 slots: dict[tuple[str, str], list[int]] = {}
                 for block, chain in zip(page.blocks, chains, strict=True):
                     n = len(block.text)
-                    x = slots.setdefault((chain, " ".join(template.around(block))), [0, 0, 0, 0])
+                    x = slots.setdefault((chain, " ".join(template.around(block))), [0, 0, 0, 0, 0])
                     free = page.tokens[block.at] not in template.tokens
                     x[0] += n * free
                     x[1] += n
                     x[2] += min(n, block.link_chars)
                     x[3] |= 2 * n >= len(page.title) > 0 and block.text in page.title or len(page.title) > 10 and page.title in block.text
+                    x[4] += max(0, n - block.link_chars) * (free and not block.furniture)
                 for (chain, elements), x in slots.items():
                     _add(sums, (host, "slot", chain, elements), 1, *x)
             keys, values = list(sums), list(sums.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], pa.string()) for i in range(4)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)],
-                ["host", "kind", "key", "around", "pages", "free", "chars", "links", "titles"],
+                [pa.array([k[i] for k in keys], pa.string()) for i in range(4)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(6)],
+                ["host", "kind", "key", "around", "pages", "free", "chars", "links", "titles", "kept"],
             )
 
-    rows = pages.mapInArrow(run, "host string, kind string, key string, around string, pages long, free long, chars long, links long, titles long")
-    return rows.groupBy("host", "kind", "key", "around").agg(*(F.sum(c).alias(c) for c in ("pages", "free", "chars", "links", "titles")))
+    rows = pages.mapInArrow(run, "host string, kind string, key string, around string, pages long, free long, chars long, links long, titles long, kept long")
+    return rows.groupBy("host", "kind", "key", "around").agg(*(F.sum(c).alias(c) for c in ("pages", "free", "chars", "links", "titles", "kept")))
 
 
 def _add(sums: dict, key: tuple, *values: int) -> None:
@@ -461,11 +463,13 @@ def judged(rows: pd.DataFrame, hints: set[str], o: Options) -> dict:
     slots: dict[tuple[str, tuple[str, ...]], list[int]] = {}
     for r in rows[rows["kind"] == "slot"].itertuples():
         key = kept(r.key, "/"), tuple(kept(r.around, " ").split())
-        have = slots.setdefault(key, [0] * 5)
-        for i, v in enumerate((r.pages, r.free, r.chars, r.links, r.titles)):
+        have = slots.setdefault(key, [0] * 6)
+        for i, v in enumerate((r.pages, r.free, r.chars, r.links, r.titles, r.kept)):
             have[i] += v
     nothing = {"valid": [], "region": "", "whole": False, "shared": False, "slots": []}
-    prose = lambda x: max(0, x[1] - x[3]) if any(s[1] > s[3] for s in slots.values()) else max(0, x[2] - x[3])
+    # without text of its own that isn't vetoed, a page shows what it has
+    measures = (lambda x: x[5], lambda x: max(0, x[1] - x[3]), lambda x: max(0, x[2] - x[3]))
+    prose = next((m for m in measures if any(map(m, slots.values()))), measures[-1])
     if not sound or not slots or not any(map(prose, slots.values())):
         return nothing
     centre = max(slots, key=lambda k: (prose(slots[k]), k))

@@ -189,7 +189,7 @@ SCRAMBLED = [{k: f'{e} class="{v}"' for k, e, v in zip(("nav", "ad", "main", "fo
 
 
 def test_the_template_finds_the_text_whatever_tags_are_named(spark):
-    """Scrambled names choose nothing; the third names mislead, and only their veto costs text."""
+    """Scrambled names choose nothing; misleading ones veto."""
     plain = {"nav": "nav", "ad": "div class=ad", "main": "article", "foot": "footer"}
     rows = [(h, *x) for h, n, names in (("a.example", 40, plain), ("b.example", 40, SCRAMBLED[0]), ("c.example", 40, SCRAMBLED[1]), *((f"small{k}.example", 1 + k % 3, plain) for k in range(20))) for x in site(h, n, names, len(h) + n)]
     pages = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(4)
@@ -197,7 +197,21 @@ def test_the_template_finds_the_text_whatever_tags_are_named(spark):
     assert [got[i].text for i in range(len(rows))] == [r[3] for r in rows] and all(r.by_template for r in got.values())
     misled = [x for x in site("d.example", 20, SCRAMBLED[2], 3)]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(misled)], "page_id long, url string, html string")
-    assert {r.text for r in extract.extract(pages).collect()} == {""}  # the whole region stands in an aside
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    assert all(not any(x in got[i] for x in text.split("\n")[1:] if len(x) > 20) for i, (_, _, text) in enumerate(misled))  # the article stands in an aside
+
+
+def test_comments_longer_than_the_article(spark):
+    draw = random.Random(31)
+    words = lambda n: " ".join("".join(draw.choice("abcdefg") for _ in range(4)) for _ in range(n))
+    pages, want = [], []
+    for i in range(12):
+        body, notes = [words(20) for _ in range(3)], [words(60) for _ in range(draw.randint(2, 9))]
+        comments = "".join(f"<li><b>{words(1)}</b><p>{x}</p></li>" for x in notes)
+        pages.append((i, "http://h.example/", f"<html><title>{body[0]}</title><body><nav><a href=x>{words(3)}</a></nav><main><h1>{body[0]}</h1><p>{body[1]}</p><p>{body[2]}</p></main><section id=comments><h2>Comments</h2><ul>{comments}</ul></section></body></html>"))
+        want.append("\n".join(body))
+    got = extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == want and all(r.by_template for r in got)
 
 
 def plain_classes(pages, o):
