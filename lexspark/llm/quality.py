@@ -7,7 +7,7 @@ within two standard errors of that part on either side.
 
 Style: Arrow maps around numpy; character-class statistics of whole texts are array work. The model is a vector of
 fixed size, so scoring has no shuffle. Training draws a bounded sample of labelled rows; the quantile is an aggregate
-over all rows, whose features are computed for it.
+over all rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import draw, drawn_below, held_out, is_training, named, slices, table
+from .common import checkpointed, draw, drawn_below, held_out, is_training, named, slices, table
 
 CUT = 0.3
 #: Quantiles among which the threshold is placed.
@@ -93,9 +93,13 @@ class Model:
         return float(np.clip((features(text) - self.mean) / self.scale, -8, 8) @ self.weights)
 
     def score(self, text: str | None) -> float:
-        """Between 0 and 1; the threshold is at CUT."""
-        z = np.clip(self.worth(text) - self.threshold + np.log(CUT / (1 - CUT)), -500, 500)
-        return float(1 / (1 + np.exp(-z)))
+        """Between 0 and 1; the threshold is at CUT, exactly."""
+        return CUT / (CUT + (1 - CUT) * float(np.exp(np.clip(self.threshold - self.worth(text), -500, 500))))
+
+    def score_of(self, worth: Column) -> Column:
+        """``score`` of a column that has the worths already."""
+        z = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(self.threshold) - worth))
+        return F.lit(CUT) / (F.lit(CUT) + F.lit(1 - CUT) * F.exp(z))
 
 
 def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 40_000, penalty: float = 1e-3, rounds: int = 400) -> Model:
@@ -132,21 +136,26 @@ def train(x: np.ndarray, y: np.ndarray, share_bad: float, pairs: int = 40_000, p
     return Model(mean, scale, w, threshold)
 
 
-def quantile(docs: DataFrame, model: Model, share: float, error: float = 0.0, text_col: str = "text") -> float:
-    """The worth that leaves ``share`` of all rows of ``docs`` below it; each row counts.
-
-    The share is known to ``error`` only. Of the quantiles up to that much smaller or larger, the middle of the widest
-    gap between neighbours is taken.
-    """
+def worths(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, worth)`` for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([model.worth(t) for t in b.column("text").to_pylist()], pa.float64())], ["worth"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([model.worth(t) for t in b.column("text").to_pylist()], pa.float64())], ["id", "worth"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, worth double")
+
+
+def quantile(known: DataFrame, model: Model, share: float, error: float = 0.0) -> float:
+    """The worth that leaves ``share`` of all rows of ``known`` (worth) below it; each row counts.
 
+    The share is known to ``error`` only. Of the quantiles up to that much smaller or larger, the middle of the widest
+    gap between neighbours is taken.
+    """
     grid = [float(p) for p in np.linspace(max(0.0, share - error), min(1.0, share + error), GRID)]
-    worths = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "worth double")
     # the sketch is of bounded size, and off by one row in 100,000 at most
-    at, low = worths.agg(F.percentile_approx("worth", F.array(*map(F.lit, grid)), 100_000), F.min("worth")).first()
+    at, low = known.agg(F.percentile_approx("worth", F.array(*map(F.lit, grid)), 100_000), F.min("worth")).first()
     if not at or share <= 0:
         return model.threshold if low is None else float(low - 1)
     k = int(np.argmax(np.diff(at)))
@@ -154,16 +163,24 @@ def quantile(docs: DataFrame, model: Model, share: float, error: float = 0.0, te
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> Model:
-    """Trains on the labels of the training fold, on ``per_label`` ids with each label at most; whole texts.
+    """A model whose threshold is the quantile of the scores of all of ``docs``."""
+    model, share, error = learned(docs, labels, id_col, text_col, label_col, per_label)
+    return model if share is None else replace(model, threshold=quantile(worths(docs, model, id_col, text_col), model, share, error))
 
-    Repeated labels count once; an id with both labels stands for both. Of several documents with one id, the one whose
-    text has the smallest hash is learned.
+
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> tuple[Model, float | None, float]:
+    """A model, the labels' share of bad documents and twice its standard error; no share if there is nothing to learn.
+
+    Trains on the labels of the training fold, on ``per_label`` ids with each label at most; whole texts. Repeated labels
+    count once; an id with both labels stands for both. Of several documents with one id, the one whose text has the
+    smallest hash is learned.
     """
     known = labels.select(named(id_col).alias("id"), named(label_col).alias("y")).where(is_training(F.col("id")) & F.col("y").isin(0, 1))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
+    nothing = Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0), None, 0.0
     if not total:
-        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0)
+        return nothing
     h = draw("id", F.lit("quality"))
     # about twice as many as wanted of each label by their hashes, then exactly those with the smallest
     near = lambda y: known.where((F.col("y") == y) & (h < drawn_below(2 * per_label + 100, counts.get(y, 0)))).distinct()
@@ -180,11 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sorted(map(tuple, rows.select("id", "y", "text").mapInArrow(run, "id string, y int, x binary").collect()))
     if not got:
-        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0)
+        return nothing
     x = np.stack([np.frombuffer(r[2], np.float32) for r in got]).astype(float)
     share = counts.get(0, 0) / total
-    model = train(x, np.array([r[1] for r in got]), share)
-    return replace(model, threshold=quantile(docs, model, share, 2 * (share * (1 - share) / total) ** 0.5, text_col))
+    return train(x, np.array([r[1] for r in got]), share), share, 2 * (share * (1 - share) / total) ** 0.5
 
 
 def rated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -216,20 +232,19 @@ def _mapped(docs: DataFrame, model: Model, text_col: str, result: Callable[[list
     return numbered.mapInArrow(run, inside).toDF(*names)
 
 
-def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    said = scored(docs, model)
-    return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, score, predicted)`` for each row: what ``rated`` says with the model that ``fit`` gives.
 
+    The worths are written once, for the quantile and for the scores, so that each text is read once.
+    """
+    model, share, error = learned(docs, labels)
+    known = checkpointed(worths(docs, model))
+    if share is not None:
+        model = replace(model, threshold=quantile(known, model, share, error))
+    score = model.score_of(F.col("worth"))
+    return known.select(F.col("id").alias("doc_id"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score, predicted)`` for each row: what ``rated`` says, without sending the texts back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            p = np.array([model.score(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["id", "score", "predicted"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -384,6 +384,10 @@ def test_quality(spark, empty):
     got = {r.doc_id: r for r in out.collect()}
     assert all(got[i].predicted == int(i % 4 > 0) for i in range(400)) and all(0 <= r.score <= 1 for r in got.values())
     assert got[500].score == got[501].score and set(out.columns) == set(docs.columns) | {"predicted"}
+    for known in (labels, labels.limit(0)):  # the query's shorter way says the same
+        two = quality.rated(docs, quality.fit(docs, known)).select("doc_id", F.round("score", 12), "predicted")
+        assert as_rows(quality.scored(docs, known).select("doc_id", F.round("score", 12), "predicted")) == as_rows(two)
+    assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.3}
     none = quality.fit(docs, labels.limit(0))
     assert {r.predicted for r in quality.rated(docs, none).collect()} == {1} and quality.rated(empty, none).count() == 0
     x = np.vstack([np.ones((5, 3)), np.zeros((2, 3))])
