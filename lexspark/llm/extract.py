@@ -66,6 +66,7 @@ POOL = "*"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^<>]*>?|</?\Z|[^<]++|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _HEADING = re.compile(r"h[1-6]\Z")
 #: What an opening tag closes when it is still open, and where that search stops.
@@ -111,37 +112,67 @@ class Page:
 
 @dataclass(slots=True)
 class _Open:
+    """An open element, with what holds for all text in it: the role, the elements around, and what their tags say."""
+
     element: str
     path: str
-    token: int
+    elements: tuple[int, ...]
     furniture: bool
     main: bool
+    heading: bool
+    link: bool
+    block: bool
+
+
+_ROOT = _Open("", "", (), False, False, False, False, False)
+@dataclass(slots=True)
+class _Tag:
+    """What a tag's text says, wherever it stands."""
+
+    element: str
+    closing: bool
     block: bool
+    role: str = ""
+    alone: bool = False  # holds nothing
+    raw: bool = False  # holds no tags
+    furniture: bool = False
+    main: bool = False
+    heading: bool = False
 
 
-_known_tags: dict[str, tuple[str, frozenset[str], bool]] = {}
+_known_tags: dict[str, _Tag] = {}
 _known_hashes: dict[str, int] = {}
 
 
-def _names(tag: str) -> tuple[str, frozenset[str], bool]:
-    """Label for the path, words of class, id and role, and whether the element is hidden."""
-    if (found := _known_tags.get(tag)) is not None:
+def _tag(text: str) -> _Tag:
+    """A tag by its text, remembered, as most come again and again."""
+    if (found := _known_tags.get(text)) is not None:
         return found
-    label, words, hidden = "", set(), False
-    for m in _ATTRIBUTE.finditer(tag):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            hidden = True
-        elif key == "style":
-            hidden |= "display:none" in value.lower().replace(" ", "")
-        elif key in ("class", "id", "role"):
-            label += "." + re.sub(r"\d+", "#", value)
-            words |= {w.lower() for w in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
+    element = _NAME.match(text)[1].lower()
+    out = _Tag(element, text[1] == "/", element in BLOCKS)
+    if not out.closing:
+        words, hidden = set(), False
+        out.role = element
+        for m in _ATTRIBUTE.finditer(text) if _TELLING.search(text) else ():
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                hidden = True
+            elif key == "style":
+                hidden |= "display:none" in value.lower().replace(" ", "")
+            elif key in ("class", "id", "role"):
+                out.role += "." + re.sub(r"\d+", "#", value)
+                words |= {w.lower() for w in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
+        out.alone = element in VOID or text.endswith("/>") and not out.block and element not in RAW
+        out.raw = element in RAW and element not in ("noscript", "template", "svg", "math")
+        out.heading = bool(_HEADING.match(element))
+        # a page's header is furniture, an article's own heading isn't
+        out.furniture = hidden or element in FURNITURE or bool(words & FURNITURE_NAMES) and element not in ("html", "body", *MAIN) and not out.heading
+        out.main = element in MAIN or bool(words & MAIN_NAMES) and element in ("div", "section", "td")
     if len(_known_tags) > 20_000:
         _known_tags.clear()
-    if len(tag) < 200:
-        _known_tags[tag] = label, frozenset(words), hidden
-    return label, frozenset(words), hidden
+    if len(text) < 200:
+        _known_tags[text] = out
+    return out
 
 
 def _hash(key: str) -> int:
@@ -159,26 +190,24 @@ def _hash(key: str) -> int:
 def read(text: str) -> Page:
     """A page's tokens and text blocks. Broken pages are read as far as they go."""
     out = Page()
-    stack: list[_Open] = []
+    tokens, blocks = out.tokens, out.blocks
+    stack: list[_Open] = [_ROOT]
     parts: list[str] = []
-    links, at = 0, 0
-    owner: tuple[_Open, ...] = ()
+    links, at, owner = 0, 0, _ROOT
 
     def flush() -> None:
         nonlocal links
         if parts:
-            block = " ".join(html.unescape("".join(parts)).split())
+            whole = "".join(parts)
+            block = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if block:
-                path = owner[-1].path if owner else ""
-                elements = tuple(x.token for x in owner if x.block)
-                heading = any(x.block and _HEADING.match(x.element) for x in owner[-2:])
-                out.blocks.append(Block(block, len(out.tokens), elements, any(x.furniture for x in owner), any(x.main for x in owner), heading, links))
-                out.tokens.append(xxhash.xxh64_intdigest(f"text {path} {block}") >> 1)
+                blocks.append(Block(block, len(tokens), owner.elements, owner.furniture, owner.main, owner.heading, links))
+                tokens.append(xxhash.xxh64_intdigest(f"text {owner.path} {block}") >> 1)
             parts.clear()
         links = 0
 
     def close(n: int) -> None:
-        if any(x.block for x in stack[n:]):
+        if parts and any(x.block for x in stack[n:]):
             flush()
         del stack[n:]
 
@@ -188,54 +217,57 @@ def read(text: str) -> Page:
             continue
         if token[0] != "<" or token == "<":
             if not parts:
-                owner = tuple(stack)
+                owner = stack[-1]
             if parts or not token.isspace():
                 parts.append(token)
-                if any(x.element == "a" for x in stack):
+                if stack[-1].link:
                     links += len(token)
             continue
         if token.startswith("<![CDATA["):
+            if not parts:
+                owner = stack[-1]
             parts.append(token[9:].removesuffix("]]>"))
             continue
         if token[1] in "!?":
             continue
-        element = _NAME.match(token)[1].lower()
-        if token[1] == "/":
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n].element == element:
-                    path = stack[n].path + ("" if stack[n].block else "/" + element)
+        tag = _tag(token)
+        element = tag.element
+        if tag.closing:
+            for n in range(len(stack) - 1, 0, -1):
+                own = stack[n]
+                if own.element == element:
+                    h = _hash("end " + own.path if own.block else f"end {own.path}/{element}")
                     close(n)
-                    out.tokens.append(_hash("end " + path))
+                    tokens.append(h)
                     break
-                if stack[n].element in _BARRIER and element not in _BARRIER:
+                if own.element in _BARRIER and element not in _BARRIER:
                     break
-            if element in BLOCKS:
+            if tag.block and parts:
                 flush()
             continue
-        label, words, hidden = _names(token)
-        is_block = element in BLOCKS
-        if is_block:
-            flush()
-            for n in range(len(stack) - 1, -1, -1) if element in _CLOSES or element != "li" else ():
+        if tag.block:
+            if parts:
+                flush()
+            closes = _CLOSES.get(element, ())
+            for n in range(len(stack) - 1, 0, -1) if closes or element != "li" else ():
                 if stack[n].element in _BARRIER:
                     break
-                if stack[n].element in _CLOSES.get(element, ()) or stack[n].element == "p":
+                if stack[n].element in closes or stack[n].element == "p":
                     close(n)
                     break
         elif element == "br":
+            if not parts:
+                owner = stack[-1]
             parts.append("\n")
-        above = stack[-1].path if stack else ""
-        own = f"{above}/{element}{label}"
+        up = stack[-1]
+        own = f"{up.path}/{tag.role}"
         h = _hash("tag " + own)
-        out.tokens.append(h)
-        if element in VOID or token.endswith("/>") and not is_block and element not in RAW:
+        tokens.append(h)
+        if tag.alone:
             continue
-        # a page's header is furniture, an article's own heading isn't
-        furniture = hidden or element in FURNITURE or bool(words & FURNITURE_NAMES) and element not in ("html", "body", *MAIN) and not _HEADING.match(element)
-        main = element in MAIN or bool(words & MAIN_NAMES) and element in ("div", "section", "td")
         if element in MAIN:
             out.hints.add(h)
-        if element in RAW and not (element in ("noscript", "template", "svg", "math")):
+        if tag.raw:
             end = re.compile(rf"</{re.escape(element)}\s*>", re.I).search(text, at)
             stop = end.start() if end else len(text)
             if element in ("title", "textarea"):
@@ -244,9 +276,12 @@ def read(text: str) -> Page:
                     out.title = " ".join(html.unescape(text[at:stop]).split())
             at = end.end() if end else stop
             continue
-        wrapped = any(x.main for x in stack)
+        holds = tag.block or element in RAW
         # elements that only wrap text leave the role of what they hold as it is
-        stack.append(_Open(element, own if is_block or element in RAW else above, h, furniture, main or wrapped and not furniture, is_block or element in RAW))
+        stack.append(_Open(
+            element, own if holds else up.path, (*up.elements, h) if holds else up.elements, tag.furniture or up.furniture,
+            tag.main or up.main and not tag.furniture, tag.heading or up.heading, element == "a" or up.link, holds,
+        ))
     flush()
     return out
 
