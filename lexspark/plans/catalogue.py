@@ -15,13 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tools
 from ..functions import words as W
 from ..functions.encoders import BY_NAME
 from ..operators import automaton, lexicon, speller
 from ..operators.lexicon import Lexicon
 from ..sources import formats, readers
-from ..sources.metadata import Metadata
+from ..sources.datasource import FsaDataSource
+from ..sources.metadata import Metadata, write_metadata
 from ..sources.store import checkpointed, shared_folder
+from ..sql import register
+from ..streaming import apply as streaming
 
 OPTIONS = Metadata("+", "suffix", "utf-8", ignore_diacritics=False)
 FREQUENT = OPTIONS.with_(frequency_included=True)
@@ -305,7 +309,7 @@ def spell_rewrites(spark, d):
 
 def lex_parquet_roundtrip(spark, d):
     """The dictionary saved as Parquet and loaded again."""
-    path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}.parquet"
+    path = _path(spark, "lexicon.parquet")
     derived(spark, d).save(path)
     return Lexicon.load(spark, path).scan()
 
@@ -335,7 +339,7 @@ def byte_names(spark, d):
 
 def line_checks(spark, d):
     """The documents' texts as one folder of line files: what their bytes would be refused for."""
-    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = _path(spark, "lines")
     lines = table(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("\ufeff")).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
     lines.write.text(path)
     v = readers.line_violations(spark, path)
@@ -349,13 +353,92 @@ def spell_misspelled_strict(spark, d):
     return speller.with_misspelled(raw_words(table(spark, d, "conversations")), Lexicon.compile(known, plain))
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def dict_files_roundtrip(spark, d):
+    """The dictionary as a binary file with its metadata file, found again by the rule for its name."""
+    path = _path(spark, "lexicon.dict")
+    derived(spark, d).write(path, "cfsa2")
+    return Lexicon.read(spark, path).scan()
+
+
+def dict_tools_roundtrip(spark, d):
+    """Source lines compiled, validated and decompiled again by the command-line tools."""
+    path = _path(spark, "tools")
+    rows = counted(spark, d).select(F.concat_ws("+", _stem(F.col("word")), "word", "lang").cast("binary").alias("line"))
+    readers.write_one(rows, f"{path}/d.input")
+    readers.write_bytes(spark, f"{path}/d.info", write_metadata(OPTIONS.with_(encoder="infix")))
+    for code in (tools.main(["dict_compile", "-i", f"{path}/d.input"], spark), tools.main(["dict_decompile", "-i", f"{path}/d.dict", "-o", f"{path}/back"], spark)):
+        if code != tools.DONE:
+            raise RuntimeError(f"exit code {code}")
+    return readers.read_lines(spark, f"{path}/back").select(F.decode("line", "UTF-8").alias("line"))
+
+
+def fsa_tools_roundtrip(spark, d):
+    """Word lines compiled to an automaton and dumped again, in byte order."""
+    path = _path(spark, "tools")
+    readers.write_one(seqs(spark, d), f"{path}/w.input")
+    for code in (tools.main(["fsa_compile", "-i", f"{path}/w.input", "-o", f"{path}/w.fsa"], spark), tools.main(["fsa_decompile", "-i", f"{path}/w.fsa", "-o", f"{path}/w.out"], spark)):
+        if code != tools.DONE:
+            raise RuntimeError(f"exit code {code}")
+    return readers.read_lines(spark, f"{path}/w.out").select(F.hex("line").alias("seq"))
+
+
+def dict_apply_charset(spark, d):
+    """Lines in ISO-8859-15, looked up by the tool in a dictionary in UTF-8."""
+    path = _path(spark, "tools")
+    derived(spark, d).write(f"{path}/lexicon.dict")
+    readers.write_one(probes(spark, d).select(lexicon.strict_bytes(F.col("word"), "iso8859-15")), f"{path}/words.txt")
+    return tools.apply_dict(spark, f"{path}/lexicon.dict", f"{path}/words.txt", "iso8859-15")
+
+
+def fsa_info(spark, d):
+    """Header and totals of the vocabulary's automaton as files of both formats."""
+    path = _path(spark, "info")
+    for version in formats.WRITERS:
+        readers.write_fsa(seqs(spark, d), f"{path}/{version}", version, numbers=True)
+    found = readers.fsa_info(spark, f"{path}/*")
+    return found.select("version", F.array_contains("flags", "NUMBERS").alias("numbers"), "nodes", "arcs", "final_arcs", "sequences")
+
+
+def fsa_datasource(spark, d):
+    """The vocabulary as automata of ranges of it, written and read by the data source."""
+    spark.dataSource.register(FsaDataSource)
+    path = _path(spark, "automata")
+    seqs(spark, d).repartitionByRange(4, "seq").write.format("fsa").option("version", "cfsa2").mode("append").save(path)
+    return spark.read.format("fsa").load(path).select(shown("seq"))
+
+
+def fsa_dot(spark, d):
+    """The graph of what follows th."""
+    return automaton.dot_lines(seqs(spark, d), b"th")
+
+
+def sql_lookup(spark, d):
+    """Look-up by the table function of SQL."""
+    register(spark, derived(spark, d), "derived")
+    probes(spark, d).createOrReplaceTempView("derived_probes")
+    return spark.sql("SELECT p.word, l.stem, l.tag FROM derived_probes AS p, LATERAL derived_lookup(p.word) AS l")
+
+
+def stream_apply(spark, d):
+    """A stream of line files, each word looked up once."""
+    path = _path(spark, "stream")
+    probes(spark, d).repartition(3).select(F.col("word").alias("value")).write.text(f"{path}/in")
+    streaming.stream_apply(streaming.words_stream(spark, f"{path}/in"), derived(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.text(f"{path}/out").select(F.col("value").alias("line"))
+
+
 def queries() -> dict:
     out = {f"lex_encode_{n}": _encode(n) for n in BY_NAME} | {"fsa5_roundtrip": _roundtrip("fsa5"), "cfsa2_roundtrip": _roundtrip("cfsa2")}
     named = (
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
         spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_d2, spell_suggest_pairs, spell_rewrites,
-        lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
+        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
 
@@ -557,6 +640,17 @@ WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[
         "spell_suggest_diacritics": _BASE + ", w AS (SELECT word FROM vocab) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = lower(strip_accents(s.word)) WHERE s.word NOT IN (SELECT word FROM w)",
         "spell_rewrites": _WALK + "SELECT probe, (row_number() OVER (PARTITION BY probe ORDER BY path) - 1)::INTEGER AS place, form FROM ends",
         "spell_suggest_pairs": _PAIRED,
+        "dict_files_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
+        "dict_tools_roundtrip": _BASE + "SELECT coalesce(stem, '') || '+' || word || '+' || tag AS line FROM lex",
+        "fsa_tools_roundtrip": _BASE + "SELECT h AS seq FROM bytes",
+        "dict_apply_charset": _BASE + "SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
+        "fsa_info": _TREE + "SELECT unnest([5, 198])::INTEGER AS version, true AS numbers, (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS final_arcs, (SELECT count(*) FROM vocab) AS sequences",
+        "fsa_datasource": _BASE + "SELECT h AS seq FROM bytes",
+        "fsa_dot": _TREE.replace("SELECT word, hex(encode(word)) AS h FROM vocab", "SELECT word, substr(hex(encode(word)), 5) AS h FROM vocab WHERE starts_with(word, 'th') AND word <> 'th'") + """
+, shown AS (SELECT *, list_transform([src, dst, label], lambda x: array_to_string(list_transform(range(length(x) // 2), lambda i: chr(('0x' || substr(x, 2 * i + 1, 2))::INTEGER)), '')) AS s FROM merged)
+SELECT '  "' || s[1] || '/" -> ' || CASE WHEN dst IS NULL THEN '"."' ELSE '"' || s[2] || '/"' END || ' [label="' || s[3] || '"' || CASE WHEN is_final THEN ', style=bold' ELSE '' END || '];' AS line FROM shown""",
+        "sql_lookup": _BASE + "SELECT word, stem, tag FROM said JOIN lex USING (word)",
+        "stream_apply": _BASE + "SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
         "lex_parquet_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
         "lookup_guards": _BASE + "," + _WORDS.rstrip(",") % "conversations" + """,
 asked AS (SELECT unnest([word, word || '+' || word, word || chr(380)]) AS word FROM words)
