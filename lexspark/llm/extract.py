@@ -373,6 +373,7 @@ class Template:
     def __init__(self, tokens: list[dict] | None, valid: list[int] | None = None):
         keep = None if valid is None else set(valid)
         self.tokens = {t["token"]: (t["class"], t["place"], t["size"], t["once"]) for t in tokens or () if keep is None or t["class"] in keep}
+        self.sizes = {c: size for c, _, size, _ in self.tokens.values()}
 
     def walk(self, page: Page) -> tuple[list[str], dict[int, tuple[int, list[str]]]]:
         """The chain of gaps at each block, and for each class its faults and the chains in which its rounds lie.
@@ -410,8 +411,7 @@ class Template:
                 chains.append(around())
                 at += 1
         for c, mine in open_.items():
-            size = next(v[2] for v in self.tokens.values() if v[0] == c)
-            seen[c][0] += mine[0] != size - 1
+            seen[c][0] += mine[0] != self.sizes[c] - 1
         return chains, {c: (v[0], v[1]) for c, v in seen.items()}
 
     def around(self, block: Block) -> list[str]:
