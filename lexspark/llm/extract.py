@@ -58,7 +58,7 @@ FURNITURE_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content main post entry story body text maincontent articlebody".split())
 
-#: Template tokens that may be broadcast, at some 20 bytes each; parts that the pages of a host are dealt into beyond that.
+#: Template tokens that may be broadcast, at some 80 bytes each; parts that the pages of a host are dealt into beyond that.
 BROADCAST_TOKENS, SALTS = 1_000_000, 64
 #: The group of all hosts with few pages; no host has this name.
 POOL = "*"
