@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +139,10 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
         pairs = left.join(right, "key").select("probe", "word").distinct().withColumn("known", F.lit(None).cast("int"))
 
     def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([distance(x, y, rules, max(0, len(x) - 1) if len(x) <= most else most) if pd.isna(k) else k for x, y, k in zip(a, b, known, strict=True)], dtype="int32")
+        out, x, y = known.fillna(0).to_numpy("int32", copy=True), a.to_numpy(), b.to_numpy()
+        for i in np.flatnonzero(known.isna()):
+            out[i] = distance(x[i], y[i], rules, max(0, len(x[i]) - 1) if len(x[i]) <= most else most)
+        return pd.Series(out)
 
     far.__annotations__ = {"a": pd.Series, "b": pd.Series, "known": pd.Series, "return": pd.Series}
     return pairs.select("probe", "word", F.pandas_udf(far, "int")("probe", "word", "known").alias("distance")).where(F.col("distance") <= allowed)
