@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, named, slices, table, told_apart, unused
+from .common import checkpointed, named, release, slices, table, told_apart, unused
 from .hashing import mix, shingle_set, word_hashes
 
 SPARE, UNSIGNED = 6, 2
@@ -80,6 +80,12 @@ def ranges_by_band(o: JoinOptions) -> list[int]:
     return out
 
 
+def highest_by_band(o: JoinOptions) -> list[int]:
+    """The largest size of a band; the last one that signatures name stands for all above and has none."""
+    limits = band_limits(o, 10**12)
+    return [limits[i + 1] - 1 for i in range(BANDS - 1)] + [1 << 40]
+
+
 def signatures(values: np.ndarray, o: JoinOptions, limits: list[int]) -> np.ndarray:
     """Signatures of a sorted set of 64-bit hashes: for its own band, and for the next if a partner may be there."""
     n, out = len(values), []
@@ -118,28 +124,43 @@ _OTHER = 1 << 32
 
 
 def _base(docs: DataFrame, o: JoinOptions, salt: int) -> DataFrame:
-    """``(id, tid, set_id, other, n, sigs)``, two hashes of the set; a set that its task has seen before brings no signatures again."""
+    """``(id, tid, set_id, other, n)``, with two hashes of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 500_000):
+            sets = _sets(b.column("text").to_pylist(), o)
+            ids, others = ([_set_id(s, k) if len(s) else None for s in sets] for k in (salt, _OTHER))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(map(len, sets), pa.int64())], ["id", "tid", "set_id", "other", "n"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, tid long, set_id long, other long, n long")
+
+
+def _signed(docs: DataFrame, o: JoinOptions, salt: int) -> DataFrame:
+    """``(set_id, n, sig)`` for each signature; a set that its task has seen before brings none again.
+
+    Signatures take about as much room as the texts, so they are made where they are shuffled and not written before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         limits = band_limits(o, 16)
         for b in slices(batches, "text", 500_000):
-            ids, others, n, sigs = [], [], [], []
+            ids, n, sigs = [], [], [np.zeros(0, np.uint64)]
             for s in _sets(b.column("text").to_pylist(), o):
+                if not len(s) or (k := _set_id(s, salt)) in seen:
+                    continue
+                seen.add(k)
                 if 100 * len(s) >= o.percent * limits[-2]:  # the bands of all partners, too
                     limits = band_limits(o, 200 * len(s) // o.percent)
-                k = _set_id(s, salt) if len(s) else None
                 ids.append(k)
-                others.append(_set_id(s, _OTHER) if len(s) else None)
                 n.append(len(s))
-                sigs.append(np.zeros(0, np.uint64) if k is None or k in seen else signatures(s, o, limits))
-                seen.add(k)
-            offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sigs).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tid"), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "tid", "set_id", "other", "n", "sigs"])
+                sigs.append(signatures(s, o, limits))
+            many = list(map(len, sigs[1:]))
+            columns = [np.repeat(np.array(x, np.int64), many) for x in (ids, n)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sigs).view(np.int64))], ["set_id", "n", "sig"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, tid long, set_id long, other long, n long, sigs array<long>")
+    return docs.select("text").mapInArrow(run, "set_id long, n long, sig long")
 
 
 def _loaded(docs: DataFrame, wanted: DataFrame, o: JoinOptions, salt: int) -> DataFrame:
@@ -280,11 +301,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> Data
         shared = rows.withColumn("lo", F.min("set_id").over(by_sig)).withColumn("hi", F.max("set_id").over(by_sig)).where("lo <> hi")
         return shared.select("sig", "set_id", "n").distinct()
 
-    # of the sizes that a partner may have, the largest leaves most room for differences
-    largest = F.col("n") * (100 + o.percent) / o.percent
-    signed = several(base.select("set_id", "n", F.explode("sigs").alias("sig"))).withColumn("band", F.pmod("sig", F.lit(BANDS)))
+    # of the sizes that a partner in the band may have, the largest leaves most room for differences
+    highest = F.element_at(F.array(*map(F.lit, highest_by_band(o))), (F.col("band") + 1).cast("int"))
+    largest = F.col("n") + F.least(F.floor(F.col("n") * 100 / o.percent), F.greatest(highest, F.col("n")))
+    signed = several(_signed(slim, o, salt)).withColumn("band", F.pmod("sig", F.lit(BANDS)))
     rich = signed.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("set_id", "band"))).where(F.col("mine") >= need(largest))
     buckets = checkpointed(several(rich).withColumn("band", F.pmod("sig", F.lit(BANDS))))
+    release(slim.sparkSession)
     reps = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(_order()).alias("r")).select("set_id", "r.id", "r.tid")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -316,7 +339,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, o: JoinOptions) -> Data
     for side in ("a", "b"):
         pairs = pairs.join(lists.select(F.col("set_id").alias(side), "band", F.col("sigs").alias(f"sigs_{side}")), [side, "band"])
     pairs = pairs.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= need(F.col("both")))
-    more = linked(checkpointed(pairs.select("a", "b").distinct()))
+    near = checkpointed(pairs.select("a", "b").distinct())
+    release(slim.sparkSession)
+    more = linked(near)
     if not many.isEmpty():
         members = many.select("set_id").distinct()
         sets = checkpointed(_loaded(slim, checkpointed(reps.join(members, "set_id", "left_semi")), o, salt))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import decontam, extract, hashing, jaccard, jpeg, langid, mixing, pii, quality, sharding, suffixes
+from lexspark.llm import common, decontam, extract, hashing, jaccard, jpeg, langid, mixing, pii, quality, sharding, suffixes
 
 #: Columns that operators might use inside, to clash with.
 EXTRA = "id word doc pos size score h key label sig tid c0 spans set_id copies shard slot level part place rate target".split()
@@ -726,6 +726,27 @@ def test_similar_sets_share_enough_signatures():
             assert sum(int(x) % jaccard.BANDS == band for x in common) >= need
 
 
+def test_sets_that_share_too_few_signatures_take_no_room(spark, monkeypatch):
+    """Sizes at the upper end of a band, and a passage in all of them: no signatures are written, no set is loaded."""
+    o, written, real = jaccard.JoinOptions(), [], jaccard.checkpointed
+    high = max(x for x in jaccard.band_limits(o, 600) if x <= 600) - 1
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(d, " ".join(passage + [f"{d}w{i}" for i in range(high + o.shingle - 1 - len(passage))])) for d in range(60)]
+    limits = jaccard.band_limits(o, 2 * high)
+    sigs = [jaccard.signatures(s, o, limits).tolist() for s in jaccard._sets([t for _, t in rows], o)]
+    assert all(high == len(s) for s in jaccard._sets([t for _, t in rows], o)) and len({x for s in sigs for x in s}) < sum(map(len, sigs))
+
+    def watched(df):
+        written.append((df.columns, real(df)))
+        return written[-1][1]
+
+    for module in (jaccard, common):
+        monkeypatch.setattr(module, "checkpointed", watched)
+    got = as_rows(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), options=o))
+    assert got == plain_components(rows, o.shingle, o.percent) and len({r[2] for r in got}) == 60
+    assert sum(t.count() for c, t in written if {"sig", "sigs", "items"} & set(c)) == 0
+
+
 def test_things_that_share_a_hash_are_told_apart(spark):
     """Hashes of three bits: some salt may do for a few things, none does for many."""
     from lexspark.llm.common import told_apart
