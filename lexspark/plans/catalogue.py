@@ -8,7 +8,6 @@ which are shown in hexadecimal.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from ..operators.lexicon import Lexicon
 from ..sources import formats, readers
 from ..sources.datasource import FsaDataSource
 from ..sources.metadata import Metadata, write_metadata
-from ..sources.store import checkpointed, shared_folder
+from ..sources.store import checkpointed, scratch
 from ..sql import register
 from ..streaming import apply as streaming
 
@@ -309,7 +308,7 @@ def spell_rewrites(spark, d):
 
 def lex_parquet_roundtrip(spark, d):
     """The dictionary saved as Parquet and loaded again."""
-    path = _path(spark, "lexicon.parquet")
+    path = scratch(spark, "lexicon.parquet")
     derived(spark, d).save(path)
     return Lexicon.load(spark, path).scan()
 
@@ -339,7 +338,7 @@ def byte_names(spark, d):
 
 def line_checks(spark, d):
     """The documents' texts as one folder of line files: what their bytes would be refused for."""
-    path = _path(spark, "lines")
+    path = scratch(spark, "lines")
     lines = table(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("\ufeff")).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
     lines.write.text(path)
     v = readers.line_violations(spark, path)
@@ -353,21 +352,16 @@ def spell_misspelled_strict(spark, d):
     return speller.with_misspelled(raw_words(table(spark, d, "conversations")), Lexicon.compile(known, plain))
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
-
-
 def dict_files_roundtrip(spark, d):
     """The dictionary as a binary file with its metadata file, found again by the rule for its name."""
-    path = _path(spark, "lexicon.dict")
+    path = scratch(spark, "lexicon.dict")
     derived(spark, d).write(path, "cfsa2")
     return Lexicon.read(spark, path).scan()
 
 
 def dict_tools_roundtrip(spark, d):
     """Source lines compiled, validated and decompiled again by the command-line tools."""
-    path = _path(spark, "tools")
+    path = scratch(spark, "tools")
     rows = counted(spark, d).select(F.concat_ws("+", _stem(F.col("word")), "word", "lang").cast("binary").alias("line"))
     readers.write_one(rows, f"{path}/d.input")
     readers.write_bytes(spark, f"{path}/d.info", write_metadata(OPTIONS.with_(encoder="infix")))
@@ -379,7 +373,7 @@ def dict_tools_roundtrip(spark, d):
 
 def fsa_tools_roundtrip(spark, d):
     """Word lines compiled to an automaton and dumped again, in byte order."""
-    path = _path(spark, "tools")
+    path = scratch(spark, "tools")
     readers.write_one(seqs(spark, d), f"{path}/w.input")
     for code in (tools.main(["fsa_compile", "-i", f"{path}/w.input", "-o", f"{path}/w.fsa"], spark), tools.main(["fsa_decompile", "-i", f"{path}/w.fsa", "-o", f"{path}/w.out"], spark)):
         if code != tools.DONE:
@@ -389,7 +383,7 @@ def fsa_tools_roundtrip(spark, d):
 
 def dict_apply_charset(spark, d):
     """Lines in ISO-8859-15, looked up by the tool in a dictionary in UTF-8."""
-    path = _path(spark, "tools")
+    path = scratch(spark, "tools")
     derived(spark, d).write(f"{path}/lexicon.dict")
     readers.write_one(probes(spark, d).select(lexicon.strict_bytes(F.col("word"), "iso8859-15")), f"{path}/words.txt")
     return tools.apply_dict(spark, f"{path}/lexicon.dict", f"{path}/words.txt", "iso8859-15")
@@ -397,7 +391,7 @@ def dict_apply_charset(spark, d):
 
 def fsa_info(spark, d):
     """Header and totals of the vocabulary's automaton as files of both formats."""
-    path = _path(spark, "info")
+    path = scratch(spark, "info")
     for version in formats.WRITERS:
         readers.write_fsa(seqs(spark, d), f"{path}/{version}", version, numbers=True)
     found = readers.fsa_info(spark, f"{path}/*")
@@ -407,7 +401,7 @@ def fsa_info(spark, d):
 def fsa_datasource(spark, d):
     """The vocabulary as automata of ranges of it, written and read by the data source."""
     spark.dataSource.register(FsaDataSource)
-    path = _path(spark, "automata")
+    path = scratch(spark, "automata")
     seqs(spark, d).repartitionByRange(4, "seq").write.format("fsa").option("version", "cfsa2").mode("append").save(path)
     return spark.read.format("fsa").load(path).select(shown("seq"))
 
@@ -426,7 +420,7 @@ def sql_lookup(spark, d):
 
 def stream_apply(spark, d):
     """A stream of line files, each word looked up once."""
-    path = _path(spark, "stream")
+    path = scratch(spark, "stream")
     probes(spark, d).repartition(3).select(F.col("word").alias("value")).write.text(f"{path}/in")
     streaming.stream_apply(streaming.words_stream(spark, f"{path}/in"), derived(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.text(f"{path}/out").select(F.col("value").alias("line"))
