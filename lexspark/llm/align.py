@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from .common import named, scratch, slices, table
 #: Fixed value: the pattern by which byte-level vocabularies cut texts before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank behind something else; Python counts more characters as white space than the tokenizers do, so it cuts less.
+TOGETHER = 32
 _CUT, _SPACED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
@@ -45,8 +47,8 @@ class AlignOptions:
     first: str = "byte_bpe_50k.json"
     second: str = "piece_bpe_32k.model"
     broadcast_pairs: int = 2_000_000  # at 20 bytes each
-    units: int = 150_000  # that a task remembers
-    pairs: int = 4_000_000  # of these units
+    units: int = 400_000  # that a task remembers
+    pairs: int = 6_000_000  # of these units
     group: int = 256  # pairs of a larger group are worked out from its distinct tokens
     chunk: int = 2_000_000  # links sorted at once
 
@@ -60,7 +62,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE from its JSON file. Special tokens' strings in a text are plain text."""
+    """A byte-level BPE from its JSON file; ``encode`` puts a blank before texts. Special tokens' strings are plain text."""
 
     def __init__(self, data: bytes) -> None:
         spec = json.loads(data)
@@ -80,18 +82,18 @@ class ByteLevel:
 
             own = {b: i for i, b in enumerate(self.token_bytes) if i not in special}
             encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
-            self.encode = lambda texts: [encode(t) for t in texts]
+            self.encode = lambda texts, _: [encode(" " + t) for t in texts]
         else:
             from tokenizers import Tokenizer
 
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             t = Tokenizer.from_str(data.decode())
             t.encode_special_tokens = True
-            self.encode = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+            self.encode = lambda texts, _: [e.ids for e in t.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
-    """A vocabulary of pieces that puts a blank before a text; ``encode`` takes texts with that blank."""
+    """A vocabulary of pieces that puts a blank before a text. A part of a text that is empty is a lone blank."""
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
@@ -106,9 +108,9 @@ class Pieces:
         same = all(b"".join(self.token_bytes[i] for i in p.encode(t)) == f" {t}".encode() for t in ("a  b \n c ", " a\tb", "x "))
         self.cuts_at_blanks = same and not any(re.search("[^▁]▁", n) for n in names)
 
-    def encode(self, texts: list[str], whole: bool = False) -> list[list[int]]:
-        found = self._encode([t[1:] for t in texts], num_threads=1)
-        return found if whole else [self._blank if t == " " else ids for t, ids in zip(texts, found, strict=True)]
+    def encode(self, texts: list[str], whole: bool) -> list[list[int]]:
+        found = self._encode(texts, num_threads=1)
+        return found if whole else [ids if t else self._blank for t, ids in zip(texts, found, strict=True)]
 
 
 def _files(spark: SparkSession, o: AlignOptions) -> Broadcast:
@@ -169,45 +171,73 @@ class Units:
         self.parts = first.cuts_at_blanks and second.cuts_at_blanks
         self.sizes = [np.array([len(t) for t in v.token_bytes], np.int64) for v in (first, second)]
         self.radix = len(second.token_bytes)
+        signs = (",", "|", ";")
+        self.names = [np.array([f"{i}{x}" for i in range(len(v.token_bytes)) for x in signs], object) for v in (first, second)]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
         self.totals = np.zeros((0, 5), np.int64)  # good, tokens of both sides, groups, links
-        self.offsets, self.keys, self.weights, self.weighted = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        self.offsets, self.keys, self.weights, self.uses = np.zeros(1, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.weighted = False
 
     def cut(self, text: str) -> list[str]:
-        text = " " + text
+        """The units of a text, each without the blank that it starts with."""
         if not self.parts:
             return [text]
-        if _SPACED.search(text):
-            return _CUT.split(text)
-        return [" " + p for p in text[1:].split(" ")]
+        if text[0] == " " or _SPACED.search(text):
+            return [u[1:] for u in _CUT.split(" " + text)]
+        return text.split(" ")
+
+    def _tokens(self, units: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The ids of both sides of all units that their bytes bring back, end to end; which these are, and their bytes.
+
+        Units go to the tokenizers as one text, where they are cut again; those that white space ends go one by one, and
+        so do all if any isn't brought back.
+        """
+        data = [(" " + u).encode("utf-8", "surrogatepass") for u in units]
+        sizes, both = np.array([len(d) for d in data], np.int64), (self.first, self.second)
+        loose = [i for i, u in enumerate(units) if not u or u[-1].isspace()] if self.parts else list(range(len(units)))
+        good, alone = np.ones(len(units), bool), set(loose)
+        rest = [i for i in range(len(units)) if i not in alone] if loose else list(range(len(units)))
+        # texts of some units: one of all would be slow, and so would be one for each
+        some = [" ".join([units[i] for i in rest[k : k + TOGETHER]]) for k in range(0, len(rest), TOGETHER)]
+        flat = [list(chain.from_iterable(v.encode(some, True))) for v in both]
+        joined = b"".join([data[i] for i in rest])
+        if any(b"".join(map(v.token_bytes.__getitem__, ids)) != joined for v, ids in zip(both, flat, strict=True)):
+            loose, rest, flat = list(range(len(units))), [], [[], []]
+        if loose:
+            found = [v.encode([units[i] for i in loose], not self.parts) for v in both]
+            for k, i in enumerate(loose):
+                good[i] = all(b"".join(map(v.token_bytes.__getitem__, ids[k])) == data[i] for v, ids in zip(both, found, strict=True))
+                if good[i]:
+                    for f, ids in zip(flat, found, strict=True):
+                        f.extend(ids[k])
+        kept = np.array([i for i in rest + loose if good[i]], np.int64)
+        return [np.array(f, np.int64) for f in flat], kept, sizes[kept]
 
     def learn(self, units: list[str]) -> None:
         """Adds units that aren't known."""
-        found = [self.first.encode(units), self.second.encode(units, not self.parts)]
-        tables = self.first.token_bytes, self.second.token_bytes
-        data = [u.encode("utf-8", "surrogatepass") for u in units]
-        good = np.array([all(b"".join(map(t.__getitem__, ids)) == d for t, ids in zip(tables, both, strict=True)) for d, both in zip(data, zip(*found), strict=True)], bool)
-        kept = np.flatnonzero(good)
-        sizes = np.array([len(data[i]) for i in kept], np.int64)
-        flat = [np.array([x for i in kept for x in side[i]], np.int64) for side in found]
+        flat, kept, sizes = self._tokens(units)
         n = int(sizes.sum())
         cuts, *ends = groups(self.sizes[0][flat[0]], self.sizes[1][flat[1]], n) if n else (np.zeros(0, np.int64),) * 3
         starts = [np.concatenate(([0], e[:-1])) if len(e) else e for e in ends]
         na, nb = (e - s for e, s in zip(ends, starts, strict=True))
         upto = np.searchsorted(cuts, np.cumsum(sizes))  # groups up to the end of each unit
-        per = np.diff(np.concatenate(([0], upto)))
-        owner = np.repeat(np.arange(len(kept)), per)
-
-        shown = [[str(x) for x in f.tolist()] for f in flat]
-        lines = [",".join(shown[0][i:j]) + "|" + ",".join(shown[1][k:m]) for i, j, k, m in zip(starts[0].tolist(), ends[0].tolist(), starts[1].tolist(), ends[1].tolist(), strict=True)]
+        owner = np.repeat(np.arange(len(kept)), np.diff(np.concatenate(([0], upto))))
+
+        # each token as text with the sign behind it, in the order in which groups are shown
+        pieces = np.empty(len(flat[0]) + len(flat[1]), object)
+        for names, ids, many, end, before, last in ((self.names[0], flat[0], na, ends[0], starts[1], 1), (self.names[1], flat[1], nb, ends[1], ends[0], 2)):
+            sign = np.zeros(len(ids), np.int64)
+            sign[end - 1] = last
+            pieces[np.arange(len(ids)) + np.repeat(before, many)] = names[ids * 3 + sign]
+        pieces = pieces.tolist()
         self.texts += [""] * len(units)
         base, done = len(self.index), 0
-        for i, g in zip(kept.tolist(), upto.tolist(), strict=True):
-            self.texts[base + i] = ";".join(lines[done:g])
+        for i, g in zip(kept.tolist(), (ends[0] + ends[1])[upto - 1].tolist() if n else [], strict=True):
+            self.texts[base + i] = "".join(pieces[done:g])
             done = g
 
         totals = np.zeros((len(units), 5), np.int64)
@@ -218,52 +248,66 @@ class Units:
         k = _spread(np.zeros(len(small), np.int64), (na * nb)[small])
         at = np.repeat(small, (na * nb)[small])
         keys = flat[0][starts[0][at] + k // nb[at]] * self.radix + flat[1][starts[1][at] + k % nb[at]]
-        where, weights = owner[at], np.ones(len(keys), np.int64)
+        where, weights = kept[owner[at]], np.ones(len(keys), np.int64)
         for g in np.flatnonzero(na * nb > self.o.group).tolist():
             self.weighted = True
             (x, cx), (y, cy) = (_weighed(f[s[g] : e[g]], None) for f, s, e in zip(flat, starts, ends, strict=True))
             keys = np.concatenate((keys, (x[:, None] * self.radix + y).ravel()))
             weights = np.concatenate((weights, (cx[:, None] * cy).ravel()))
-            where = np.concatenate((where, np.full(len(x) * len(y), owner[g])))
+            where = np.concatenate((where, np.full(len(x) * len(y), kept[owner[g]])))
         order = np.argsort(where, kind="stable")
-        count = np.zeros(len(units), np.int64)
-        np.add.at(count, kept[where], 1)
-        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(count)))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(np.bincount(where, minlength=len(units)))))
         self.keys, self.weights = np.concatenate((self.keys, keys[order])), np.concatenate((self.weights, weights[order]))
-        self.totals = np.concatenate((self.totals, totals))
+        self.totals, self.uses = np.concatenate((self.totals, totals)), np.concatenate((self.uses, np.zeros(len(units), np.int64)))
         for u in units:
             self.index[u] = len(self.index)
 
+    def forget(self) -> None:
+        """Leaves the units that were met more than once, if these are at most half as many as may be known."""
+        known, keep = list(self.index), np.flatnonzero(self.uses > 1)
+        sizes = (self.offsets[1:] - self.offsets[:-1])[keep]
+        if len(keep) > self.o.units // 2 or sizes.sum() > self.o.pairs // 2:
+            self.clear()
+            return
+        at = _spread(self.offsets[keep], sizes)
+        self.index = {known[i]: k for k, i in enumerate(keep.tolist())}
+        self.texts = [self.texts[i] for i in keep.tolist()]
+        self.totals, self.uses = self.totals[keep], np.zeros(len(keep), np.int64)
+        self.keys, self.weights = self.keys[at], self.weights[at]
+        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Totals and groups of each text, and its distinct pairs, with how many of them each text has."""
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.index) > self.o.units or len(self.keys) > self.o.pairs:
-            self.clear()
-        new = list(dict.fromkeys(u for parts in cut for u in parts if u not in self.index))
-        if new:
-            self.learn(new)
-        get = self.index.__getitem__
-        numbers = [[get(u) for u in parts] for parts in cut]
-        shown = [";".join([self.texts[i] for i in x]) for x in numbers]
-        many = np.array([len(x) for x in numbers], np.int64)
-        flat = np.array([i for x in numbers for i in x], np.int64)
+            self.forget()
+        parts = list(chain.from_iterable(cut))
+        flat = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(missing := np.flatnonzero(flat < 0)):
+            new = [parts[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            flat[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        many = np.array([len(x) for x in cut], np.int64)
+        ends = np.cumsum(many)
+        lines = list(map(self.texts.__getitem__, flat.tolist()))
+        shown = ["".join(lines[b - n : b])[:-1] for b, n in zip(ends.tolist(), many.tolist(), strict=True)]
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         doc = np.repeat(np.arange(len(texts)), many)
         sums = np.concatenate((np.zeros((1, 5), np.int64), np.cumsum(self.totals[flat], axis=0)))
-        ends = np.cumsum(many)
         totals = sums[ends] - sums[ends - many]
         good = (totals[:, 0] == many) & (many > 0)
         totals[~good] = 0
         doc, flat = doc[good[doc]], flat[good[doc]]
         start, size = self.offsets[flat], self.offsets[flat + 1] - self.offsets[flat]
-        upto, parts, i = np.cumsum(size), [], 0
+        upto, sorted_, i = np.cumsum(size), [], 0
         while i < len(flat):
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + self.o.chunk, "right")))
             at = _spread(start[i:j], size[i:j])
             own = np.repeat(doc[i:j], size[i:j]) * (len(self.first.token_bytes) * self.radix) + self.keys[at]
-            parts.append(_weighed(own, self.weights[at] if self.weighted else None))
+            sorted_.append(_weighed(own, self.weights[at] if self.weighted else None))
             i = j
-        keys, times = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
-        if len(parts) > 1:
+        keys, times = (np.concatenate(x) for x in zip(*sorted_)) if sorted_ else (np.zeros(0, np.int64),) * 2
+        if len(sorted_) > 1:
             keys, times = _weighed(keys, times)
         of, keys = np.divmod(keys, len(self.first.token_bytes) * self.radix)
         return totals, [s if g else "" for s, g in zip(shown, good, strict=True)], keys, times, np.bincount(of, minlength=len(texts))
