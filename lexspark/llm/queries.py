@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, mixing, sharding, suffixes
+from . import decontam, jaccard, mixing, repair, sharding, simhash, suffixes
+from .align import op13_align
 from .decontam import op3_decontam
 from .extract import op1_extract
 from .jaccard import op10_jaccard
@@ -11,7 +12,9 @@ from .langid import op4_langid
 from .mixing import op8_mixing
 from .pii import op2_pii
 from .quality import op7_quality
+from .repair import op11_repair
 from .sharding import op9_sharding
+from .simhash import op12_simhash
 from .suffixes import op5_repeats
 
 
@@ -27,6 +30,9 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
         "op10_jaccard": op10_jaccard,
+        "op11_repair": op11_repair,
+        "op12_simhash": op12_simhash,
+        "op13_align": op13_align,
     }
 
 
@@ -37,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.SQL,
         "op9_sharding": sharding.SQL,
         "op10_jaccard": jaccard.SQL,
+        "op11_repair": repair.SQL,
+        "op12_simhash": simhash.SQL,
     }
