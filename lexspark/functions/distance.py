@@ -8,8 +8,10 @@ candidate; up to there from the rewrite before, or from the start, both sides mu
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from math import prod
 
 from ..sources.metadata import Metadata
 
@@ -26,7 +28,7 @@ class Rules:
 
     ignore_diacritics: bool = False
     convert_case: bool = False
-    equivalent: frozenset[tuple[str, str]] = frozenset()
+    equivalent: frozenset[tuple[str, str]] = frozenset()  # (of the word, of the candidate)
     short: tuple[tuple[str, str, bool, bool], ...] = ()  # targets of one or two characters
     long: tuple[tuple[str, str, bool, bool], ...] = ()
 
@@ -45,12 +47,59 @@ class Rules:
         a, b = base_char(x), base_char(y)
         return a == b or self.convert_case and a.isalpha() and a.islower() != b.islower() and a.lower() == b.lower()
 
+    @cached_property
+    def classes(self) -> dict[str, str]:
+        """Characters that equivalents join, by the smallest of their class: those that a chain of equivalents connects,
+        in either direction."""
+        return joined((self._bare(a), self._bare(b)) for a, b in self.equivalent)
+
+    @cached_property
+    def knots(self) -> dict[str, str]:
+        """Characters that short pairs or equivalents join, by the smallest of their class: all of a key and its target."""
+        parts = [(self.classes.get(x, x), self.classes.get(y, y)) for k, t, *_ in self.short for x, y in zip(self._bare(k + t), self._bare(k + t)[1:], strict=False)]
+        return joined(parts + [(x, x) for k, t, *_ in self.short for c in self._bare(k + t) if (x := self.classes.get(c, c))])
+
+    @property
+    def alike(self) -> bool:
+        """Whether characters are equal just where their classes are, and the classes are all that there is."""
+        same = {(x, y) for x, a in self.classes.items() for y, b in self.classes.items() if a == b and x != y}
+        return not (self.short or self.ignore_diacritics) and same == {p for p in self.equivalent if p[0] != p[1]}
+
+    def _bare(self, word: str) -> str:
+        if not self.ignore_diacritics:
+            return word
+        word = "".join(map(base_char, word))
+        return word.lower() if self.convert_case else word
+
     def folded(self, word: str) -> str:
-        """Equal characters of the dictionary's side fold together, as far as equality is transitive."""
-        if self.ignore_diacritics:
-            word = "".join(map(base_char, word))
-            return word.lower() if self.convert_case else word
-        return word
+        """Equal characters fold together, and those that are equal through others."""
+        word = self._bare(word)
+        return "".join([self.classes.get(c, c) for c in word]) if self.classes else word
+
+    def collapsed(self, word: str) -> str:
+        """The folded word with each run of characters of one knot as a single one: words that short pairs turn into one
+        another have the same, and one edit changes it in at most two places."""
+        out: list[str] = []
+        for c in self.folded(word):
+            knot = self.knots.get(c)
+            if knot is None or not out or out[-1] != knot:
+                out.append(knot or c)
+        return "".join(out)
+
+
+def joined(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """Each member of the pairs with the smallest one that a chain of them leads to."""
+    least: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        least[b] = a
+    return {x: find(x) for x in list(least)}
 
 
 def _table(word: str, candidate: str, equal) -> list[list[int]]:
@@ -120,24 +169,65 @@ def rewritten(word: str, pairs: tuple[tuple[str, str, bool, bool], ...], most: i
     return list(out)
 
 
-def variants(word: str, pairs: tuple[tuple[str, str, bool, bool], ...], most: int = 6) -> list[str]:
-    """The word with any choice of at most ``most`` non-overlapping rewrites, at any places."""
+def _starting(word: str, i: int, pairs: tuple[tuple[str, str, bool, bool], ...]) -> list[tuple[str, str]]:
+    return [(k, t) for k, t, start, end in pairs if word.startswith(k, i) and (not start or i == 0) and (not end or i + len(k) == len(word))]
+
+
+def choices(word: str, pairs: tuple[tuple[str, str, bool, bool], ...]) -> int:
+    """No fewer than ``variants`` finds: the product of what each place may do."""
+    return prod(1 + len(_starting(word, i, pairs)) for i in range(len(word))) if pairs else 1
+
+
+def variants(word: str, pairs: tuple[tuple[str, str, bool, bool], ...]) -> list[str]:
+    """The word with any choice of non-overlapping rewrites, at any places; ``choices`` tells how many that may be."""
     out: dict[str, None] = {}
 
-    def walk(done: str, i: int, left: int) -> None:
+    def walk(done: str, i: int) -> None:
         if i == len(word):
             out.setdefault(done)
             return
-        walk(done + word[i], i + 1, left)
-        if left:
-            for key, target, start, end in pairs:
-                if word.startswith(key, i) and (not start or i == 0) and (not end or i + len(key) == len(word)):
-                    walk(done + target, i + len(key), left - 1)
+        walk(done + word[i], i + 1)
+        for key, target in _starting(word, i, pairs):
+            walk(done + target, i + len(key))
 
-    walk("", 0, most)
+    walk("", 0)
     return list(out)
 
 
+def _pieces(size: int, edits: int) -> list[tuple[int, int]]:
+    """Start and size of each of ``edits`` + 1 pieces of a string, as even as can be."""
+    edges = [i * size // (edits + 1) for i in range(edits + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def stored_keys(word: str, edits: int) -> set[str]:
+    """Keys of a word that is looked for: its pieces with their number and its length. A word with fewer letters than
+    pieces has what is left after deletions."""
+    if len(word) <= edits:
+        return {"-" + k for k in deletions(word, edits)}
+    return {f"{len(word)},{i},{word[a : a + n]}" for i, (a, n) in enumerate(_pieces(len(word), edits))}
+
+
+def probing_keys(word: str, edits: int) -> set[str]:
+    """Keys of which a word shares one with each word within so many edits, swaps of neighbours among them.
+
+    Of ``edits`` + 1 pieces one is in the other word as it is, moved by no more than the edits, if a swap across a border
+    is put down to the piece before it; or its first letter was swapped so, and the letter before stands in its place.
+    """
+    out = {"-" + k for k in deletions(word, edits)} if len(word) <= 2 * edits else set()
+    for size in range(max(edits + 1, len(word) - edits), len(word) + edits + 1):
+        more = len(word) - size
+        for i, (a, n) in enumerate(_pieces(size, edits)):
+            for shift in range(-edits, edits + 1):
+                at = a + shift
+                if abs(shift) + abs(more - shift) > edits or at < 0 or at + n > len(word):
+                    continue
+                out.add(f"{size},{i},{word[at : at + n]}")
+                if at and i:
+                    out.add(f"{size},{i},{word[at - 1]}{word[at + 1 : at + n]}")
+    return out
+
+
 def deletions(word: str, most: int) -> set[str]:
     """All strings left after deleting at most ``most`` characters."""
     out = level = {word}

@@ -1,12 +1,13 @@
 """Spelling: membership, misspellings, run-on words, and ranked suggestions under a bounded distance.
 
 Suggestions are a similarity join. Two words within d edits share a string that is left after at most d deletions from
-each, so an equi-join on these neighbourhoods proposes pairs and the exact distance decides. Nothing is crossed.
+each, so an equi-join on these neighbourhoods proposes pairs and the exact distance decides. As they grow with the d-th
+power of the length, more than two edits go by pieces of words instead. Nothing is crossed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import words as W
-from ..functions.distance import Rules, deletions, distance, rewritten, variants
+from ..functions.distance import Rules, choices, deletions, distance, probing_keys, rewritten, stored_keys, variants
+from ..sources.store import checkpointed
 from .lexicon import Lexicon, frequencies
 
 #: Longest probe, exclusive; most rewritten probes that are searched; shortest of these but for the first.
@@ -60,18 +62,48 @@ def run_ons(words: DataFrame, lexicon: Lexicon, column: str = "word") -> DataFra
     return cut.withColumn("candidate", F.concat("prefix", F.lit(" "), "suffix"))
 
 
-def _neighbours(words: DataFrame, column: str, most: int, rules: Rules, rewrite: bool) -> DataFrame:
-    """Each row with ``key``: strings left after deletions from the folded word, and from its rewrites if asked."""
-    names = words.columns
-    pairs = rules.short + tuple((a, b, False, False) for a, b in sorted(rules.equivalent)) if rewrite else ()
+#: Most rewritten forms of a probe whose keys are made one by one; others meet by their collapsed forms.
+FORMS = 64
+
+
+def _keyed(words: DataFrame, column: str, keys: Callable[[str], Iterable[str]]) -> DataFrame:
+    """``(column, key)`` for each key of each word."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            keys = [sorted({k for v in variants(w, pairs) for k in deletions(rules.folded(v), most)}) for w in pdf[column]]
-            yield pdf.assign(key=keys).explode("key")
+            found = [sorted(keys(w)) for w in pdf[column]]
+            yield pd.DataFrame({column: np.repeat(pdf[column].to_numpy(object), [len(k) for k in found]), "key": [k for x in found for k in x]})
+
+    return words.select(column).mapInPandas(run, f"`{column}` string, key string")
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in words.dtypes)
-    return words.mapInPandas(run, f"{schema}, key string").select(*names, "key")
+
+def _met(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
+    """``(probe, word)``: pairs of which no similar one is missing.
+
+    Both sides fold by their classes of equal characters. Up to two edits, keys are what is left after deletions; beyond,
+    pieces, one of which the edits can't touch. A probe that short pairs rewrite in many ways meets by its collapsed form,
+    whose pieces must survive twice the edits.
+    """
+    if most <= 2:
+        own = stored = lambda w: deletions(w, most)
+    else:
+        own, stored = (lambda w: probing_keys(w, most)), (lambda w: stored_keys(w, most))
+    form = lambda w: {k for v in variants(w, rules.short) for k in own(rules.folded(v))}
+    few = probes
+    if rules.short:
+
+        def ways(words: pd.Series) -> pd.Series:
+            return words.map(lambda w: choices(w, rules.short) > FORMS)
+
+        ways.__annotations__ = {"words": pd.Series, "return": pd.Series}
+        marked = checkpointed(probes.select("probe", F.pandas_udf(ways, "boolean")("probe").alias("knotty")))
+        few, many = marked.where("NOT knotty"), marked.where("knotty")
+    pairs = _keyed(few, "probe", form).join(_keyed(known, "word", lambda w: stored(rules.folded(w))), "key").select("probe", "word")
+    if rules.short and not many.isEmpty():
+        left = _keyed(many, "probe", lambda w: probing_keys(rules.collapsed(w), 2 * most))
+        right = _keyed(known, "word", lambda w: stored_keys(rules.collapsed(w), 2 * most))
+        pairs = pairs.union(left.join(right, "key").select("probe", "word"))
+    return pairs.distinct()
 
 
 def _shorter(w: Column) -> Column:
@@ -89,17 +121,18 @@ def _native_neighbours(words: DataFrame, column: str, most: int) -> DataFrame:
     return words.withColumn("key", F.explode(F.array_distinct(keys)))
 
 
-def _swapped(p: Column, w: Column) -> Column:
-    """Whether one swap of neighbours makes both equal."""
-    n = F.length(p)
-    turned = lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(1)), F.substring(p, i, F.lit(1)), F.substring(p, i + 2, n))
-    return (n > 1) & (n == F.length(w)) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: turned(i) == w)
+def _translated(c: Column, rules: Rules) -> Column:
+    """A column folded by classes of equal characters, of rules without diacritics."""
+    return F.translate(c, "".join(rules.classes), "".join(rules.classes.values())) if rules.classes else c
 
 
-def _within_one(p: Column, w: Column) -> Column:
-    """The distance if it is at most 1, else null: one edit, or one swap of neighbours."""
-    lev = F.levenshtein(p, w, 2)  # a swap is two edits
-    return F.when(lev.between(0, 1), lev).when((lev == 2) & _swapped(p, w), 1)
+def _swapped(p: Column, w: Column, rules: Rules = Rules()) -> Column:
+    """Whether one swap of neighbours makes both equal; the two are the same letters, others may be equal by class."""
+    n, letter = F.length(p), lambda c, i: F.substring(c, i, F.lit(1))
+    turned = lambda i: F.concat(F.substring(p, F.lit(1), i - 1), letter(p, i + 1), letter(p, i), F.substring(p, i + 2, n))
+    same = lambda i: _translated(turned(i), rules) == _translated(w, rules)
+    fits = (lambda i: (letter(p, i) == letter(w, i + 1)) & (letter(p, i + 1) == letter(w, i)) & same(i)) if rules.classes else same
+    return (n > 1) & (n == F.length(w)) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), fits)
 
 
 def effective_distance(probe: Column, most: int) -> Column:
@@ -116,27 +149,30 @@ def with_sizes(found: DataFrame, most: int) -> DataFrame:
 def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules = Rules()) -> DataFrame:
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
-    ``probes`` has a column probe, ``known`` a column word, both distinct. For one or two edits without folding and
-    rewrites the join, and the distance but for swaps beside another edit, stay in built-in expressions; else keys and
-    distances come from Python functions on batches.
+    ``probes`` has a column probe, ``known`` a column word, both distinct. For one or two edits without
+    diacritics and rewrites the join, and the distance but for swaps beside another edit, stay in built-in expressions; else keys and
+    distances come from Python functions on batches. Equal characters and short pairs may be met in any number.
     """
     allowed = effective_distance(F.col("probe"), most)
-    plain = not (rules.short or rules.equivalent or rules.ignore_diacritics)
-    if plain and most in (1, 2):
-        pairs = _native_neighbours(probes.select("probe"), "probe", most).join(_native_neighbours(known.select("word"), "word", most), "key").select("probe", "word").distinct()
-        if most == 1:
-            return pairs.withColumn("distance", _within_one(F.col("probe"), F.col("word"))).where(F.col("distance") <= allowed)
+    p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
+    if rules.alike and most in (1, 2):
+        left, right = _native_neighbours(probes.select("probe", p.alias("form")), "form", most), _native_neighbours(known.select("word", w.alias("form")), "form", most)
+        pairs = left.join(right, "key").select("probe", "word").distinct()
         # a swap counts as two edits here, so one beside an edit as three and two as four; as it moves no letter in or
         # out, few such pairs are left to Python
+        pairs = pairs.withColumn("known", F.levenshtein(p, w, 2 * most))
+        swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"), rules)
+        if most == 1:
+            return pairs.withColumn("distance", F.when(F.col("known").between(0, 1), F.col("known")).when(swap, 1)).drop("known").where(F.col("distance") <= allowed)
         bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-        letters = F.levenshtein(bag("probe"), bag("word"), 2)
-        pairs = pairs.withColumn("known", F.levenshtein("probe", "word", 4)).where(F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
-        swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"))
+        letters = F.levenshtein(bag(p), bag(w), 2)
+        pairs = pairs.where(F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
         pairs = pairs.withColumn("known", F.when(swap, 1).when(F.col("known") <= 2, F.col("known")))
     else:
-        left = _neighbours(probes.select("probe"), "probe", most, rules, True)
-        right = _neighbours(known.select("word"), "word", most, rules, False)
-        pairs = left.join(right, "key").select("probe", "word").distinct().withColumn("known", F.lit(None).cast("int"))
+        pairs = _met(probes, known, most, rules)
+        if not (rules.short or rules.ignore_diacritics):
+            pairs = pairs.where(F.levenshtein(p, w, 2 * most) >= 0)
+        pairs = pairs.withColumn("known", F.lit(None).cast("int"))
 
     def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
         out, x, y = known.fillna(0).to_numpy("int32", copy=True), a.to_numpy(), b.to_numpy()

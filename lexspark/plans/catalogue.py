@@ -31,6 +31,8 @@ FREQUENT = OPTIONS.with_(frequency_included=True)
 FOLDING = OPTIONS.with_(ignore_diacritics=True, convert_case=True)
 #: Rewrite pairs for the queries that use them.
 PAIRS = OPTIONS.with_(replacement_pairs=(("ll", "l"), ("sm", "th"), ("ot", "ought"), ("g", "tion"), ("ed$", "anded")))
+#: Letters that count as equal, in both directions.
+ALIKE = FREQUENT.with_(equivalent_chars=tuple(p for a, b in ("ck", "vw", "iy", "sz") for p in ((a, b), (b, a))))
 CONVERSIONS = (("th", "d"), ("ing", "in"), ("er", ""))
 
 
@@ -275,16 +277,12 @@ def spell_frequency(spark, d):
     return lexicon.frequencies(probes(spark, d), frequent(spark, d))
 
 
-#: A speller shows this many suggestions for a word.
-SHOWN = 10
-
-
 def spell_suggest_d1(spark, d):
-    return speller.suggestions(misspelled(spark, d), frequent(spark, d)).where(F.col("rank") <= SHOWN)
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d))
 
 
 def spell_similar_d1(spark, d):
-    return speller.suggestions(vocabulary(spark, d), frequent(spark, d), even_if_known=True).where(F.col("rank") <= SHOWN)
+    return speller.suggestions(vocabulary(spark, d), frequent(spark, d), even_if_known=True)
 
 
 def spell_suggest_diacritics(spark, d):
@@ -294,12 +292,25 @@ def spell_suggest_diacritics(spark, d):
     return speller.suggestions(probes(spark, d), known, most=0).select("probe", "suggestion", "distance")
 
 
+def spell_suggest_equivalents(spark, d):
+    """Misspelled words, and all words with each letter of a class as the other of its class, in any number."""
+    respelled = vocabulary(spark, d).select(F.translate("word", "ckvwiysz", "kcwvyizs"))
+    return speller.suggestions(misspelled(spark, d).union(respelled), frequent(spark, d, ALIKE))
+
+
+def spell_suggest_d3(spark, d):
+    """Words of part names, and these less their fifth letter, among all words within three edits."""
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    less = w.where(F.length("word") >= 5).select(F.concat(F.substring("word", 1, 4), F.substring("word", F.lit(6), F.length("word"))))
+    return speller.suggestions(w.union(less), frequent(spark, d), most=3)
+
+
 def spell_suggest_d2(spark, d):
-    return speller.suggestions(misspelled(spark, d), frequent(spark, d), most=2).where(F.col("rank") <= SHOWN)
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d), most=2)
 
 
 def spell_suggest_pairs(spark, d):
-    return speller.suggestions(misspelled(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True))).where(F.col("rank") <= SHOWN)
+    return speller.suggestions(misspelled(spark, d), frequent(spark, d, PAIRS.with_(frequency_included=True)))
 
 
 def spell_rewrites(spark, d):
@@ -431,7 +442,7 @@ def queries() -> dict:
     named = (
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
-        spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_d2, spell_suggest_pairs, spell_rewrites,
+        spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_equivalents, spell_suggest_d2, spell_suggest_d3, spell_suggest_pairs, spell_rewrites,
         dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
@@ -475,6 +486,19 @@ kinds AS (
     CASE WHEN NOT whole AND size < length(probe) // 2 THEN size ELSE 0 END::INTEGER AS index FROM probe LEFT JOIN best USING (probe)
 )
 """
+#: Matches by the entries nearest before and behind each probe.
+_NEAREST = _BASE + rf""", probe AS (SELECT DISTINCT unnest([h, substr(h, 1, length(h) - 2), h || '78', '51' || h]) AS probe FROM (SELECT hex(encode(word)) AS h FROM said)),
+marks AS (SELECT probe AS p, NULL AS h FROM probe UNION ALL SELECT h, h FROM bytes),
+near AS (
+  SELECT p AS probe, below, above FROM (
+    SELECT p, h, max(h) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below,
+      min(h) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM marks) WHERE h IS NULL
+), sizes AS (
+  SELECT probe, below = probe AS whole, coalesce(list_max(list_filter(range(length(probe) // 2 + 1), lambda k: starts_with(below, substr(probe, 1, 2 * k)) OR starts_with(above, substr(probe, 1, 2 * k)))), 0) AS size FROM near
+), kinds AS (
+  SELECT probe, CASE WHEN whole THEN 0 WHEN size = length(probe) // 2 THEN -4 WHEN size > 0 THEN -3 ELSE -1 END::INTEGER AS kind, CASE WHEN NOT coalesce(whole, false) AND size < length(probe) // 2 THEN size ELSE 0 END::INTEGER AS index FROM sizes
+)
+"""
 _PREDICATES = {
     "alphabetic": r"regexp_full_match(word, '[\p{L}\p{Nl}]')",
     "no_digit": r"NOT regexp_matches(word, '\p{Nd}')",
@@ -497,13 +521,24 @@ _SWAP = """len(list_filter(range(1, length(x)), lambda i: len(list_filter([i - 1
   AND damerau_levenshtein(substr(x, 1, i - 1), substr(y, 1, j - 1)) + damerau_levenshtein(substr(x, i + 2), substr(y, j + 2)) <= 1)) > 0)) > 0"""
 
 
-def _suggest(asked: str, extra: str, most: int = 1) -> str:
+# The distance of neighbouring swaps by its table, a row at a time; {x} and {y} are its sides.
+_TABLE = """list_reduce(list_prepend([range(length(y_) + 1), range(length(y_) + 1)], list_transform(range(1, length(x_) + 1), lambda i: [[i]])), lambda two, k: [
+  list_reduce(list_prepend([k[1][1]], list_transform(range(1, length(y_) + 1), lambda j: [j])), lambda r, j: list_append(r, least(two[1][j[1] + 1] + 1, r[j[1]] + 1, two[1][j[1]] + (substr(x_, k[1][1], 1) <> substr(y_, j[1], 1))::BIGINT,
+    CASE WHEN k[1][1] > 1 AND j[1] > 1 AND substr(x_, k[1][1], 1) = substr(y_, j[1] - 1, 1) AND substr(x_, k[1][1] - 1, 1) = substr(y_, j[1], 1) THEN two[2][j[1] - 1] + 1 ELSE 1000 END))), two[1]])[1][-1]"""
+
+
+# Of words whose letters x and y are equal by class: a swap of neighbours counts for the letters themselves only.
+_ALIKE = """CASE WHEN levenshtein(x, y) <= 1 THEN levenshtein(x, y) WHEN length(x) = length(y) AND len(list_filter(range(1, length(x)), lambda i: substr(probe, i, 1) = substr(suggestion, i + 1, 1)
+  AND substr(probe, i + 1, 1) = substr(suggestion, i, 1) AND substr(x, 1, i - 1) = substr(y, 1, i - 1) AND substr(x, i + 2) = substr(y, i + 2))) > 0 THEN 1 ELSE 2 END"""
+
+
+def _suggest(asked: str, extra: str, most: int = 1, distance: str | None = None) -> str:
     """Suggestions by an equi-join of what is left after deletions, and the distance of each pair."""
     keys = f"SELECT word, w, unnest(list_distinct(list_append({_SHORTER.format('w')}, w))) AS k FROM {{}}"
     if most == 2:
         keys = f"SELECT DISTINCT word, w, unnest(list_distinct(list_append({_SHORTER.format('k')}, k))) AS k FROM ({keys})"
     lev = "levenshtein(x, y)"
-    distance = f"damerau_levenshtein(x, y)" if most == 1 else f"CASE WHEN damerau_levenshtein(x, y) <= 1 THEN damerau_levenshtein(x, y) WHEN {lev} <= 2 OR {_SWAP} THEN 2 ELSE 3 END"
+    distance = distance or ("damerau_levenshtein(x, y)" if most == 1 else f"CASE WHEN damerau_levenshtein(x, y) <= 1 THEN damerau_levenshtein(x, y) WHEN {lev} <= 2 OR {_SWAP} THEN 2 ELSE 3 END")
     return (
         _BASE
         + f""", asked AS ({asked}),
@@ -515,7 +550,7 @@ all_ AS (
   SELECT probe, suggestion, distance, distance * 26 + 25 - f AS score, row_number() OVER (PARTITION BY probe ORDER BY distance * 26 + 25 - f, suggestion)::INTEGER AS rank FROM near
   WHERE distance <= CASE WHEN length(probe) <= {most} THEN length(probe) - 1 ELSE {most} END
 )
-SELECT * FROM all_ WHERE rank <= 10
+SELECT * FROM all_
 """
     )
 
@@ -562,7 +597,7 @@ _PAIRED = _WALK + rf""", forms AS (
 ), scored AS (SELECT probe, word AS suggestion, place, distance::INTEGER AS distance, (distance * 26 + 25 - f)::INTEGER AS score FROM found JOIN freq USING (word) WHERE word <> probe
 ), once AS (SELECT *, row_number() OVER (PARTITION BY probe, suggestion ORDER BY score, place) AS n FROM scored
 ), all_ AS (SELECT probe, suggestion, distance, score, row_number() OVER (PARTITION BY probe ORDER BY score, place, suggestion)::INTEGER AS rank FROM once WHERE n = 1)
-SELECT * FROM all_ WHERE rank <= 10
+SELECT * FROM all_
 """
 
 
@@ -582,11 +617,10 @@ def oracle_sql() -> dict[str, str]:
 ) SELECT source, target, {code('(-b.i)')} || {code('(ls + b.i - b.n)')} || substr(t, 2 * b.n + 1) AS coded FROM runs""",
         "lex_encode_infix": _BASE + f""", first AS (SELECT *, {same} AS f FROM pairs),
 tries AS (
-  SELECT source, target, f, i, j, {_SHARED.format(a="(substr(s, 1, 2 * i) || substr(s, 2 * (i + j) + 1))", b="t", n="(ls - j)", m="lt")} AS n
-  FROM (SELECT *, unnest(range(1, ls - i + 1)) AS j FROM (SELECT *, unnest(list_distinct([0, f])) AS i FROM first))
-), best AS (SELECT source, target, max({{'n': n, 'o': -(CASE WHEN i = 0 THEN 0 ELSE 1000 END + j), 'i': i, 'j': j}}) AS b FROM tries GROUP BY source, target
+  SELECT *, list_transform(list_distinct([0, f]), lambda i: list_transform(range(1, ls - i + 1), lambda j: {{'n': {_SHARED.format(a="(substr(s, 1, 2 * i) || substr(s, 2 * (i + j) + 1))", b="t", n="(ls - j)", m="lt")}, 'o': -(CASE WHEN i = 0 THEN 0 ELSE 1000 END + j), 'i': i, 'j': j}})) AS found FROM first
+), best AS (SELECT *, list_max(flatten(found)) AS b FROM tries
 ), chosen AS (
-  SELECT source, target, t, ls, CASE WHEN b.n > f THEN b.n ELSE f END AS n, CASE WHEN b.n > f THEN b.i ELSE 0 END AS i, CASE WHEN b.n > f THEN b.j ELSE 0 END AS j FROM first LEFT JOIN best USING (source, target)
+  SELECT source, target, t, ls, CASE WHEN b.n > f THEN b.n ELSE f END AS n, CASE WHEN b.n > f THEN b.i ELSE 0 END AS i, CASE WHEN b.n > f THEN b.j ELSE 0 END AS j FROM best
 ), last AS (SELECT *, ls - j - n AS rest FROM chosen
 ), moved AS (SELECT *, rest = 0 AND i + j = ls AS m FROM last)
 SELECT source, target, {code('CASE WHEN m THEN 0 ELSE i END')} || {code('CASE WHEN m THEN 0 ELSE j END')} || {code('CASE WHEN m THEN j ELSE rest END')} || substr(t, 2 * n + 1) AS coded FROM moved""",
@@ -610,7 +644,7 @@ SELECT source, target, {code('CASE WHEN m THEN 0 ELSE i END')} || {code('CASE WH
         "fsa_top_labels": _TREE + "SELECT label, count(*) AS arcs FROM merged GROUP BY label ORDER BY arcs DESC, label LIMIT 10",
         "fsa_inlinks": _TREE + "SELECT dst AS state, count(*) AS in_links FROM merged WHERE dst IS NOT NULL GROUP BY dst",
         "fsa_perfect_hash": _BASE + "SELECT h AS seq, row_number() OVER (ORDER BY h) - 1 AS rank FROM bytes",
-        "fsa_match_kind": _PROBE + "SELECT probe, kind, index FROM kinds",
+        "fsa_match_kind": _NEAREST + "SELECT probe, kind, index FROM kinds",
         "fsa_perfect_hash_probe": _PROBE + ", r AS (SELECT h AS probe, row_number() OVER (ORDER BY h) - 1 AS rank FROM bytes) SELECT probe, coalesce(rank, kind)::BIGINT AS hash FROM kinds LEFT JOIN r USING (probe)",
         "fsa_prefix_expand": _BASE + ", p AS (SELECT DISTINCT substr(hex(encode(word)), 1, 10) AS prefix FROM said), c AS (SELECT h, unnest(range(1, least(5, length(h) // 2 - 1) + 1)) AS n FROM bytes) SELECT prefix, substr(h, 2 * n + 1) AS suffix FROM p JOIN c ON prefix = substr(h, 1, 2 * n)",
         "fsa5_roundtrip": _BASE + "SELECT word FROM vocab",
@@ -630,8 +664,17 @@ WHERE (suffix IN (SELECT word FROM known) OR (regexp_full_match(suffix, '\p{Lu}[
         "spell_frequency": _BASE + "SELECT word, coalesce(f, 0)::INTEGER AS frequency FROM said LEFT JOIN freq USING (word)",
         "spell_suggest_d1": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)"),
         "spell_suggest_d2": _suggest("SELECT word FROM wrong", "AND ka.word NOT IN (SELECT word FROM vocab)", 2),
+        "spell_suggest_equivalents": _suggest("SELECT word FROM wrong UNION SELECT translate(word, 'ckvwiysz', 'kcwvyizs') FROM vocab", "AND ka.word NOT IN (SELECT word FROM vocab)", distance=_ALIKE).replace(_ONE.format("word"), f"translate({_ONE.format('word')}, 'kwyz', 'cvis')"),
+        "spell_suggest_d3": _BASE + f""", names AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+a AS (SELECT word, {_ONE.format('word')} AS x_ FROM (SELECT word FROM names UNION SELECT substr(word, 1, 4) || substr(word, 6) FROM names WHERE length(word) >= 5) WHERE word NOT IN (SELECT word FROM vocab)),
+met AS (SELECT a.word AS probe, v.word AS suggestion, x_, {_ONE.format('v.word')} AS y_ FROM a JOIN vocab v ON abs(length(a.word) - length(v.word)) <= 3),
+far AS (SELECT *, damerau_levenshtein(x_, y_) AS low, levenshtein(x_, y_) AS high FROM met),
+near AS (SELECT probe, suggestion, (CASE WHEN low = high THEN low ELSE {_TABLE} END)::INTEGER AS distance FROM far WHERE low <= 3)
+SELECT probe, suggestion, distance, distance * 26 + 25 - f AS score, row_number() OVER (PARTITION BY probe ORDER BY distance * 26 + 25 - f, suggestion)::INTEGER AS rank FROM near JOIN freq ON freq.word = suggestion
+WHERE distance <= CASE WHEN length(probe) <= 3 THEN length(probe) - 1 ELSE 3 END""",
         "spell_similar_d1": _suggest("SELECT word FROM vocab", ""),
-        "spell_suggest_diacritics": _BASE + ", w AS (SELECT word FROM vocab) SELECT s.word AS probe, w.word AS suggestion, 0::INTEGER AS distance FROM said s JOIN w ON lower(strip_accents(w.word)) = lower(strip_accents(s.word)) WHERE s.word NOT IN (SELECT word FROM w)",
+        "spell_suggest_diacritics": _BASE + """, plain AS MATERIALIZED (SELECT word, lower(strip_accents(word)) AS k FROM vocab), asked AS MATERIALIZED (SELECT word, lower(strip_accents(word)) AS k FROM said ANTI JOIN vocab USING (word))
+SELECT a.word AS probe, p.word AS suggestion, 0::INTEGER AS distance FROM asked a JOIN plain p USING (k)""",
         "spell_rewrites": _WALK + "SELECT probe, (row_number() OVER (PARTITION BY probe ORDER BY path) - 1)::INTEGER AS place, form FROM ends",
         "spell_suggest_pairs": _PAIRED,
         "dict_files_roundtrip": _BASE + "SELECT word, stem, tag FROM lex",
