@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.encoders import shared_prefix_length
 from ..sources.store import checkpointed
 
 #: Kinds of a match.
@@ -134,17 +135,40 @@ def ranked(seqs: DataFrame, cell: int = CELL) -> DataFrame:
     return rows.join(before, "cell").select("seq", (F.col("before") + place).alias("rank"))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Bytes that both share at their start; 0 if either is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), shared_prefix_length(a, b)).otherwise(0)
+
+
+def nearest(probes: DataFrame, seqs: DataFrame) -> DataFrame:
+    """``(probe, before, behind)``: for each of the distinct probes the last sequence not after it, and the first one not
+    before it, null where there is none.
+
+    Probes and sequences are sorted together by ranges, once. Within a range neighbours come from windows; what the last
+    sequence of the ranges before is, and the first one of those behind, comes from a table with a row for each range.
+    """
+    both = probes.select("probe", F.lit(False).alias("known")).union(seqs.select("seq", F.lit(True)))
+    held = checkpointed(both.repartitionByRange("probe").withColumn("range", F.spark_partition_id()))
+    entry = F.when(F.col("known"), F.col("probe"))
+    edges = held.groupBy("range").agg(F.max(entry).alias("last"), F.min(entry).alias("first"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("range", F.max("last").over(ahead).alias("last"), F.min("first").over(behind).alias("first"))
+    up = Window.partitionBy("range").orderBy("probe").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("range").orderBy(F.desc("probe")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = held.withColumn("before", F.max(entry).over(up)).withColumn("behind", F.min(entry).over(down)).where("NOT known")
+    return placed.join(edges, "range").select("probe", F.coalesce("before", "last").alias("before"), F.coalesce("behind", "first").alias("behind"))
+
+
 def matched(probes: DataFrame, seqs: DataFrame, probe: str = "probe") -> DataFrame:
-    """``(probe, kind, index)`` for the distinct probes: an equi-join of their prefixes with those of the sequences."""
+    """``(probe, kind, index)`` for the distinct probes: the longest prefix that a probe shares with any sequence is one
+    that it shares with a neighbour in byte order, so that prefixes need not be spread out."""
     p = probes.select(F.col(probe).cast("binary").alias("probe")).where(F.col(probe).isNotNull()).distinct()
-    n = F.octet_length("probe")
-    own = p.where(n > 0).select("probe", F.explode(F.sequence(F.lit(1), n)).alias("size")).withColumn("prefix", _part(F.col("probe"), 1, F.col("size")))
-    known = prefixes(seqs).select(F.concat("prefix", "label").alias("prefix"), (F.octet_length("rest") == 0).alias("whole"))
-    known = known.groupBy("prefix").agg(F.bool_or("whole").alias("whole"))
-    found = own.join(known, "prefix").groupBy("probe").agg(F.max("size").alias("size"), F.bool_or(F.col("whole") & (F.col("size") == n)).alias("whole"))
-    size = F.coalesce("size", F.lit(0))
-    kind = F.when(F.col("whole"), EXACT).when(size == n, IS_A_PREFIX).when(size > 0, HAS_PREFIX).otherwise(NO_MATCH)
-    return p.join(found, "probe", "left").select("probe", kind.alias("kind"), F.when(kind == HAS_PREFIX, size).otherwise(0).alias("index"))
+    near = nearest(p, seqs)
+    n, size = F.octet_length("probe"), F.greatest(_shared(F.col("probe"), F.col("before")), _shared(F.col("probe"), F.col("behind")))
+    near = near.withColumn("size", size)
+    kind = F.when(F.col("before") == F.col("probe"), EXACT).when(F.col("size") == n, IS_A_PREFIX).when(F.col("size") > 0, HAS_PREFIX).otherwise(NO_MATCH)
+    return near.select("probe", kind.alias("kind"), F.when(kind == HAS_PREFIX, F.col("size")).otherwise(0).alias("index"))
 
 
 def perfect_hash(probes: DataFrame, seqs: DataFrame, probe: str = "probe") -> DataFrame:
