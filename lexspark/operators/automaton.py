@@ -2,20 +2,28 @@
 
 An automaton is the set of its sequences. The state behind a prefix is its right language, the set of suffixes; it is
 known by their count and two order-free sums of their hashes, so states come from one aggregation with partial sums,
-and no task holds the language of the root. Nothing here is a Python function.
+and no task holds the language of the root. Prefixes and suffixes go by hashes and by their place in the sorted set, so
+that rows have one size and bytes grow with the sequences' lengths; only results that show a prefix hold its bytes. The
+hashes are made in Arrow batches, all else is built-in expressions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.encoders import shared_prefix_length
-from ..sources.store import checkpointed
+from ..functions.hashes import mixed, part_hashes
+from ..sources.store import checkpointed, numbered, written
 
+#: Bytes whose parts are hashed at once, or one sequence.
+AT_ONCE = 1 << 18
 #: Kinds of a match.
 EXACT, NO_MATCH, HAS_PREFIX, IS_A_PREFIX = 0, -1, -3, -4
 
@@ -56,38 +64,99 @@ def right_languages(seqs: DataFrame) -> DataFrame:
     )
 
 
+def _positions(seqs: DataFrame) -> DataFrame:
+    """For each position of each sequence of ``seqs`` (seq, rank): the prefix ``p`` before it and ``q`` with it, its label,
+    hashes of the suffix, what is left of the sequence, and its place, by which prefixes sort: the rank and the depth."""
+    fields = "rank long, depth int, label binary, p1 long, p2 long, q1 long, q2 long, x long, s long, height int, is_last boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_, ranks = b.column("seq").to_pylist(), b.column("rank").to_numpy()
+            sizes = np.array([len(x) for x in all_], np.int64)
+            at = 0
+            while at < len(all_):
+                upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), AT_ONCE, "right")) + at)
+                part, size = all_[at:upto], sizes[at:upto]
+                depth, p1, p2, q1, q2, s1, s2, last = part_hashes(part)
+                labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1), len(depth), [None, pa.py_buffer(b"".join(part))]).cast(pa.binary())
+                long = lambda v: pa.array(v.view(np.int64))
+                left = np.repeat(size, size) - depth
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ranks[at:upto], size)), pa.array(depth.astype(np.int32)), labels, *map(long, (p1, p2, q1, q2, mixed(s1, 1) ^ mixed(s2, 2), mixed(s1 ^ mixed(s2, 3)))), pa.array(left.astype(np.int32)), pa.array(last)],
+                    ["rank", "depth", "label", "p1", "p2", "q1", "q2", "x", "s", "height", "is_last"],
+                )
+                at = upto
+
+    return seqs.mapInArrow(run, fields)
+
+
+class Graph:
+    """The merged automaton of a set of sequences, worked out once: its tree's arcs, prefixes and states."""
+
+    def __init__(self, seqs: DataFrame) -> None:
+        self.seqs = numbered(seqs.select("seq").orderBy("seq"), "rank")
+        key, place = ["p1", "p2"], F.struct("rank", "depth")
+        self.tree = written(
+            _positions(self.seqs).groupBy(*key, "label").agg(
+                F.bool_or("is_last").alias("is_final"), F.bool_and("is_last").alias("is_terminal"), F.min("q1").alias("q1"), F.min("q2").alias("q2"), F.count(F.lit(1)).alias("n"),
+                F.bit_xor("x").alias("x"), F.sum(F.col("s").cast("decimal(20,0)")).alias("s"), F.max("height").alias("height"), F.min(place).alias("place"),
+            ), "arcs",
+        )
+        below = self.tree.groupBy(*key).agg(F.sum("n").alias("count"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.max("height").alias("height"), F.min("place").alias("place"))
+        below = below.select(*key, "count", "height", "place", F.struct("count", "x", "s").alias("state"))
+        first = below.groupBy("state").agg(F.min("place").alias("name"))  # a state may have any number of prefixes
+        self.prefixes = written(below.join(first, "state"), "prefixes")
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """``(state, at, count, height)``; ``at`` is the place of the state's first prefix in byte order."""
+        return self.prefixes.where("place = name").select("state", F.col("name").alias("at"), "count", "height")
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        """``(src, label, dst, is_final, is_terminal)``, states by place; no dst if terminal."""
+        own = self.prefixes.where("place = name").select("p1", "p2", F.col("name").alias("src"))
+        target = self.prefixes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("name").alias("dst"))
+        return self.tree.drop("place").join(own, ["p1", "p2"]).join(target, ["q1", "q2"], "left").select("src", "label", "dst", "is_final", "is_terminal")
+
+    def shown(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with places as the bytes of their prefixes; a null one stays null."""
+        for i, c in enumerate(columns):
+            known = self.seqs.select(F.col("rank").alias(f"_rank{i}"), F.col("seq").alias(f"_seq{i}"))
+            rows = rows.join(known, F.col(f"{c}.rank") == F.col(f"_rank{i}"), "left").withColumn(c, _part(F.col(f"_seq{i}"), 1, F.col(f"{c}.depth"))).drop(f"_rank{i}", f"_seq{i}")
+        return rows
+
+
 def states(seqs: DataFrame) -> DataFrame:
     """Merged states: ``(state, name, count)``, named after their first prefix in byte order."""
-    return right_languages(seqs).groupBy("state").agg(F.min("prefix").alias("name"), F.first("count").alias("count"))
+    g = Graph(seqs)
+    return g.shown(g.states, "at").select("state", F.col("at").alias("name"), "count")
 
 
 def merged_arcs(seqs: DataFrame) -> DataFrame:
     """Arcs of the merged automaton: ``(src, label, dst, is_final, is_terminal)``, states by name; no dst if terminal."""
-    language = right_languages(seqs)
-    named = language.join(language.groupBy("state").agg(F.min("prefix").alias("name")), "state").select("prefix", "name")
-    first = named.where(F.col("prefix") == F.col("name")).select("prefix")
-    arcs = tree_arcs(seqs).join(first, "prefix")
-    target = named.select(F.col("prefix").alias("to"), F.col("name").alias("dst"))
-    return arcs.withColumn("to", F.concat("prefix", "label")).join(target, "to", "left").select(F.col("prefix").alias("src"), "label", "dst", "is_final", "is_terminal")
+    g = Graph(seqs)
+    return g.shown(g.arcs, "src", "dst")
 
 
 def totals(seqs: DataFrame) -> DataFrame:
     """One row of totals. Nodes, arcs and final arcs count one more than the states have, as for the terminal state."""
-    arcs = merged_arcs(seqs).agg(F.countDistinct("src").alias("n"), F.count(F.lit(1)).alias("a"), F.count_if("is_final").alias("f"))
-    tree = tree_arcs(seqs).agg(F.count(F.lit(1)).alias("tree_arcs"))
+    g = Graph(seqs)
+    arcs = g.arcs.agg(F.count(F.lit(1)).alias("a"), F.count_if("is_final").alias("f")).crossJoin(g.states.agg(F.count(F.lit(1)).alias("n")))
+    tree = g.tree.agg(F.count(F.lit(1)).alias("tree_arcs"))
     sizes = seqs.agg(F.count(F.lit(1)).alias("sequences"), F.max(F.octet_length("seq")).cast("long").alias("longest"))
     return arcs.crossJoin(tree).crossJoin(sizes).select((F.col("n") + 1).alias("nodes"), (F.col("a") + 1).alias("arcs"), (F.col("f") + 1).alias("finals"), "tree_arcs", "sequences", "longest")
 
 
 def fan_outs(seqs: DataFrame) -> DataFrame:
     """``(fan_out, states)`` for every number of arcs between the smallest and the largest, 0 where no state has it."""
-    found = merged_arcs(seqs).groupBy("src").agg(F.count(F.lit(1)).alias("fan_out")).groupBy("fan_out").agg(F.count(F.lit(1)).alias("states"))
+    found = Graph(seqs).arcs.groupBy("src").agg(F.count(F.lit(1)).alias("fan_out")).groupBy("fan_out").agg(F.count(F.lit(1)).alias("states"))
     span = found.agg(F.min("fan_out").alias("a"), F.max("fan_out").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("fan_out"))
     return span.join(found, "fan_out", "left").select("fan_out", F.coalesce("states", F.lit(0)).alias("states"))
 
 
 def label_counts(seqs: DataFrame) -> DataFrame:
-    return merged_arcs(seqs).groupBy("label").agg(F.count(F.lit(1)).alias("arcs"))
+    return Graph(seqs).arcs.groupBy("label").agg(F.count(F.lit(1)).alias("arcs"))
 
 
 def top_labels(seqs: DataFrame, most: int = 31) -> DataFrame:
@@ -97,7 +166,8 @@ def top_labels(seqs: DataFrame, most: int = 31) -> DataFrame:
 
 def in_links(seqs: DataFrame) -> DataFrame:
     """``(state, in_links)`` of the states that an arc leads to."""
-    return merged_arcs(seqs).where(F.col("dst").isNotNull()).groupBy(F.col("dst").alias("state")).agg(F.count(F.lit(1)).alias("in_links"))
+    g = Graph(seqs)
+    return g.shown(g.arcs.where(F.col("dst").isNotNull()).groupBy(F.col("dst").alias("state")).agg(F.count(F.lit(1)).alias("in_links")), "state")
 
 
 def hot_states(seqs: DataFrame, most: int = 150) -> DataFrame:
@@ -202,14 +272,22 @@ def visits(seqs: DataFrame, order: str = "post", stop: DataFrame | None = None)
     """
     if order not in ("post", "pre"):
         raise ValueError(f"order: {order!r} is neither post nor pre")
+    if stop is None:
+        g = Graph(seqs)
+        each = g.shown(g.states.withColumnRenamed("at", "name"), "name").select("state", "name", "count", "height")
+        return _ordered(each, order)
     high = prefixes(seqs).groupBy("prefix").agg(F.max(F.octet_length("rest") + 1).alias("height"))
     found = right_languages(seqs).join(high, "prefix")
-    if stop is not None:
-        closed = found.join(found.groupBy("state").agg(F.min("prefix").alias("name")).join(stop.select("name"), "name", "left_semi"), "state", "left_semi").select(F.col("prefix").alias("above"))
-        own = found.where(F.octet_length("prefix") > 0).select("prefix", F.explode(F.sequence(F.lit(0), F.octet_length("prefix") - 1)).alias("n"))
-        under = own.select("prefix", _part(F.col("prefix"), 1, F.col("n")).alias("above")).join(closed, "above", "left_semi")
-        found = found.join(under.select("prefix").distinct(), "prefix", "left_anti")
+    closed = found.join(found.groupBy("state").agg(F.min("prefix").alias("name")).join(stop.select("name"), "name", "left_semi"), "state", "left_semi").select(F.col("prefix").alias("above"))
+    own = found.where(F.octet_length("prefix") > 0).select("prefix", F.explode(F.sequence(F.lit(0), F.octet_length("prefix") - 1)).alias("n"))
+    under = own.select("prefix", _part(F.col("prefix"), 1, F.col("n")).alias("above")).join(closed, "above", "left_semi")
+    found = found.join(under.select("prefix").distinct(), "prefix", "left_anti")
     each = found.groupBy("state").agg(F.min("prefix").alias("name"), F.first("count").alias("count"), F.max("height").alias("height"))
+    return _ordered(each, order)
+
+
+def _ordered(each: DataFrame, order: str) -> DataFrame:
+    """States by height, and of one height by name, with their place."""
     rank = F.col("height") if order == "post" else -F.col("height")
     sizes = each.groupBy("height").agg(F.count(F.lit(1)).alias("n"))  # as many rows as the longest sequence has bytes
     before = sizes.select("height", F.coalesce(F.sum("n").over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -6,6 +6,8 @@ is an equi-join on the word, and Spark chooses how to join by the sizes that it
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 from threading import Lock
@@ -19,7 +21,7 @@ from ..functions.encoders import BY_NAME
 from ..functions.words import converted, in_charset
 from ..sources import readers
 from ..sources.metadata import Metadata, metadata_path, read_metadata, write_metadata
-from ..sources.store import checkpointed, is_folder
+from ..sources.store import exists, is_folder, remove, written
 
 #: Charsets that Spark decodes itself; others go through ISO-8859-1 and a table of their upper half.
 _NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -85,6 +87,14 @@ def source_violations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("separators").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def unsafe_rows(rows: DataFrame, metadata: Metadata) -> DataFrame:
+    """Distinct rows ``(base, inflected, tag)`` that a dictionary could not bring back, as the bytes of the base or of the
+    inflected form have the separator: a line that is made of the entry would be cut there."""
+    sep = F.lit(metadata.separator_byte.decode("latin-1"))
+    has = lambda c: F.coalesce(F.contains(F.decode(to_bytes(F.col(c), metadata.encoding), "ISO-8859-1"), sep), F.lit(False))
+    return rows.where(has("base") | has("inflected")).select("base", "inflected", "tag").distinct()
+
+
 def checked_rows(rows: DataFrame) -> DataFrame:
     """Raises on rows that don't have one number of separators, 1 or 2."""
     found = [r[0] for r in source_violations(rows).select("separators").orderBy("separators").limit(3).collect()]
@@ -138,7 +148,7 @@ ENTRIES = ("seq", "word", "stem", "tag", "coded", "visible")
 class Lexicon:
     """Packed entries and metadata. ``entries`` has a row ``(seq, word, stem, tag, coded, visible)`` for each (word, stem, tag).
 
-    The entries are a written table: look-up reads the columns of it that it needs, and nothing is encoded or parsed
+    The entries are a Parquet table: look-up reads the columns of it that it needs, and nothing is encoded or parsed
     again. ``table`` has them where they are known already.
     """
 
@@ -162,11 +172,12 @@ class Lexicon:
     @staticmethod
     def compile(rows: DataFrame, metadata: Metadata) -> Lexicon:
         """From source rows ``(base, inflected, tag)``."""
-        all_ = checkpointed(packed(rows, metadata))
+        all_ = written(packed(rows, metadata), "lexicon")
         seen = (F.octet_length("coded") > 0) | (F.length("tag") > 0)
-        entries = all_.where("plain").select("seq", "word", F.nullif("base", F.lit("")).alias("stem"), F.nullif("tag", F.lit("")).alias("tag"), "coded", seen.alias("visible"))
         odd = all_.where(~F.col("plain"))
-        if not odd.isEmpty():
+        clean = odd.isEmpty()  # then no filter is needed, and look-up reads three columns
+        entries = (all_ if clean else all_.where("plain")).select("seq", "word", F.nullif("base", F.lit("")).alias("stem"), F.nullif("tag", F.lit("")).alias("tag"), "coded", seen.alias("visible"))
+        if not clean:
             entries = entries.unionByName(unpacked(odd.select("seq").distinct(), metadata).select(*ENTRIES))
         return Lexicon(entries.select("seq"), metadata, entries)
 
@@ -183,13 +194,37 @@ class Lexicon:
         entries = spark.read.parquet(path)
         return Lexicon(entries.select("seq"), read_metadata(readers.read_bytes(spark, metadata_path(path))), entries)
 
+    def save_buckets(self, path: str, buckets: int, overwrite: bool = False) -> None:
+        """As Parquet at ``path`` in so many buckets by word, each sorted: for look-ups again and again, which then shuffle
+        and sort the probes only."""
+        if self.table is None and not self.bare().isEmpty():
+            raise SourceError("sequences without a separator are no entries")
+        spark, name = self.entries.sparkSession, f"lexicon_{uuid.uuid4().hex}"
+        if exists(spark, path):
+            if not overwrite:
+                raise SourceError(f"{path} exists")
+            remove(spark, path)
+        self.entries.repartition(buckets, "word").write.format("parquet").bucketBy(buckets, "word").sortBy("word").option("path", path).saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # an external table's files stay
+        readers.write_bytes(spark, metadata_path(path), write_metadata(self.metadata), overwrite)
+
+    @staticmethod
+    def load_buckets(spark: SparkSession, path: str, buckets: int) -> Lexicon:
+        """What ``save_buckets`` has written, with its number of buckets, as a table that this session knows."""
+        name = f"lexicon_{hashlib.md5(path.encode()).hexdigest()}_{buckets}"
+        columns = ", ".join(f"{c} {t}" for c, t in zip(ENTRIES, ("BINARY", "STRING", "STRING", "STRING", "BINARY", "BOOLEAN"), strict=True))
+        at = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (word) SORTED BY (word) INTO {buckets} BUCKETS LOCATION '{at}'")
+        entries = spark.table(name)
+        return Lexicon(entries.select("seq"), read_metadata(readers.read_bytes(spark, metadata_path(path))), entries)
+
     def write(self, path: str, version: str = "fsa5", overwrite: bool = False) -> None:
         """As one binary automaton, built by one task, and its metadata file."""
         readers.write_dictionary_files(self.seqs, self.metadata, path, version, overwrite)
 
     @cached_property
     def entries(self) -> DataFrame:
-        return self.table if self.table is not None else checkpointed(unpacked(self.seqs, self.metadata))
+        return self.table if self.table is not None else written(unpacked(self.seqs, self.metadata), "lexicon")
 
     def bare(self) -> DataFrame:
         """Sequences without a separator, which are words but no entries."""
@@ -268,26 +303,38 @@ class Stemmer:
             return cls(cls._known[key])
 
 
+#: The probe's form in joins. The library's own columns carry names that no table is likely to have.
+_WORD, _BEST = "_lexspark_word", "_lexspark_best"
+
+
+def free(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of the names that a result is about to add, in whatever case: a result's columns replace
+    those of the input, as ``withColumn`` does."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in taken))
+
+
 def _probes(words: DataFrame, column: str, metadata: Metadata) -> DataFrame:
-    """Probes with their converted form as ``_word``, null where the dictionary cannot have it."""
+    """Probes with their converted form, null where the dictionary cannot have it."""
     w = converted(F.col(column), metadata.input_conversion)
     fit = ~F.contains(w, F.lit(metadata.separator)) & in_charset(w, metadata.encoding)
-    return words.withColumn("_word", F.when(fit, w))
+    return words.withColumn(_WORD, F.when(fit, w))
 
 
-def lookup(words: DataFrame, lexicon: Lexicon, column: str = "word", how: str = "inner") -> DataFrame:
+def lookup(words: DataFrame, lexicon: Lexicon, column: str = "word", how: str = "inner", with_seq: bool = False) -> DataFrame:
     """Each row of ``words`` with the ``stem`` and ``tag`` of every entry of its word; ``how``: inner, left or anti.
 
-    A null word, one with the separator, or one that the charset lacks finds nothing.
+    A null word, one with the separator, or one that the charset lacks finds nothing. Columns stem and tag of ``words``
+    give way; others may have any name. ``with_seq`` adds ``seq``, by whose bytes a dictionary orders a word's entries.
     """
-    m = lexicon.metadata
-    probes = _probes(words, column, m)
-    forms = lexicon.forms.select(F.col("word").alias("_word"), "stem", "tag")
+    m, own = lexicon.metadata, ("stem", "tag", "seq") if with_seq else ("stem", "tag")
     if how == "anti":
-        return probes.join(forms.select("_word").distinct(), "_word", "left_anti").drop("_word")
-    out = probes.join(forms, "_word", how)
-    shown = F.coalesce(converted(F.col("_word"), m.output_conversion) if m.output_conversion else F.col("_word"), F.col(column))
-    return out.withColumn(column, shown).drop("_word")
+        forms = lexicon.forms.select(F.col("word").alias(_WORD))
+        return _probes(words, column, m).join(forms.distinct(), _WORD, "left_anti").drop(_WORD)
+    probes = _probes(free(words, *(c for c in own if c != column)), column, m)
+    out = probes.join(lexicon.forms.select(F.col("word").alias(_WORD), *own), _WORD, how)
+    shown = F.coalesce(converted(F.col(_WORD), m.output_conversion) if m.output_conversion else F.col(_WORD), F.col(column))
+    return out.withColumn(column, shown).drop(_WORD)
 
 
 def synthesize(probes: DataFrame, lexicon: Lexicon, stem: str = "stem", tag: str = "tag") -> DataFrame:
@@ -295,9 +342,15 @@ def synthesize(probes: DataFrame, lexicon: Lexicon, stem: str = "stem", tag: str
     return probes.join(lexicon.forms.select(F.col("stem").alias(stem), F.col("tag").alias(tag), "word"), [stem, tag])
 
 
-def applied(words: DataFrame, lexicon: Lexicon, column: str = "word", skip_tags: bool = False) -> DataFrame:
-    """``(line)``: ``word => stem tag`` for each result, ``word => [not found]`` without one; empty words are skipped."""
-    found = lookup(words.where(F.length(column) > 0), lexicon, column, "left")
+def applied(words: DataFrame, lexicon: Lexicon, column: str = "word", skip_tags: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """``(line)``: ``word => stem tag`` for each result, ``word => [not found]`` without one; empty words are skipped.
+
+    ``order`` has the columns that tell the place of a word: lines come in this order, those of one word in the
+    dictionary's, by one sort by ranges.
+    """
+    found = lookup(words.where(F.length(column) > 0), lexicon, column, "left", with_seq=bool(order))
+    if order:
+        found = found.orderBy(*order, "seq")
     parts = [F.coalesce("stem", F.lit(""))] + ([] if skip_tags else [F.coalesce("tag", F.lit(""))])
     known = F.col("stem").isNotNull() | F.col("tag").isNotNull()
     return found.select(F.concat(F.col(column), F.lit(" => "), F.when(known, F.concat_ws(" ", *parts)).otherwise("[not found]")).alias("line"))
@@ -310,5 +363,5 @@ def frequencies(words: DataFrame, lexicon: Lexicon, column: str = "word") -> Dat
     first = Window.partitionBy("word").orderBy("seq")
     best = lexicon.forms.withColumn("n", F.row_number().over(first)).where("n = 1")
     letter = F.conv(F.hex(F.substring("seq", -1, 1)), 16, 10).cast("int") - 65
-    best = best.select(F.col("word").alias("_word"), letter.alias("_f"))
-    return _probes(words, column, lexicon.metadata).join(best, "_word", "left").withColumn("frequency", F.coalesce("_f", F.lit(0))).drop("_word", "_f")
+    best = best.select(F.col("word").alias(_WORD), letter.alias(_BEST))
+    return _probes(words, column, lexicon.metadata).join(best, _WORD, "left").withColumn("frequency", F.coalesce(_BEST, F.lit(0))).drop(_WORD, _BEST)

@@ -26,8 +26,9 @@ CLASSES = 26
 
 
 def _marked(df: DataFrame, known: DataFrame, word: Column, name: str) -> DataFrame:
-    """Adds whether ``word`` is known."""
-    return df.withColumn("_k", word).join(known.select(F.col("word").alias("_k"), F.lit(True).alias("_y")), "_k", "left").withColumn(name, F.coalesce("_y", F.lit(False))).drop("_k", "_y")
+    """Adds whether ``word`` is known, as ``name``, which replaces a column of that name."""
+    key, yes = "_lexspark_key", "_lexspark_yes"
+    return df.withColumn(key, word).join(known.select(F.col("word").alias(key), F.lit(True).alias(yes)), key, "left").withColumn(name, F.coalesce(yes, F.lit(False))).drop(key, yes)
 
 
 def with_membership(df: DataFrame, lexicon: Lexicon, column: str = "word") -> DataFrame:
@@ -39,10 +40,10 @@ def with_misspelled(df: DataFrame, lexicon: Lexicon, column: str = "word") -> Da
     """Each row with ``misspelled``, by the dictionary's options."""
     m, known = lexicon.metadata, lexicon.words()
     w = W.converted(F.col(column), m.input_conversion)
-    out = _marked(df, known, w, "_in")
-    out = _marked(out, known, F.lower(w), "_low") if m.convert_case else out.withColumn("_low", F.lit(False))
-    out = _marked(out, known, W.initial_uppercase(w), "_first") if m.convert_case else out.withColumn("_first", F.lit(False))
-    return out.withColumn("misspelled", F.coalesce(W.checked(w, m, F.col("_in"), F.col("_low"), F.col("_first")), F.lit(False))).drop("_in", "_low", "_first")
+    out = _marked(df, known, w, "_lexspark_in")
+    out = _marked(out, known, F.lower(w), "_lexspark_low") if m.convert_case else out.withColumn("_lexspark_low", F.lit(False))
+    out = _marked(out, known, W.initial_uppercase(w), "_lexspark_first") if m.convert_case else out.withColumn("_lexspark_first", F.lit(False))
+    return out.withColumn("misspelled", F.coalesce(W.checked(w, m, F.col("_lexspark_in"), F.col("_lexspark_low"), F.col("_lexspark_first")), F.lit(False))).drop("_lexspark_in", "_lexspark_low", "_lexspark_first")
 
 
 def run_ons(words: DataFrame, lexicon: Lexicon, column: str = "word") -> DataFrame:

@@ -22,7 +22,7 @@ from ..operators.lexicon import Lexicon
 from ..sources import formats, readers
 from ..sources.datasource import FsaDataSource
 from ..sources.metadata import Metadata, write_metadata
-from ..sources.store import checkpointed, scratch
+from ..sources.store import checkpointed, numbered, scratch
 from ..sql import register
 from ..streaming import apply as streaming
 
@@ -170,8 +170,10 @@ def dict_tag_inventory(spark, d):
 
 
 def dict_unsafe(spark, d):
-    words = table(spark, d, "part").select(F.concat_ws("+", F.split("p_name", " ")).alias("base"), F.col("p_brand").alias("inflected"), F.col("p_type").alias("tag"))
-    return Lexicon.compile(words, OPTIONS.with_(encoder="none")).scan()
+    """Source rows whose base or inflected form has the separator, among others that have none."""
+    joined = lambda c, n: F.when(F.col("p_size") % n == 0, F.replace(c, F.lit(" "), F.lit("+"))).otherwise(F.col(c))
+    rows = table(spark, d, "part").select(joined("p_name", 3).alias("base"), joined("p_type", 5).alias("inflected"), F.col("p_brand").alias("tag"))
+    return lexicon.unsafe_rows(rows, OPTIONS)
 
 
 def apply_conversions(spark, d):
@@ -400,6 +402,21 @@ def dict_apply_charset(spark, d):
     return tools.apply_dict(spark, f"{path}/lexicon.dict", f"{path}/words.txt", "iso8859-15")
 
 
+def dict_apply_ordered(spark, d):
+    """A file of lines, the last words first, looked up by the tool: output lines by their place."""
+    path = scratch(spark, "tools")
+    derived(spark, d).write(f"{path}/lexicon.dict")
+    readers.write_one(probes(spark, d).orderBy(F.desc("word")).select(F.col("word").cast("binary").alias("line")), f"{path}/words.txt")
+    return numbered(tools.apply_dict(spark, f"{path}/lexicon.dict", f"{path}/words.txt"), "place")
+
+
+def lookup_bucketed(spark, d):
+    """Look-up in a dictionary that lies in buckets by word."""
+    path = scratch(spark, "buckets")
+    derived(spark, d).save_buckets(path, 8)
+    return lexicon.lookup(probes(spark, d), Lexicon.load_buckets(spark, path, 8))
+
+
 def fsa_info(spark, d):
     """Header and totals of the vocabulary's automaton as files of both formats."""
     path = scratch(spark, "info")
@@ -443,7 +460,7 @@ def queries() -> dict:
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
         spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_equivalents, spell_suggest_d2, spell_suggest_d3, spell_suggest_pairs, spell_rewrites,
-        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
+        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, dict_apply_ordered, lookup_bucketed, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
 
@@ -633,7 +650,7 @@ SELECT source, target, {code('CASE WHEN m THEN 0 ELSE i END')} || {code('CASE WH
         "dict_decompile": _BASE + "SELECT coalesce(stem, '') || '+' || word || '+' || coalesce(tag, '') AS line FROM lex",
         "dict_compile_validate": "SELECT (length(line) - length(replace(line, '+', '')))::INTEGER AS separators, count(*) AS rows FROM (SELECT concat_ws('+', replace(p_name, ' ', '+'), p_brand, CASE WHEN p_size % 2 = 0 THEN p_type END) AS line FROM part) GROUP BY 1",
         "dict_tag_inventory": _BASE + "SELECT tag, count(*) AS entries, count(DISTINCT word) AS words FROM lex GROUP BY tag",
-        "dict_unsafe": "SELECT DISTINCT p_brand AS word, split_part(p_name, ' ', 1) AS stem, split_part(p_name, ' ', 2) || '+' || p_type AS tag FROM part",
+        "dict_unsafe": "SELECT DISTINCT base, inflected, p_brand AS tag FROM (SELECT CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '+') ELSE p_name END AS base, CASE WHEN p_size % 5 = 0 THEN replace(p_type, ' ', '+') ELSE p_type END AS inflected, p_brand FROM part) WHERE contains(base, '+') OR contains(inflected, '+')",
         "apply_conversions": _BASE + "SELECT word, replace(replace(replace(word, 'th', 'd'), 'ing', 'in'), 'er', '') AS converted FROM said",
         "fsa_arcs": _TREE + "SELECT * FROM arcs",
         "fsa_right_language": _TREE + "SELECT prefix, count FROM langs",
@@ -681,6 +698,8 @@ SELECT a.word AS probe, p.word AS suggestion, 0::INTEGER AS distance FROM asked
         "dict_tools_roundtrip": _BASE + "SELECT coalesce(stem, '') || '+' || word || '+' || tag AS line FROM lex",
         "fsa_tools_roundtrip": _BASE + "SELECT h AS seq FROM bytes",
         "dict_apply_charset": _BASE + "SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
+        "dict_apply_ordered": _BASE + "SELECT row_number() OVER (ORDER BY word DESC, tag) - 1 AS place, word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
+        "lookup_bucketed": _BASE + "SELECT word, stem, tag FROM said JOIN lex USING (word)",
         "fsa_info": _TREE + "SELECT unnest([5, 198])::INTEGER AS version, true AS numbers, (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS final_arcs, (SELECT count(*) FROM vocab) AS sequences",
         "fsa_datasource": _BASE + "SELECT h AS seq FROM bytes",
         "fsa_dot": _TREE.replace("SELECT word, hex(encode(word)) AS h FROM vocab", "SELECT word, substr(hex(encode(word)), 5) AS h FROM vocab WHERE starts_with(word, 'th') AND word <> 'th'") + """

@@ -51,8 +51,13 @@ def _starts_with_bom(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
-def read_lines(spark: SparkSession, path: str, accept_bom: bool = False, accept_cr: bool = False, ignore_empty: bool = False) -> DataFrame:
+#: Where a line stands: its file, the part of the file that a task has read, and its place in what the task has read.
+PLACE = ("file", "part", "at")
+
+
+def read_lines(spark: SparkSession, path: str, accept_bom: bool = False, accept_cr: bool = False, ignore_empty: bool = False, placed: bool = False) -> DataFrame:
     """``(line BINARY)``: LF-separated byte lines; the last one may lack its LF. What isn't accepted raises an error.
+    ``placed`` adds the columns of ``PLACE``, by which lines sort as they are in their files.
 
     The text source hands on the bytes of a line as they are, whatever their charset, and reads large files in parts.
     It drops a byte order mark, so that is looked for in the first bytes of each file.
@@ -67,7 +72,8 @@ def read_lines(spark: SparkSession, path: str, accept_bom: bool = False, accept_
         line = F.when(F.contains(F.decode(line, "ISO-8859-1"), F.lit("\r")), F.raise_error(F.lit("carriage returns; use accept_cr to keep them")).cast("binary")).otherwise(line)
     if not ignore_empty:
         line = F.when(F.octet_length(line) == 0, F.raise_error(F.lit("an empty line; use ignore_empty to skip them")).cast("binary")).otherwise(line)
-    return text.select(line.alias("line")).where(F.octet_length("line") > 0)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")] if placed else []
+    return text.select(line.alias("line"), *place).where(F.octet_length("line") > 0)
 
 
 def line_violations(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage as a checkpoint does, and is read by columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows with their place in the order of ``df``, from 0, as ``name``: counted in each partition, after the rows of those
+    before, which are a table with a row for each partition."""
+    part, at = "_numbered_part", "_numbered_at"
+    held = checkpointed(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = held.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_numbered_before"))
+    return held.join(before, part).withColumn(name, F.col("_numbered_before") + F.col(at)).drop(part, at, "_numbered_before")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, which is deleted when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"

@@ -79,19 +79,20 @@ def decompile_dict(spark: SparkSession, source: str, target: str, overwrite: boo
 
 
 def apply_dict(spark: SparkSession, dictionary: str, source: str, charset: str = "UTF-8", skip_tags: bool = False) -> DataFrame:
-    """Looks up each line of ``source``, which is in ``charset``; empty lines are skipped."""
-    lines = readers.read_lines(spark, source, accept_bom=True, accept_cr=True, ignore_empty=True)
-    words = lines.select(F.regexp_replace(strict_text(F.col("line"), charset), "\r$", "").alias("word"))
-    return applied(words, Lexicon.read(spark, dictionary), skip_tags=skip_tags)
+    """Looks up each line of ``source``, which is in ``charset``, in the order of the input; empty lines are skipped."""
+    lines = readers.read_lines(spark, source, accept_bom=True, accept_cr=True, ignore_empty=True, placed=True)
+    words = lines.select(*readers.PLACE, F.regexp_replace(strict_text(F.col("line"), charset), "\r$", "").alias("word"))
+    return applied(words, Lexicon.read(spark, dictionary), skip_tags=skip_tags, order=readers.PLACE)
 
 
-def apply_stream(spark: SparkSession, dictionary: str, stream: BinaryIO, charset: str = "UTF-8", skip_tags: bool = False, batch: int = 10_000) -> Iterator[str]:
-    """Looks up the lines of a byte stream such as the standard input, ``batch`` lines at a time, as they come."""
+def apply_stream(spark: SparkSession, dictionary: str, stream: BinaryIO, charset: str = "UTF-8", skip_tags: bool = False, batch: int = 100_000) -> Iterator[str]:
+    """Looks up the lines of a byte stream such as the standard input, ``batch`` lines at a time, as they come and in their
+    order. The stream is the driver's, so its lines pass the driver; files go by ``apply_dict``."""
     lexicon = Lexicon.read(spark, dictionary)
     lines = (line.decode(charset).rstrip("\r\n") for line in stream)
     while part := list(islice(lines, batch)):
-        words = spark.createDataFrame([(w,) for w in part if w], "word string")
-        yield from (r[0] for r in applied(words, lexicon, skip_tags=skip_tags).collect())
+        words = spark.createDataFrame([(i, w) for i, w in enumerate(part) if w], "at long, word string")
+        yield from (r[0] for r in applied(words, lexicon, skip_tags=skip_tags, order=("at",)).toLocalIterator())
 
 
 def _charset(text: str) -> str:
