@@ -24,6 +24,8 @@ from ..sources.store import checkpointed, numbered, written
 
 #: Bytes whose parts are hashed at once, or one sequence.
 AT_ONCE = 1 << 18
+#: Bits of a place that hold the depth; a sequence has fewer bytes than that.
+DEPTH_BITS = 24
 #: Kinds of a match.
 EXACT, NO_MATCH, HAS_PREFIX, IS_A_PREFIX = 0, -1, -3, -4
 
@@ -66,13 +68,15 @@ def right_languages(seqs: DataFrame) -> DataFrame:
 
 def _positions(seqs: DataFrame) -> DataFrame:
     """For each position of each sequence of ``seqs`` (seq, rank): the prefix ``p`` before it and ``q`` with it, its label,
-    hashes of the suffix, what is left of the sequence, and its place, by which prefixes sort: the rank and the depth."""
-    fields = "rank long, depth int, label binary, p1 long, p2 long, q1 long, q2 long, x long, s long, height int, is_last boolean"
+    hashes of the suffix, what is left of the sequence, and its place, by which prefixes sort: the rank, then the depth."""
+    fields = "place long, label binary, p1 long, p2 long, q1 long, q2 long, x long, s long, height int, is_last boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_, ranks = b.column("seq").to_pylist(), b.column("rank").to_numpy()
             sizes = np.array([len(x) for x in all_], np.int64)
+            if sizes.max(initial=0) >= 1 << DEPTH_BITS:
+                raise ValueError(f"a sequence has more than {(1 << DEPTH_BITS) - 1} bytes")
             at = 0
             while at < len(all_):
                 upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), AT_ONCE, "right")) + at)
@@ -82,8 +86,8 @@ def _positions(seqs: DataFrame) -> DataFrame:
                 long = lambda v: pa.array(v.view(np.int64))
                 left = np.repeat(size, size) - depth
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ranks[at:upto], size)), pa.array(depth.astype(np.int32)), labels, *map(long, (p1, p2, q1, q2, mixed(s1, 1) ^ mixed(s2, 2), mixed(s1 ^ mixed(s2, 3)))), pa.array(left.astype(np.int32)), pa.array(last)],
-                    ["rank", "depth", "label", "p1", "p2", "q1", "q2", "x", "s", "height", "is_last"],
+                    [pa.array((np.repeat(ranks[at:upto], size) << DEPTH_BITS) + depth), labels, *map(long, (p1, p2, q1, q2, mixed(s1, 1) ^ mixed(s2, 2), mixed(s1 ^ mixed(s2, 3)))), pa.array(left.astype(np.int32)), pa.array(last)],
+                    ["place", "label", "p1", "p2", "q1", "q2", "x", "s", "height", "is_last"],
                 )
                 at = upto
 
@@ -95,14 +99,14 @@ class Graph:
 
     def __init__(self, seqs: DataFrame) -> None:
         self.seqs = numbered(seqs.select("seq").orderBy("seq"), "rank")
-        key, place = ["p1", "p2"], F.struct("rank", "depth")
+        key, few = ["p1", "p2"], self.seqs.rdd.getNumPartitions() < (cores := seqs.sparkSession.sparkContext.defaultParallelism)
         self.tree = written(
-            _positions(self.seqs).groupBy(*key, "label").agg(
+            _positions(self.seqs.repartition(cores) if few else self.seqs).groupBy(*key, "label").agg(
                 F.bool_or("is_last").alias("is_final"), F.bool_and("is_last").alias("is_terminal"), F.min("q1").alias("q1"), F.min("q2").alias("q2"), F.count(F.lit(1)).alias("n"),
-                F.bit_xor("x").alias("x"), F.sum(F.col("s").cast("decimal(20,0)")).alias("s"), F.max("height").alias("height"), F.min(place).alias("place"),
+                F.bit_xor("x").alias("x"), F.bit_xor("s").alias("s"), F.max("height").alias("height"), F.min("place").alias("place"),
             ), "arcs",
         )
-        below = self.tree.groupBy(*key).agg(F.sum("n").alias("count"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.max("height").alias("height"), F.min("place").alias("place"))
+        below = self.tree.groupBy(*key).agg(F.sum("n").alias("count"), F.bit_xor("x").alias("x"), F.bit_xor("s").alias("s"), F.max("height").alias("height"), F.min("place").alias("place"))
         below = below.select(*key, "count", "height", "place", F.struct("count", "x", "s").alias("state"))
         first = below.groupBy("state").agg(F.min("place").alias("name"))  # a state may have any number of prefixes
         self.prefixes = written(below.join(first, "state"), "prefixes")
@@ -123,7 +127,8 @@ class Graph:
         """``rows`` with places as the bytes of their prefixes; a null one stays null."""
         for i, c in enumerate(columns):
             known = self.seqs.select(F.col("rank").alias(f"_rank{i}"), F.col("seq").alias(f"_seq{i}"))
-            rows = rows.join(known, F.col(f"{c}.rank") == F.col(f"_rank{i}"), "left").withColumn(c, _part(F.col(f"_seq{i}"), 1, F.col(f"{c}.depth"))).drop(f"_rank{i}", f"_seq{i}")
+            rank, depth = F.shiftright(c, DEPTH_BITS), F.col(c).bitwiseAND((1 << DEPTH_BITS) - 1).cast("int")
+            rows = rows.join(known, rank == F.col(f"_rank{i}"), "left").withColumn(c, _part(F.col(f"_seq{i}"), 1, depth)).drop(f"_rank{i}", f"_seq{i}")
         return rows
 
 
