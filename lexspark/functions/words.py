@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.metadata import Metadata
+from . import charsets
 
 
 def is_alphabetic(c: Column) -> Column:
@@ -66,6 +67,8 @@ def in_charset(w: Column, encoding: str) -> Column:
         return ~w.rlike(r"[^\x00-\x7F]")
     if name == "iso8859-1":
         return ~w.rlike(r"[^\x00-\xFF]")
+    if charsets.several_bytes(encoding):
+        return charsets.column(charsets.codable, w, encoding, "boolean")
     known = "".join(ch for b in range(128, 256) if (ch := bytes([b]).decode(encoding, "ignore")))
     return F.length(F.translate(w, known, "")) == F.length(F.regexp_replace(w, r"[^\x00-\x7F]", ""))
 

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import charsets
 from ..functions.encoders import BY_NAME
 from ..functions.words import converted, in_charset
 from ..sources import readers
 from ..sources.metadata import Metadata, metadata_path, read_metadata, write_metadata
 from ..sources.store import exists, is_folder, remove, written
 
-#: Charsets that Spark decodes itself; others go through ISO-8859-1 and a table of their upper half.
+#: Charsets that Spark decodes itself; others of one byte go through ISO-8859-1 and a table of their upper half, others
+#: through Python's codecs.
 _NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
 
 
@@ -45,6 +47,8 @@ def _upper_half(encoding: str) -> tuple[str, str]:
 def to_bytes(text: Column, encoding: str) -> Column:
     if name := _native(encoding):
         return F.encode(text, name)
+    if charsets.several_bytes(encoding):
+        return charsets.column(charsets.encoded, text, encoding, "binary")
     latin, own = _upper_half(encoding)
     return F.encode(F.translate(text, own, latin), "ISO-8859-1")
 
@@ -52,6 +56,8 @@ def to_bytes(text: Column, encoding: str) -> Column:
 def to_text(data: Column, encoding: str) -> Column:
     if name := _native(encoding):
         return F.decode(data, name)
+    if charsets.several_bytes(encoding):
+        return charsets.column(charsets.decoded, data, encoding, "string")
     latin, own = _upper_half(encoding)
     return F.translate(F.decode(data, "ISO-8859-1"), latin, own)
 
@@ -69,6 +75,8 @@ def strict_text(data: Column, encoding: str) -> Column:
     name, latin = codecs.lookup(encoding).name, F.decode(data, "ISO-8859-1")
     if name == "utf-8":
         known = F.is_valid_utf8(data.cast("string"))
+    elif charsets.several_bytes(encoding):
+        known = charsets.column(charsets.known, data, encoding, "boolean")
     else:
         free = "".join(chr(b) for b in range(256) if not bytes([b]).decode(encoding, "ignore"))
         known = F.length(F.translate(latin, free, "")) == F.length(latin)
@@ -113,7 +121,9 @@ def packed(rows: DataFrame, metadata: Metadata) -> DataFrame:
     source, target = to_bytes(F.col("word"), m.encoding), to_bytes(F.col("base"), m.encoding)
     sep = F.unhex(F.lit(m.separator_byte.hex()))
     fit = lambda c: in_charset(F.col(c), m.encoding)
-    free = lambda c: ~F.contains(F.col(c), F.lit(m.separator))
+    # a byte of a longer character may be the separator's, which is why it's the bytes that are looked at there
+    sep_in = lambda b: F.contains(F.decode(b, "ISO-8859-1"), F.lit(m.separator_byte.decode("latin-1")))
+    free = lambda c: ~(sep_in(to_bytes(F.col(c), m.encoding)) if charsets.several_bytes(m.encoding) else F.contains(F.col(c), F.lit(m.separator)))
     # entries are told apart before they are encoded, so that equal ones are encoded once
     slim = rows.where("inflected IS NOT NULL AND base IS NOT NULL").select(F.col("inflected").alias("word"), "base", F.coalesce("tag", F.lit("")).alias("tag")).distinct()
     coded = slim.withColumn("coded", BY_NAME[m.encoder].encode(source, target)).withColumn("plain", fit("word") & fit("base") & fit("tag") & free("word") & free("base"))
@@ -318,6 +328,8 @@ def _probes(words: DataFrame, column: str, metadata: Metadata) -> DataFrame:
     """Probes with their converted form, null where the dictionary cannot have it."""
     w = converted(F.col(column), metadata.input_conversion)
     fit = ~F.contains(w, F.lit(metadata.separator)) & in_charset(w, metadata.encoding)
+    if charsets.several_bytes(metadata.encoding):  # the separator's byte may be part of a character
+        fit &= ~F.contains(F.decode(to_bytes(w, metadata.encoding), "ISO-8859-1"), F.lit(metadata.separator_byte.decode("latin-1")))
     return words.withColumn(_WORD, F.when(fit, w))
 
 

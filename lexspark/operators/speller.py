@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import words as W
 from ..functions.distance import Rules, choices, deletions, distance, probing_keys, rewritten, stored_keys, variants
 from ..sources.store import checkpointed
-from .lexicon import Lexicon, frequencies
+from .lexicon import Lexicon, frequencies, to_bytes
 
 #: Longest probe, exclusive; most rewritten probes that are searched; shortest of these but for the first.
 LONGEST, SEARCHED, SHORTEST = 120, 14, 4
@@ -199,8 +199,8 @@ def rewrites(words: DataFrame, rules: Rules, column: str = "word") -> DataFrame:
 def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str = "word", even_if_known: bool = False) -> DataFrame:
     """``(probe, suggestion, distance, score, rank)`` for the distinct words that aren't known, or for all.
 
-    The score is 26 times the distance plus 25 less the frequency; of equal scores, the earlier rewrite and then the
-    smaller word comes first. Words of 120 characters and more, and null or empty ones, get nothing.
+    The score is 26 times the distance plus 25 less the frequency; of equal scores, the earlier rewrite comes
+    first, and of one rewrite the word that a walk through the dictionary's automaton finds first. Words of 120 characters and more, and null or empty ones, get nothing.
     """
     m, rules, known = lexicon.metadata, Rules.of(lexicon.metadata), lexicon.words()
     probes = words.select(W.converted(F.col(column), m.input_conversion).alias("probe")).where((F.length("probe") > 0) & (F.length("probe") < LONGEST)).distinct()
@@ -223,7 +223,9 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     out = frequencies(out.where("suggestion <> probe"), lexicon, "suggestion")
     own = frequencies(out.select("probe", "place", "word", "distance", "suggestion"), lexicon, "word") if m.output_conversion else out
     score = F.col("distance") * CLASSES + CLASSES - 1 - F.col("frequency")
-    once = Window.partitionBy("probe", "suggestion").orderBy(score, "place", "word")
+    # an automaton's arcs are walked in the order of their bytes, so that is the order in which it finds words
+    found = F.col("word") if m.encoding.lower().replace("-", "") == "utf8" else to_bytes(F.col("word"), m.encoding)
+    once = Window.partitionBy("probe", "suggestion").orderBy(score, "place", found)
     out = own.withColumn("score", score).withColumn("n", F.row_number().over(once)).where("n = 1")
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", "word"))
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", found))
     return out.select("probe", "suggestion", "distance", "score", rank.alias("rank"))

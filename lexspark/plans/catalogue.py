@@ -25,6 +25,7 @@ from ..sources.metadata import Metadata, write_metadata
 from ..sources.store import checkpointed, numbered, scratch
 from ..sql import register
 from ..streaming import apply as streaming
+from ..streaming import unknown
 
 OPTIONS = Metadata("+", "suffix", "utf-8", ignore_diacritics=False)
 FREQUENT = OPTIONS.with_(frequency_included=True)
@@ -454,13 +455,33 @@ def stream_apply(spark, d):
     return spark.read.text(f"{path}/out").select(F.col("value").alias("line"))
 
 
+def stream_unknown(spark, d):
+    """Words of the conversations that no English document has, by conversation, as a stream of files that holds each row
+    twice."""
+    path = scratch(spark, "unknown")
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.timestamp_seconds((F.col("conv_id") + 400_000) * 3600 + F.col("turn")).alias("time"), "text")
+    said.union(said).repartition(4).write.parquet(f"{path}/in")
+    words = _tokens(table(spark, d, "documents").where("lang = 'en'")).select(F.col("word").alias("base")).distinct()
+    known = Lexicon.compile(words.select("base", F.col("base").alias("inflected"), F.lit(None).cast("string").alias("tag")), OPTIONS)
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    unknown.count_unknown(stream, known, ("conv_id", "turn"), f"{path}/out", f"{path}/state", delay="100000 hours").awaitTermination()
+    return unknown.unknown_counts(spark, f"{path}/out").select(((F.unix_timestamp("start") / 3600).cast("long") - 400_000).alias("conv_id"), "words")
+
+
+def lookup_gb18030(spark, d):
+    """Look-up in a dictionary whose charset has characters of two and four bytes, read back from its bytes."""
+    wide = OPTIONS.with_(encoding="gb18030", encoder="infix")
+    rows = counted(spark, d).select(_stem(F.col("word")).alias("base"), F.col("word").alias("inflected"), F.col("lang").alias("tag"))
+    return lexicon.lookup(probes(spark, d), Lexicon(Lexicon.compile(rows, wide).seqs, wide), how="left")
+
+
 def queries() -> dict:
     out = {f"lex_encode_{n}": _encode(n) for n in BY_NAME} | {"fsa5_roundtrip": _roundtrip("fsa5"), "cfsa2_roundtrip": _roundtrip("cfsa2")}
     named = (
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
         spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_equivalents, spell_suggest_d2, spell_suggest_d3, spell_suggest_pairs, spell_rewrites,
-        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, dict_apply_ordered, lookup_bucketed, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
+        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, dict_apply_ordered, lookup_bucketed, lookup_gb18030, stream_unknown, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
 
@@ -699,6 +720,10 @@ SELECT a.word AS probe, p.word AS suggestion, 0::INTEGER AS distance FROM asked
         "fsa_tools_roundtrip": _BASE + "SELECT h AS seq FROM bytes",
         "dict_apply_charset": _BASE + "SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
         "dict_apply_ordered": _BASE + "SELECT row_number() OVER (ORDER BY word DESC, tag) - 1 AS place, word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
+        "lookup_gb18030": _BASE + "SELECT word, stem, tag FROM said LEFT JOIN lex USING (word)",
+        "stream_unknown": r"""
+SELECT conv_id, count(*) AS words FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM conversations)
+WHERE word <> '' AND word NOT IN (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) FROM documents WHERE lang = 'en' AND text IS NOT NULL) GROUP BY conv_id""",
         "lookup_bucketed": _BASE + "SELECT word, stem, tag FROM said JOIN lex USING (word)",
         "fsa_info": _TREE + "SELECT unnest([5, 198])::INTEGER AS version, true AS numbers, (SELECT count(*) + 1 FROM st) AS nodes, (SELECT count(*) + 1 FROM merged) AS arcs, (SELECT count(*) + 1 FROM merged WHERE is_final) AS final_arcs, (SELECT count(*) FROM vocab) AS sequences",
         "fsa_datasource": _BASE + "SELECT h AS seq FROM bytes",
