@@ -6,19 +6,18 @@ stages but the last return documents with their own columns; the last one adds t
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import decontam, jaccard, mixing, quality, sharding
-from lexspark.llm.common import importable, remove, shared_folder, table
+from lexspark.llm.common import importable, remove, scratch, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     importable(spark)
-    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, with a table in the shared checkpoint folder between any two.
 
-    A table goes when the next one is written; the last one stays, as the result is computed from it.
+    A table goes when the next one is written; the last one, from which the result is computed, when the driver's JVM ends.
     """
     docs = table(spark, sf_dir, "documents")
-    folder, spent = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    folder, spent = scratch(spark, "pipeline"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

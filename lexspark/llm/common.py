@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import checkpointed, remove, scratch, shared_folder  # noqa: F401  operators take all helpers from here
+from ..sources.store import checkpointed, remove, scratch, shared_folder, written  # noqa: F401  operators take all helpers from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

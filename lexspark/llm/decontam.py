@@ -26,6 +26,8 @@ WINDOW = 13
 SHINGLE = 3
 #: Benchmark windows, counted once for each item that has them, that may be broadcast; at some 300 bytes each, about 60 MB.
 BROADCAST_WINDOWS = 200_000
+#: Words of a text whose candidates are gathered together beyond that.
+PART = 2048
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -132,10 +134,14 @@ def _matches(spread: DataFrame, split: DataFrame, prefix: DataFrame, k: int, sma
         keyed = spread.withColumn("k", key)
         joined = keyed.join(F.broadcast(prefix), (F.col("k") == F.col("key")) & inside & same, "left" if first else "inner")
         return joined.where(F.col("wid").isNotNull() | (F.coalesce(F.col("pos"), F.lit(0)) == 0)).select(*columns)
-    near = spread.select("id", "tid", "pos", key.alias("key")).join(prefix.select("key", "offset", "wid"), "key").drop("key").alias("x")
-    near = near.join(prefix.select("wid", "words", "len"), "wid")
+    # candidates are places and windows' hashes, gathered by parts of a text, so that a text is copied once for each part
+    # and never for a candidate; what stands there is hashed and compared
+    near = spread.select("id", "tid", "pos", key.alias("key")).join(prefix.select("key", "offset", "wid", "len"), "key").withColumn("start", start).where("start >= 0")
+    near = near.groupBy("id", "tid", F.floor(F.col("start") / PART).alias("part")).agg(F.collect_set(F.struct("start", "len", "wid")).alias("at")).alias("x")
     whole = split.alias("s").join(near, F.col("s.id").eqNullSafe(F.col("x.id")) & (F.col("s.tid") == F.col("x.tid")))
-    out = whole.select(F.col("s.id").alias("id"), F.col("s.tid").alias("tid"), "doc", "pos", "offset", "wid", "words", "len").where(inside & same).select(*columns)
+    there = lambda c: F.sha2(F.array_join(F.slice("doc", c["start"] + 1, c["len"]), " "), 256) == c["wid"]
+    true = F.filter("at", lambda c: (c["start"] + c["len"] <= F.size("doc")) & there(c))
+    out = whole.select(F.col("s.id").alias("id"), F.col("s.tid").alias("tid"), F.size("doc").alias("n_words"), F.explode(true).alias("c")).select("id", "tid", "n_words", "c.wid", "c.start", "c.len")
     if first:
         blank = {"wid": "string", "start": "int", "len": "int"}
         out = out.unionByName(split.select("id", "tid", F.size("doc").alias("n_words"), *(F.lit(None).cast(t).alias(c) for c, t in blank.items())))

@@ -56,6 +56,8 @@ FURNITURE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget footer header masthead comment comments disqus reply replies respond "
     "share sharing social cookie cookies consent notice alert popup modal newsletter subscribe signup login related recommended pagination pager skip search toolbar legal copyright complementary contentinfo form hidden".split()
 )
+#: Of these, those that are also common words of a text's subject: inside the main text they veto as whole names only.
+COMMON_NAMES = frozenset("side form hidden legal social search skip".split())
 MAIN_NAMES = frozenset("article content main post entry story body text maincontent articlebody".split())
 
 #: Template tokens that may be broadcast, at some 80 bytes each; parts that the pages of a host are dealt into beyond that.
@@ -122,6 +124,7 @@ class _Open:
     heading: bool
     link: bool
     block: bool
+    opening: bool = False  # the header of an article, whose headings are the article's
 
 
 _ROOT = _Open("", "", (), False, False, False, False, False)
@@ -136,6 +139,7 @@ class _Tag:
     alone: bool = False  # holds nothing
     raw: bool = False  # holds no tags
     furniture: bool = False
+    subject: bool = False  # only for parts of names that are common words
     main: bool = False
     heading: bool = False
 
@@ -151,7 +155,7 @@ def _tag(text: str) -> _Tag:
     element = _NAME.match(text)[1].lower()
     out = _Tag(element, text[1] == "/", element in BLOCKS)
     if not out.closing:
-        words, hidden = set(), False
+        words, whole, hidden = set(), set(), False
         out.role = element
         for m in _ATTRIBUTE.finditer(text) if _TELLING.search(text) else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -161,12 +165,15 @@ def _tag(text: str) -> _Tag:
                 hidden |= "display:none" in value.lower().replace(" ", "")
             elif key in ("class", "id", "role"):
                 out.role += "." + re.sub(r"\d+", "#", value)
+                whole |= set(value.lower().split())
                 words |= {w.lower() for w in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
         out.alone = element in VOID or text.endswith("/>") and not out.block and element not in RAW
         out.raw = element in RAW and element not in ("noscript", "template", "svg", "math")
         out.heading = bool(_HEADING.match(element))
         # a page's header is furniture, an article's own heading isn't
-        out.furniture = hidden or element in FURNITURE or bool(words & FURNITURE_NAMES) and element not in ("html", "body", *MAIN) and not out.heading
+        named_ = words & FURNITURE_NAMES if element not in ("html", "body", *MAIN) and not out.heading else set()
+        out.furniture = hidden or element in FURNITURE or bool(named_)
+        out.subject = out.furniture and not hidden and element not in FURNITURE and named_ <= COMMON_NAMES - whole
         out.main = element in MAIN or bool(words & MAIN_NAMES) and element in ("div", "section", "td")
     if len(_known_tags) > 20_000:
         _known_tags.clear()
@@ -277,10 +284,12 @@ def read(text: str) -> Page:
             at = end.end() if end else stop
             continue
         holds = tag.block or element in RAW
+        veto = tag.furniture and not (tag.subject and up.main)
+        opening = element == "header" and up.main and not up.furniture or up.opening
         # elements that only wrap text leave the role of what they hold as it is
         stack.append(_Open(
-            element, own if holds else up.path, (*up.elements, h) if holds else up.elements, tag.furniture or up.furniture,
-            tag.main or up.main and not tag.furniture, tag.heading or up.heading, element == "a" or up.link, holds,
+            element, own if holds else up.path, (*up.elements, h) if holds else up.elements, veto or up.furniture and not (up.opening and tag.heading),
+            tag.main or up.main and (not veto or opening), tag.heading or up.heading, element == "a" or up.link, holds, opening and not (veto and element != "header"),
         ))
     flush()
     return out

@@ -70,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one; a null id sorts as an empty one. Repeated rows are rows of their own. An empty table, or one without words,
     gives zeros. The offset comes from a hash of the source, so reruns agree.
     """
-    slim = [named(id_col).alias("id"), named(source_col).alias("source"), words_in(named(text_col)).alias("size")]
+    slim = [named(id_col).alias("id"), named(source_col).alias("source"), words_in(named(text_col)).alias("size"), F.xxhash64(named(text_col)).alias("tid")]
     numbers = checkpointed(_placeable(docs.select(*slim)))  # the sizes of all texts, so that they are counted once
     kept = [named(c).alias(f"c{i}") for i, c in enumerate(carry)]
     rows = _placeable(docs.select(*slim, *kept)) if carry else numbers
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(by_source, "key")
 
     placed = rows.join(cells.select("key", "level", "part", "before", "source_size", "target"), ["key", "level", "part"])
-    place = F.col("before") + F.row_number().over(Window.partitionBy("key", "level", "part").orderBy("size", "h")) - 1
+    place = F.col("before") + F.row_number().over(Window.partitionBy("key", "level", "part").orderBy("size", "h", "tid")) - 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     shift = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), "key").cast("binary")), 1, 6), 16, 10).cast("double") / 16777216.0
     placed = placed.withColumn("place", place.cast("double")).withColumn("rate", rate).withColumn("shift", shift)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import checkpointed, draw, drawn_below, held_out, is_training, named, slices, table
+from .common import checkpointed, draw, drawn_below, held_out, is_training, named, slices, table, written
 
 CUT = 0.3
 #: Quantiles among which the threshold is placed.
@@ -218,14 +218,30 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return _mapped(docs, model, text_col, lambda columns, p: [c.filter(pa.array(p >= CUT)) for c in columns])
 
 
-def _mapped(docs: DataFrame, model: Model, text_col: str, result: Callable[[list[pa.Array], np.ndarray], list[pa.Array]], more: tuple[StructField, ...] = ()) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a model accepts which is fitted to ``labels`` and to the scores of all of ``docs``.
+
+    Rows are written once with their worths, from which come the quantile and then the choice, so that features are
+    worked out once. Columns keep their names, whatever these are; nulls and repeats are handled as by ``rated``.
+    """
+    model, share, error = learned(docs, labels, id_col, text_col)
+    own = _mapped(docs, model, text_col, lambda columns, worth: [*columns, pa.array(worth)], (StructField("worth", DoubleType()),), score=model.worth)
+    rows = written(own.toDF(*(f"x{i}" for i in range(len(docs.columns))), "worth"), "worths")
+    if share is not None:
+        model = replace(model, threshold=quantile(rows, model, share, error))
+    good = rows.where(model.score_of(F.col("worth")) >= CUT)
+    return good.select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _mapped(docs: DataFrame, model: Model, text_col: str, result: Callable[[list[pa.Array], np.ndarray], list[pa.Array]], more: tuple[StructField, ...] = (), score: Callable[[str | None], float] | None = None) -> DataFrame:
     """The columns that ``result`` makes of those of a batch and its scores; inside, columns are known by their places."""
     own = [StructField(f"x{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    rate = score or model.score
     inside, names, place = StructType([*own, *more]), [*docs.columns, *(f.name for f in more)], f"x{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, place):
-            p = np.array([model.score(t) for t in b.column(place).to_pylist()])
+            p = np.array([rate(t) for t in b.column(place).to_pylist()])
             yield pa.RecordBatch.from_arrays(result(b.columns, p), inside.names)
 
     numbered = docs.select(*(named(c).alias(f"x{i}") for i, c in enumerate(docs.columns)))

@@ -266,3 +266,50 @@ def test_marks_and_ranks():
         cuts, ra, rb = align.groups(*(np.array(s) for s in sizes), n)
         want = [e for e in a if e in b]
         assert cuts.tolist() == [e - 1 for e in want] and ra.tolist() == [a.index(e) + 1 for e in want] and rb.tolist() == [b.index(e) + 1 for e in want]
+
+
+# --- earlier operators, mended ------------------------------------------------------------------------------------
+
+
+def test_vetoes_inside_an_article():
+    from lexspark.llm import extract
+
+    page = """<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by X</p><nav><h2>menu</h2></nav></header><div class='side-effects'><p>Side effects are rare.</p></div>
+      <div class='comment-list'>no</div><div class='side'>no</div><p class='legal-issues'>Text</p></article><div class='side-effects'>no</div>"""
+    assert extract.by_tags(extract.read(page)) == "Title\nSide effects are rare.\nText"
+
+
+def test_machines_by_products_of_rows():
+    """Few rows and many give the same machine, by products of rows or by weights."""
+    from lexspark.llm import langid
+
+    draw = np.random.default_rng(1)
+    x = draw.random((40, 60)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # as features are
+    y = np.where(x[:, 0] > x[:, 1], 1.0, -1.0)
+    w, b = langid.train_machine(x, y)
+    wide = np.vstack([x, x])  # rows twice, with half the share each: the same loss, by weights
+    w2, b2 = langid.train_machine(wide, np.concatenate([y, y]))
+    assert len(x) < x.shape[1] + 1 <= len(wide) and np.allclose(w, w2, atol=1e-8) and abs(b - b2) < 1e-8
+
+
+def test_kept_is_what_is_accepted(spark):
+    from lexspark.llm import quality
+
+    draw = random.Random(2)
+    rows = [(i, " ".join(draw.choice(["good", "words", "here"] if i % 3 else ["@@", "##", "1 2"]) for _ in range(20)), "en", "s", 1) for i in range(300)] + [(None, None, None, None, None), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, worth string, x0 long").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    got = quality.kept(docs, labels)
+    want = quality.accepted(docs, quality.fit(docs, labels))
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 100 < got.count() < 302
+    assert quality.kept(docs.limit(0), labels).count() == 0 and quality.kept(docs, labels.limit(0)).count() == 302
+
+
+def test_mix_of_rows_without_id_agrees_on_reruns(spark):
+    from lexspark.llm import mixing
+
+    rows = [(None, f"{w} a b c", "en", "s", 1) for w in "pqrstuvwxyz" * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [sorted(r.text for r in mixing.mixed(docs.repartition(n)).collect()) for n in (1, 5, 7)]
+    assert runs[0] == runs[1] == runs[2]
