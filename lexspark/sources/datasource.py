@@ -2,7 +2,8 @@
 
 Read options: ``path`` (a file, or a folder whose files are all read) and ``expectVersion``; each file is one partition.
 Write options: ``path`` (a folder), ``version`` and ``numbers``; each task writes an automaton of its own sequences, so
-``repartitionByRange`` keeps them apart and ``coalesce(1)`` makes a single one. A task that fails leaves no file.
+``repartitionByRange`` keeps them apart and ``coalesce(1)`` makes a single one. A task that fails leaves no file. A path
+without a scheme is one of the machine; on a cluster it must be a mounted folder that all share, which a write checks.
 """
 
 from __future__ import annotations
@@ -76,6 +77,8 @@ class FsaWriter(DataSourceArrowWriter):
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
         done = [m for m in messages if m is not None and m.temporary]
+        if lost := [m for m in done if system.get_file_info(_open(m.temporary)[1]).type == fs.FileType.NotFound]:
+            raise ValueError(f"{len(lost)} of {len(done)} files that tasks have written aren't in {self.path}: name a folder that driver and executors share, by its URI")
         if self.overwrite:
             for f in system.get_file_info(fs.FileSelector(folder)):
                 if f.is_file and f.base_name.startswith("part-"):

@@ -218,6 +218,13 @@ def test_results_replace_columns_of_their_names(spark):
     assert L.frequencies(asked, lex).first().frequency == 0 and S.with_membership(asked, lex).first().in_dictionary
 
 
+def test_a_write_that_no_one_else_sees_is_an_error(tmp_path):
+    from lexspark.sources.datasource import FsaWriter, Written
+
+    with pytest.raises(ValueError, match="share"):
+        FsaWriter(str(tmp_path), "fsa5", False, False).commit([Written(f"{tmp_path}/_gone", f"{tmp_path}/part-gone.fsa5"), None])
+
+
 def test_rows_that_could_not_come_back(spark):
     rows = [("a+b", "c", None), ("a", "c+d", "t"), ("a", "c", "t+u"), (None, "c", "t"), ("a+b", "c", None)]
     got = L.unsafe_rows(spark.createDataFrame(rows, "base string, inflected string, tag string"), PLAIN)
