@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from .. import tools
 from ..functions import words as W
 from ..functions.encoders import BY_NAME
+from ..functions.encoders import register as register_encoder
 from ..operators import automaton, lexicon, speller
 from ..operators.lexicon import Lexicon
 from ..sources import formats, readers
 from ..sources.datasource import FsaDataSource
-from ..sources.metadata import Metadata, write_metadata
+from ..sources.metadata import Metadata, format_properties, read_metadata, write_metadata
 from ..sources.store import checkpointed, numbered, scratch
 from ..sql import register
 from ..streaming import apply as streaming
@@ -468,6 +469,64 @@ def stream_unknown(spark, d):
     return unknown.unknown_counts(spark, f"{path}/out").select(((F.unix_timestamp("start") / 3600).cast("long") - 400_000).alias("conv_id"), "words")
 
 
+def stemmer_named(spark, d):
+    """Look-up in a dictionary that the session opens by its name."""
+    path = scratch(spark, "named.parquet")
+    derived(spark, d).save(path)
+    lexicon.Stemmer.register("derived", path)
+    return lexicon.Stemmer.named(spark, "derived").transform(probes(spark, d), how="left")
+
+
+def lookup_bytes(spark, d):
+    """Look-up whose results come as bytes of the dictionary's charset, too."""
+    latin = OPTIONS.with_(encoding="iso8859-1")
+    rows = counted(spark, d).select(_stem(F.col("word")).alias("base"), F.col("word").alias("inflected"), F.col("lang").alias("tag")).where(~F.col("inflected").rlike("[^\\x00-\\xFF]"))
+    found = lexicon.with_bytes(lexicon.lookup(probes(spark, d), Lexicon.compile(rows, latin)), latin)
+    return found.select("word", *(shown(f"{c}_bytes") for c in ("word", "stem", "tag")))
+
+
+def spell_sizes(spark, d):
+    """Suggestions with the sizes that the search saw, for words of part names and their starts of two letters."""
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    asked = w.union(w.select(F.substring("word", 1, 2)))
+    return speller.with_sizes(speller.suggestions(asked, frequent(spark, d), most=2), 2).select("probe", "suggestion", "word_length", "candidate_length", "effective_distance")
+
+
+def _turned(source: bytes, target: bytes) -> bytes:
+    return b"T" + target[::-1]
+
+
+def _turned_back(source: bytes, code: bytes) -> bytes:
+    return code[1:][::-1]
+
+
+def lex_custom_encoder(spark, d):
+    """A dictionary by an encoder of one's own, read back from its bytes."""
+    register_encoder("turned", _turned, _turned_back, 1)
+    own = OPTIONS.with_(encoder="turned")
+    rows = counted(spark, d).select(_stem(F.col("word")).alias("base"), F.col("word").alias("inflected"), F.col("lang").alias("tag"))
+    return Lexicon(Lexicon.compile(rows, own).seqs, own).scan()
+
+
+def spell_misspelled_by_file(spark, d):
+    """The options come from a metadata file, in all spellings of booleans."""
+    path = scratch(spark, "options.info")
+    values = {"separator": "+", "encoder": "SUFFIX", "encoding": "utf-8"} | {f"speller.{k}": v for k, v in (("ignore-numbers", "no"), ("ignore-punctuation", "Off"), ("ignore-camel-case", "false"), ("ignore-all-uppercase", " FALSE "), ("convert-case", "No"))}
+    readers.write_bytes(spark, path, format_properties({f"fsa.dict.{k}": v for k, v in values.items()}).encode())
+    options = read_metadata(readers.read_bytes(spark, path))
+    known = vocabulary(spark, d).select(F.col("word").alias("base"), F.col("word").alias("inflected"), F.lit(None).cast("string").alias("tag"))
+    return speller.with_misspelled(raw_words(table(spark, d, "conversations")), Lexicon.compile(known, options))
+
+
+def spell_longest(spark, d):
+    """Words of 119 to 121 letters, and these less one: a speller has suggestions for words of fewer than 120."""
+    names = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("n")).distinct()
+    long = names.select(F.explode(F.array(*(F.substring(F.repeat("n", 130), 1, k) for k in (119, 120, 121)))).alias("w"))
+    known = Lexicon.compile(long.select(F.col("w").alias("base"), F.col("w").alias("inflected"), F.lit(None).cast("string").alias("tag")), OPTIONS)
+    asked = long.select(F.concat(F.substring("w", 1, 4), F.substring("w", 6, 200)).alias("word"))
+    return speller.suggestions(asked, known).select("probe", "suggestion", "distance")
+
+
 def lookup_gb18030(spark, d):
     """Look-up in a dictionary whose charset has characters of two and four bytes, read back from its bytes."""
     wide = OPTIONS.with_(encoding="gb18030", encoder="infix")
@@ -481,7 +540,7 @@ def queries() -> dict:
         lookup_inner, lookup_left, lookup_not_found, lex_scan, lex_roundtrip, synth_lookup, apply_lines, dict_decompile, dict_compile_validate, dict_tag_inventory, dict_unsafe, apply_conversions,
         fsa_arcs, fsa_right_language, fsa_states, fsa_stats, fsa_fanout, fsa_label_hist, fsa_top_labels, fsa_inlinks, fsa_perfect_hash, fsa_perfect_hash_probe, fsa_match_kind, fsa_prefix_expand,
         spell_predicates, spell_in_dict, spell_misspelled, spell_runon, spell_frequency, spell_suggest_d1, spell_similar_d1, spell_suggest_diacritics, spell_suggest_equivalents, spell_suggest_d2, spell_suggest_d3, spell_suggest_pairs, spell_rewrites,
-        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, dict_apply_ordered, lookup_bucketed, lookup_gb18030, stream_unknown, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
+        dict_files_roundtrip, dict_tools_roundtrip, fsa_tools_roundtrip, dict_apply_charset, dict_apply_ordered, lookup_bucketed, stemmer_named, lookup_bytes, spell_sizes, lex_custom_encoder, spell_misspelled_by_file, spell_longest, lookup_gb18030, stream_unknown, fsa_info, fsa_datasource, fsa_dot, sql_lookup, stream_apply, lex_parquet_roundtrip, lookup_guards, fsa_hot_states, fsa_visits, byte_names, line_checks, spell_misspelled_strict,
     )
     return {f.__name__: f for f in named} | out
 
@@ -639,6 +698,8 @@ SELECT * FROM all_
 """
 
 
+#: Latin-1 bytes in hexadecimal of a text that has no other characters.
+_LATIN = "array_to_string(list_transform(range(1, length({0}) + 1), lambda i: printf('%02X', ord(substr({0}, i, 1)))), '')"
 #: Bytes that the starts of two texts of hexadecimal digits share, of so many bytes each.
 _SHARED = "list_max(list_filter(range(0, least({n}, {m}) + 1), lambda k: substr({a}, 1, 2 * k) = substr({b}, 1, 2 * k)))"
 
@@ -720,6 +781,19 @@ SELECT a.word AS probe, p.word AS suggestion, 0::INTEGER AS distance FROM asked
         "fsa_tools_roundtrip": _BASE + "SELECT h AS seq FROM bytes",
         "dict_apply_charset": _BASE + "SELECT word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
         "dict_apply_ordered": _BASE + "SELECT row_number() OVER (ORDER BY word DESC, tag) - 1 AS place, word || ' => ' || CASE WHEN stem IS NULL AND tag IS NULL THEN '[not found]' ELSE coalesce(stem, '') || ' ' || coalesce(tag, '') END AS line FROM said LEFT JOIN lex USING (word)",
+        "stemmer_named": _BASE + "SELECT word, stem, tag FROM said LEFT JOIN lex USING (word)",
+        "lookup_bytes": _BASE + f", b AS (SELECT word, {_LATIN.format('word')} AS word_bytes, {_LATIN.format('stem')} AS stem_bytes, hex(encode(tag)) AS tag_bytes FROM said JOIN lex USING (word)) SELECT * FROM b",
+        "lex_custom_encoder": _BASE + "SELECT word, stem, tag FROM lex",
+        "spell_misspelled_by_file": _BASE + "," + _WORDS.rstrip(",") % "conversations" + " SELECT word, word NOT IN (SELECT word FROM vocab) AS misspelled FROM words",
+        "spell_sizes": "SELECT probe, suggestion, length(probe)::INTEGER AS word_length, length(suggestion)::INTEGER AS candidate_length, CASE WHEN length(probe) <= 2 THEN length(probe) - 1 ELSE 2 END::INTEGER AS effective_distance FROM ("
+        + _suggest("SELECT unnest([w, substr(w, 1, 2)]) AS word FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)", "AND ka.word NOT IN (SELECT word FROM vocab)", 2) + ")",
+        "spell_longest": """
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS n FROM part), w AS (SELECT DISTINCT unnest([substr(repeat(n, 130), 1, 119), substr(repeat(n, 130), 1, 120), substr(repeat(n, 130), 1, 121)]) AS w FROM n),
+a AS (SELECT DISTINCT substr(w, 1, 4) || substr(w, 6) AS p FROM w WHERE length(w) < 121),
+k AS (SELECT DISTINCT w, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1))) AS k FROM w),
+m AS (SELECT p, w FROM a JOIN k ON k = p UNION SELECT a.p, b.w FROM (SELECT p, unnest(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1))) AS k FROM a) a JOIN k b USING (k) UNION
+  SELECT p, w FROM (SELECT p, unnest(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1))) AS k FROM a) JOIN w ON w = k)
+SELECT p AS probe, w AS suggestion, 1::INTEGER AS distance FROM m WHERE damerau_levenshtein(p, w) = 1 AND p NOT IN (SELECT w FROM w)""",
         "lookup_gb18030": _BASE + "SELECT word, stem, tag FROM said LEFT JOIN lex USING (word)",
         "stream_unknown": r"""
 SELECT conv_id, count(*) AS words FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM conversations)
