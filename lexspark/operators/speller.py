@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import words as W
 from ..functions.distance import Rules, choices, deletions, distance, probing_keys, rewritten, stored_keys, variants
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, written
 from .lexicon import Lexicon, frequencies, to_bytes
 
 #: Longest probe, exclusive; most rewritten probes that are searched; shortest of these but for the first.
@@ -115,11 +115,12 @@ def _shorter(w: Column) -> Column:
 
 
 def _native_neighbours(words: DataFrame, column: str, most: int) -> DataFrame:
-    """Each row with ``key``: strings left after at most one deletion, or two."""
+    """Each row with ``key``: hashes of the strings left after at most one deletion, or two. Two strings that share a hash
+    by chance only propose a pair more."""
     keys = F.concat(F.array(F.col(column)), _shorter(F.col(column)))
     if most == 2:
         keys = F.flatten(F.transform(F.array_distinct(keys), lambda x: F.concat(F.array(x), _shorter(x))))
-    return words.withColumn("key", F.explode(F.array_distinct(keys)))
+    return words.withColumn("key", F.explode(F.array_distinct(F.transform(keys, lambda x: F.xxhash64(x)))))
 
 
 def _translated(c: Column, rules: Rules) -> Column:
@@ -202,7 +203,7 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     The score is 26 times the distance plus 25 less the frequency; of equal scores, the earlier rewrite comes
     first, and of one rewrite the word that a walk through the dictionary's automaton finds first. Words of 120 characters and more, and null or empty ones, get nothing.
     """
-    m, rules, known = lexicon.metadata, Rules.of(lexicon.metadata), lexicon.words()
+    m, rules, known = lexicon.metadata, Rules.of(lexicon.metadata), written(lexicon.words(), "words")  # read four times
     probes = words.select(W.converted(F.col(column), m.input_conversion).alias("probe")).where((F.length("probe") > 0) & (F.length("probe") < LONGEST)).distinct()
     if not even_if_known:
         probes = probes.join(known.withColumnRenamed("word", "probe"), "probe", "left_anti")
