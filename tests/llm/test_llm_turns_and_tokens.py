@@ -293,19 +293,6 @@ def test_machines_by_products_of_rows():
     assert len(x) < x.shape[1] + 1 <= len(wide) and np.allclose(w, w2, atol=1e-8) and abs(b - b2) < 1e-8
 
 
-def test_kept_is_what_is_accepted(spark):
-    from lexspark.llm import quality
-
-    draw = random.Random(2)
-    rows = [(i, " ".join(draw.choice(["good", "words", "here"] if i % 3 else ["@@", "##", "1 2"]) for _ in range(20)), "en", "s", 1) for i in range(300)] + [(None, None, None, None, None), (3, "", None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, worth string, x0 long").repartition(3)
-    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
-    got = quality.kept(docs, labels)
-    want = quality.accepted(docs, quality.fit(docs, labels))
-    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 100 < got.count() < 302
-    assert quality.kept(docs.limit(0), labels).count() == 0 and quality.kept(docs, labels.limit(0)).count() == 302
-
-
 def test_mix_of_rows_without_id_agrees_on_reruns(spark):
     from lexspark.llm import mixing
 
