@@ -13,9 +13,11 @@ four states, and the layers of one segment at a time are kept.
 
 Rows of a conversation meet in one task, sorted by Spark and read as a stream, as a digest of the whole conversation has
 one order of reading. A task holds two bytes for each row of a conversation, as its audit has a letter for each row, and
-the texts of short conversations; a conversation with more than ``hold`` bytes of text is streamed again with its audit.
+the texts of short conversations; a conversation with more than ``hold`` characters of text is streamed again with its
+audit. Repeated rows are told by digests, which a task holds for a conversation of up to ``long`` rows; longer ones find
+them by an aggregation.
 
-Style: an Arrow map over sorted partitions; duplicates by a DataFrame aggregation.
+Style: an Arrow map over sorted partitions, DataFrame aggregation.
 """
 
 from __future__ import annotations
@@ -178,12 +180,18 @@ class _Conversation:
     def __init__(self, conv: object, hold: int) -> None:
         self.conv, self.left, self.codes, self.texts = conv, hold, bytearray(), []
         self.faults, self.illegal, self.initial, self.last = [0, 0, 0, 0], 0, "", None
-        self.turns, self.low, self.high = 0, None, None
-
-    def add(self, turn: int | None, role: str, text: str, fault: int) -> None:
-        if fault == 0 or fault == CUT_SHORT:
-            fault = REPEATED if (turn, role, text) == self.last else fault
-        self.last = (turn, role, text)
+        self.turns, self.low, self.high, self.seen = 0, None, None, set()
+
+    def add(self, turn: int | None, role: str, text: str, fault: int, earlier: bool | None) -> None:
+        if earlier is None:
+            key = hashlib.blake2b(f"{role}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            earlier = key in self.seen
+            self.seen.add(key)
+        else:  # of rows at one turn that are all alike, the first isn't repeated
+            earlier |= (turn, role, text) == self.last
+            self.last = (turn, role, text)
+        if earlier and fault != BLANK:
+            fault = REPEATED
         initial = role[:1]
         if self.codes and self.initial + initial not in ("su", "ua", "au"):
             self.illegal += 1
@@ -215,13 +223,13 @@ class _Conversation:
 def _read(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[tuple]:
     now = None
     for b in batches:
-        for conv, kept, turn, role, text, fault in zip(*(b.column(c).to_pylist() for c in ("conv", "kept", "turn", "role", "text", "fault")), strict=True):
+        for conv, kept, *row in zip(*(b.column(c).to_pylist() for c in ("conv", "kept", "turn", "role", "text", "fault", "earlier")), strict=True):
             if now is None or conv != now.conv:
                 if now:
                     yield now.result()
                 now = _Conversation(conv, hold)
             if kept:
-                now.add(turn, role, text, fault)
+                now.add(*row)
     if now:
         yield now.result()
 
@@ -259,24 +267,26 @@ def _mapped(rows: DataFrame, read, schema: str, kind: pa.Schema) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def faulty(rows: DataFrame) -> DataFrame:
-    """Adds ``fault`` to ``rows`` (conv, turn, role, text, kept): the first of blank, repeated and cut short that a row is.
+def marked(rows: DataFrame, long: int) -> DataFrame:
+    """Adds to ``rows`` (conv, turn, role, text, kept) the ``fault`` that a row has by itself, and ``earlier``: whether a row
+    with its role and text comes at an earlier turn.
 
-    A row is repeated if one with its role and text comes at an earlier turn; of rows at one turn that are all alike, the
-    stream tells the first from the others.
+    That is worked out here for conversations of more than ``long`` rows only; the stream remembers the rows of others.
     """
-    place = F.struct(F.col("turn").isNotNull().alias("has"), "turn")
-    key = F.sha2("text", 256)
-    seen = rows.where("kept").groupBy("conv", "role", key.alias("sha")).agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final")
-    seen = seen.select(F.col("conv").alias("c"), F.col("role").alias("r"), "sha", "first")
-    found = rows.withColumn("place", place).withColumn("key", key)
-    found = found.join(seen, found.conv.eqNullSafe(seen.c) & (found.role == seen.r) & (found.key == seen.sha), "left")
     blank, whole = ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
-    fault = F.when(blank, BLANK).when(F.col("place") > F.col("first"), REPEATED).when(~whole, CUT_SHORT).otherwise(0)
-    return found.select("conv", "kept", "turn", "role", "text", fault.alias("fault"))
+    rows = rows.withColumn("fault", F.when(blank, BLANK).when(~whole, CUT_SHORT).otherwise(0))
+    many = checkpointed(rows.where("kept").groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select(F.col("conv").alias("m")))
+    if many.isEmpty():
+        return rows.withColumn("earlier", F.lit(None).cast("boolean"))
+    place = F.struct(F.col("turn").isNotNull().alias("has"), "turn")
+    rows = rows.withColumn("place", place).withColumn("sha", F.sha2("text", 256))
+    own = rows.where("kept").join(many, F.col("conv").eqNullSafe(F.col("m")), "left_semi")
+    first = own.groupBy(F.col("conv").alias("c"), F.col("role").alias("r"), F.col("sha").alias("s")).agg(F.min("place").alias("first"))
+    found = rows.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("sha") == F.col("s")), "left")
+    return found.select("conv", "kept", "turn", "role", "text", "fault", (F.col("place") > F.col("first")).alias("earlier"))
 
 
-def repaired(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", kept: Column | None = None, hold: int = 8_000_000) -> DataFrame:
+def repaired(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", kept: Column | None = None, hold: int = 8_000_000, long: int = 100_000) -> DataFrame:
     """``(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256)`` for each conversation.
 
     Rows go by turn, those without one first, and of one turn by role and text. A null role or text is one blank; rows
@@ -286,9 +296,8 @@ def repaired(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     blank = lambda c: F.coalesce(named(c), F.lit(" "))
     base = rows.select(named(conv_col).alias("conv"), named(turn_col).cast("long").alias("turn"), blank(role_col).alias("role"), blank(text_col).alias("text"), (F.lit(True) if kept is None else kept).alias("kept"))
-    marked = faulty(base)
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    held = marked.repartition("conv").sortWithinPartitions(*order)
+    held = marked(base, long).repartition("conv").sortWithinPartitions(*order)
     conv = base.schema["conv"].dataType
     kind = pa.schema([pa.field("conv", _arrow(base, "conv")), *(pa.field(c, pa.int64()) for c in COUNTS), pa.field("audit", pa.string()), pa.field("sha", pa.string())])
     name = conv.simpleString()
@@ -347,7 +356,9 @@ WITH RECURSIVE k AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM e
 ), g AS (
   SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pre,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 1 ELSE 0 END AS wrong FROM f
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 1 ELSE 0 END AS wrong FROM f
 ), n AS (
   SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (wrong = 3) AS blank, count(*) FILTER (wrong = 2) AS duplicate, count(*) FILTER (wrong = 1) AS truncated,
     count(*) FILTER (pre IS NOT NULL AND pre || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id

@@ -80,15 +80,15 @@ def test_least_repairs(segment):
         assert repair.cheapest(codes, segment) == plain_cheapest(rows)
 
 
-@pytest.mark.parametrize("hold", [60, 8_000_000])
-def test_conversations(spark, hold):
+@pytest.mark.parametrize(("hold", "long"), [(60, 4), (60, 100_000), (8_000_000, 4), (8_000_000, 100_000)])
+def test_conversations(spark, hold, long):
     draw = random.Random(4)
     texts = ["Yes.", "no", "What?\n ", "", " \t", None, "A. b", "é!", "x\x1c"]
     rows = [(c, draw.choice([None, *range(6)]), draw.choice(["user", "assistant", "system", "user", "", "tool", None]), draw.choice(texts), draw.random() < 0.9) for c in [None, *range(60)] for _ in range(draw.randrange(1, 12))]
     rows += rows[:20] + [(99, 1, "user", "gone.", False)]
     rows += [(100, i, "user", f"{i} {'z' * 30}.", True) for i in range(150)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, here boolean").repartition(3)
-    got = {r.conv_id: tuple(r)[1:] for r in repair.repaired(with_extra(df), kept=F.col("here"), hold=hold).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in repair.repaired(with_extra(df), kept=F.col("here"), hold=hold, long=long).collect()}
     by = defaultdict(list)
     for c, *row, here in rows:
         by[c] += [tuple(row)] if here else []
