@@ -179,3 +179,23 @@ def test_stream_gives_what_a_batch_gives(spark, source, tmp_path):
         q = streaming.stream_apply(streaming.words_stream(spark, str(source / "in")), lex, str(source / "out"), str(source / "state"))
         q.awaitTermination()
     assert sorted(r.value for r in spark.read.text(str(source / "out")).collect()) == ["jawie => jawa t", "jawie => jawa t", "nie => [not found]"]
+
+
+def test_line_violations_hold_lines_only(spark, tmp_path):
+    """Files with and without a byte order mark or a last LF, and none of them as a whole in a row."""
+    files = {"b": b"\n", "c": b"\xef\xbb\xbf", "d": b"\xef\xbb\xbf\n", "e": b"\xef\xbb\xbf\n\nx\r\n", "f": b"x\r\n\ny", "g": b"\xef\xbb\xbfx\xff\n\xef\xbb\xbf\n", "h": b"x\n\n", "i f": b"\r\r\n\r"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+
+    def plain(data):
+        parts = data.removesuffix(b"\n").split(b"\n")
+        return data.startswith(b"\xef\xbb\xbf"), sum(b"\r" in x for x in parts), sum(not x for x in parts)
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4b")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1")
+    try:
+        found = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in readers.line_violations(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == {n: plain(d) for n, d in files.items()}
