@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,19 +102,20 @@ def read_fsa(spark: SparkSession, path: str, expect: int | None = None) -> DataF
     return fsa_sequences(spark.read.format("binaryFile").load(path).select("content"), expect)
 
 
+def block_array(block: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    n, size = block.shape
+    return pa.Array.from_buffers(pa.binary(size), n, [None, pa.py_buffer(np.ascontiguousarray(block))]).cast(pa.binary())
+
+
 def fsa_sequences(files: DataFrame, expect: int | None = None) -> DataFrame:
     """``(seq BINARY)``: all sequences of the automata in the column ``content``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content").to_pylist():
-                part: list[bytes] = []
-                for s in formats.read(content, expect).sequences():
-                    part.append(s)
-                    if len(part) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["seq"])
-                        part = []
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["seq"])
+                for block in formats.read(content, expect).blocks():
+                    yield pa.RecordBatch.from_arrays([block_array(block)], ["seq"])
 
     return files.select("content").mapInArrow(run, "seq binary")
 
@@ -128,11 +130,11 @@ def fsa_info(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 a = formats.read(content)
-                arcs = [x for n in a.states() for x in a.arcs(n)]
+                nodes, arcs, finals, sequences = a.totals()
                 h = a.header
                 rows.append({
-                    "path": name, "version": a.version, "flags": formats.flag_names(a.flags), "nodes": len(a.states()) + 1, "arcs": len(arcs) + 1, "final_arcs": sum(x[1] for x in arcs) + 1,
-                    "sequences": sum(1 for _ in a.sequences()), "size": len(content), "filler": h.get("filler", b"").decode("latin-1") or None, "annotation": h.get("annotation", b"").decode("latin-1") or None,
+                    "path": name, "version": a.version, "flags": formats.flag_names(a.flags), "nodes": nodes + 1, "arcs": arcs + 1, "final_arcs": finals + 1,
+                    "sequences": sequences, "size": len(content), "filler": h.get("filler", b"").decode("latin-1") or None, "annotation": h.get("annotation", b"").decode("latin-1") or None,
                     "node_data_length": h.get("node_data_length"), "goto_length": h.get("goto_length"), "label_map": h["label_map"].hex() if "label_map" in h else None,
                 })
             kinds = pa.schema([("path", pa.string()), ("version", pa.int32()), ("flags", pa.list_(pa.string())), *((k, pa.int64()) for k in ("nodes", "arcs", "final_arcs", "sequences", "size")), ("filler", pa.string()), ("annotation", pa.string()), ("node_data_length", pa.int32()), ("goto_length", pa.int32()), ("label_map", pa.string())])
