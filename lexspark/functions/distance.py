@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from math import prod
 
+import numpy as np
+
 from ..sources.metadata import Metadata
 
 
@@ -141,6 +143,35 @@ def distance(word: str, candidate: str, rules: Rules = Rules(), limit: int | Non
     return best
 
 
+def distances(words: list[str], candidates: list[str], rules: Rules, limit: int) -> np.ndarray:
+    """``distance`` of many pairs at once, of rules without short pairs whose equal characters are classes: all pairs fill
+    the same cell of their tables, and only cells within ``limit`` of the diagonal are filled."""
+    n, far = len(words), limit + 1
+    out = np.full(n, far, np.int32)
+    if not n:
+        return out
+    a, b = (np.array([len(w) for w in side]) for side in (words, candidates))
+    codes = lambda side: np.array(side, dtype=str).view(np.uint32).reshape(n, -1).T.copy()
+    x, y = codes(words), codes(candidates)
+    fx, fy = (codes([rules.folded(w) for w in side]) for side in (words, candidates)) if rules.classes else (x, y)
+    beyond = np.full(n, far, np.int32)
+    before: dict[int, np.ndarray] = {}
+    above = {j: np.full(n, min(j, far), np.int32) for j in range(min(limit, b.max()) + 1)}
+    for i in range(a.max() + 1):
+        row = above if i == 0 else {0: np.full(n, i, np.int32)} if i <= limit else {}
+        for j in range(max(1, i - limit), min(b.max(), i + limit) + 1) if i else ():
+            d = 1 + np.minimum(np.minimum(above.get(j - 1, beyond), above.get(j, beyond)), row.get(j - 1, beyond))
+            if i > 1 and j > 1:
+                swap = (x[i - 1] == y[j - 2]) & (x[i - 2] == y[j - 1])
+                d = np.where(swap, np.minimum(d, 1 + before.get(j - 2, beyond)), d)
+            row[j] = np.minimum(np.where(fx[i - 1] == fy[j - 1], above.get(j - 1, beyond), d), far)
+        for j, cell in row.items():
+            here = (a == i) & (b == j)
+            out[here] = cell[here]
+        before, above = above, row
+    return out
+
+
 def rewritten(word: str, pairs: tuple[tuple[str, str, bool, bool], ...], most: int = 6) -> list[str]:
     """The word with any choice of at most ``most`` rewrites applied from left to right; itself comes first.
 

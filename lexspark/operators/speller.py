@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import words as W
-from ..functions.distance import Rules, choices, deletions, distance, probing_keys, rewritten, stored_keys, variants
+from ..functions.distance import Rules, choices, deletions, distance, distances, probing_keys, rewritten, stored_keys, variants
 from ..sources.store import checkpointed, written
 from .lexicon import Lexicon, frequencies, to_bytes
 
@@ -123,6 +123,11 @@ def _native_neighbours(words: DataFrame, column: str, most: int) -> DataFrame:
     return words.withColumn("key", F.explode(F.array_distinct(F.transform(keys, lambda x: F.xxhash64(x)))))
 
 
+def _with_letters(words: DataFrame, name: str) -> DataFrame:
+    """Each row with a bit for each letter of ``form``, by its number modulo 64: whether the letters are odd in number."""
+    return words.withColumn(name, F.expr("aggregate(split(form, ''), 0L, (bits, c) -> bits ^ if(c = '', 0L, shiftleft(1L, ascii(c) % 64)))"))
+
+
 def _translated(c: Column, rules: Rules) -> Column:
     """A column folded by classes of equal characters, of rules without diacritics."""
     return F.translate(c, "".join(rules.classes), "".join(rules.classes.values())) if rules.classes else c
@@ -158,8 +163,14 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
     allowed = effective_distance(F.col("probe"), most)
     p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
     if rules.alike and most in (1, 2):
-        left, right = _native_neighbours(probes.select("probe", p.alias("form")), "form", most), _native_neighbours(known.select("word", w.alias("form")), "form", most)
-        pairs = left.join(right, "key").select("probe", "word").distinct()
+        # words are few bytes for the work that they make, so tasks are not left to be dealt by bytes
+        parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = _native_neighbours(_with_letters(probes.select("probe", p.alias("form")).repartition(parts), "mine"), "form", most).repartition(parts, "key")
+        right = _native_neighbours(_with_letters(known.select("word", w.alias("form")).repartition(parts), "its"), "form", most).repartition(parts, "key")
+        # most pairs that share a key are too far apart, so they are left out before they are dealt out to be counted once;
+        # those that swaps may bring nearer have the same letters but for one edit at most
+        bits = F.bit_count(F.col("mine").bitwiseXOR(F.col("its")))
+        pairs = left.join(right, "key").where((F.levenshtein(p, w, most) >= 0) | (bits <= 2 * (most - 1))).select("probe", "word").distinct()
         # a swap counts as two edits here, so one beside an edit as three and two as four; as it moves no letter in or
         # out, few such pairs are left to Python
         pairs = pairs.withColumn("known", F.levenshtein(p, w, 2 * most))
@@ -178,7 +189,11 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
 
     def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
         out, x, y = known.fillna(0).to_numpy("int32", copy=True), a.to_numpy(), b.to_numpy()
-        for i in np.flatnonzero(known.isna()):
+        unknown = np.flatnonzero(known.isna())
+        if rules.alike:
+            out[unknown] = distances(x[unknown].tolist(), y[unknown].tolist(), rules, most)
+            return pd.Series(out)
+        for i in unknown:
             out[i] = distance(x[i], y[i], rules, max(0, len(x[i]) - 1) if len(x[i]) <= most else most)
         return pd.Series(out)
 
@@ -197,6 +212,21 @@ def rewrites(words: DataFrame, rules: Rules, column: str = "word") -> DataFrame:
     return words.select(F.col(column).alias("probe")).where("probe IS NOT NULL").distinct().mapInPandas(run, "probe string, place int, form string")
 
 
+def _found_by_forms(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
+    """``(probe, place, word, distance)`` by the rewrites of probes with long targets, which may be known as they are."""
+    forms = rewrites(probes, rules, "probe")
+    low = F.lower("form")
+    cased = F.array(F.col("form"), low, F.upper("form"), F.when(F.length(low) > 1, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))))
+    tried = forms.select("probe", "place", F.posexplode(cased).alias("case", "word"))
+    free = tried.join(known, "word").withColumn("least", F.min("case").over(Window.partitionBy("probe", "place"))).where("case = 0 OR least > 0")
+    free = free.select("probe", "place", "word", F.lit(0).alias("distance"))
+
+    short = F.min(F.when((F.length("form") < SHORTEST) & (F.col("place") > 0), F.col("place"))).over(Window.partitionBy("probe"))
+    searched = forms.where(F.col("place") < SEARCHED).withColumn("stop", short).where("stop IS NULL OR place < stop")
+    near = similar_pairs(searched.select(F.col("form").alias("probe")).distinct(), known, most, rules).withColumnRenamed("probe", "form")
+    return searched.join(near, "form").select("probe", "place", "word", "distance").unionByName(free)
+
+
 def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str = "word", even_if_known: bool = False) -> DataFrame:
     """``(probe, suggestion, distance, score, rank)`` for the distinct words that aren't known, or for all.
 
@@ -207,18 +237,10 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     probes = words.select(W.converted(F.col(column), m.input_conversion).alias("probe")).where((F.length("probe") > 0) & (F.length("probe") < LONGEST)).distinct()
     if not even_if_known:
         probes = probes.join(known.withColumnRenamed("word", "probe"), "probe", "left_anti")
-    forms = rewrites(probes, rules, "probe") if rules.long else probes.select("probe", F.lit(0).alias("place"), F.col("probe").alias("form"))
-
-    low = F.lower("form")
-    cased = F.array(F.col("form"), low, F.upper("form"), F.when(F.length(low) > 1, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))))
-    tried = forms.select("probe", "place", F.posexplode(cased).alias("case", "word"))
-    free = tried.join(known, "word").withColumn("least", F.min("case").over(Window.partitionBy("probe", "place"))).where("case = 0 OR least > 0")
-    free = free.select("probe", "place", "word", F.lit(0).alias("distance")) if rules.long else free.select("probe", "place", "word", F.lit(0).alias("distance")).limit(0)
-
-    short = F.min(F.when((F.length("form") < SHORTEST) & (F.col("place") > 0), F.col("place"))).over(Window.partitionBy("probe"))
-    searched = forms.where(F.col("place") < SEARCHED).withColumn("stop", short).where("stop IS NULL OR place < stop")
-    near = similar_pairs(searched.select(F.col("form").alias("probe")).distinct(), known, most, rules).withColumnRenamed("probe", "form")
-    found = searched.join(near, "form").select("probe", "place", "word", "distance").unionByName(free)
+    if rules.long:
+        found = _found_by_forms(probes, known, most, rules)
+    else:
+        found = similar_pairs(probes, known, most, rules).withColumn("place", F.lit(0))
 
     out = found.withColumn("suggestion", W.converted(F.col("word"), m.output_conversion))
     out = frequencies(out.where("suggestion <> probe"), lexicon, "suggestion")
@@ -226,7 +248,9 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     score = F.col("distance") * CLASSES + CLASSES - 1 - F.col("frequency")
     # an automaton's arcs are walked in the order of their bytes, so that is the order in which it finds words
     found = F.col("word") if m.encoding.lower().replace("-", "") == "utf8" else to_bytes(F.col("word"), m.encoding)
-    once = Window.partitionBy("probe", "suggestion").orderBy(score, "place", found)
-    out = own.withColumn("score", score).withColumn("n", F.row_number().over(once)).where("n = 1")
+    out = own.withColumn("score", score)
+    if rules.long or m.output_conversion:  # else a pair is found once
+        once = Window.partitionBy("probe", "suggestion").orderBy("score", "place", found)
+        out = out.withColumn("n", F.row_number().over(once)).where("n = 1")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", found))
     return out.select("probe", "suggestion", "distance", "score", rank.alias("rank"))

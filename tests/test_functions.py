@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lexspark.functions import encoders as E
-from lexspark.functions.distance import Rules, deletions, distance, rewritten, variants
+from lexspark.functions.distance import Rules, deletions, distance, distances, rewritten, variants
 from lexspark.sources import metadata as M
 
 BASE = {"separator": "+", "encoder": "suffix", "encoding": "utf-8"}
@@ -117,3 +117,15 @@ def test_required_metadata():
 
 def test_metadata_location():
     assert M.metadata_path("/a/b.c/x.dict") == "/a/b.c/x.info" and M.metadata_path("x") == "x.info" and M.metadata_path("hdfs://h/a/x.dict") == "hdfs://h/a/x.info"
+
+
+def test_distances_of_many_pairs_are_those_of_each():
+    draw = random.Random(5)
+    both = tuple(p for a, b in ("ab", "cd") for p in ((a, b), (b, a)))
+    words = ["", "a", "\U0001f600b", *("".join(draw.choices("abcdeé", k=draw.randint(0, 9))) for _ in range(900))]
+    pairs = [(draw.choice(words), draw.choice(words)) for _ in range(4000)]
+    pairs += [(w, w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :] + tail) for w in words for i in (0, 3) for tail in ("", "e")]
+    for rules in (Rules(), Rules(equivalent=frozenset(both))):
+        for limit in (1, 2, 3):
+            got = distances([a for a, _ in pairs], [b for _, b in pairs], rules, limit)
+            assert got.tolist() == [min(distance(a, b, rules, limit), limit + 1) for a, b in pairs]
