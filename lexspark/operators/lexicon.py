@@ -375,5 +375,6 @@ def frequencies(words: DataFrame, lexicon: Lexicon, column: str = "word") -> Dat
     first = Window.partitionBy("word").orderBy("seq")
     best = lexicon.forms.withColumn("n", F.row_number().over(first)).where("n = 1")
     letter = F.conv(F.hex(F.substring("seq", -1, 1)), 16, 10).cast("int") - 65
-    best = best.select(F.col("word").alias(_WORD), letter.alias(_BEST))
+    # the entries' file is much smaller than what they take in the driver's memory, so they aren't left to be broadcast
+    best = best.select(F.col("word").alias(_WORD), letter.alias(_BEST)).hint("merge")
     return _probes(words, column, lexicon.metadata).join(best, _WORD, "left").withColumn("frequency", F.coalesce(_BEST, F.lit(0))).drop(_WORD, _BEST)

@@ -8,6 +8,9 @@ power of the length, more than two edits go by pieces of words instead. Nothing
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -160,6 +163,16 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
     diacritics and rewrites the join, and the distance but for swaps beside another edit, stay in built-in expressions; else keys and
     distances come from Python functions on batches. Equal characters and short pairs may be met in any number.
     """
+    plain = replace(rules, short=())
+    if rules.short and plain.alike and most in (1, 2):  # short pairs change nothing for probes without any of their keys
+        keyed = reduce(or_, (F.contains("probe", F.lit(k)) for k, *_ in rules.short))
+        probes = checkpointed(probes.select("probe", keyed.alias("keyed")))
+        return _similar_pairs(probes.where("NOT keyed").select("probe"), known, most, plain).unionByName(_similar_pairs(probes.where("keyed").select("probe"), known, most, rules))
+    return _similar_pairs(probes, known, most, rules)
+
+
+def _similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
+    """``similar_pairs`` of probes for which all rules may count."""
     allowed = effective_distance(F.col("probe"), most)
     p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
     if rules.alike and most in (1, 2):
@@ -214,7 +227,7 @@ def rewrites(words: DataFrame, rules: Rules, column: str = "word") -> DataFrame:
 
 def _found_by_forms(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
     """``(probe, place, word, distance)`` by the rewrites of probes with long targets, which may be known as they are."""
-    forms = rewrites(probes, rules, "probe")
+    forms = written(rewrites(probes, rules, "probe"), "forms")  # read three times
     low = F.lower("form")
     cased = F.array(F.col("form"), low, F.upper("form"), F.when(F.length(low) > 1, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))))
     tried = forms.select("probe", "place", F.posexplode(cased).alias("case", "word"))
@@ -224,7 +237,7 @@ def _found_by_forms(probes: DataFrame, known: DataFrame, most: int, rules: Rules
     short = F.min(F.when((F.length("form") < SHORTEST) & (F.col("place") > 0), F.col("place"))).over(Window.partitionBy("probe"))
     searched = forms.where(F.col("place") < SEARCHED).withColumn("stop", short).where("stop IS NULL OR place < stop")
     near = similar_pairs(searched.select(F.col("form").alias("probe")).distinct(), known, most, rules).withColumnRenamed("probe", "form")
-    return searched.join(near, "form").select("probe", "place", "word", "distance").unionByName(free)
+    return searched.hint("merge").join(near, "form").select("probe", "place", "word", "distance").unionByName(free)
 
 
 def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str = "word", even_if_known: bool = False) -> DataFrame:
@@ -233,7 +246,10 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     The score is 26 times the distance plus 25 less the frequency; of equal scores, the earlier rewrite comes
     first, and of one rewrite the word that a walk through the dictionary's automaton finds first. Words of 120 characters and more, and null or empty ones, get nothing.
     """
-    m, rules, known = lexicon.metadata, Rules.of(lexicon.metadata), written(lexicon.words(), "words")  # read four times
+    m, rules = lexicon.metadata, Rules.of(lexicon.metadata)
+    # read four times; its file is a tenth of what its words take in the driver's memory, so Spark, which goes by files, would
+    # broadcast them at each join
+    known = written(lexicon.words(), "words").hint("merge")
     probes = words.select(W.converted(F.col(column), m.input_conversion).alias("probe")).where((F.length("probe") > 0) & (F.length("probe") < LONGEST)).distinct()
     if not even_if_known:
         probes = probes.join(known.withColumnRenamed("word", "probe"), "probe", "left_anti")
@@ -251,6 +267,6 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     out = own.withColumn("score", score)
     if rules.long or m.output_conversion:  # else a pair is found once
         once = Window.partitionBy("probe", "suggestion").orderBy("score", "place", found)
-        out = out.withColumn("n", F.row_number().over(once)).where("n = 1")
+        out = out.repartition("probe").withColumn("n", F.row_number().over(once)).where("n = 1")  # dealt once for both windows
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", found))
     return out.select("probe", "suggestion", "distance", "score", rank.alias("rank"))

@@ -62,6 +62,17 @@ def test_equivalents_and_pairs_in_any_number(spark):
     assert D.choices("ll" * 8, rules.short) > S.FORMS and len(D.variants("llall", rules.short)) == 4
 
 
+@pytest.mark.parametrize("pairs", [(), (("ll", "l"), ("g", "tion"))])
+@pytest.mark.parametrize("most", [1, 3])
+def test_suggestions_broadcast_no_words(spark, pairs, most):
+    """Files of a million words are small enough for Spark to broadcast them, which the driver's memory isn't."""
+    rows = spark.createDataFrame([(w, w, "A") for w in ("ball", "bale", "station")], "base string, inflected string, tag string")
+    lex = L.Lexicon.compile(rows, PLAIN.with_(frequency_included=True, replacement_pairs=pairs))
+    found = S.suggestions(words_of(spark, ["bal", "balll", "stag"]), lex, most)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {("bal", "ball", 1), ("bal", "bale", 1)} <= {(r.probe, r.suggestion, r.distance) for r in found.collect()}
+
+
 def test_pieces_survive_the_edits():
     draw = random.Random(9)
     for _ in range(3000):
