@@ -81,6 +81,27 @@ def _keyed(words: DataFrame, column: str, keys: Callable[[str], Iterable[str]])
     return words.select(column).mapInPandas(run, f"`{column}` string, key string")
 
 
+def _knotty(rules: Rules) -> Column:
+    """Whether short pairs rewrite a probe in many ways."""
+
+    def ways(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: choices(w, rules.short) > FORMS)
+
+    ways.__annotations__ = {"words": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ways, "boolean")("probe")
+
+
+def _respelled(probes: DataFrame, rules: Rules) -> DataFrame:
+    """``(probe, other)``: each probe with what short pairs make of it, itself as null; nothing for those with many."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(w, None if v == w else v) for w in pdf["probe"] if choices(w, rules.short) <= FORMS for v in variants(w, rules.short)]
+            yield pd.DataFrame(rows, columns=["probe", "other"])
+
+    return probes.mapInPandas(run, "probe string, other string")
+
+
 def _met(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
     """``(probe, word)``: pairs of which no similar one is missing.
 
@@ -95,21 +116,21 @@ def _met(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFr
     form = lambda w: {k for v in variants(w, rules.short) for k in own(rules.folded(v))}
     few = probes
     if rules.short:
-
-        def ways(words: pd.Series) -> pd.Series:
-            return words.map(lambda w: choices(w, rules.short) > FORMS)
-
-        ways.__annotations__ = {"words": pd.Series, "return": pd.Series}
-        marked = checkpointed(probes.select("probe", F.pandas_udf(ways, "boolean")("probe").alias("knotty")))
+        marked = checkpointed(probes.select("probe", _knotty(rules).alias("knotty")))
         few, many = marked.where("NOT knotty"), marked.where("knotty")
     pairs = _keyed(few, "probe", form).join(_keyed(known, "word", lambda w: stored(rules.folded(w))), "key").select("probe", "word")
     if rules.short and not many.isEmpty():
-        left = _keyed(many, "probe", lambda w: probing_keys(rules.collapsed(w), 2 * most))
-        right = _keyed(known, "word", lambda w: stored_keys(rules.collapsed(w), 2 * most))
-        pairs = pairs.union(left.join(right, "key").select("probe", "word"))
+        pairs = pairs.union(_met_collapsed(many, known, most, rules))
     return pairs.distinct()
 
 
+def _met_collapsed(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
+    """The pairs of probes that short pairs rewrite in many ways, some of them several times."""
+    left = _keyed(probes, "probe", lambda w: probing_keys(rules.collapsed(w), 2 * most))
+    right = _keyed(known, "word", lambda w: stored_keys(rules.collapsed(w), 2 * most))
+    return left.join(right, "key").select("probe", "word")
+
+
 def _shorter(w: Column) -> Column:
     """The strings that are left after one deletion."""
     n = F.length(w)
@@ -160,40 +181,43 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
     ``probes`` has a column probe, ``known`` a column word, both distinct. For one or two edits without
-    diacritics and rewrites the join, and the distance but for swaps beside another edit, stay in built-in expressions; else keys and
+    diacritics the join, and the distance but for swaps beside another edit and for probes that short pairs rewrite, stay in built-in expressions; else keys and
     distances come from Python functions on batches. Equal characters and short pairs may be met in any number.
     """
-    plain = replace(rules, short=())
-    if rules.short and plain.alike and most in (1, 2):  # short pairs change nothing for probes without any of their keys
-        keyed = reduce(or_, (F.contains("probe", F.lit(k)) for k, *_ in rules.short))
-        probes = checkpointed(probes.select("probe", keyed.alias("keyed")))
-        return _similar_pairs(probes.where("NOT keyed").select("probe"), known, most, plain).unionByName(_similar_pairs(probes.where("keyed").select("probe"), known, most, rules))
-    return _similar_pairs(probes, known, most, rules)
-
-
-def _similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules) -> DataFrame:
-    """``similar_pairs`` of probes for which all rules may count."""
     allowed = effective_distance(F.col("probe"), most)
     p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
-    if rules.alike and most in (1, 2):
+    if replace(rules, short=()).alike and most in (1, 2):
         # words are few bytes for the work that they make, so tasks are not left to be dealt by bytes
         parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = _native_neighbours(_with_letters(probes.select("probe", p.alias("form")).repartition(parts), "mine"), "form", most).repartition(parts, "key")
-        right = _native_neighbours(_with_letters(known.select("word", w.alias("form")).repartition(parts), "its"), "form", most).repartition(parts, "key")
+        form, keyed, many = p, F.lit(False), None
+        if rules.short:  # they change nothing for probes without any of their keys
+            keyed = reduce(or_, (F.contains("probe", F.lit(k)) for k, *_ in rules.short))
+            probes = checkpointed(probes.select("probe"))
+            many = probes.where(keyed).where(_knotty(rules))
+            probes = probes.where(~keyed).withColumn("other", F.lit(None).cast("string")).unionByName(_respelled(probes.where(keyed), rules))
+            form = _translated(F.coalesce("other", "probe"), rules)
+        left, right = _with_letters(probes.withColumn("form", form).repartition(parts), "mine"), _with_letters(known.select("word", w.alias("form")).repartition(parts), "its")
+        left, right = (_native_neighbours(side, "form", most).drop("form").repartition(parts, "key") for side in (left, right))
         # most pairs that share a key are too far apart, so they are left out before they are dealt out to be counted once;
         # those that swaps may bring nearer have the same letters but for one edit at most
         bits = F.bit_count(F.col("mine").bitwiseXOR(F.col("its")))
-        pairs = left.join(right, "key").where((F.levenshtein(p, w, most) >= 0) | (bits <= 2 * (most - 1))).select("probe", "word").distinct()
+        pairs = left.join(right, "key").where((F.levenshtein(form, w, most) >= 0) | (bits <= 2 * (most - 1))).select("probe", "word")
+        if many is not None and not many.isEmpty():
+            pairs = pairs.union(_met_collapsed(many, known, most, rules))
         # a swap counts as two edits here, so one beside an edit as three and two as four; as it moves no letter in or
         # out, few such pairs are left to Python
-        pairs = pairs.withColumn("known", F.levenshtein(p, w, 2 * most))
+        pairs = pairs.distinct().withColumn("known", F.levenshtein(p, w, 2 * most))
         swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"), rules)
         if most == 1:
-            return pairs.withColumn("distance", F.when(F.col("known").between(0, 1), F.col("known")).when(swap, 1)).drop("known").where(F.col("distance") <= allowed)
-        bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-        letters = F.levenshtein(bag(p), bag(w), 2)
-        pairs = pairs.where(F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
-        pairs = pairs.withColumn("known", F.when(swap, 1).when(F.col("known") <= 2, F.col("known")))
+            pairs = pairs.withColumn("known", F.when(~keyed, F.when(F.col("known").between(0, 1), F.col("known")).when(swap, 1).otherwise(2)))
+            if not rules.short:
+                return pairs.withColumnRenamed("known", "distance").where(F.col("distance") <= allowed)
+            pairs = pairs.where(keyed | (F.col("known") <= allowed))
+        else:
+            bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
+            letters = F.levenshtein(bag(p), bag(w), 2)
+            pairs = pairs.where(keyed | F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
+            pairs = pairs.withColumn("known", F.when(~keyed, F.when(swap, 1).when(F.col("known") <= 2, F.col("known"))))
     else:
         pairs = _met(probes, known, most, rules)
         if not (rules.short or rules.ignore_diacritics):
@@ -229,7 +253,7 @@ def _found_by_forms(probes: DataFrame, known: DataFrame, most: int, rules: Rules
     """``(probe, place, word, distance)`` by the rewrites of probes with long targets, which may be known as they are."""
     forms = written(rewrites(probes, rules, "probe"), "forms")  # read three times
     low = F.lower("form")
-    cased = F.array(F.col("form"), low, F.upper("form"), F.when(F.length(low) > 1, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))))
+    cased = F.array_distinct(F.array(F.col("form"), low, F.upper("form"), F.when(F.length(low) > 1, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low))))))
     tried = forms.select("probe", "place", F.posexplode(cased).alias("case", "word"))
     free = tried.join(known, "word").withColumn("least", F.min("case").over(Window.partitionBy("probe", "place"))).where("case = 0 OR least > 0")
     free = free.select("probe", "place", "word", F.lit(0).alias("distance"))
@@ -247,12 +271,13 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     first, and of one rewrite the word that a walk through the dictionary's automaton finds first. Words of 120 characters and more, and null or empty ones, get nothing.
     """
     m, rules = lexicon.metadata, Rules.of(lexicon.metadata)
-    # read four times; its file is a tenth of what its words take in the driver's memory, so Spark, which goes by files, would
-    # broadcast them at each join
+    # read several times; its file is a tenth of what its words take in the driver's memory, so Spark, which goes by files,
+    # would broadcast them at each join
     known = written(lexicon.words(), "words").hint("merge")
     probes = words.select(W.converted(F.col(column), m.input_conversion).alias("probe")).where((F.length("probe") > 0) & (F.length("probe") < LONGEST)).distinct()
     if not even_if_known:
-        probes = probes.join(known.withColumnRenamed("word", "probe"), "probe", "left_anti")
+        # an anti join would be moved before the distinct, where it meets all words of a text
+        probes = _marked(probes, known, F.col("probe"), "known").where("NOT known").drop("known")
     if rules.long:
         found = _found_by_forms(probes, known, most, rules)
     else:
