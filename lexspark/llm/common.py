@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import checkpointed, remove, scratch, shared_folder, written  # noqa: F401  operators take all helpers from here
+from ..sources.store import checkpointed, release, remove, scratch, shared_folder, written  # noqa: F401  operators take all helpers from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,17 +54,6 @@ def told_apart(make: Callable[[int], DataFrame], key: str, other: str, tries: in
     raise ValueError(f"{key} is no hash: different things share it whatever the salt")
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, as Spark deletes shuffle files only when what refers to them is collected.
-
-    To be called after a step that shuffled much and whose result is written. Python lets go of the driver's objects in a
-    thread that sleeps for a second at a time, so without the wait they would outlive the collection.
-    """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
-
-
 def draw(*key: Column | str) -> Column:
     """A number from 0 to 2^62 - 1 that depends on the key only, to draw samples by."""
     return F.shiftrightunsigned(F.xxhash64(*key), 2)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from functools import reduce
+from math import comb
 from operator import or_
 
 import numpy as np
@@ -20,12 +21,14 @@ from pyspark.sql.window import Window
 
 from ..functions import words as W
 from ..functions.distance import Rules, choices, deletions, distance, distances, probing_keys, rewritten, stored_keys, variants
-from ..sources.store import checkpointed, written
+from ..sources.store import checkpointed, release, remove, scratch, written
 from .lexicon import Lexicon, frequencies, to_bytes
 
 #: Longest probe, exclusive; most rewritten probes that are searched; shortest of these but for the first.
 LONGEST, SEARCHED, SHORTEST = 120, 14, 4
 CLASSES = 26
+#: Keys that are met in one pass: so many, or so many for each word if that is more.
+KEYS, KEYS_PER_WORD = 12_000_000, 6
 
 
 def _marked(df: DataFrame, known: DataFrame, word: Column, name: str) -> DataFrame:
@@ -147,6 +150,17 @@ def _native_neighbours(words: DataFrame, column: str, most: int) -> DataFrame:
     return words.withColumn("key", F.explode(F.array_distinct(F.transform(keys, lambda x: F.xxhash64(x)))))
 
 
+def _without(w: Column, most: int) -> Column:
+    """The strings that are left after so many deletions, at most two; the empty one of words with fewer letters."""
+    n = F.length(w)
+    if most == 0:
+        return F.array(w)
+    if most == 1:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+    cut = lambda i, j: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, j - i - 1), F.substring(w, j + 1, n))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: cut(i, j))))
+
+
 def _with_letters(words: DataFrame, name: str) -> DataFrame:
     """Each row with a bit for each letter of ``form``, by its number modulo 64: whether the letters are odd in number."""
     return words.withColumn(name, F.expr("aggregate(split(form, ''), 0L, (bits, c) -> bits ^ if(c = '', 0L, shiftleft(1L, ascii(c) % 64)))"))
@@ -177,6 +191,37 @@ def with_sizes(found: DataFrame, most: int) -> DataFrame:
     return found.select("*", F.length("probe").alias("word_length"), F.length("suggestion").alias("candidate_length"), effective_distance(F.col("probe"), most).alias("effective_distance"))
 
 
+def _told(pairs: DataFrame, rules: Rules, keyed: Column | None = None, same: Column | None = None) -> DataFrame:
+    """Pairs with their distance of up to two as ``known``, which has that without swaps, up to four; as null where a swap
+    may stand beside another edit and where ``keyed`` holds; others are left out. ``same``: no swap alone if it is false."""
+    p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
+    keyed = F.lit(False) if keyed is None else keyed
+    swap = (F.col("known") == 2) & (F.lit(True) if same is None else same) & _swapped(F.col("probe"), F.col("word"), rules)
+    bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
+    letters = F.levenshtein(bag(p), bag(w), 2)
+    pairs = pairs.where(keyed | F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
+    return pairs.withColumn("known", F.when(~keyed, F.when(swap, 1).when(F.col("known") <= 2, F.col("known"))))
+
+
+def _distance(most: int, rules: Rules) -> Column:
+    """The distance of ``probe`` and ``word``, by a Python function where ``known`` is null."""
+
+    def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
+        out, x, y = known.fillna(0).to_numpy("int32", copy=True), a.to_numpy(), b.to_numpy()
+        unknown = np.flatnonzero(known.isna())
+        if rules.alike:
+            out[unknown] = distances(x[unknown].tolist(), y[unknown].tolist(), rules, most)
+            return pd.Series(out)
+        for i in unknown:
+            out[i] = distance(x[i], y[i], rules, max(0, len(x[i]) - 1) if len(x[i]) <= most else most)
+        return pd.Series(out)
+
+    far.__annotations__ = {"a": pd.Series, "b": pd.Series, "known": pd.Series, "return": pd.Series}
+    unknown = [F.when(F.col("known").isNull(), F.col(c)) for c in ("probe", "word")]  # others needn't go to Python
+    # else a filter by it would be moved before it, and work it out twice
+    return F.pandas_udf(far, "int").asNondeterministic()(*unknown, "known")
+
+
 def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules = Rules()) -> DataFrame:
     """``(probe, word, distance)`` for all pairs within ``most`` edits; of a probe no longer than that, one less.
 
@@ -207,35 +252,87 @@ def similar_pairs(probes: DataFrame, known: DataFrame, most: int, rules: Rules =
         # a swap counts as two edits here, so one beside an edit as three and two as four; as it moves no letter in or
         # out, few such pairs are left to Python
         pairs = pairs.distinct().withColumn("known", F.levenshtein(p, w, 2 * most))
-        swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"), rules)
-        if most == 1:
+        if most == 2:
+            pairs = _told(pairs, rules, keyed)
+        else:
+            swap = (F.col("known") == 2) & _swapped(F.col("probe"), F.col("word"), rules)
             pairs = pairs.withColumn("known", F.when(~keyed, F.when(F.col("known").between(0, 1), F.col("known")).when(swap, 1).otherwise(2)))
             if not rules.short:
                 return pairs.withColumnRenamed("known", "distance").where(F.col("distance") <= allowed)
             pairs = pairs.where(keyed | (F.col("known") <= allowed))
-        else:
-            bag = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-            letters = F.levenshtein(bag(p), bag(w), 2)
-            pairs = pairs.where(keyed | F.col("known").between(0, 2) | (F.col("known") == 3) & (letters >= 0) | (F.col("known") == 4) & (letters == 0))
-            pairs = pairs.withColumn("known", F.when(~keyed, F.when(swap, 1).when(F.col("known") <= 2, F.col("known"))))
     else:
         pairs = _met(probes, known, most, rules)
         if not (rules.short or rules.ignore_diacritics):
             pairs = pairs.where(F.levenshtein(p, w, 2 * most) >= 0)
         pairs = pairs.withColumn("known", F.lit(None).cast("int"))
 
-    def far(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.Series:
-        out, x, y = known.fillna(0).to_numpy("int32", copy=True), a.to_numpy(), b.to_numpy()
-        unknown = np.flatnonzero(known.isna())
-        if rules.alike:
-            out[unknown] = distances(x[unknown].tolist(), y[unknown].tolist(), rules, most)
-            return pd.Series(out)
-        for i in unknown:
-            out[i] = distance(x[i], y[i], rules, max(0, len(x[i]) - 1) if len(x[i]) <= most else most)
-        return pd.Series(out)
+    return pairs.select("probe", "word", _distance(most, rules).alias("distance")).where(F.col("distance") <= allowed)
 
-    far.__annotations__ = {"a": pd.Series, "b": pd.Series, "known": pd.Series, "return": pd.Series}
-    return pairs.select("probe", "word", F.pandas_udf(far, "int")("probe", "word", "known").alias("distance")).where(F.col("distance") <= allowed)
+
+def _passes(words: dict[int, int], most: int, longest: int) -> list[tuple[int, int, int]]:
+    """``(least, largest, parts)``: lengths of keys that are met together, by the number of words of each length, and in how
+    many parts those of a length are met of which there are too many."""
+    limit, held, out = max(KEYS, KEYS_PER_WORD * sum(words.values())), 0, []
+    for size in range(longest + 1):
+        n = sum(comb(size + d, d) * words.get(size + d, 0) for d in range(most + 1))
+        if out and held + n <= limit:
+            held, out[-1] = held + n, (out[-1][0], size, 1)
+        else:
+            held = n
+            out.append((size, size, max(1, -(-n // limit))))
+    return out
+
+
+def _met_in_pass(probes: DataFrame, known: DataFrame, most: int, rules: Rules, least: int, largest: int, part: int, parts: int) -> DataFrame:
+    """``(probe, word, frequency, distance)``: the pairs that meet by keys of some lengths, some of them several times."""
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(words: DataFrame, bits: str) -> DataFrame:
+        n, form = F.length("form"), F.col("form")
+        words = _with_letters(words.where(n.between(least, largest + most)).repartition(tasks), bits)
+        keys = [F.when(F.greatest(n - d, F.lit(0)).between(least, largest), _without(form, d)).otherwise(F.array().cast("array<string>")) for d in range(most + 1)]
+        words = words.withColumn("key", F.explode(F.array_distinct(F.transform(F.concat(*keys), lambda x: F.xxhash64(x))))).drop("form")
+        return words.where(F.pmod("key", F.lit(parts)) == part).repartition(tasks, "key")
+
+    p, w = (_translated(F.col(c), rules) for c in ("probe", "word"))
+    bits = F.bit_count(F.col("mine").bitwiseXOR(F.col("its")))
+    size = F.greatest(F.length("probe"), F.length("word"), F.lit(most)) - most
+    pairs = keyed(probes, "mine").join(keyed(known, "its").hint("merge"), "key").where(size.between(least, largest) & (F.col("probe") != F.col("word")))
+    pairs = pairs.where((F.levenshtein(p, w, most) >= 0) | (bits <= 2 * (most - 1))).withColumn("known", F.levenshtein(p, w, 2 * most))
+    pairs = _told(pairs, rules, same=bits == 0).select("probe", "word", "frequency", _distance(most, rules).alias("distance"))
+    return pairs.where(F.col("distance") <= effective_distance(F.col("probe"), most))
+
+
+def _ranked_in_passes(probes: DataFrame, known: DataFrame, most: int, rules: Rules, ranked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``ranked`` of ``(probe, word, frequency, distance)`` for all pairs within two edits, written.
+
+    What two words share is sought among strings of one length only: that of the longer one less the edits. So keys are met
+    by their lengths, and a probe's pairs are complete, and ranked, when keys as long as it are met. Shuffle files
+    of a pass are deleted after it, so disk holds the keys of one, the pairs of probes of three lengths, and results.
+    """
+    spark = probes.sparkSession
+    form = lambda c: _translated(F.col(c), rules).alias("form")
+    probes, known = written(probes.select("probe", form("probe")), "probes"), written(known.select("word", "frequency", form("word")), "known")
+    count = lambda df: {r[0]: r[1] for r in df.groupBy(F.length("form")).count().collect()}
+    asked, held = count(probes), count(known)
+    met, out, done = scratch(spark, "met"), scratch(spark, "suggestions"), -1
+    passes = _passes({n: asked.get(n, 0) + held.get(n, 0) for n in asked | held}, most, max(asked, default=0))
+    for least, largest, parts in passes:
+        for part in range(parts):
+            pairs = _met_in_pass(probes, known, most, rules, least, largest, part, parts).withColumn("size", F.length("probe"))
+            pairs.sortWithinPartitions("size", "probe", "word").write.partitionBy("size").option("compression", "zstd").parquet(met, mode="append")
+            if len(passes) > 1:
+                release(spark)
+        # dealt by probe once, to be told apart and to be ranked
+        pairs = spark.read.schema("probe string, word string, frequency int, distance int, size int").parquet(met).where(F.col("size").between(done + 1, largest)).drop("size")
+        pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "probe").distinct()
+        ranked(pairs).write.option("compression", "zstd").parquet(out, mode="append")
+        for n in range(done + 1, largest + 1):
+            remove(spark, f"{met}/size={n}")
+        done = largest
+        if len(passes) > 1:
+            release(spark)
+    return spark.read.parquet(out)
 
 
 def rewrites(words: DataFrame, rules: Rules, column: str = "word") -> DataFrame:
@@ -278,6 +375,13 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     if not even_if_known:
         # an anti join would be moved before the distinct, where it meets all words of a text
         probes = _marked(probes, known, F.col("probe"), "known").where("NOT known").drop("known")
+    # an automaton's arcs are walked in the order of their bytes, so that is the order in which it finds words
+    found_at = F.col("word") if m.encoding.lower().replace("-", "") == "utf8" else to_bytes(F.col("word"), m.encoding)
+    score = F.col("distance") * CLASSES + CLASSES - 1 - F.col("frequency")
+    if most == 2 and rules.alike and not (rules.long or m.output_conversion):
+        rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", found_at))
+        ranked = lambda pairs: pairs.withColumn("score", score).select("probe", F.col("word").alias("suggestion"), "distance", "score", rank.alias("rank"))
+        return _ranked_in_passes(probes, frequencies(known, lexicon, "word"), most, rules, ranked)
     if rules.long:
         found = _found_by_forms(probes, known, most, rules)
     else:
@@ -286,12 +390,9 @@ def suggestions(words: DataFrame, lexicon: Lexicon, most: int = 1, column: str =
     out = found.withColumn("suggestion", W.converted(F.col("word"), m.output_conversion))
     out = frequencies(out.where("suggestion <> probe"), lexicon, "suggestion")
     own = frequencies(out.select("probe", "place", "word", "distance", "suggestion"), lexicon, "word") if m.output_conversion else out
-    score = F.col("distance") * CLASSES + CLASSES - 1 - F.col("frequency")
-    # an automaton's arcs are walked in the order of their bytes, so that is the order in which it finds words
-    found = F.col("word") if m.encoding.lower().replace("-", "") == "utf8" else to_bytes(F.col("word"), m.encoding)
     out = own.withColumn("score", score)
     if rules.long or m.output_conversion:  # else a pair is found once
-        once = Window.partitionBy("probe", "suggestion").orderBy("score", "place", found)
+        once = Window.partitionBy("probe", "suggestion").orderBy("score", "place", found_at)
         out = out.repartition("probe").withColumn("n", F.row_number().over(once)).where("n = 1")  # dealt once for both windows
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", found))
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "place", found_at))
     return out.select("probe", "suggestion", "distance", "score", rank.alias("rank"))

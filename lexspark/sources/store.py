@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, as Spark deletes shuffle files only when what refers to them is collected.
+
+    To be called after a step that shuffled much and whose result is written. Python lets go of the driver's objects in a
+    thread that sleeps for a second at a time, so without the wait they would outlive the collection.
+    """
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Rows with their place in the order of ``df``, from 0, as ``name``: counted in each partition, after the rows of those
     before, which are a table with a row for each partition."""

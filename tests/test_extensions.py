@@ -50,6 +50,31 @@ def test_no_similar_pair_is_missed(spark, name, most):
     assert pairs_of(spark, probes, known, most, rules) == plain_pairs(probes, known, most, rules)
 
 
+def most_shuffled(spark, seen):
+    """The most rows that a stage has shuffled, of those that ``seen`` lacks, which gets them."""
+    jvm, none = spark._jvm, spark._jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    new = {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() not in seen}
+    seen.update(new)
+    return max(new.values(), default=0)
+
+
+@pytest.mark.parametrize("name", ["none", "closed"])
+def test_two_edits_are_met_in_passes(spark, name, monkeypatch):
+    """All keys of both sides were shuffled at once before."""
+    draw, rules, limit, seen = random.Random(7), RULES[name], 800, set()
+    word = lambda: "".join(draw.choice("abcdexy") for _ in range(draw.randint(1, 9)))
+    known, probes = {word(): draw.randint(0, 25) for _ in range(200)}, {word() for _ in range(150)} | {"abababababab", "a", "xy"}
+    for n, value in (("KEYS", limit), ("KEYS_PER_WORD", 0), ("release", lambda spark: None)):
+        monkeypatch.setattr(S, n, value, raising=False)
+    lex = L.Lexicon.compile(spark.createDataFrame([(w, w, chr(65 + f)) for w, f in known.items()], "base string, inflected string, tag string"), PLAIN.with_(frequency_included=True, equivalent_chars=tuple(rules.equivalent)))
+    most_shuffled(spark, seen)
+    got = {(r.probe, r.suggestion): (r.distance, r.score, r.rank) for r in S.suggestions(words_of(spark, sorted(probes)), lex, most=2).collect()}
+    assert 0 < most_shuffled(spark, seen) <= 1.5 * limit  # the parts of a length are about even
+    want = {p: sorted((d * 26 + 25 - known[w], w, d) for q, w, d in plain_pairs({p}, known, 2, rules)) for p in probes - set(known)}
+    assert got == {(p, w): (d, score, i) for p, found in want.items() for i, (score, w, d) in enumerate(found, 1)} and len(got) > 500
+
+
 def test_equivalents_and_pairs_in_any_number(spark):
     """Eight equal characters, ten of them, and eight rewrites were lost before."""
     m = PLAIN.with_(equivalent_chars=(("x", "ź"),))
